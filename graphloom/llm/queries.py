@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from . import oracles
 from .decontaminate import decontaminate, digest
 from .near_dedup import near_duplicates
+from .token_output import token_output
+
+
+def vocabulary_file(name: str) -> str:
+    """A public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +36,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest(F.col("item_ids")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate)}
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word_bpe_49k ids with end id 2."""
+    return token_output(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_output)}
 ORACLES: dict[str, str] = oracles.ORACLES
