@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import decontaminate, digest
+from .media import stored_text_media
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .token_counts import token_counts
 from .token_output import token_output
 
 
@@ -41,5 +44,21 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_output)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 3, 1, 2 in turn, 150 % of all words, at most twice each source."""
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as 8-bit samples in NPY tiles of 24 x 24."""
+    return stored_text_media(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """byte_bpe_50k pieces, limit 512."""
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), limit=512)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_output, op5_mixing, op7_media, op8_token_counts)}
 ORACLES: dict[str, str] = oracles.ORACLES
