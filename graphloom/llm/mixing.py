@@ -73,8 +73,13 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the last open units (two at most): the choice whose words come nearest, then whose documents do."""
+def land(before: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Settle the last open units (two at most), then even out the words.
+
+    The open units take the choice whose words come nearest, then whose documents do. What is still off
+    (a long document counts whole or not at all) is made up by turning over units that the draw settled, from
+    the largest on, wherever that brings the sum nearer. ``before``: the probabilities before the flight.
+    """
     open_ = np.flatnonzero((p > 0) & (p < 1))
     best = None
     for bits in range(1 << len(open_)):
@@ -84,8 +89,12 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         if best is None or key < best[0]:
             best = key, chosen
     out = p.copy()
-    if len(open_):
-        out[open_] = best[1]
+    out[open_] = best[1]
+    off = float(((out - before) * size).sum())
+    for i in np.flatnonzero((before > 1e-9) & (before < 1 - 1e-9) & (size > 0)):
+        turned = off + float(size[i]) * (1 - 2 * out[i])
+        if abs(turned) < abs(off):
+            out[i], off = 1 - out[i], turned
     return out
 
 
@@ -119,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")  # so that small ones are left.reset_index(drop=True)
             p = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), pdf["draw"].to_numpy())
-            pdf["p"] = land(p, pdf["size"].to_numpy().astype(float)) if last else p
+            pdf["p"] = land(pdf["p"].to_numpy(), p, pdf["size"].to_numpy().astype(float)) if last else p
             return pdf.drop(columns=["draw", "block"])
 
         return run
