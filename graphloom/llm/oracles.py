@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import license_scan
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = rf"""
@@ -44,4 +46,5 @@ FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1,
     "op2_decontaminate": OP2,
+    "op9_license_scan": license_scan.oracle(),
 }

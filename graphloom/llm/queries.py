@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import decontaminate, digest
+from .language_id import fit, identify, training_rows
+from .license_scan import scan_licenses
 from .media import stored_text_media
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .token_counts import token_counts
 from .token_output import token_output
+from .url_filter import judge_urls
 
 
 def vocabulary_file(name: str) -> str:
@@ -60,5 +63,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_output, op5_mixing, op7_media, op8_token_counts)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from four folds of five; predicts every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(training_rows(docs)))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known licences and notices of ``license_texts``."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+#: Verdicts and rules of the query, in no order of precedence.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL_RULES first, the classifier for the rest."""
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter)}
 ORACLES: dict[str, str] = oracles.ORACLES
