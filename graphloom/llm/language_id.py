@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
     """
     from pyspark.sql import types as T
 
-    docs = docs.select("doc_id", "text", *keep)
+    docs = docs.select(*dict.fromkeys(("doc_id", "text", *keep)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.select("doc_id", *keep).schema.fields, *T._parse_datatype_string("held_out boolean, lang_pred string, score double").fields])
 

@@ -12,6 +12,7 @@ from . import oracles
 from .decontaminate import decontaminate, digest
 from .language_id import fit, identify, training_rows
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .media import stored_text_media
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -42,6 +43,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest(F.col("item_ids")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates in three documents or more; what is kept of each text by its length and digest."""
+    out = dedup_lines(_table(spark, sf_dir, "documents"), min_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word_bpe_49k ids with end id 2."""
     return token_output(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), end_id=2)
@@ -83,5 +90,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_line_dedup, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter)}
 ORACLES: dict[str, str] = oracles.ORACLES
