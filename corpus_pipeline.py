@@ -1,7 +1,98 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as Parquet in the shared
+folder and reads again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import materialise
+from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.language_id import fit, identify, training_rows
+from graphloom.llm.mixing import mix_sources
+from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.queries import vocabulary_file
+from graphloom.llm.token_output import token_output
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Calibrated probability below which a document's language counts as unknown.
+LEAST_SCORE = 0.5
+#: Share of hit words above which a document goes; below, only its spans do.
+MOST_COVERED = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go (no letter, or a probability under LEAST_SCORE).
+
+    The model is fitted on the labelled rows of ``docs`` outside the held-out fold. Without any labels there is nothing to
+    tell languages by, so that every document with a letter stays.
+    """
+    docs = docs.select(*COLUMNS)
+    model = fit(training_rows(docs))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, keep=COLUMNS[1:])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: that of least id.
+
+    Word shingles of five words, similarity 0.8. Of rows that repeat the least id (or have none) one stays.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = near_duplicates(docs, k=5, percent=80)
+    # ids that stay, once each; rows with a null id are a class of their own only if no row of their class has an id
+    stay = groups.where("kept").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    return kept.unionByName(nameless).select(*COLUMNS)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of ten words or more of benchmark items are cut out; a document that is mostly such passages goes."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate(docs.select(*COLUMNS), items, window=10, max_coverage=MOST_COVERED, keep=("lang", "source", "n_chars"), with_text=True)
+    length = F.when(F.col("n_hit") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(~F.coalesce("over", F.lit(False))).select("doc_id", F.col("clean_text").alias("text"), "lang", "source", length.alias("n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, as so many rows."""
+    docs = docs.select(*COLUMNS)
+    mixed = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
+    named = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    taken = docs.join(named, "doc_id")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files of what is left, read back: one row for each document."""
+    return token_output(docs, vocabulary_file("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("near-dedup", dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("mixing", mixing_stage),
+    ("token output", token_stage),
+]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, name.replace(" ", "-"))
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
