@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .queries import distribution, graph, history
+
+_FAMILIES = (distribution, history, graph)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for f in _FAMILIES for k, v in f.ORACLES.items()}
