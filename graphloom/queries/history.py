@@ -48,7 +48,7 @@ def history_filter(spark, sf_dir):
     li = changes(spark, sf_dir).select("path", (F.col("added") % 10).alias("added"), (F.col("deleted") - 1).alias("deleted"))
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), "p_name", "p_type")
     named = li.join(names, "path").select(F.col("p_name").alias("path"), "added", "deleted", F.lit(None).cast("string").alias("old_path"))
-    kept = H.binary_change(H.history_filter(named, ["1", "3", "5"], ["99"]))
+    kept = H.binary_change(H.history_filter(named, ["ring", "bolt"], ["small"]))
     return kept.groupBy("is_binary").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
 
 
@@ -80,5 +80,5 @@ ORACLES = {
     "rename_chain": """WITH RECURSIVE c AS (SELECT p_partkey AS old, p_partkey // 2 AS cur, 1 AS steps FROM part WHERE p_partkey > 1
         UNION ALL SELECT old, cur // 2, steps + 1 FROM c WHERE cur > 1) SELECT old, cur AS last, steps::BIGINT AS steps FROM c WHERE cur = 1""",
     "history_filter": """SELECT (l_quantity::BIGINT % 10) = 0 AND l_linenumber = 1 AS is_binary, count(*) AS n, count(DISTINCT p_name) AS paths FROM lineitem JOIN part ON p_partkey = l_partkey
-        WHERE (p_name LIKE '%1' OR p_name LIKE '%3' OR p_name LIKE '%5') AND p_name NOT LIKE '%99%' GROUP BY 1""",
+        WHERE (p_name LIKE '%ring' OR p_name LIKE '%bolt') AND p_name NOT LIKE '%small%' GROUP BY 1""",
 }
