@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,39 +19,85 @@ from .huffman import Code, code_lengths
 BLOCK, SEGMENT = 256, 1 << 18
 #: Longest code in bits; 49,408 ids need 16.
 LIMIT = 20
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE = 300_000
+#: Distinct pieces of text whose ids a worker keeps (about 200 bytes each).
+CACHE = 800_000
+_LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_ALPHABET = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _MAGIC, _HEAD = b"GLTK", "<4sHHIQQQQ"
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, ids)``: the ids of each whole text as little-endian unsigned integers.
+class Known(dict):
+    """A dictionary that learns what it is asked for."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        self[key] = value = self.learn(key)
+        return value
+
 
-    For tokenizers that drop white space and never join text across it: each piece between ASCII white space is
-    encoded by the library once and remembered (bounded), and the pieces' ids are joined. Ids take two
-    bytes if the vocabulary allows, else four. Null is an empty text. ``end_id`` follows each document.
+class WordEncoder:
+    """Ids of pieces of text without ASCII white space, remembered up to CACHE of them.
+
+    For tokenizers that lower-case, drop white space and never join text across it. A piece of Latin letters is one
+    pre-token, so it goes to the library's model at once, in the byte alphabet; a run of ASCII marks at its end
+    (but an apostrophe) is a pre-token of its own. Any other piece goes through the whole library.
     """
 
-    def make():
+    def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        kind = id_type(tokenizer.get_vocab_size(with_added_tokens=True))
-        end = b"" if end_id is None else np.array([end_id], dtype=kind).tobytes()
-        known: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.kind = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.known = Known(self._learn)
+
+    def _model(self, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _learn(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8", "replace").lower()
+        plain = _LETTERS.fullmatch(text)
+        if plain is None:
+            return array(self.kind, self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        marks = plain[2]
+        if not marks:
+            return self._model(text)
+        return self._model(text[: -len(marks)]) + self.known[marks.encode()]
+
+    def encode(self, text: str) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        raw = text.encode("utf-8", "surrogatepass")
+        pieces = (raw if b"<|" in raw else raw.lower()).split()  # special strings are told by their case
+        return list(map(self.known.__getitem__, pieces))
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, ids)``: the ids of each whole text as little-endian unsigned integers.
+
+    Each piece between ASCII white space is encoded once (see ``WordEncoder``; a worker keeps it for its later
+    tasks) and the pieces' ids are joined. Ids take two bytes if the vocabulary allows, else four. Null is an empty
+    text. ``end_id`` follows each document.
+    """
+
+    def make():
+        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        end = [] if end_id is None else [array(encoder.kind, [end_id]).tobytes()]
 
         def each(c):
             for doc, text in zip(c["doc_id"], c["text"], strict=True):
-                pieces = (text or "").encode("utf-8", "surrogatepass").split()
-                new = [p for p in set(pieces) if p not in known]
-                if new:
-                    if len(known) > CACHE:
-                        known.clear()
-                        new = list(set(pieces))
-                    for p, e in zip(new, tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-                        known[p] = np.array(e.ids, dtype=kind).tobytes()
-                yield doc, b"".join([*map(known.__getitem__, pieces), end])
+                yield doc, b"".join(encoder.encode(text or "") + end)
 
         return each
 
@@ -57,7 +105,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFr
 
 
 def id_type(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+    """Two or four bytes (``array`` and numpy name them alike; this machine's order is little-endian)."""
+    return "H" if vocabulary <= 1 << 16 else "I"
 
 
 def vocabulary_size(tokenizer_path: str) -> int:
