@@ -13,6 +13,8 @@ from .common import materialise
 
 #: Documents in one flight.
 BLOCK = 4096
+#: Largest units whose settled state the landing questions.
+LARGE = 16
 SIZE = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,7 +80,8 @@ def land(before: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
     The open units take the choice whose words come nearest, then whose documents do. What is still off
     (a long document counts whole or not at all) is made up by turning over units that the draw settled, from
-    the largest on, wherever that brings the sum nearer. ``before``: the probabilities before the flight.
+    the largest on, wherever that brings the sum nearer; each of the LARGE largest is also tried the other way
+    first, and the nearest sum is kept. ``before``: the probabilities before the flight.
     """
     open_ = np.flatnonzero((p > 0) & (p < 1))
     best = None
@@ -90,11 +93,19 @@ def land(before: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
             best = key, chosen
     out = p.copy()
     out[open_] = best[1]
-    off = float(((out - before) * size).sum())
-    for i in np.flatnonzero((before > 1e-9) & (before < 1 - 1e-9) & (size > 0)):
-        turned = off + float(size[i]) * (1 - 2 * out[i])
-        if abs(turned) < abs(off):
-            out[i], off = 1 - out[i], turned
+    free = np.flatnonzero((before > 1e-9) & (before < 1 - 1e-9) & (size > 0))
+    start = float(((out - before) * size).sum())
+    tries = []
+    for first in [None, *free[:LARGE]]:
+        off, turned = start, []
+        for i in ([] if first is None else [first]) + [i for i in free if i != first]:
+            step = float(size[i]) * (1 - 2 * out[i])
+            if i == first or abs(off + step) < abs(off):
+                off += step
+                turned.append(i)
+        tries.append((round(abs(off), 6), len(turned), turned))
+    turned = min(tries, key=lambda x: x[:2])[2]
+    out[turned] = 1 - out[turned]
     return out
 
 
