@@ -20,6 +20,8 @@ from graphloom.llm.token_output import token_output
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Calibrated probability below which a document's language counts as unknown.
 LEAST_SCORE = 0.5
+#: Rows of (id, copies), 16 bytes each, up to which they are broadcast.
+BROADCAST_ROWS = 400_000
 #: Share of hit words above which a document goes; below, only its spans do.
 MOST_COVERED = 0.5
 
@@ -65,6 +67,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     docs = docs.select(*COLUMNS)
     mixed = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
     named = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    if named.count() <= BROADCAST_ROWS:  # else both sides are shuffled, texts included
+        named = F.broadcast(named)
     taken = docs.join(named, "doc_id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
