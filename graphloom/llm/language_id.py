@@ -167,8 +167,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3, se
 
     rows = []
     for r in map_rows(sample, features, "rank long, lang string, ids binary, counts binary").orderBy("rank", "lang").collect():
-        index = np.frombuffer(r.ids, dtype="<u2").astype(np.int64)
-        rows.append((index, tf_idf(np.frombuffer(r.counts, dtype="<u4"), index, idf), languages.index(r.lang)))
+        index = np.frombuffer(r.ids, dtype="<u2")
+        rows.append((index, tf_idf(np.frombuffer(r.counts, dtype="<u4"), index, idf).astype(np.float32), languages.index(r.lang)))
     model, rng = Ftrl(len(languages)), np.random.default_rng(seed)
     train = [x for i, x in enumerate(rows) if i % 5]
     for _ in range(epochs):
