@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, row_base
+from .token_output import BYTE_ALPHABET, Known
 
 #: Most frequent pre-tokens whose counts go to every worker (about 100 bytes each there); all others are shuffled.
 HEAD = 150_000
 #: Distinct pieces of text that a worker remembers, and pre-tokens a task offers for the head.
-CACHE, OFFER = 200_000, 60_000
+CACHE, OFFER = 400_000, 60_000
 _PIECE = re.compile(r"\s*\S+|\s+")
+#: A space or newline, Latin letters, ASCII marks but the apostrophe: these pre-tokens are plain to see.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -43,7 +46,13 @@ class PreTokens:
         names = sorted((a.content for a in added), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, tuple[str, ...]] = {}
+        # the fast path knows one kind of pre-tokenizer, told by its answers
+        self.byte_level = [x for x, _ in self.split("aé bc,.\nD")] == ["aÃ©", "\u0120bc", ",.", "\u010a", "D"]
+        self.known = Known(lambda p: self._plain(p) or tuple(x for x, _ in self.split(p)))
+
+    def simple(self, text: str) -> bool:
+        """No added token, and no white space but spaces and newlines."""
+        return not _ODD_SPACE.search(text) and (self.added is None or not self.added.search(text))
 
     def of(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens in the library's byte alphabet, and the number of added tokens."""
@@ -55,21 +64,38 @@ class PreTokens:
             if _ODD_SPACE.search(part):
                 out += [p for p, _ in self.split(part)]
                 continue
-            pieces = _PIECE.findall(part)
-            new = [p for p in set(pieces) if p not in self.known]
-            if new:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                    new = set(pieces)
-                for p in new:
-                    self.known[p] = tuple(x for x, _ in self.split(p))
-            out += chain.from_iterable(map(self.known.__getitem__, pieces))
+            if len(self.known) > CACHE:
+                self.known.clear()
+            out += chain.from_iterable(map(self.known.__getitem__, _PIECE.findall(part)))
         return out, len(parts) - 1
 
+    def _plain(self, piece: str) -> tuple[str, ...] | None:
+        found = _PLAIN.fullmatch(piece) if self.byte_level else None
+        if found is None:
+            return None
+        space, letters, marks = found.groups()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        if space == " ":
+            out = ("\u0120" + letters,)
+        elif space:
+            out = ("\u010a", letters)
+        else:
+            out = (letters,)
+        return (*out, marks) if marks else out
+
     def pieces(self, pre_token: str) -> int:
         return len(self.tokenizer.model.tokenize(pre_token))
 
 
+_READY: dict[str, PreTokens] = {}
+
+
+def _ready(tokenizer_path: str) -> PreTokens:
+    """A worker's instance, kept for its later tasks."""
+    return _READY.get(tokenizer_path) or _READY.setdefault(tokenizer_path, PreTokens(tokenizer_path))
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text; ids are never made.
 
@@ -89,7 +115,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def sums():
-        pre, pieces, base = PreTokens(tokenizer_path), shared.value, row_base()
+        pre, pieces, base = _ready(tokenizer_path), shared.value, row_base()
 
         def each(c):
             nonlocal base
@@ -112,7 +138,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     rest = parts.select("uid", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("uid", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
 
     def count():
-        pre = PreTokens(tokenizer_path)
+        pre = _ready(tokenizer_path)
         last: list = [None, 0]
 
         def each(c):
@@ -135,25 +161,33 @@ def _head(docs: DataFrame, tokenizer_path: str) -> dict[str, int]:
     """Pieces of the HEAD most frequent pre-tokens (of those that tasks offer)."""
 
     def make():
-        pre = PreTokens(tokenizer_path)
+        pre = _ready(tokenizer_path)
+        pieces: Counter = Counter()
         total: Counter = Counter()
 
         def offers():
+            for piece, n in pieces.items():
+                for token in pre.known.learn(piece):
+                    total[token] += n
             for token, n in nlargest(OFFER, total.items(), key=lambda x: (x[1], x[0])):
                 if n > 1:
                     yield token, n
-            total.clear()
+            pieces.clear(), total.clear()
 
         def each(c):
             for text in c["text"]:
-                total.update(pre.of(text or "")[0])
-            if len(total) > 500_000:
-                yield from offers()
+                text = text or ""
+                if pre.simple(text):
+                    pieces.update(_PIECE.findall(text))
+                else:
+                    total.update(pre.of(text)[0])
+                if len(pieces) + len(total) > 400_000:
+                    yield from offers()
 
         each.close = offers
         return each
 
     offered = map_rows(docs.select("text"), make, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = offered.orderBy(F.desc("n"), "token").limit(HEAD).select("token")
-    pre = PreTokens(tokenizer_path)
+    pre = _ready(tokenizer_path)
     return {r.token: pre.pieces(r.token) for r in top.collect()}
