@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from collections.abc import Iterator
 from heapq import nlargest
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,21 +140,24 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     parts = map_rows(docs, sums, "uid long, doc_id long, n_bytes long, n long, tokens array<string>, times array<int>", flush=500)
     rest = parts.select("uid", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("uid", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
 
-    def count():
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by token: each distinct one of a batch is counted once, the last one is carried over to the next
         pre = _ready(tokenizer_path)
-        last: list = [None, 0]
-
-        def each(c):
-            total: dict[int, int] = {}
-            for uid, token, times in zip(c["uid"], c["token"], c["times"], strict=True):
-                if token != last[0]:
-                    last[:] = token, pre.pieces(token)
-                total[uid] = total.get(uid, 0) + last[1] * times
-            yield from total.items()
-
-        return each
-
-    counted = map_rows(rest.repartition("token").sortWithinPartitions("token"), count, "uid long, n long")
+        last: dict[str, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("token").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            pieces = np.array([last[w] if w in last else pre.pieces(w) for w in words], dtype=np.int64)
+            last = {words[-1]: int(pieces[-1])}
+            n = pieces[coded.indices.to_numpy()] * batch.column("times").to_numpy()
+            uid, at = np.unique(batch.column("uid").to_numpy(), return_inverse=True)
+            total = np.zeros(len(uid), dtype=np.int64)
+            np.add.at(total, at, n)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(total)], names=["uid", "n"])
+
+    counted = rest.select("uid", "token", "times").repartition("token").sortWithinPartitions("token").mapInArrow(count, "uid long, n long")
     summed = parts.select("uid", "doc_id", "n_bytes", "n").unionByName(counted.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "n"))
     out = summed.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
