@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialise
 
-#: Lines of one leaf that one task clusters at a time, and rows of marked documents up to which they are broadcast.
-BLOCK, BROADCAST_ROWS = 400, 200_000
+#: Templates of a leaf up to which a line is compared with each (beyond, with those that an index finds), and rows of
+#: marked documents up to which they are broadcast.
+SCAN, BROADCAST_ROWS = 64, 200_000
 #: Distinct lines that a task gathers before it passes them on.
 GATHER = 100_000
 WILD = "<*>"
@@ -32,37 +35,86 @@ def leaf_of(tokens: list[str], depth: int) -> int:
 
 class Leaf:
     """Templates of one leaf. A line joins the template that agrees with it in most places, if those are
-    ``similarity`` of all at least; places that differ become variable fields."""
+    ``similarity`` of all at least (the first of equals); places that differ become variable fields.
+
+    Beyond SCAN templates, an index finds all that can agree: the places behind the ``depth`` leading ones (which agree
+    in the whole leaf) are cut into one segment more than places may differ, so that one segment is equal throughout.
+    Segments of a template as it was stay in the index; they add candidates, which are compared like the others.
+    """
 
-    def __init__(self, similarity: float) -> None:
-        self.similarity = similarity
+    def __init__(self, similarity: float, depth: int) -> None:
+        self.similarity, self.depth = similarity, depth
         self.words: dict[str, int] = {WILD: -1}
-        self.table = np.zeros((0, 0), dtype=np.int64)
+        self.table = np.zeros((0, 0), dtype=np.int32)
         self.n = 0
-        self.members: list[list[tuple[bytes, list[int]]]] = []
-
-    def add(self, tokens: list[str], key: bytes, idents: list[int]) -> None:
-        row = np.array([self.words.setdefault(t, len(self.words)) for t in tokens], dtype=np.int64)
-        if self.n:
+        self.members: list[list[bytes]] = []
+        self.idents: list[set[int]] = []
+        self.index: dict[tuple[int, bytes], list[int]] | None = None
+
+    def segments(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        lead = min(self.depth, len(row))
+        n = max(1, len(row) - math.ceil(self.similarity * len(row)) + 1)
+        cuts = [lead + i * (len(row) - lead) // n for i in range(n + 1)]
+        return [(i, row[cuts[i] : cuts[i + 1]].tobytes()) for i in range(n)]
+
+    def enter(self, at: int, old: list | None = None) -> None:
+        for i, segment in enumerate(self.segments(self.table[at])):
+            if old is None or old[i] != segment:
+                self.index.setdefault(segment, []).append(at)
+
+    def nearest(self, row: np.ndarray) -> int | None:
+        if not self.n:
+            return None
+        if self.n <= SCAN:
             agree = (self.table[: self.n] == row).sum(axis=1)
+            best = at = int(agree.argmax())
+        else:
+            if self.index is None:
+                self.index = {}
+                for i in range(self.n):
+                    self.enter(i)
+            near = sorted({i for segment in self.segments(row) for i in self.index.get(segment, ())})
+            if not near:
+                return None
+            agree = (self.table[near] == row).sum(axis=1)
             best = int(agree.argmax())
-            if agree[best] >= self.similarity * len(row):
-                self.table[best][self.table[best] != row] = -1
-                self.members[best].append((key, idents))
-                return
+            at = near[best]
+        return at if agree[best] >= self.similarity * len(row) else None
+
+    def add(self, tokens: list[str], key: bytes, idents: list[int], min_docs: int) -> None:
+        row = np.array([self.words.setdefault(t, len(self.words)) for t in tokens], dtype=np.int32)
+        at = self.nearest(row)
+        if at is not None:
+            differs = self.table[at] != row
+            if differs.any():
+                old = self.segments(self.table[at]) if self.index is not None else None
+                self.table[at][differs] = -1
+                if old is not None:
+                    self.enter(at, old)
+            self.members[at].append(key)
+            self.idents[at] = set(sorted(self.idents[at].union(idents))[:min_docs])
+            return
         if self.n == len(self.table):
-            grown = np.zeros((max(8, 2 * self.n), len(row)), dtype=np.int64)
+            grown = np.zeros((max(8, 2 * self.n), len(row)), dtype=np.int32)
             if self.n:
                 grown[: self.n] = self.table
             self.table = grown
         self.table[self.n] = row
         self.n += 1
-        self.members.append([(key, idents)])
-
-    def templates(self):
-        names = {i: w for w, i in self.words.items()}
-        for row, members in zip(self.table, self.members, strict=False):
-            yield " ".join(names[int(i)] for i in row), members
+        self.members.append([key])
+        self.idents.append(set(idents))
+        if self.index is not None:
+            self.enter(self.n - 1)
+
+    def recurring(self, min_docs: int):
+        """(key, least id) of the lines whose template stands in ``min_docs`` documents; equal templates are one."""
+        same: dict[bytes, list[int]] = {}
+        for i in range(self.n):
+            same.setdefault(self.table[i].tobytes(), []).append(i)
+        for group in same.values():
+            idents = set().union(*(self.idents[i] for i in group))
+            if len(idents) >= min_docs:
+                yield from ((key, min(idents)) for i in group for key in self.members[i])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth: int = 3, similarity: float = 0.7) -> DataFrame:
@@ -74,8 +126,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth:
     alone (too short to tell). Returns ``doc_id, n_lines, n_dropped, text`` (what is kept).
 
     Each task first merges its equal masked lines (with the ``min_docs`` least ids of their documents), so a line in a
-    third of all documents is a row per task. A leaf of many lines is clustered in blocks, by a hash of the line;
-    the blocks' templates meet again by name, with their ids. Ids are counted exactly up to ``min_docs``.
+    third of all documents is a row per task. A leaf's distinct lines are clustered together by one task, in their order, however
+    many they are; memory there is bound by the largest leaf. Ids are counted exactly up to ``min_docs``.
 
     Edge cases: null text stays null with 0 lines; an empty text is one empty line and is kept. Equal rows get equal
     results; rows with one id count as one document, rows with a null id as one for each text. An empty
@@ -84,11 +136,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     ident = F.coalesce("doc_id", "th").alias("ident")
     lines = materialise(_distinct_lines(docs.select(ident, "text"), min_docs, min_tokens, depth), "lines")
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("rows"), F.sum(F.size("idents")).alias("seen")).where(F.col("seen") >= min_docs)
-    dealt = lines.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / F.lit(BLOCK))))
-    found = materialise(_cluster(dealt, similarity, min_docs), "templates")
-    support = found.where("key is null").select("leaf", "template", F.explode("idents").alias("ident")).groupBy("leaf", "template").agg(F.countDistinct("ident").alias("n"), F.min("ident").alias("owner")).where(F.col("n") >= min_docs)
-    recurring = materialise(found.where("key is not null").select("leaf", "template", "key").join(support, ["leaf", "template"]).select("key", "owner"), "recurring")
+    seen = lines.groupBy("leaf").agg(F.sum(F.size("idents")).alias("seen")).where(F.col("seen") >= min_docs)
+    recurring = materialise(_cluster(lines.join(seen, "leaf"), similarity, min_docs, depth), "recurring")
     keys = _document_lines(docs, min_tokens)
     marked = keys.join(recurring, "key").where(F.coalesce("doc_id", "th") != F.col("owner")).select("doc_id", "th", "key").distinct()
     marked = materialise(marked.groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys")), "marked")
@@ -131,32 +180,28 @@ def _distinct_lines(docs: DataFrame, min_docs: int, min_tokens: int, depth: int)
     return map_rows(docs, make, "leaf long, key binary, line string, idents array<long>", flush=1000)
 
 
-def _cluster(lines: DataFrame, similarity: float, min_docs: int) -> DataFrame:
-    """Rows (leaf, template, key, null) for members and (leaf, template, null, ids) for a block's templates."""
+def _cluster(lines: DataFrame, similarity: float, min_docs: int, depth: int) -> DataFrame:
+    """Rows (key, owner) of the lines whose template recurs."""
 
     def make():
         state: dict = {"at": None, "leaf": None, "line": None}
 
         def put():
             if state["line"] is not None:
-                state["leaf"].add(state["line"].split(" "), state["key"], sorted(state["idents"])[:min_docs])
+                state["leaf"].add(state["line"].split(" "), state["key"], sorted(state["idents"])[:min_docs], min_docs)
                 state["line"] = None
 
         def flush():
             put()
             if state["leaf"] is not None:
-                for template, members in state["leaf"].templates():
-                    ids = sorted({i for _, idents in members for i in idents})[:min_docs]
-                    yield state["at"][0], template, None, ids
-                    for key, _ in members:
-                        yield state["at"][0], template, key, None
+                yield from state["leaf"].recurring(min_docs)
             state["leaf"] = None
 
         def each(c):
-            for leaf, block, line, key, idents in zip(c["leaf"], c["block"], c["line"], c["key"], c["idents"], strict=True):
-                if (leaf, block) != state["at"]:
+            for leaf, line, key, idents in zip(c["leaf"], c["line"], c["key"], c["idents"], strict=True):
+                if leaf != state["at"]:
                     yield from flush()
-                    state.update(at=(leaf, block), leaf=Leaf(similarity))
+                    state.update(at=leaf, leaf=Leaf(similarity, depth))
                 if line != state["line"]:
                     put()
                     state.update(line=line, key=key, idents=set())
@@ -165,8 +210,8 @@ def _cluster(lines: DataFrame, similarity: float, min_docs: int) -> DataFrame:
         each.close = flush
         return each
 
-    rows = lines.select("leaf", "block", "line", "key", "idents").repartition("leaf", "block").sortWithinPartitions("leaf", "block", "line")
-    return map_rows(rows, make, "leaf long, template string, key binary, idents array<long>")
+    rows = lines.select("leaf", "line", "key", "idents").repartition("leaf").sortWithinPartitions("leaf", "line")
+    return map_rows(rows, make, "key binary, owner long")
 
 
 def _document_lines(docs: DataFrame, min_tokens: int) -> DataFrame:

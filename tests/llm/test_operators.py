@@ -148,6 +148,30 @@ def test_template_generalises(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def test_template_in_large_leaf(spark):
+    letters = "abcdefghij"
+    word = lambda i, j: "".join(letters[int(d)] for d in f"{i:05d}") + letters[j]
+    many = [(100 + i, "Welcome to our " + " ".join(word(i, j) for j in range(8))) for i in range(2000)]
+    data = [(i, f"Welcome to our page dear {n} and enjoy the many articles") for i, n in enumerate(["alice", "bert", "cora", "dora"])]
+    got = {r.doc_id: r.n_dropped for r in N.dedup_lines(spark.createDataFrame(data + many, "doc_id long, text string").repartition(7)).collect()}
+    assert {i: n for i, n in got.items() if n or i < 4} == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9, 1.0])
+def test_leaf_index_is_the_scan(monkeypatch, similarity):
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 4, 5, 9, 14):
+        lines = [["x"] * min(n, 3) + [N.WILD if w == 0 else str(w) for w in rng.integers(0, 4, max(0, n - 3))] for _ in range(300)]
+        found = []
+        for scan in (0, 10**9):
+            monkeypatch.setattr(N, "SCAN", scan)
+            leaf = N.Leaf(similarity, 3)
+            for i, tokens in enumerate(lines):
+                leaf.add(tokens, bytes([i % 256, i // 256]), [i], 3)
+            found.append((leaf.members, leaf.table[: leaf.n].tolist(), sorted(leaf.recurring(3))))
+        assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("n,symbols", [(0, 3), (1, 3), (7, 1), (1000, 5), (3000, 700)])
 def test_huffman_round_trip(n, symbols):
     rng = np.random.default_rng(n)
