@@ -26,6 +26,11 @@ BROADCAST_ROWS = 400_000
 MOST_COVERED = 0.5
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row_id``, written, so that every later scan sees the same ids."""
+    return materialise(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go (no letter, or a probability under LEAST_SCORE).
 
@@ -63,13 +68,12 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, as so many rows."""
-    docs = docs.select(*COLUMNS)
-    mixed = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    named = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    if named.count() <= BROADCAST_ROWS:  # else both sides are shuffled, texts included
-        named = F.broadcast(named)
-    taken = docs.join(named, "doc_id")
+    """Each document as often as the mix takes it, as so many rows; rows without an id or with a repeated one get their own copies."""
+    docs = _numbered(docs)
+    mixed = mix_sources(docs, row_col="row_id").where("copies > 0").select("row_id", "copies")
+    if mixed.count() <= BROADCAST_ROWS:  # else both sides are shuffled, texts included
+        mixed = F.broadcast(mixed)
+    taken = docs.join(mixed, "row_id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

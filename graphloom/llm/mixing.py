@@ -109,7 +109,7 @@ def land(before: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 11, row_col: str | None = None) -> DataFrame:
     """Copies of each document in a mix of ``docs(doc_id, text, source)`` with target words for each source.
 
     Sizes are words between ASCII white space. A source with target ``t`` of ``s`` words takes each document
@@ -117,7 +117,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     source. Flights run in blocks of about BLOCK documents of one source (by a hash of the id); what each
     leaves open, two documents at most, meets in the next level's blocks until one is left, where a small landing problem
     is solved. So a source with a third of all rows is many blocks. Returns ``doc_id, size, source,
-    source_size, target, copies, taken``.
+    source_size, target, copies, taken``, and ``row_id`` where ``row_col`` names a column of row ids (long, once each), by which
+    rows that have no id or share one can be told apart.
 
     Draws depend on ids, sizes and the seed only: reruns agree, whatever the partitions. Edge cases: null text has size 0;
     null source is a source of its own, last; a source without words has target 0 and takes nothing; rows that
@@ -125,7 +126,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(SIZE)), F.lit(0)).cast("long")
-    units = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col)
+    units = materialise(docs.select(row.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     stats = {r.source: (r.s, r.n) for r in units.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     goal = targets({s: x for s, (x, _) in stats.items()}, weights, share, most)
     plan = [(s, x, float(goal[s]), goal[s] / x if x else 0.0, n) for s, (x, n) in stats.items()]
@@ -133,11 +135,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     known = units.join(table, units.source.eqNullSafe(table.src)).drop("src")
     known = known.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
     top = max((n for _, n in stats.values()), default=0)
-    schema = "source string, doc_id long, size long, p double, source_size long, target double, whole long, n long"
+    schema = "row_id long, source string, doc_id long, size long, p double, source_size long, target double, whole long, n long"
 
     def fly(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")  # so that small ones are left.reset_index(drop=True)
+            pdf = pdf.sort_values(["size", "draw", "doc_id", "row_id"], ascending=[False, True, True, True], kind="stable")  # so that small ones are left.reset_index(drop=True)
             p = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), pdf["draw"].to_numpy())
             pdf["p"] = land(pdf["p"].to_numpy(), p, pdf["size"].to_numpy().astype(float)) if last else p
             return pdf.drop(columns=["draw", "block"])
@@ -159,4 +161,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
         top = math.ceil(top / BLOCK) * 2
         level += 1
     copies = (F.col("whole") + F.round("p")).cast("long")
-    return done.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return done.select(*([] if row_col is None else ["row_id"]), "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

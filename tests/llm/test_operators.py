@@ -382,3 +382,15 @@ def test_pipeline(spark, docs, none):
     kept = P.dedup_stage(spark, docs, "").collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(2) == 0 and ids.count(1) == 1 and {5, 6, 7, 4, 10} <= set(ids) and 11 not in ids
+
+
+def test_pipeline_mixes_every_row(spark):
+    import corpus_pipeline as P
+
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " + "word " * i, "en", "a", i) for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.mixing_stage(spark, docs, "").collect()
+    copies = [sum(r.text == t for r in got) for _, t, _, _, _ in data]
+    assert set(copies) <= {1, 2} and {(r.doc_id, r.text) for r in got} == {x[:2] for x in data}
+    words = sum(len(r.text.split()) for r in got)
+    assert abs(words - 1.5 * sum(len(x[1].split()) for x in data)) <= 2 and words == sum(r.taken for r in X.mix_sources(docs).collect())
