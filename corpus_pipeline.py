@@ -46,17 +46,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of least id.
+    """One row of each near-duplicate group stays: that of least id, null last.
 
-    Word shingles of five words, similarity 0.8. Of rows that repeat the least id (or have none) one stays.
+    Word shingles of five words, similarity 0.8. Of rows that repeat the least id (or all have none) one stays. Texts without
+    a word are linked with nothing, so that each of their rows stays.
     """
-    docs = docs.select(*COLUMNS)
-    groups = near_duplicates(docs, k=5, percent=80)
-    # ids that stay, once each; rows with a null id are a class of their own only if no row of their class has an id
-    stay = groups.where("kept").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.unionByName(nameless).select(*COLUMNS)
+    docs = _numbered(docs)
+    groups = near_duplicates(docs, k=5, percent=80, row_col="row_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
+    stay = groups.groupBy("component_row").agg(least.alias("least")).select(F.col("least.row_id").alias("row_id"))
+    return docs.join(stay, "row_id", "left_semi").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,13 +20,15 @@ BROADCAST_ROWS = 400_000
 BLOCK = 256
 
 
-def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Near-duplicate classes of ``docs`` by Jaccard similarity of word shingles.
 
     Words lie between ASCII white space, A-Z in lower case; a text's set holds its distinct ``k``-word
     shingles (the whole sequence if it is shorter). Two texts are linked if ``100 * |a & b| >= percent
     * |a | b|``, confirmed on the full sets. Returns one row per input row:
-    ``doc_id, n_shingles, component_id`` (smallest id reachable over links), ``kept`` (id = component).
+    ``doc_id, n_shingles, component_id`` (smallest id reachable over links), ``kept`` (id = component). Where ``row_col``
+    names a column of row ids (long, once each), also ``row_id`` and ``component_row``, a row id that the rows of a
+    component have in common, whatever their ids.
 
     1. Texts with one set become one class (grouped by a 128-bit digest), so copies cost one row each.
     2. ``bands * rows`` universal hash minima of each class make ``bands`` keys. In every bucket of a key the
@@ -41,7 +43,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     don't arise: all choices are by id. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if row_col is None else [F.col(row_col).alias("row_id")]))
     sketch = materialise(_sketch(docs, k, bands, rows), "sketch")
     classes = materialise(
         sketch.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.min(F.struct("uid", "doc_id", "n", "bands")).alias("r")).select(F.col("r.uid").alias("node"), F.col("r.doc_id").alias("rep_doc"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"), "digest", "min_doc", "copies"),
@@ -58,10 +60,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     final = label.join(more.select(F.col("node").alias("label"), F.col("component").alias("l2")), "label", "left").select("node", F.coalesce("l2", "label").alias("component"))
     member = classes.select("node", "digest", "min_doc", "copies").join(final, "node", "left").where("component is not null or copies > 1").select("digest", "min_doc", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    known = member.join(least, "component").select("digest", "component_id")
-    found = sketch.select("doc_id", "n", "digest").join(known, "digest", "left")
+    known = member.join(least, "component").select("digest", "component_id", F.col("component").alias("component_row"))
+    found = sketch.select("uid", "doc_id", "n", "digest").join(known, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), *([] if row_col is None else [F.col("uid").alias("row_id"), F.coalesce("component_row", "uid").alias("component_row")]))
 
 
 def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -70,8 +72,8 @@ def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
         def each(c):
             nonlocal base
-            for doc, text in zip(c["doc_id"], c["text"], strict=True):
-                base += 1
+            for i, (doc, text) in enumerate(zip(c["doc_id"], c["text"], strict=True)):
+                base = c["row_id"][i] if "row_id" in c else base + 1
                 shingles = shingle_set((text or "").encode("utf-8", "surrogatepass").lower(), k)
                 if len(shingles):
                     yield base, doc, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), hasher.band_keys(hasher.minima(shingles)).tobytes()

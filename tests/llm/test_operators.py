@@ -394,3 +394,13 @@ def test_pipeline_mixes_every_row(spark):
     assert set(copies) <= {1, 2} and {(r.doc_id, r.text) for r in got} == {x[:2] for x in data}
     words = sum(len(r.text.split()) for r in got)
     assert abs(words - 1.5 * sum(len(x[1].split()) for x in data)) <= 2 and words == sum(r.taken for r in X.mix_sources(docs).collect())
+
+
+def test_pipeline_dedup_keeps_one_row_a_component(spark):
+    import corpus_pipeline as P
+
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in ("alpha", "beta", "gamma"))
+    data = [(1, a), (1, b), (2, a + "more"), (None, a), (None, a + "end"), (3, b), (None, c), (None, c), (None, c + "end"), (4, "lone one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text.split()[0]) for r in P.dedup_stage(spark, docs, "").collect()), key=str)
+    assert got == [(1, "alpha0"), (1, "beta0"), (4, "lone"), (None, "gamma0")]
