@@ -66,7 +66,7 @@ def fed_classes(methods: DataFrame) -> DataFrame:
 
 
 def inheritance_depth(bases: DataFrame, classes: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``bases(cls, base)`` to (cls, dit, external). A base that isn't a known class counts 1 and flags it; bases inside a ring don't count."""
+    """``bases(cls, base)`` to (cls, dit, external). A base that isn't a known class counts 1 and flags it; bases inside a ring don't count. Raises if ``max_rounds`` don't reach the depth."""
     ring = scc(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst")))
     ends = [ring.select(F.col("node").alias(c), F.col("component").alias(k)) for c, k in (("cls", "_a"), ("base", "_b"))]
     bases = bases.join(ends[0], "cls").join(ends[1], "base").where("_a <> _b").select("cls", "base")
@@ -81,6 +81,9 @@ def inheritance_depth(bases: DataFrame, classes: DataFrame, max_rounds: int = 10
         depth = new.drop("moved")
         if new.where("moved").limit(1).count() == 0:
             break
+    else:
+        if limit:
+            raise RuntimeError(f"depths still grow after {limit} rounds")
     return depth
 
 

@@ -171,6 +171,15 @@ def test_inheritance(spark):
     assert got == {"A": (0, False), "B": (1, False), "C": (2, False), "D": (3, False), "E": (1, True), "R": (0, False), "S": (0, False)}
 
 
+def test_inheritance_raises_when_rounds_end(spark):
+    bases = frame(spark, [(i, i - 1) for i in range(1, 7)], "cls int, base int")
+    known = frame(spark, [(i,) for i in range(7)], "cls int")
+    assert {r.cls: r.dit for r in C.inheritance_depth(bases, known).collect()} == {i: i for i in range(7)}
+    assert C.inheritance_depth(bases.limit(0), known.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        C.inheritance_depth(bases, known, max_rounds=3)
+
+
 def test_innermost(spark):
     spans = frame(spark, [("f", 0, 100, "outer"), ("f", 10, 20, "inner"), ("g", 0, 5, "g")], "path string, start int, end int, name string")
     points = frame(spark, [(1, "f", 15), (2, "f", 20), (3, "f", 100), (4, "g", 4)], "id int, path string, at int")
