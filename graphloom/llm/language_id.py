@@ -6,7 +6,7 @@ import math
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -120,11 +120,21 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def balanced(labelled: DataFrame, languages: int, sample_rows: int, seed: int) -> DataFrame:
+    """Distinct (lang, text, draw): of each language the ``sample_rows / languages`` texts of least draw, a hash of the text."""
+    each_rows = max(1, sample_rows // languages)
+    drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    last = drawn.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= each_rows).groupBy("lang").agg(F.max("draw").alias("last"))
+    least = drawn.join(F.broadcast(last), "lang").where("draw <= last").select("lang", "text", "draw")
+    return least.distinct().orderBy("draw", "text").limit(sample_rows)
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3, seed: int = 3) -> LanguageModel:
     """Fit on ``labelled(text, lang)``: document frequencies from all rows, weights from a bounded sample.
 
-    The sample takes at most ``sample_rows`` rows, as many of each language as it has up to an equal share, chosen by
-    a hash of the text. Every fifth sampled row is kept back to set the temperature.
+    The sample takes at most ``sample_rows`` distinct texts, as many of each language as it has up to an equal share,
+    chosen by a hash of the text. Every fifth sampled row is kept back to set the temperature.
     """
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
 
@@ -151,10 +161,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3, se
     idf = np.log((sum(sizes.values()) + 1) / (df + 1)) + 1
     if not languages:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0)), 1.0)
-    each_rows = max(1, sample_rows // len(languages))
-    odds = F.create_map(*[F.lit(x) for s in languages for x in (s, min(1.0, each_rows / sizes[s]))])
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
-    sample = labelled.withColumn("draw", draw).where(F.col("draw") < odds[F.col("lang")] * float(1 << 40)).orderBy("draw", "text").limit(sample_rows)
+    sample = balanced(labelled, len(languages), sample_rows, seed)
 
     def features():
         def each(c):

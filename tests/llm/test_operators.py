@@ -404,3 +404,11 @@ def test_pipeline_dedup_keeps_one_row_a_component(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted(((r.doc_id, r.text.split()[0]) for r in P.dedup_stage(spark, docs, "").collect()), key=str)
     assert got == [(1, "alpha0"), (1, "beta0"), (4, "lone"), (None, "gamma0")]
+
+
+def test_language_sample_is_balanced(spark):
+    data = [(f"{lang} own text {i}", lang) for lang, n in (("a", 300), ("b", 60), ("c", 5)) for i in range(n)]
+    data += [(f"a own text {i}", "a") for i in range(300) for _ in range(5)] + [("a copied text", "a")] * 2000
+    sample = L.balanced(spark.createDataFrame(data, "text string, lang string").repartition(3), 3, 60, 3).collect()
+    counts = {lang: sum(r.lang == lang for r in sample) for lang in "abc"}
+    assert counts == {"a": 20, "b": 20, "c": 5} and len({(r.lang, r.text) for r in sample}) == 45
