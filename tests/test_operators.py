@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import itertools
 import random
 
@@ -15,7 +16,8 @@ from graphloom.operators import history as H
 from graphloom.operators import resolve as R
 from graphloom.operators import text as X
 from graphloom.operators.context import bundle, declarations
-from graphloom.operators.small_graphs import minimum_cut, seam
+from graphloom.operators.seams import seam
+from graphloom.operators.small_graphs import minimum_cut
 from graphloom.parse import python_source as P
 from graphloom.plans import gate
 from graphloom.plans.rules import Atom, Compare, Rule, RuleError, V, evaluate
@@ -79,16 +81,82 @@ def test_minimum_cut_brute():
     assert minimum_cut(list(range(21)), {(i, (i + 1) % 21) for i in range(21)}) is None
 
 
+def chain(folder, n, *more):
+    files = [f"{folder}/{i}.py" for i in range(n)]
+    return list(zip(files, files[1:], strict=False)) + [(files[0], x) for x in more]
+
+
+def split(edges, **more):
+    return seam(edges, {x for e in edges for x in e}, **more)
+
+
 def test_seam():
-    two = [(f"a/{i}.py", f"a/{i + 1}.py") for i in range(4)] + [(f"b/{i}.py", f"b/{i + 1}.py") for i in range(4)]
-    scope = {x for e in two for x in e}
-    got = seam(two, scope)
+    two = chain("a", 5) + chain("b", 5)
+    got = split(two)
     assert got["verdict"] == "fan_out" and [x["globs"] for x in got["lanes"]] == [["a/**"], ["b/**"]] and got["cross_lane_edges"] == 0
-    hub = two + [("a/0.py", "core.py"), ("b/0.py", "core.py")]
-    got = seam(hub, scope | {"core.py"})
+    got = split(chain("a", 5, "core.py") + chain("b", 5, "core.py"))
     assert got["hubs"] == [("core.py", 2)] and got["contracts"] == [("core.py", "hub")] and got["lanes"][0]["depends_on"] == ["contract"]
-    assert seam(two[:4], {x for e in two[:4] for x in e})["reasons"] == ["fewer than 2 lanes (1)"]
-    assert seam(two, scope, unresolved_share=0.06, unparsed=("go",))["verdict"] == "solo"
+    assert split(chain("a", 5))["reasons"] == ["lanes: 1, a split needs 2"] and seam([], [])["verdict"] == "solo"
+    assert len(split(two, unresolved_share=0.06, unparsed=("go",))["reasons"]) == 2
+    ring = split(chain("a", 3, "t1.py") + chain("b", 3, "t1.py") + [("t1.py", "t2.py"), ("t2.py", "t1.py")])
+    assert ring["reasons"] == ["a hub belongs to an import ring"] and ring["hubs"] == [("t1.py", 2), ("t2.py", 2)]
+    common = split(chain("a", 3, "shared/u.py") + chain("b", 3, "shared/u.py"), commons=("shared/*",))
+    assert common["contracts"] == [] and [x["name"] for x in common["lanes"]] == ["a", "b"]
+    assert split(chain("core", 20) + chain("tiny", 3))["reasons"] == ["one lane has 87% of the files, 80% at most"]
+
+
+def test_seam_folds_lanes():
+    lonely = {f"p{k}/sub/{i}.py" for k in range(5) for i in range(3)}
+    got = seam([], lonely, lanes_max=2)
+    assert len(got["lanes"]) == 2 and sum(len(x["files"]) for x in got["lanes"]) == 15
+    tied = seam(chain("a", 3, "b/0.py") + chain("b", 3) + chain("c", 3), {f"{k}/{i}.py" for k in "abc" for i in range(3)}, lanes_max=1, min_lane=1)
+    assert len(tied["lanes"]) == 1
+    go = [(f"{k}/{i}.go", f"event/{j}.go") for k in ("api", "web") for i in range(3) for j in range(3)]
+    got = split(go)
+    assert [x for x, _ in got["contracts"]] == [f"event/{j}.go" for j in range(3)] and [x["name"] for x in got["lanes"]] == ["api", "web"] and got["verdict"] == "fan_out"
+    nested = seam(chain("x/one", 3) + chain("x/two", 3) + chain("y/one", 3), {f"{k}/{i}.py" for k in ("x/one", "x/two", "y/one") for i in range(3)})
+    assert [(x["name"], x["globs"]) for x in nested["lanes"]] == [("one", ["x/one/**"]), ("two", ["x/two/**"]), ("one-2", ["y/**"])]
+
+
+def naive_hubs(edges, nodes, unit):
+    gone: set = set()
+    while True:
+        new = set()
+        for u in set(unit.values()) - gone:
+            rest = {x for x in nodes if unit[x] not in gone | {u}}
+            users = {a for a, b in edges if unit[b] == u and unit[a] != u and a in rest}
+            up = {x: x for x in rest}
+            for _ in rest:
+                for a, b in [*edges, *((x, y) for x in rest for y in rest if unit[x] == unit[y])]:
+                    if a in up and b in up:
+                        up[a] = up[b] = min(up[a], up[b])
+            if len({up[x] for x in users}) > 1:
+                new.add(u)
+        if not new:
+            return {x for x in nodes if unit[x] in gone}
+        gone |= new
+
+
+def test_seam_on_random_graphs():
+    r = random.Random(5)
+    for _ in range(60):
+        files = [f"p{r.randrange(4)}/f{i}.py" for i in range(r.randrange(4, 14))]
+        edges = {(a, b) for a in files for b in r.choices(files, k=r.randrange(3)) if a != b}
+        got = seam(edges, files)
+        assert got == seam(list(edges)[::-1], set(files))
+        reach = naive_reach(edges, files) if edges else set()
+        unit = {x: min([x, *(y for y in files if (x, y) in reach and (y, x) in reach)]) for x in files}
+        assert {x for x, _ in got["hubs"]} == naive_hubs(edges, files, unit)
+        contracts = {x for x, _ in got["contracts"]}
+        lane = {}
+        for k, x in enumerate(got["lanes"]):
+            for f in files:
+                if f not in contracts and any(f == g or g.endswith("/**") and f.startswith(g[:-2]) for g in x["globs"]):
+                    assert f not in lane
+                    lane[f] = k
+            assert {f for f in lane if lane[f] == k} == set(x["files"])
+        assert all(lane[a] == lane[b] for a, b in edges if a in lane and b in lane)
+        assert set(lane) | contracts == set(files)
 
 
 def test_rules(spark):
@@ -235,7 +303,7 @@ def test_python_source(spark):
     got = {r.metric_key: r for r in P.measure_files(frame(spark, [("p.py", src), ("bad.py", "def (")], "path string, text string")).collect() if r.entity != "p.py"}
     assert {k: got[k].value for k in ("cyclomatic", "cognitive", "params", "nesting", "exits")} == {"cyclomatic": 9.0, "cognitive": 13.0, "params": 2.0, "nesting": 3.0, "exits": 3.0}
     assert len(got["cognitive"].explanation) == 9 and got["parse_incomplete"].entity == "bad.py"
-    renamed = src.replace(" a", " q9").replace("(a", "(q9")
+    renamed = re.sub(r"\ba\b", "q9", src)
     assert P.cyclomatic(P.ast.parse(renamed).body[0]) == 9
 
 
