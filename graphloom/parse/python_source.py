@@ -53,7 +53,7 @@ class _Cognitive:
 
     def add(self, node: ast.AST, n: int, why: str) -> None:
         self.score += n
-        self.trail.append(f"+{n} at line {node.lineno}: {why}")
+        self.trail.append(f"{node.lineno}: {why} adds {n}")
 
     def many(self, nodes, depth: int) -> None:
         for x in nodes:

@@ -1,4 +1,8 @@
-"""Conjunctive rules with negation, compiled to joins."""
+"""Conjunctive rules with negation, compiled to joins.
+
+A rule reads given relations only: another rule's head isn't one, neither negated nor otherwise, and asking for it is an error.
+Facts are sets (repeated rows count once); a null never joins; empty relations are no error.
+"""
 
 from __future__ import annotations
 
@@ -97,7 +101,8 @@ def _relation(atom: Atom, fact: DataFrame) -> DataFrame:
                 names[term.name] = f"_{i}"
         elif term is not None:
             renamed = renamed.where(F.col(f"_{i}") == F.lit(term))
-    return renamed.select(*[F.col(c).alias(v) for v, c in names.items()]).distinct()
+    out = renamed.select(*[F.col(c).alias(v) for v, c in names.items()])
+    return out.distinct() if None in atom.terms else out  # else the body's distinct is enough
 
 
 def solve(rule: Rule, facts: Mapping[str, DataFrame]) -> DataFrame:
@@ -120,7 +125,8 @@ def solve(rule: Rule, facts: Mapping[str, DataFrame]) -> DataFrame:
             hit = relation.select(F.lit(1).alias("_hit")).limit(1) if part.negated or not relation.columns else relation
             bound = bound.join(hit, F.lit(True), "left_anti" if part.negated else "left_semi") if part.negated or not relation.columns else bound.crossJoin(hit)  # J5
         else:
-            bound = bound.join(relation, shared, "left_anti" if part.negated else "inner")
+            known = len(shared) == len(relation.columns)  # binds nothing new
+            bound = bound.join(relation, shared, "left_anti" if part.negated else "left_semi" if known else "inner")
     if bound is None:
         raise RuleError(f"{rule.name}: empty body")
     return bound.distinct()
@@ -147,52 +153,60 @@ V = Var
 
 
 def ceiling_rule(name: str, kind_relation: str, metric: str) -> Rule:
-    """Entities of guarded kinds whose metric is above its ceiling, strictly; blocking is a column."""
-    return Rule(
-        name,
-        {"path": V("Path"), "entity": V("Name"), "line": V("Line"), "value": V("Value"), "ceiling": V("Limit"), "blocking": V("May")},
-        (
-            Atom("entity", (V("Id"), V("Path"), V("Kind"), V("Name"), V("Line"))),
-            Atom(kind_relation, (V("Kind"),)),
-            Atom("metric", (V("Id"), metric, V("Value"), V("Exactness"), V("Bound"))),
-            Atom("blocking", (V("Exactness"), V("Bound"), V("May"))),
-            Atom("ceiling", (name, V("Path"), V("Limit"))),
-            Compare(V("Value"), ">", V("Limit")),
-        ),
-    )
-
-
-def _edge(contract: str) -> tuple[Atom, ...]:
-    return (
-        Atom("imports", (V("Src"), V("Dst"))),
-        Atom("layer", (V("Src"), V("L1"))),
-        Atom("layer", (V("Dst"), V("L2"))),
-    )
-
-
-_EDGE_HEAD = {"path": V("Src"), "entity": V("Dst")}
-
-
-def layered_rule(contract: str) -> Rule:
-    """An edge between two layers of the contract that isn't allowed."""
-    return Rule(f"layered:{contract}", _EDGE_HEAD, (*_edge(contract), Atom("in_contract", (contract, V("L1"))), Atom("in_contract", (contract, V("L2"))), Compare(V("L1"), "!=", V("L2")), Atom("allowed_edge", (contract, V("L1"), V("L2")), negated=True)))
+    """Entities of guarded kinds whose metric is above its ceiling, strictly; blocking is a column.
 
+    The metric comes first, as its key leaves the fewest rows; then what the head tells of the entity.
+    """
+    measured = Atom("metric", (V("what"), metric, V("value"), V("how"), V("side")))
+    told = {"path": V("file"), "entity": V("label"), "line": V("at"), "value": V("value"), "ceiling": V("most"), "blocking": V("stops")}
+    limits = (Atom("ceiling", (name, V("file"), V("most"))), Compare(V("most"), "<", V("value")))
+    return Rule(name, told, (measured, Atom("entity", (V("what"), V("file"), V("sort"), V("label"), V("at"))), *limits, Atom(kind_relation, (V("sort"),)), Atom("blocking", (V("how"), V("side"), V("stops")))))
 
-def forbidden_rule(contract: str) -> Rule:
-    """An edge that the contract forbids."""
-    return Rule(f"forbidden:{contract}", _EDGE_HEAD, (*_edge(contract), Atom("forbidden_edge", (contract, V("L1"), V("L2")))))
 
-
-def independence_rule(contract: str) -> Rule:
-    """An edge between two layers that the contract keeps apart."""
-    return Rule(f"independence:{contract}", _EDGE_HEAD, (*_edge(contract), Atom("independent", (contract, V("L1"))), Atom("independent", (contract, V("L2"))), Compare(V("L1"), "!=", V("L2"))))
-
-
-def deep_import_rule(contract: str) -> Rule:
-    """An edge into a package from outside, past its entry points."""
-    return Rule(f"deep:{contract}", _EDGE_HEAD, (*_edge(contract), Atom("package", (contract, V("L2"))), Compare(V("L1"), "!=", V("L2")), Atom("entrypoint_match", (contract, V("Dst")), negated=True)))
+@dataclass(frozen=True)
+class Contract:
+    """What a kind of contract says of an import from layer ``here`` to another layer ``there``.
+
+    ``members``: a relation that must name both layers; ``pair``: one that must hold the pair; ``entered``: one that must name the
+    second; ``allowed``: one whose match excuses the import, with what it is asked for; ``ring``: one of file pairs.
+    """
+
+    members: str | None = None
+    pair: str | None = None
+    entered: str | None = None
+    allowed: tuple[str, tuple[Var, ...]] | None = None
+    ring: str | None = None
+
+    def rule(self, name: str, contract: str) -> Rule:
+        body: list[Atom | Compare] = [Atom("imports", (V("importer"), V("imported")))]
+        if self.ring:
+            body.append(Atom(self.ring, (contract, V("importer"), V("imported"))))
+        else:
+            body += [Atom("layer", (V(end), V(layer))) for end, layer in (("importer", "here"), ("imported", "there"))]
+            if self.pair:
+                body.append(Atom(self.pair, (contract, V("here"), V("there"))))
+            else:
+                body.append(Compare(V("here"), "!=", V("there")))
+            named = [(self.members, "here"), (self.members, "there"), (self.entered, "there")]
+            body += [Atom(relation, (contract, V(layer))) for relation, layer in named if relation]
+            if self.allowed:
+                body.append(Atom(self.allowed[0], (contract, *self.allowed[1]), negated=True))
+        return Rule(f"{name}:{contract}", {"path": V("importer"), "entity": V("imported")}, tuple(body))
+
+
+#: Layers of the contract in no allowed direction; a pair it forbids; layers it keeps apart; a package entered past
+#: its entry points; an import inside a ring.
+CONTRACTS = {
+    "layered": Contract(members="in_contract", allowed=("allowed_edge", (V("here"), V("there")))),
+    "forbidden": Contract(pair="forbidden_edge"),
+    "independence": Contract(members="independent"),
+    "deep": Contract(entered="package", allowed=("entrypoint_match", (V("imported"),))),
+    "acyclic": Contract(ring="cycle"),
+}
 
 
-def acyclic_rule(contract: str) -> Rule:
-    """An import edge inside a ring."""
-    return Rule(f"acyclic:{contract}", _EDGE_HEAD, (Atom("imports", (V("Src"), V("Dst"))), Atom("cycle", (contract, V("Src"), V("Dst")))))
+def contract_rule(kind: str, contract: str) -> Rule:
+    """The rule of one contract; unknown kinds raise."""
+    if kind not in CONTRACTS:
+        raise RuleError(f"no contract kind {kind}")
+    return CONTRACTS[kind].rule(kind, contract)

@@ -100,10 +100,10 @@ def tightened_ceilings(spark, sf_dir):
 
 
 QUERIES = {
-    "contract_layered": _contract(R.layered_rule("c")),
-    "contract_forbidden": _contract(R.forbidden_rule("c")),
-    "contract_independence": _contract(R.independence_rule("c")),
-    "contract_deep_import": _contract(R.deep_import_rule("c")),
+    "contract_layered": _contract(R.contract_rule("layered", "c")),
+    "contract_forbidden": _contract(R.contract_rule("forbidden", "c")),
+    "contract_independence": _contract(R.contract_rule("independence", "c")),
+    "contract_deep_import": _contract(R.contract_rule("deep", "c")),
 } | {f.__name__: f for f in (ceiling_rule, gated_ceilings, reflexion_absent, ungoverned, ratchet, review_counts, layer_assignment, tightened_ceilings)}
 _LAYERS = f"""{TRADE}, l AS (SELECT n_nationkey AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey),
 x AS (SELECT src, dst, a.r AS l1, b.r AS l2 FROM e JOIN l a ON a.n = src JOIN l b ON b.n = dst)"""
