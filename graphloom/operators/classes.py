@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,35 +12,71 @@ from ..runtime import checkpointed
 from .graph import connected_components, scc
 
 
-def cohesion(members: DataFrame, methods: DataFrame | None = None) -> DataFrame:
-    """Cohesion of ``members(cls, method, field)``: one row per class.
+#: Methods that set a class up; a method of the class's own name is one too.
+CONSTRUCTORS = ("__init__", "__new__", "constructor")
+
+
+def cohesion(members: DataFrame, methods: DataFrame | None = None, calls: DataFrame | None = None, fields: DataFrame | None = None, constructors: Sequence[str] = CONSTRUCTORS) -> DataFrame:
+    """Cohesion of classes: one row for each class with a method.
+
+    ``members(cls, method, field)`` are the fields that methods touch (null: none), ``methods(cls, method)`` adds methods,
+    ``calls(cls, method, callee)`` calls between methods of a class, ``fields(cls, field)`` declared fields, touched or not.
+    ``lcom1`` pairs of methods without a shared field, ``lcom2`` those less the sharing pairs (not below 0); ``lcom3``
+    components of methods by shared fields, ``lcom4`` by calls too, both without constructors unless a class has no other
+    method; ``lcom_star`` (mean methods per field - m) / (1 - m), null if m <= 1 or there are no fields, above 1 with unused
+    ones; ``connectivity`` 2 * (E - (n - 1)) / ((n - 1) * (n - 2)) over pairs that share a field or call each other, null below
+    three methods.
 
-    ``lcom1`` pairs of methods without a shared field, ``lcom2`` those less the sharing pairs (not below 0), ``lcom4``
-    components of methods by shared fields, ``lcom_star`` (mean methods per field - m) / (1 - m), null if m <= 1 or there are no
-    fields; ``connectivity`` 2 * (E - (n - 1)) / ((n - 1) * (n - 2)), null below three methods.
-    ``methods(cls, method)`` adds methods that touch no field.
+    Pairs are counted between groups of methods that touch the same fields, and components are those of the graph of methods
+    and fields, so a field that all methods touch makes no pairs of them. Calls of oneself or of what isn't a method of the
+    class don't count; repeated rows count once; no rows give no rows.
     """
-    use = members.where("field is not null").select("cls", "method", "field").distinct()
-    every = members.select("cls", "method").distinct() if methods is None else members.select("cls", "method").union(methods.select("cls", "method")).distinct()
-    a = use.select("cls", "field", F.col("method").alias("m1"))
-    b = use.select("cls", "field", F.col("method").alias("m2"))
-    pairs = checkpointed(a.join(b, ["cls", "field"]).where("m1 < m2").select("cls", "m1", "m2").distinct())
-    m = every.groupBy("cls").agg(F.count("*").alias("methods"))
-    e = pairs.groupBy("cls").agg(F.count("*").alias("sharing"))
-    f = use.groupBy("cls").agg(F.countDistinct("field").alias("fields"), F.count("*").alias("touches"))
-    name = lambda c: F.concat_ws("\u0001", F.col("cls").cast("string"), F.col(c).cast("string"))
-    parts = connected_components(pairs.select(name("m1").alias("src"), name("m2").alias("dst")), every.select(name("method").alias("node")))
-    l4 = parts.groupBy(F.split("node", "\u0001")[0].alias("_c")).agg(F.countDistinct("component").alias("lcom4"))
-    j = m.join(e, "cls", "left").join(f, "cls", "left").join(l4, F.col("cls").cast("string") == F.col("_c"), "left")
-    n, share = F.col("methods"), F.coalesce("sharing", F.lit(0))
-    apart = n * (n - 1) / 2 - share
-    star = F.try_divide(F.col("touches") / F.col("fields") - n, 1 - n)
-    return j.select(
-        "cls", "methods", F.coalesce("fields", F.lit(0)).alias("fields"), apart.cast("long").alias("lcom1"), F.greatest(F.lit(0), apart - share).cast("long").alias("lcom2"), "lcom4",
-        F.when((n > 1) & (F.col("fields") > 0), star).alias("lcom_star"), F.when(n >= 3, 2 * (share - (n - 1)) / ((n - 1) * (n - 2))).alias("connectivity"),
+    touch = checkpointed(members.where("field is not null").select("cls", "method", "field").distinct())
+    every = members.select("cls", "method")
+    every = checkpointed((every if methods is None else every.union(methods.select("cls", "method"))).where("method is not null").distinct())
+    owned = touch.select("cls", "field") if fields is None else touch.select("cls", "field").union(fields.select("cls", "field")).distinct()
+    alike = touch.groupBy("cls", "method").agg(F.sort_array(F.collect_list("field")).alias("fs")).groupBy("cls", "fs").agg(F.min("method").alias("rep"), F.collect_list("method").alias("ms"))
+    alike = checkpointed(alike)
+    by_field = alike.select("cls", "rep", F.size("ms").cast("long").alias("n"), F.explode("fs").alias("field"))
+    meets = by_field.select("cls", "field", F.col("rep").alias("r1"), F.col("n").alias("n1")).join(by_field.select("cls", "field", F.col("rep").alias("r2"), F.col("n").alias("n2")), ["cls", "field"]).where("r1 < r2")
+    meets = checkpointed(meets.select("cls", "r1", "r2", (F.col("n1") * F.col("n2")).alias("pairs")).distinct())
+    within = alike.select("cls", (F.size("ms").cast("long") * (F.size("ms") - 1) / 2).cast("long").alias("pairs"))
+    sharing = within.union(meets.select("cls", "pairs")).groupBy("cls").agg(F.sum("pairs").alias("sharing"))
+    counts = every.groupBy("cls").agg(F.count("*").alias("methods")).join(sharing, "cls", "left")
+    counts = counts.join(owned.where("field is not null").groupBy("cls").agg(F.countDistinct("field").alias("fields")), "cls", "left").join(touch.groupBy("cls").agg(F.count("*").alias("touches")), "cls", "left")
+    if calls is None:
+        linked = every.select("cls", F.col("method").alias("m1"), F.col("method").alias("m2")).limit(0)
+    else:
+        known = calls.where("method <> callee").select("cls", "method", "callee").join(every, ["cls", "method"], "left_semi").join(every.select("cls", F.col("method").alias("callee")), ["cls", "callee"], "left_semi")
+        linked = known.select("cls", F.least("method", "callee").alias("m1"), F.greatest("method", "callee").alias("m2")).distinct()
+    linked = checkpointed(linked)
+    group = alike.select("cls", "rep", F.explode("ms").alias("m"))
+    placed = linked.join(group.select("cls", F.col("m").alias("m1"), F.col("rep").alias("g1")), ["cls", "m1"], "left").join(group.select("cls", F.col("m").alias("m2"), F.col("rep").alias("g2")), ["cls", "m2"], "left")
+    apart = placed.where(~F.coalesce(F.col("g1") == F.col("g2"), F.lit(False))).join(meets.select("cls", "r1", "r2"), (placed.cls == meets.cls) & (F.least("g1", "g2") == F.col("r1")) & (F.greatest("g1", "g2") == F.col("r2")) & F.col("g1").isNotNull() & F.col("g2").isNotNull(), "left_anti")
+    counts = counts.join(apart.groupBy("cls").agg(F.count("*").alias("called")), "cls", "left").join(_components(every, touch, linked, constructors), "cls")
+    n, share, c = F.col("methods"), F.coalesce("sharing", F.lit(0)), F.coalesce("called", F.lit(0))
+    lacking = n * (n - 1) / 2 - share
+    star = F.try_divide(F.try_divide(F.coalesce("touches", F.lit(0)), F.col("fields")) - n, 1 - n)
+    return counts.select(
+        "cls", "methods", F.coalesce("fields", F.lit(0)).alias("fields"), lacking.cast("long").alias("lcom1"), F.greatest(F.lit(0), lacking - share).cast("long").alias("lcom2"), "lcom3", "lcom4",
+        F.when((n > 1) & (F.col("fields") > 0), star).alias("lcom_star"), F.when(n >= 3, 2 * (share + c - (n - 1)) / ((n - 1) * (n - 2))).alias("connectivity"),
     )
 
 
+def _components(every: DataFrame, touch: DataFrame, linked: DataFrame, constructors: Sequence[str]) -> DataFrame:
+    """(cls, lcom3, lcom4): parts of the graph of a class's methods and fields, for 4 with its calls, in one run over all classes."""
+    setup = F.col("method").cast("string").isin(*constructors) | (F.col("method").cast("string") == F.col("cls").cast("string"))
+    only = every.groupBy("cls").agg(F.bool_and(setup).alias("only"))
+    taking = checkpointed(every.join(only, "cls").where(~setup | F.col("only")).select("cls", "method"))
+    name = lambda kind, k, c: F.concat_ws("\u0001", F.lit(kind), F.lit(k), F.col("cls").cast("string"), F.col(c).cast("string"))
+    used = touch.join(taking, ["cls", "method"], "left_semi")
+    calls = linked.join(taking.withColumnRenamed("method", "m1"), ["cls", "m1"], "left_semi").join(taking.withColumnRenamed("method", "m2"), ["cls", "m2"], "left_semi")
+    edges = reduce(DataFrame.union, [used.select(name("m", k, "method").alias("src"), name("f", k, "field").alias("dst")) for k in "34"])
+    nodes = reduce(DataFrame.union, [taking.select("cls", F.lit(k).alias("k"), name("m", k, "method").alias("node")) for k in "34"])
+    found = connected_components(edges.union(calls.select(name("m", "4", "m1"), name("m", "4", "m2"))), nodes.select("node"))
+    return nodes.join(found, "node").groupBy("cls").agg(*[F.countDistinct(F.when(F.col("k") == k, F.col("component"))).alias(f"lcom{k}") for k in "34"])
+
+
 def settle_fields(declared: DataFrame, accesses: DataFrame) -> DataFrame:
     """``accesses(cls, method, member, access)``: fields are what is declared or written; a read of anything else is unresolved."""
     fields = declared.select("cls", F.col("field").alias("member")).union(accesses.where("access = 'write'").select("cls", "member")).distinct().withColumn("is_field", F.lit(True))

@@ -10,15 +10,18 @@ from .base import TRADE, nations, table, trade
 
 
 def lcom(spark, sf_dir):
-    """class = brand, method = type, field = size (of parts with a price in the upper part)."""
-    p = table(spark, sf_dir, "part").where("p_retailprice > 990").select(F.col("p_brand").alias("cls"), F.col("p_type").alias("method"), F.col("p_size").alias("field"))
-    out = C.cohesion(p)
-    return out.select("cls", "methods", "fields", "lcom1", "lcom2", "lcom4", F.round("lcom_star", 6).alias("lcom_star"), F.round("connectivity", 6).alias("connectivity"))
+    """class = customer, method = priority, field = month of an order; open orders call the first method, the last
+    constructs, and every class declares the first quarter."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cls"), F.col("o_orderpriority").alias("method"), F.month("o_orderdate").alias("field"), "o_orderstatus")
+    calls = o.where("o_orderstatus = 'P'").select("cls", "method", F.lit("1-URGENT").alias("callee"))
+    declared = o.select("cls", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("field")).distinct()
+    out = C.cohesion(o.select("cls", "method", "field"), calls=calls, fields=declared, constructors=("5-LOW",))
+    return out.select("cls", "methods", "fields", "lcom1", "lcom2", "lcom3", "lcom4", F.round("lcom_star", 6).alias("lcom_star"), F.round("connectivity", 6).alias("connectivity"))
 
 
 def inheritance(spark, sf_dir):
     """Part n extends part n div 2; part 1 extends an unknown one."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 60 and p_partkey > 0").select(F.col("p_partkey").alias("cls"))
+    p = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("cls"))
     return C.inheritance_depth(p.select("cls", F.when(F.col("cls") == 1, -1).otherwise(F.floor(F.col("cls") / 2)).alias("base")), p)
 
 
@@ -62,12 +65,24 @@ def attempt_ledger(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (lcom, inheritance, subclasses, call_fans, class_sizes, split_types, shredding, attempt_ledger)}
 ORACLES = {
-    "lcom": """WITH RECURSIVE u AS (SELECT DISTINCT p_brand AS c, p_type AS m, p_size AS f FROM part WHERE p_retailprice > 990), p AS (SELECT DISTINCT a.c, a.m AS m1, b.m AS m2 FROM u a JOIN u b ON a.c = b.c AND a.f = b.f AND a.m < b.m),
-        r AS (SELECT DISTINCT c, m AS a, m AS b FROM u UNION SELECT r.c, r.a, x.t FROM r JOIN (SELECT c, m1 AS s, m2 AS t FROM p UNION SELECT c, m2, m1 FROM p) x ON x.c = r.c AND x.s = r.b),
-        l4 AS (SELECT c, count(DISTINCT k) AS lcom4 FROM (SELECT c, a, min(b) AS k FROM r GROUP BY 1, 2) GROUP BY 1), g AS (SELECT c, count(DISTINCT m) AS n, count(DISTINCT f) AS fs, count(*) AS t FROM u GROUP BY 1), e AS (SELECT c, count(*) AS e FROM p GROUP BY 1)
-        SELECT g.c AS cls, n AS methods, fs AS fields, (n * (n - 1) // 2 - coalesce(e, 0))::BIGINT AS lcom1, greatest(0, n * (n - 1) // 2 - 2 * coalesce(e, 0))::BIGINT AS lcom2, lcom4, CASE WHEN n > 1 THEN round((t / fs - n) / (1 - n), 6) END AS lcom_star,
-        CASE WHEN n >= 3 THEN round(2 * (coalesce(e, 0) - (n - 1)) / ((n - 1) * (n - 2)), 6) END AS connectivity FROM g LEFT JOIN e ON e.c = g.c JOIN l4 ON l4.c = g.c""",
-    "inheritance": "WITH RECURSIVE d AS (SELECT 1::BIGINT AS cls, 1::BIGINT AS dit UNION ALL SELECT p_partkey, dit + 1 FROM d JOIN part ON p_partkey // 2 = cls AND p_partkey > 1 AND p_partkey <= 60) SELECT cls, dit, true AS external FROM d",
+    "lcom": """WITH RECURSIVE u AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS m, month(o_orderdate) AS f FROM orders),
+        m AS (SELECT DISTINCT c, m FROM u), own AS (SELECT c, f FROM u UNION SELECT c, q.f FROM (SELECT DISTINCT c FROM u) x, (VALUES (1), (2), (3)) q(f)),
+        pair AS (SELECT a.c, a.m AS x, b.m AS y FROM m a JOIN m b ON a.c = b.c AND a.m < b.m),
+        call AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS x, '1-URGENT' AS y FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'),
+        duo AS (SELECT c, x, y, EXISTS (SELECT 1 FROM u a JOIN u b ON a.f = b.f AND a.c = b.c WHERE a.c = p.c AND a.m = x AND b.m = y) AS shares,
+                 EXISTS (SELECT 1 FROM call k WHERE k.c = p.c AND (k.x = p.x AND k.y = p.y OR k.x = p.y AND k.y = p.x)) AS calls FROM pair p),
+        part AS (SELECT c, m FROM m WHERE m <> '5-LOW' OR c IN (SELECT c FROM m GROUP BY c HAVING count(*) FILTER (m <> '5-LOW') = 0)),
+        step AS (SELECT b.c, x, y, shares FROM duo b JOIN part p ON p.c = b.c AND p.m = x JOIN part q ON q.c = b.c AND q.m = y WHERE shares OR calls),
+        way AS (SELECT c, x, y, shares FROM step UNION ALL SELECT c, y, x, shares FROM step),
+        r3 AS (SELECT c, m, m AS t FROM part UNION SELECT r.c, r.m, w.y FROM r3 r JOIN way w ON w.c = r.c AND w.x = r.t AND w.shares),
+        r4 AS (SELECT c, m, m AS t FROM part UNION SELECT r.c, r.m, w.y FROM r4 r JOIN way w ON w.c = r.c AND w.x = r.t),
+        l3 AS (SELECT c, count(DISTINCT k) AS n FROM (SELECT c, m, min(t) AS k FROM r3 GROUP BY 1, 2) GROUP BY 1), l4 AS (SELECT c, count(DISTINCT k) AS n FROM (SELECT c, m, min(t) AS k FROM r4 GROUP BY 1, 2) GROUP BY 1),
+        g AS (SELECT c, count(*) AS n FROM m GROUP BY 1), fs AS (SELECT c, count(*) AS n FROM own GROUP BY 1), t AS (SELECT c, count(*) AS n FROM u GROUP BY 1),
+        e AS (SELECT c, count(*) FILTER (NOT shares) AS off, count(*) FILTER (shares) AS on_, count(*) FILTER (shares OR calls) AS e FROM duo GROUP BY 1)
+        SELECT g.c AS cls, g.n AS methods, fs.n AS fields, coalesce(off, 0) AS lcom1, greatest(0, coalesce(off - on_, 0)) AS lcom2, l3.n AS lcom3, l4.n AS lcom4,
+        CASE WHEN g.n > 1 THEN round((t.n / fs.n - g.n) / (1 - g.n), 6) END AS lcom_star, CASE WHEN g.n >= 3 THEN round(2 * (e - (g.n - 1)) / ((g.n - 1) * (g.n - 2)), 6) END AS connectivity
+        FROM g JOIN fs USING (c) JOIN t USING (c) JOIN l3 USING (c) JOIN l4 USING (c) LEFT JOIN e USING (c)""",
+    "inheritance": "WITH RECURSIVE d AS (SELECT 1::BIGINT AS cls, 1::BIGINT AS dit UNION ALL SELECT p_partkey, dit + 1 FROM d JOIN part ON p_partkey // 2 = cls AND p_partkey > 1) SELECT cls, dit, true AS external FROM d",
     "subclasses": "SELECT a.p_partkey AS cls, count(b.p_partkey) AS noc FROM part a LEFT JOIN part b ON b.p_partkey // 2 = a.p_partkey AND b.p_partkey > 1 GROUP BY 1",
     "call_fans": f"WITH {TRADE}, i AS (SELECT dst AS k, count(*) AS n FROM e GROUP BY 1), o AS (SELECT src AS k, count(*) AS n FROM e GROUP BY 1) SELECT coalesce(i.k, o.k) AS entity, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM i FULL JOIN o ON i.k = o.k",
     "class_sizes": "SELECT n_nationkey AS cls, count(s_suppkey) AS nom, coalesce(sum(CASE WHEN s_acctbal > 5000 THEN 2 WHEN s_suppkey IS NOT NULL THEN 1 END), 0)::BIGINT AS wmc FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",

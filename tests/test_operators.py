@@ -232,6 +232,47 @@ def test_cohesion(spark):
     assert got["C"].lcom_star is None and got["C"].connectivity is None and got["C"].fields == 0
 
 
+def naive_cohesion(name, touches, calls, fields, setup):
+    """One class, method by method."""
+    ms, own = sorted(touches), set(fields) | set().union(*touches.values())
+    share = {(a, b) for a, b in itertools.combinations(ms, 2) if touches[a] & touches[b]}
+    call = {tuple(sorted(c)) for c in calls if c[0] != c[1] and set(c) <= set(ms)}
+    some = [m for m in ms if m not in setup and m != name] or ms
+    parts = []
+    for edges in (share, share | call):
+        up = {m: m for m in some}
+        for _ in some:
+            for a, b in edges:
+                if a in up and b in up:
+                    up[a] = up[b] = min(up[a], up[b])
+        parts.append(len(set(up.values())))
+    n, pairs = len(ms), len(ms) * (len(ms) - 1) // 2
+    star = (sum(len([m for m in ms if f in touches[m]]) for f in own) / len(own) - n) / (1 - n) if n > 1 and own else None
+    links = 2 * (len(share | call) - (n - 1)) / ((n - 1) * (n - 2)) if n > 2 else None
+    return (n, len(own), pairs - len(share), max(0, pairs - 2 * len(share)), *parts, star, links)
+
+
+def test_cohesion_on_random_classes(spark):
+    r = random.Random(3)
+    classes, members, methods, calls, fields = {}, [], [], [], []
+    for k in range(30):
+        ms = r.sample(["__init__", f"K{k}", "a", "b", "c", "d", "e"], r.randrange(1, 7))
+        touches = {m: set(r.choices("uvwxyz", k=r.randrange(3))) for m in ms}
+        called = [(r.choice(ms), r.choice([*ms, "elsewhere"])) for _ in range(r.randrange(4))]
+        declared = r.sample("stuv", r.randrange(3))
+        classes[f"K{k}"] = naive_cohesion(f"K{k}", touches, called, declared, {"__init__"})
+        members += [(f"K{k}", m, f) for m in ms for f in touches[m]] * 2
+        methods += [(f"K{k}", m) for m in ms]
+        calls += [(f"K{k}", *c) for c in called]
+        fields += [(f"K{k}", f) for f in declared]
+    got = C.cohesion(frame(spark, members, "cls string, method string, field string"), frame(spark, methods, "cls string, method string"), frame(spark, calls, "cls string, method string, callee string"), frame(spark, fields, "cls string, field string"))
+    rows = {x[0]: tuple(x)[1:] for x in got.collect()}
+    assert rows.keys() == classes.keys()
+    for k, want in classes.items():
+        assert rows[k] == pytest.approx(want) if None not in want else [round(a, 9) if a is not None else a for a in rows[k]] == [round(a, 9) if a is not None else a for a in want], k
+        assert rows[k][5] <= rows[k][4]
+
+
 def test_inheritance(spark):
     bases = frame(spark, [("B", "A"), ("C", "B"), ("D", "B"), ("D", "C"), ("E", "Ext"), ("R", "S"), ("S", "R")], "cls string, base string")
     known = frame(spark, [(x,) for x in "ABCDERS"], "cls string")
