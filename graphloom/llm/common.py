@@ -7,18 +7,25 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 1000
+#: Bits of a broadcast bitmap (8 MB as rows).
+SLOTS = 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or what ``setCheckpointDir`` set.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where both are absent and all runs on one machine (tests) a temporary folder takes their place; on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not found and not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="graphloom-"))
 
 
@@ -38,15 +45,50 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bitmap(wanted: DataFrame, column: str) -> DataFrame:
+    """``(_word, _bits)``: a bitmap of SLOTS bits by hash of the keys, at most ``SLOTS / 64`` rows of 16 bytes however many they are."""
+    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS))
+    keys = wanted.where(F.col(column).isNotNull()).select(slot.alias("_slot"))
+    return keys.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(_bit()).alias("_bits"))
+
+
+def _bit() -> Column:
+    return F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+
+
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in the same column of ``wanted``: all that are, and a few more.
+
+    A bitmap of bounded size is broadcast. It spares a join that follows the rows that surely have no partner; the more keys,
+    the more others get through. Null keys go.
+    """
+    found = df.where(F.col(column).isNotNull()).withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(SLOTS)))
+    hit = (F.shiftright("_slot", 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(_bit()) != 0)
+    return found.join(F.broadcast(_bitmap(wanted, column)), hit, "left_semi").drop("_slot")
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` isn't in the same column of ``gone`` (null never is).
+
+    Only rows that a bitmap of bounded size marks are shuffled for the anti-join; the others pass as they are read. Both
+    are read more than once, so they should be tables.
+    """
+    columns = df.columns
+    marked = df.withColumn("_slot", F.coalesce(F.pmod(F.xxhash64(F.col(column)), F.lit(SLOTS)), F.lit(-1)))
+    marked = marked.join(F.broadcast(_bitmap(gone, column)), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    marked = marked.withColumn("_maybe", F.col(column).isNotNull() & (F.coalesce(F.col("_bits").bitwiseAND(_bit()), F.lit(0)) != 0))
+    return marked.where(~F.col("_maybe")).select(*columns).unionByName(marked.where("_maybe").select(*columns).join(gone.select(column).hint("merge"), column, "left_anti").select(*columns))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], Iterable[tuple]]],
     schema: str | T.StructType,
     flush: int = 2000,
 ) -> DataFrame:
-    """``mapInArrow`` for row-wise Python: ``make()`` runs once a task, what it returns on each batch.
+    """``mapInArrow`` for row-wise Python: ``make()`` runs once a task, what it returns on each SLICE rows of a batch.
 
-    The inner function gets the batch's columns as lists and yields output tuples; they leave in
+    The inner function gets their columns as lists and yields output tuples; they leave in
     batches of ``flush`` rows, so that memory is bound by a batch and not by a partition.
     """
     out_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -58,12 +100,13 @@ def map_rows(
         each = make()
         rows: list[tuple] = []
         for batch in batches:
-            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for row in each(columns):
-                rows.append(row)
-                if len(rows) >= flush:
-                    yield to_batch(rows, arrow)
-                    rows = []
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                for row in each({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}):
+                    rows.append(row)
+                    if len(rows) >= flush:
+                        yield to_batch(rows, arrow)
+                        rows = []
         last = getattr(each, "close", None)
         if last is not None:
             for row in last():

@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
-from itertools import chain
+from itertools import repeat
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, row_base
-from .token_output import BYTE_ALPHABET, Known
+from .common import map_rows, materialise, row_base
+from .token_output import BYTE_ALPHABET
 
 #: Most frequent pre-tokens whose counts go to every worker (about 100 bytes each there); all others are shuffled.
 HEAD = 150_000
-#: Distinct pieces of text that a worker remembers, and pre-tokens a task offers for the head.
-CACHE, OFFER = 400_000, 60_000
-_PIECE = re.compile(r"\s*\S+|\s+")
-#: A space or newline, Latin letters, ASCII marks but the apostrophe: these pre-tokens are plain to see.
-_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Pre-tokens that a task offers for the head, and distinct ones that it holds at a time (about 120 bytes each, 25 MB).
+OFFER, HOLD = 60_000, 200_000
+#: The byte-level pattern, where letters are Latin ones and all else is ASCII; and what makes a text another one.
+_PATTERN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
+_OTHER = re.compile(r"[^ \n\t\r!-~À-ÖØ-öø-ÿ]")
 
 
 class PreTokens:
-    """Pre-tokens of a text as the library gives them, by way of pieces it has seen before.
+    """Pre-tokens of a text as the library gives them, as they stand in the text.
 
-    The library's pre-tokens never run from a non-space into a space, so a text whose only white space is
-    space and newline can be cut in front of each run of it; a piece's pre-tokens are then those it has
-    in the text. A text with other white space goes to the library whole. Added tokens are cut out first, as
-    the library does.
+    A byte-level tokenizer's pattern over Latin letters and ASCII is matched here; any other text, or tokenizer, goes to the
+    library. Added tokens are cut out first, as the library does.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(tokenizer_path, encoding="utf-8") as f:
+            said = json.load(f)
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         if self.tokenizer.normalizer is not None:
             raise ValueError("tokenizers with a normalizer are not supported")
@@ -49,53 +50,32 @@ class PreTokens:
         names = sorted((a.content for a in added), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        # the fast path knows one kind of pre-tokenizer, told by its answers
-        self.byte_level = [x for x, _ in self.split("aé bc,.\nD")] == ["aÃ©", "\u0120bc", ",.", "\u010a", "D"]
-        self.known = Known(lambda p: self._plain(p) or tuple(x for x, _ in self.split(p)))
+        cut = said["pre_tokenizer"]
+        if cut["type"] != "ByteLevel" or cut.get("add_prefix_space"):
+            raise ValueError("only byte-level tokenizers without a prefix space are supported")
+        self.own = cut.get("use_regex", True)
 
-    def simple(self, text: str) -> bool:
-        """No added token, and no white space but spaces and newlines."""
-        return not _ODD_SPACE.search(text) and (self.added is None or not self.added.search(text))
+    def _part(self, text: str) -> list[str]:
+        if self.own and not _OTHER.search(text):
+            return _PATTERN.findall(text)
+        return [text[a:b] for _, (a, b) in self.split(text)]
 
     def of(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens in the library's byte alphabet, and the number of added tokens."""
-        parts = [text]
-        if self.added is not None and self.added.search(text):
-            parts = self.added.split(text)
-        out: list[str] = []
-        for part in parts:
-            if _ODD_SPACE.search(part):
-                out += [p for p, _ in self.split(part)]
-                continue
-            if len(self.known) > CACHE:
-                self.known.clear()
-            out += chain.from_iterable(map(self.known.__getitem__, _PIECE.findall(part)))
-        return out, len(parts) - 1
-
-    def _plain(self, piece: str) -> tuple[str, ...] | None:
-        found = _PLAIN.fullmatch(piece) if self.byte_level else None
-        if found is None:
-            return None
-        space, letters, marks = found.groups()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(BYTE_ALPHABET)
-        if space == " ":
-            out = ("\u0120" + letters,)
-        elif space:
-            out = ("\u010a", letters)
-        else:
-            out = (letters,)
-        return (*out, marks) if marks else out
+        """The pre-tokens, and the number of added tokens."""
+        if self.added is None or not self.added.search(text):
+            return self._part(text), 0
+        parts = self.added.split(text)
+        return [t for part in parts for t in self._part(part)], len(parts) - 1
 
     def pieces(self, pre_token: str) -> int:
-        return len(self.tokenizer.model.tokenize(pre_token))
+        return len(self.tokenizer.model.tokenize(pre_token.encode().decode("latin-1").translate(BYTE_ALPHABET)))
 
 
 _READY: dict[str, PreTokens] = {}
 
 
 def _ready(tokenizer_path: str) -> PreTokens:
-    """A worker's instance, kept for its later tasks."""
+    """A worker's instance, kept for its later tasks; its size is that of the vocabulary."""
     return _READY.get(tokenizer_path) or _READY.setdefault(tokenizer_path, PreTokens(tokenizer_path))
 
 
@@ -104,21 +84,21 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
 
     1. Each task offers its most frequent pre-tokens with their counts; the HEAD most frequent of all, a bounded table,
        have their pieces counted once and are broadcast.
-    2. Each document's pre-token frequencies are summed against that table. What it lacks leaves as (document,
-       pre-token, frequency) rows, dealt by pre-token: there each distinct one is counted once and joined to
-       its documents. Which pre-tokens are in the head changes the cost only, not the result.
+    2. Each document's pre-token frequencies are summed against that table. What it lacks is written, with the row's id, as
+       its (pre-token, frequency) pairs, which are then dealt by pre-token: there each distinct one is counted once and
+       joined to its documents. Which pre-tokens are in the head changes the cost only, not the result.
     3. The parts are summed by row.
 
-    Edge cases: null is an empty text (0 bytes, 0 tokens). Repeated ids or rows stay separate rows (an
-    internal row id keeps them apart). Special strings in a text count as the library's default has it:
-    one token. An empty table gives no rows. Other columns are ignored.
+    Row ids are given while the parts are written, so both readings of them agree, in whatever order the rows of ``docs``
+    come. Edge cases: null is an empty text (0 bytes, 0 tokens); a very long text is one row whose pairs are its distinct
+    pre-tokens. Repeated ids or rows stay separate rows (the row id keeps them apart). Special strings in a text count as the
+    library's default has it: one token. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", "text")
-    head = _head(docs, tokenizer_path)
-    shared = docs.sparkSession.sparkContext.broadcast(head)
+    shared = docs.sparkSession.sparkContext.broadcast(_head(docs, tokenizer_path))
 
     def sums():
-        pre, pieces, base = _ready(tokenizer_path), shared.value, row_base()
+        pre, head, base = _ready(tokenizer_path), shared.value, row_base()
 
         def each(c):
             nonlocal base
@@ -126,18 +106,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
                 base += 1
                 text = text or ""
                 found, n = pre.of(text)
-                rest = []
-                for token, times in Counter(found).items():
-                    k = pieces.get(token)
-                    if k is None:
-                        rest.append((token, times))
-                    else:
-                        n += k * times
-                yield base, doc, len(text.encode("utf-8", "surrogatepass")), n, [t for t, _ in rest], [x for _, x in rest]
+                frequency = Counter(found)
+                pieces = list(map(head.get, frequency, repeat(0)))
+                n += sum(map(mul, pieces, frequency.values()))
+                rest = [t for t, k in zip(frequency, pieces, strict=True) if not k]
+                yield base, doc, len(text.encode("utf-8", "surrogatepass")), n, rest, [frequency[t] for t in rest]
 
         return each
 
-    parts = map_rows(docs, sums, "uid long, doc_id long, n_bytes long, n long, tokens array<string>, times array<int>", flush=500)
+    parts = materialise(map_rows(docs, sums, "uid long, doc_id long, n_bytes long, n long, tokens array<string>, times array<int>", flush=500), "pre-tokens")
     rest = parts.select("uid", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("uid", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +134,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
             np.add.at(total, at, n)
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(total)], names=["uid", "n"])
 
-    counted = rest.select("uid", "token", "times").repartition("token").sortWithinPartitions("token").mapInArrow(count, "uid long, n long")
-    summed = parts.select("uid", "doc_id", "n_bytes", "n").unionByName(counted.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), "n"))
+    counted = rest.repartition("token").sortWithinPartitions("token").mapInArrow(count, "uid long, n long")
+    missing = F.lit(None).cast("long")
+    summed = parts.select("uid", "doc_id", "n_bytes", "n").unionByName(counted.select("uid", missing.alias("doc_id"), missing.alias("n_bytes"), "n"))
     out = summed.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
@@ -168,26 +146,17 @@ def _head(docs: DataFrame, tokenizer_path: str) -> dict[str, int]:
 
     def make():
         pre = _ready(tokenizer_path)
-        pieces: Counter = Counter()
         total: Counter = Counter()
 
         def offers():
-            for piece, n in pieces.items():
-                for token in pre.known.learn(piece):
-                    total[token] += n
-            for token, n in nlargest(OFFER, total.items(), key=lambda x: (x[1], x[0])):
-                if n > 1:
-                    yield token, n
-            pieces.clear(), total.clear()
+            for token, n in nlargest(OFFER, ((t, n) for t, n in total.items() if n > 1), key=lambda x: (x[1], x[0])):
+                yield token, n
+            total.clear()
 
         def each(c):
             for text in c["text"]:
-                text = text or ""
-                if pre.simple(text):
-                    pieces.update(_PIECE.findall(text))
-                else:
-                    total.update(pre.of(text)[0])
-                if len(pieces) + len(total) > 400_000:
+                total.update(pre.of(text or "")[0])
+                if len(total) > HOLD:
                     yield from offers()
 
         each.close = offers
