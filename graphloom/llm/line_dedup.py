@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import map_rows, materialise, maybe_in
 
-#: Templates of a leaf up to which a line is compared with each (beyond, with those that an index finds), and rows of
-#: marked documents up to which they are broadcast.
-SCAN, BROADCAST_ROWS = 64, 200_000
+#: Templates of a leaf up to which a line is compared with each (beyond, with those that an index finds).
+SCAN = 64
 #: Distinct lines that a task gathers before it passes them on.
 GATHER = 100_000
 WILD = "<*>"
+_DIGITS = re.compile(r"(?<!\S)[^\s\d]*+\d\S*")
 
 
-def masked(line: str) -> list[str]:
-    """Tokens between white space; one that holds a digit is a variable field."""
-    return [WILD if any(map(str.isdigit, t)) else t for t in line.split()]
+def masked(text: str) -> str:
+    """``text`` with each token between white space that holds a decimal digit as a variable field."""
+    return _DIGITS.sub(WILD, text)
 
 
-def line_key(tokens: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass"))
+def line_key(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
 def leaf_of(tokens: list[str], depth: int) -> int:
@@ -117,126 +118,119 @@ class Leaf:
                 yield from ((key, min(idents)) for i in group for key in self.members[i])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, depth: int = 3, similarity: float = 0.7) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, long_docs: int = 2, long_tokens: int = 50, min_tokens: int = 1, depth: int = 3, similarity: float = 0.7) -> DataFrame:
     """Drop lines whose template recurs across documents; the document of least id keeps its own.
 
-    Lines end at newlines; their tokens lie between white space, tokens with a digit are variable. The tree's path is the
-    token count and the ``depth`` leading tokens; in a leaf, lines that agree in ``similarity`` of all places share a template.
-    A template in ``min_docs`` documents or more is recurring. Lines of fewer than ``min_tokens`` tokens are left
-    alone (too short to tell). Returns ``doc_id, n_lines, n_dropped, text`` (what is kept).
-
-    Each task first merges its equal masked lines (with the ``min_docs`` least ids of their documents), so a line in a
-    third of all documents is a row per task. A leaf's distinct lines are clustered together by one task, in their order, however
-    many they are; memory there is bound by the largest leaf. Ids are counted exactly up to ``min_docs``.
-
-    Edge cases: null text stays null with 0 lines; an empty text is one empty line and is kept. Equal rows get equal
-    results; rows with one id count as one document, rows with a null id as one for each text. An empty
-    table gives no rows. Other columns are ignored.
+    Lines end at newlines; their tokens lie between white space, tokens with a decimal digit are variable. The tree's path is
+    the token count and the ``depth`` leading tokens; in a leaf, lines that agree in ``similarity`` of all places share a
+    template. One that stands in ``min_docs`` documents or more (of ``long_tokens`` tokens or more: in ``long_docs``) is
+    recurring. Lines of fewer than ``min_tokens`` tokens, blank ones at least, are left alone. Returns ``doc_id, n_lines,
+    n_dropped, text`` (what is kept).
+
+    1. One pass over the texts writes, for each line, its document, number and key, and, for each distinct masked line of a
+       task, the line with the least ids of its documents (as many as make it recurring), so that a line in a third of all
+       documents is a row per task.
+    2. Lines of leaves that hold lines of enough documents (by a bitmap, which lets a few others through) are dealt by leaf. A
+       leaf's distinct lines are clustered by one task, in their order, whatever tasks they come from; memory there is bound
+       by the largest leaf.
+    3. Recurring keys meet the lines' keys, and the line numbers their documents; the plan is the same at every size.
+
+    Edge cases: null text stays null with 0 lines; an empty text is one empty line and is kept; a very long text is so many
+    lines. Equal rows get equal results; rows with one id count as one document, rows with a null id as one for each text. Ties
+    between templates go to the first in the order of the lines. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    ident = F.coalesce("doc_id", "th").alias("ident")
-    lines = materialise(_distinct_lines(docs.select(ident, "text"), min_docs, min_tokens, depth), "lines")
-    seen = lines.groupBy("leaf").agg(F.sum(F.size("idents")).alias("seen")).where(F.col("seen") >= min_docs)
-    recurring = materialise(_cluster(lines.join(seen, "leaf"), similarity, min_docs, depth), "recurring")
-    keys = _document_lines(docs, min_tokens)
-    marked = keys.join(recurring, "key").where(F.coalesce("doc_id", "th") != F.col("owner")).select("doc_id", "th", "key").distinct()
-    marked = materialise(marked.groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys")), "marked")
-    if marked.count() <= BROADCAST_ROWS:
-        marked = F.broadcast(marked)
-    m = marked.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "keys")
-    joined = docs.join(m, docs.doc_id.eqNullSafe(F.col("m_id")) & (docs.th == F.col("m_th")), "left").select("doc_id", "text", "keys")
-    return _rewrite(joined, min_tokens)
-
-
-def _distinct_lines(docs: DataFrame, min_docs: int, min_tokens: int, depth: int) -> DataFrame:
+    parts = materialise(_lines(docs, (min_docs, long_docs, long_tokens), max(1, min_tokens), depth), "lines")
+    lines = parts.where("line is not null").select("leaf", "need", "line", "idents")
+    full = lines.groupBy("leaf").agg(F.sum(F.size("idents")).alias("seen"), F.min("need").alias("need")).where("seen >= need")
+    recurring = materialise(_cluster(maybe_in(lines, "leaf", full), similarity, depth), "recurring")
+    places = maybe_in(parts.where("line is null").select("doc_id", "th", "at", "key"), "key", recurring)
+    marked = places.join(recurring, "key").where(F.coalesce("doc_id", "th") != F.col("owner"))
+    marked = marked.groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")).agg(F.collect_set("at").alias("drop"))
+    joined = docs.join(marked.hint("merge"), docs.doc_id.eqNullSafe(F.col("m_id")) & (docs.th == F.col("m_th")), "left").select("doc_id", "text", "drop")
+    return _rewrite(joined)
+
+
+def _lines(docs: DataFrame, need: tuple[int, int, int], min_tokens: int, depth: int) -> DataFrame:
+    """Rows (doc_id, th, at, key) of all lines, and (leaf, need, line, idents) of a task's distinct masked ones."""
+    min_docs, long_docs, long_tokens = need
+
     def make():
-        known: dict[str, tuple[int, bytes, set[int]]] = {}
+        known: dict[str, tuple[int, int, bytes, set[int]]] = {}
 
         def flush():
-            for text, (leaf, key, idents) in known.items():
-                yield leaf, key, text, sorted(idents)
+            for line, (leaf, least, _, idents) in known.items():
+                yield None, None, None, None, leaf, least, line, sorted(idents)
             known.clear()
 
         def each(c):
-            for ident, text in zip(c["ident"], c["text"], strict=True):
-                for line in (text or "").split("\n"):
-                    tokens = masked(line)
+            for doc, th, text in zip(c["doc_id"], c["th"], c["text"], strict=True):
+                ident = th if doc is None else doc
+                for at, raw in enumerate(masked(text or "").split("\n")):
+                    tokens = raw.split()
                     if len(tokens) < min_tokens:
                         continue
-                    name = " ".join(tokens)
-                    entry = known.get(name)
+                    line = " ".join(tokens)
+                    entry = known.get(line)
                     if entry is None:
-                        known[name] = leaf_of(tokens, depth), line_key(tokens), {ident}
-                        continue
-                    entry[2].add(ident)
-                    if len(entry[2]) > min_docs:
-                        entry[2].remove(max(entry[2]))
+                        entry = known[line] = leaf_of(tokens, depth), long_docs if len(tokens) >= long_tokens else min_docs, line_key(line), set()
+                    idents = entry[3]
+                    idents.add(ident)
+                    if len(idents) > entry[1]:
+                        idents.remove(max(idents))
+                    yield doc, th, at, entry[2], None, None, None, None
                 if len(known) >= GATHER:
                     yield from flush()
 
         each.close = flush
         return each
 
-    return map_rows(docs, make, "leaf long, key binary, line string, idents array<long>", flush=1000)
+    return map_rows(docs, make, "doc_id long, th long, at int, key binary, leaf long, need int, line string, idents array<long>")
 
 
-def _cluster(lines: DataFrame, similarity: float, min_docs: int, depth: int) -> DataFrame:
+def _cluster(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
     """Rows (key, owner) of the lines whose template recurs."""
 
     def make():
-        state: dict = {"at": None, "leaf": None, "line": None}
+        state: dict = {"at": None, "leaf": None, "line": None, "need": 0}
 
         def put():
             if state["line"] is not None:
-                state["leaf"].add(state["line"].split(" "), state["key"], sorted(state["idents"])[:min_docs], min_docs)
+                state["leaf"].add(state["line"].split(" "), line_key(state["line"]), sorted(state["idents"])[: state["need"]], state["need"])
                 state["line"] = None
 
         def flush():
             put()
             if state["leaf"] is not None:
-                yield from state["leaf"].recurring(min_docs)
+                yield from state["leaf"].recurring(state["need"])
             state["leaf"] = None
 
         def each(c):
-            for leaf, line, key, idents in zip(c["leaf"], c["line"], c["key"], c["idents"], strict=True):
+            for leaf, need, line, idents in zip(c["leaf"], c["need"], c["line"], c["idents"], strict=True):
                 if leaf != state["at"]:
                     yield from flush()
-                    state.update(at=leaf, leaf=Leaf(similarity, depth))
+                    state.update(at=leaf, leaf=Leaf(similarity, depth), need=need)
                 if line != state["line"]:
                     put()
-                    state.update(line=line, key=key, idents=set())
+                    state.update(line=line, idents=set())
                 state["idents"].update(idents)
 
         each.close = flush
         return each
 
-    rows = lines.select("leaf", "line", "key", "idents").repartition("leaf").sortWithinPartitions("leaf", "line")
-    return map_rows(rows, make, "key binary, owner long")
-
-
-def _document_lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    def make():
-        def each(c):
-            for doc, th, text in zip(c["doc_id"], c["th"], c["text"], strict=True):
-                keys = {line_key(t) for t in map(masked, (text or "").split("\n")) if len(t) >= min_tokens}
-                for key in keys:
-                    yield doc, th, key
-
-        return each
-
-    return map_rows(docs, make, "doc_id long, th long, key binary")
+    return map_rows(lines.repartition("leaf").sortWithinPartitions("leaf", "line"), make, "key binary, owner long")
 
 
-def _rewrite(docs: DataFrame, min_tokens: int) -> DataFrame:
+def _rewrite(docs: DataFrame) -> DataFrame:
     def make():
         def each(c):
-            for doc, text, keys in zip(c["doc_id"], c["text"], c["keys"], strict=True):
-                if text is None or not keys:
+            for doc, text, drop in zip(c["doc_id"], c["text"], c["drop"], strict=True):
+                if text is None or not drop:
                     yield doc, 0 if text is None else text.count("\n") + 1, 0, text
                     continue
-                drop, lines = set(map(bytes, keys)), text.split("\n")
-                kept = [x for x in lines if not (len(t := masked(x)) >= min_tokens and line_key(t) in drop)]
-                yield doc, len(lines), len(lines) - len(kept), "\n".join(kept)
+                gone, lines = set(drop), text.split("\n")
+                yield doc, len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)
 
         return each
 

@@ -44,8 +44,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates in three documents or more; what is kept of each text by its length and digest."""
-    out = dedup_lines(_table(spark, sf_dir, "documents"), min_docs=3)
+    """Templates in three documents or more (of 50 tokens or more: in two); what is kept of each text by its length and digest."""
+    out = dedup_lines(_table(spark, sf_dir, "documents"), min_docs=3, long_docs=2, long_tokens=50)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
