@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: F1: an acronym, a capitalised word or a lower-case run.
 TOKEN = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
@@ -29,12 +34,12 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataF
     """``docs(id, text)`` ranked for ``queries(qid, text)``: (qid, id, score).
 
     A document without a shared term is absent; a term that the query repeats counts as often; ties go by the id as a
-    string. Only postings of query terms are made: the queries' terms, a small table, are the join's build side.
+    string. Only postings of query terms are made; the terms are broadcast where they are small.
     """
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     sized = docs.select("id", tokens(F.col("text")).alias("ts")).select("id", "ts", F.size("ts").alias("length"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    postings = sized.select("id", "length", F.explode("ts").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    postings = sized.select("id", "length", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term")
     part = F.col("times") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"))
@@ -45,74 +50,146 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataF
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _mixed(x: np.ndarray, y: np.ndarray, odd: int) -> np.ndarray:
+    """One 64-bit value of two, every bit of which depends on every bit of both."""
+    z = x * np.uint64(odd) + y
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(29))
+
+
+def _rolled(tokens_: np.ndarray, k: int, odd: int) -> np.ndarray:
+    """The hash of each ``k`` consecutive values, from those of 1, 2, 4, ... values: as many steps as ``k`` has bits."""
+    out, width = tokens_[:0], 0
+    power, step = tokens_, 1
+    n = len(tokens_)
+    while True:
+        if k & step:
+            room = n - width - step + 1
+            out = _mixed(out[:room], power[width : width + room], odd) if width else power
+            width += step
+        if width == k:
+            return out
+        power = _mixed(power[: n - 2 * step + 1], power[step : n - step + 1], odd)
+        step *= 2
+
+
 def windows(docs: DataFrame, k: int = 50) -> DataFrame:
-    """Every ``k``-token window of ``docs(path, tokens)``: (path, pos, digest), the digest of the joined window."""
-    long = docs.where(F.size("tokens") >= k)
-    at = long.select("path", "tokens", F.explode(F.expr(f"sequence(0, size(tokens) - {k})")).alias("pos"))
-    return at.select("path", "pos", F.md5(F.concat_ws("\u0001", F.slice("tokens", F.col("pos") + 1, k))).alias("digest"))
+    """Every ``k``-token window of ``docs(path, tokens)``: (path, pos, hi, lo), two rolling hashes of the window.
+
+    Tokens are hashed in two ways, 96 bits together, and windows to 128. Shorter and null token lists have no windows.
+    """
+    long = docs.where(F.size("tokens") >= k).select("path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("x"), F.transform("tokens", lambda t: F.hash(t).cast("long")).alias("y"))
+    schema = T.StructType([docs.schema["path"], *T._parse_datatype_string("pos int, hi long, lo long").fields])
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path = batch.column("path")
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in ("x", "y"))
+                hi, lo = _rolled(x, k, 0x9E3779B97F4A7C15), _rolled(_mixed(y, x, 3), k, 0xC2B2AE3D27D4EB4F)
+                same = path.take(pa.array(np.full(len(hi), i)))
+                yield pa.RecordBatch.from_arrays([same, pa.array(np.arange(len(hi), dtype=np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], names=["path", "pos", "hi", "lo"])
+
+    return long.mapInArrow(slide, schema)
 
 
 def repeated_windows(wins: DataFrame) -> DataFrame:
-    """Digests that stand in two places or more: (digest, places, paths). Grouped, never joined pair by pair."""
-    return wins.groupBy("digest").agg(F.count("*").alias("places"), F.countDistinct("path").alias("paths")).where("places >= 2")
+    """Windows that stand in two places or more: (hi, lo, path, pos, places, paths) with their least place. Grouped in one
+    shuffle, never joined pair by pair."""
+    by_path = wins.repartition("hi", "lo").groupBy("hi", "lo", "path").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    out = by_path.groupBy("hi", "lo").agg(F.sum("n").alias("places"), F.count("*").alias("paths"), F.min(F.struct("path", "pos")).alias("at"))
+    return out.where("places >= 2").select("hi", "lo", "at.path", "at.pos", "places", "paths")
 
 
 def clone_classes(tokens_: DataFrame, k: int = 50, min_lines: int = 4) -> DataFrame:
     """Clone classes of ``tokens_(path, pos, norm, line)``: (class, path, start, length, first_line, last_line).
 
-    Repeated windows seed classes: runs of consecutive windows with one set of places are grown to their full
-    length; then, longest first (more places first, then the least place), occurrences are taken that overlap
-    none taken before, and a class stays with two of them that span ``min_lines`` lines. Seeding is distributed;
-    growth and the greedy choice see only repeated places and run per connected group of files.
+    The places of a repeated window are grown together, first to the left, then to the right, as long as all of them go on
+    with one token and no two of them in a file come to overlap (the smallest gap between them is the limit). Of the grown
+    classes the longest are chosen first, then those of most places, then that of the least place; an occurrence that overlaps
+    a chosen one is left out, and a class stays with two occurrences that span ``min_lines`` lines each.
+
+    Windows are hashed and grouped everywhere; growth and the choice run per connected group of files that share a window,
+    in one task, which holds a group's token hashes (16 bytes a token). Null tokens count as tokens; files of fewer than
+    ``k`` tokens and an empty table give no rows.
     """
+    from ..runtime import checkpointed
     from .graph import connected_components
 
-    docs = tokens_.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", "norm", "line"))).alias("ts")).select("path", F.transform("ts", lambda t: t["norm"]).alias("tokens"), F.transform("ts", lambda t: t["line"]).alias("lines"))
-    wins = windows(docs, k)
-    seeds = wins.join(repeated_windows(wins).select("digest"), "digest", "left_semi")
-    linked = seeds.withColumn("dst", F.min("path").over(Window.partitionBy("digest"))).select(F.col("path").alias("src"), "dst").distinct()
-    group = connected_components(linked)
-    rows = seeds.join(group.withColumnRenamed("node", "path"), "path").join(docs.select("path", "lines"), "path")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("norm", F.lit("")).alias("norm"), "line")))
+    docs = checkpointed(tokens_.groupBy("path").agg(ordered.alias("ts")).select("path", F.transform("ts", lambda t: t["norm"]).alias("tokens"), F.transform("ts", lambda t: t["line"].cast("long")).alias("lines")))
+    wins = checkpointed(windows(docs, k))
+    again = checkpointed(repeated_windows(wins).select("hi", "lo", F.col("path").alias("least")))
+    seeds = checkpointed(wins.join(again, ["hi", "lo"]))
+    group = connected_components(seeds.select(F.col("path").alias("src"), F.col("least").alias("dst")).distinct())
+    by_file = seeds.groupBy("path").agg(F.collect_list(F.struct("pos", "hi", "lo")).alias("seeds"))
+    files = docs.join(by_file, "path").join(group.withColumnRenamed("node", "path"), "path").select("component", "path", "lines", F.transform("tokens", lambda t: F.xxhash64(t)).alias("x"), F.transform("tokens", lambda t: F.hash(t).cast("long")).alias("y"), "seeds")
+    kind = tokens_.schema["path"].dataType.simpleString()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        places: dict[str, list[tuple[str, int]]] = {}
-        lines = {}
-        for path, pos, digest, ls in pdf[["path", "pos", "digest", "lines"]].itertuples(index=False):
-            places.setdefault(digest, []).append((path, int(pos)))
-            lines[path] = ls
-        at = {p: d for d, ps in places.items() for p in ps}
-        found, seen = [], set()
-        for digest in sorted(places, key=lambda d: min(places[d])):
-            if digest in seen:
-                continue
-            run, here = [digest], sorted(places[digest])
-            while True:  # grow to the right while all places go on together
-                ahead = [(p, i + len(run)) for p, i in here]
-                d = at.get(ahead[0])
-                if d is None or d in seen or sorted(places[d]) != ahead:
-                    break
-                run.append(d)
-            seen.update(run)
-            found.append((len(run) + k - 1, here))
-        found.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
-        taken: dict[str, list[tuple[int, int]]] = {}
-        out = []
-        for length, here in found:
-            free: list[tuple[str, int]] = []
-            for p, i in here:
-                spans = taken.get(p, []) + [(j, j + length) for q, j in free if q == p]
-                if all(i + length <= a or i >= b for a, b in spans):
-                    free.append((p, i))
-            spans_lines = [(lines[p][i], lines[p][i + length - 1]) for p, i in free]
-            if len(free) < 2 or any(b - a + 1 < min_lines for a, b in spans_lines):
+        texts = [(p, list(ls), np.array(x, dtype=np.int64).astype(np.int64) * 3 + np.array(y, dtype=np.int64)) for p, ls, x, y in zip(pdf["path"], pdf["lines"], pdf["x"], pdf["y"], strict=True)]
+        rank = sorted(range(len(texts)), key=lambda i: texts[i][0])
+        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for f, i in enumerate(rank):
+            for seed in sorted(pdf["seeds"].iloc[i], key=lambda s: s["pos"]):
+                places.setdefault((seed["hi"], seed["lo"]), []).append((f, seed["pos"]))
+        texts = [texts[i] for i in rank]
+        picked = chosen([t for *_, t in texts], [ls for _, ls, _ in texts], places.values(), k, min_lines)
+        rows = [(f"{texts[f0][0]}:{s0}", texts[f][0], s, n, texts[f][1][s], texts[f][1][s + n - 1]) for n, starts in picked for f0, s0 in starts[:1] for f, s in starts]
+        return pd.DataFrame(rows, columns=["class", "path", "start", "length", "first_line", "last_line"])
+
+    return files.groupBy("component").applyInPandas(choose, f"class string, path {kind}, start long, length long, first_line long, last_line long")
+
+
+def _common(texts: list[np.ndarray], starts: list[tuple[int, int]], most: int, forward: bool) -> int:
+    """How many tokens all of ``starts`` have in common from there on (or before, going back), ``most`` at most."""
+    done, chunk = 0, 16
+    while done < most:
+        chunk = min(2 * chunk, most - done)
+        if forward:
+            parts = [texts[f][s + done : s + done + chunk] for f, s in starts]
+        else:
+            parts = [texts[f][max(0, s - done - chunk) : s - done][::-1] for f, s in starts]
+        size = min(map(len, parts))
+        first = parts[0][:size]
+        for p in parts[1:]:
+            differs = np.flatnonzero(p[: len(first)] != first)
+            if len(differs):
+                first = first[: differs[0]]
+        done += len(first)
+        if len(first) < chunk:
+            break
+    return done
+
+
+def chosen(texts: list[np.ndarray], lines: list[list[int]], seeds: Iterable[list[tuple[int, int]]], k: int, min_lines: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Growth and choice over numbered texts: (length, starts) of the classes that stay. ``seeds``: ascending places of each window."""
+    seeds = [s for s in seeds if len(s) > 1]
+    at = {place: i for i, s in enumerate(seeds) for place in s}
+    grown: dict[tuple, int] = {}
+    for starts in seeds:
+        gaps = [b[1] - a[1] for a, b in zip(starts, starts[1:], strict=False) if a[0] == b[0]]
+        room = min(gaps, default=None)
+        if room is not None and room < k:
+            continue
+        if room is None:  # the class that lies a token to the left of all grows to the same
+            left = {at.get((f, s - 1)) for f, s in starts}
+            if len(left) == 1 and None not in left and len(seeds[left.pop()]) == len(starts):
                 continue
-            name = f"{free[0][0]}:{free[0][1]}"
-            for (p, i), (a, b) in zip(free, spans_lines, strict=True):
-                taken.setdefault(p, []).append((i, i + length))
-                out.append((name, p, i, length, int(a), int(b)))
-        return pd.DataFrame(out, columns=["class", "path", "start", "length", "first_line", "last_line"])
-
-    return rows.groupBy("component").applyInPandas(choose, "class string, path string, start long, length long, first_line long, last_line long")
+        far = max(map(len, texts)) if room is None else room
+        back = _common(texts, starts, far - k, forward=False)
+        moved = tuple((f, s - back) for f, s in starts)
+        grown.setdefault(moved, k + back + _common(texts, [(f, s + k) for f, s in starts], far - k - back, forward=True))
+    out = []
+    taken = [np.zeros(len(t), dtype=bool) for t in texts]
+    for starts, n in sorted(grown.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
+        free = [(f, s) for f, s in starts if not taken[f][s : s + n].any()]
+        if len(free) < 2 or any(lines[f][s + n - 1] - lines[f][s] + 1 < min_lines for f, s in free):
+            continue
+        for f, s in free:
+            taken[f][s : s + n] = True
+        out.append((n, free))
+    return out
 
 
 def duplication(clones: DataFrame, total_tokens: int) -> DataFrame:

@@ -16,28 +16,41 @@ def _docs(spark, sf_dir):
 
 
 def bm25_rank(spark, sf_dir):
-    """The first benchmark item as the query."""
-    q = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("qid"), "text")
+    """The benchmark items whose id is divisible by 100 as queries, against all documents."""
+    q = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), "text")
     return X.bm25(_docs(spark, sf_dir), q, 20).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def clone_windows(spark, sf_dir):
+    """Windows of 50 words that stand in two places or more, by their least place."""
     d = _docs(spark, sf_dir).select(F.col("id").alias("path"), F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)).alias("tokens"))
-    return X.repeated_windows(X.windows(d, 50))
+    return X.repeated_windows(X.windows(d, 50)).select("path", F.col("pos").cast("long").alias("pos"), "places", "paths")
+
+
+def clone_classes(spark, sf_dir):
+    """The words of all documents as tokens, their lines as lines."""
+    lines = _docs(spark, sf_dir).select(F.col("id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    words = lines.select("path", "line", F.posexplode(F.regexp_extract_all("words", F.lit(_WORDS), F.lit(0))).alias("at", "norm"))
+    found = X.clone_classes(words.select("path", F.struct("line", "at").alias("pos"), "norm", (F.col("line") + 1).alias("line")), 50, 1)
+    return found.select("class", "path", "start", "length", "first_line", "last_line")
+
+
+def _line_clones(spark, sf_dir):
+    """Lines that stand in two documents or more, as clone classes of one line each."""
+    lines = _docs(spark, sf_dir).select(F.col("id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
+    again = lines.groupBy("line").agg(F.countDistinct("path").alias("d")).where("d >= 2").select("line")
+    length = F.size(F.regexp_extract_all("line", F.lit(_WORDS), F.lit(0))).cast("long")
+    return lines.join(again, "line", "left_semi").select(F.col("line").alias("class"), "path", length.alias("length"), F.col("pos").alias("first_line"), F.col("pos").alias("last_line"))
 
 
 def duplication_ratio(spark, sf_dir):
-    """A11 on lines: tokens of repeated lines beyond their first place."""
-    lines = _docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.size(F.regexp_extract_all("line", F.lit(_WORDS), F.lit(0))).alias("n"))
-    per = lines.groupBy("line").agg(F.max("n").alias("n"), F.count("*").alias("places"))
-    return per.agg(F.sum(F.col("n") * (F.col("places") - 1)).alias("duplicate_tokens"), F.round(F.sum(F.col("n") * (F.col("places") - 1)) / F.sum(F.col("n") * F.col("places")), 6).alias("ratio"))
+    """A11 on lines that recur: tokens of all places but one of each, in ten thousand tokens."""
+    return X.duplication(_line_clones(spark, sf_dir), 10_000).select("duplicate_tokens", F.round("ratio", 6).alias("ratio"))
 
 
 def duplicate_lines(spark, sf_dir):
     """A12 on lines: lines of a document that stand elsewhere too."""
-    lines = _docs(spark, sf_dir).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
-    again = lines.groupBy("line").agg(F.countDistinct("id").alias("d")).where("d >= 2").select("line")
-    return lines.join(again, "line", "left_semi").groupBy("id").agg(F.countDistinct("pos").alias("lines"))
+    return X.duplicate_lines(_line_clones(spark, sf_dir)).select(F.col("path").alias("id"), "lines")
 
 
 def halstead_text(spark, sf_dir):
@@ -86,17 +99,17 @@ def innermost_interval(spark, sf_dir):
     return innermost(e.select("event_id", "user_id", F.col("t").alias("at")), spans, "user_id").select("event_id", "user_id", "name")
 
 
-QUERIES = {f.__name__: f for f in (bm25_rank, clone_windows, duplication_ratio, duplicate_lines, halstead_text, line_counts, quotable_numbers, token_terms, resolution_accuracy, innermost_interval)}
+QUERIES = {f.__name__: f for f in (bm25_rank, clone_windows, clone_classes, duplication_ratio, duplicate_lines, halstead_text, line_counts, quotable_numbers, token_terms, resolution_accuracy, innermost_interval)}
 _TOK = r"list_transform(regexp_extract_all(regexp_replace({}, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z][a-z][a-z0-9]*|[A-Z]+|[a-z0-9]+'), lambda x: lower(x))"
 ORACLES = {
-    "bm25_rank": f"""WITH d AS (SELECT doc_id AS id, {_TOK.format("text")} AS ts FROM documents), q AS (SELECT term, count(*) AS times FROM (SELECT unnest({_TOK.format("text")}) AS term FROM benchmark WHERE item_id = 0) GROUP BY 1),
+    "bm25_rank": f"""WITH d AS (SELECT doc_id AS id, {_TOK.format("text")} AS ts FROM documents), q AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({_TOK.format("text")}) AS term FROM benchmark WHERE item_id % 100 = 0) GROUP BY 1, 2),
         st AS (SELECT count(*) AS n, avg(len(ts)) AS average FROM d), p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(ts) AS len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
-        f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), s AS (SELECT id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / average))) AS score FROM p JOIN f USING (term) JOIN q USING (term), st GROUP BY id)
-        SELECT 0::BIGINT AS qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id::VARCHAR) AS rank FROM s) WHERE rank <= 20""",
-    "clone_windows": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ts FROM documents), w AS (SELECT doc_id, md5(array_to_string(ts[i:i + 49], chr(1))) AS digest FROM (SELECT doc_id, ts, unnest(range(1, len(ts) - 48)) AS i FROM d WHERE len(ts) >= 50))
-        SELECT digest, count(*) AS places, count(DISTINCT doc_id) AS paths FROM w GROUP BY 1 HAVING count(*) >= 2""",
-    "duplication_ratio": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT line, max(len(regexp_extract_all(line, '\S+'))) AS n, count(*) AS c FROM l GROUP BY 1)
-        SELECT sum(n * (c - 1))::BIGINT AS duplicate_tokens, round(sum(n * (c - 1)) / sum(n * c), 6) AS ratio FROM p""",
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), s AS (SELECT qid, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / average))) AS score FROM p JOIN f USING (term) JOIN q USING (term), st GROUP BY qid, id)
+        SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR) AS rank FROM s) WHERE rank <= 20""",
+    "clone_windows": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ts FROM documents), w AS (SELECT doc_id, i, md5(array_to_string(ts[i:i + 49], chr(1))) AS digest FROM (SELECT doc_id, ts, unnest(range(1, len(ts) - 48)) AS i FROM d WHERE len(ts) >= 50))
+        SELECT min(x).d AS path, min(x).p AS pos, count(*) AS places, count(DISTINCT x.d) AS paths FROM (SELECT digest, {'d': doc_id, 'p': i - 1} AS x FROM w) GROUP BY digest HAVING count(*) >= 2""",
+    "duplication_ratio": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT max(len(regexp_extract_all(line, '\S+'))) AS n, count(*) AS c FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2)
+        SELECT coalesce(sum(n * (c - 1)), 0)::BIGINT AS duplicate_tokens, round(coalesce(sum(n * (c - 1)), 0) / 10000, 6) AS ratio FROM p""",
     "duplicate_lines": """WITH l AS (SELECT doc_id AS id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
         SELECT id, count(DISTINCT pos) AS lines FROM l WHERE line IN (SELECT line FROM l WHERE line <> '' GROUP BY 1 HAVING count(DISTINCT id) >= 2) GROUP BY 1""",
     "halstead_text": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, '[.,;:!?]') AS o, regexp_extract_all(text, '[a-z]+') AS a FROM documents), m AS (SELECT id, len(list_distinct(o)) AS n1, len(list_distinct(a)) AS n2, len(o) AS b1, len(a) AS b2 FROM d)

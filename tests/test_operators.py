@@ -214,15 +214,71 @@ def test_bm25(spark):
     assert X.bm25(docs, q.limit(0), 5).count() == 0
 
 
+def naive_clones(files, lines, k, min_lines):
+    """Token by token, over plain lists."""
+    names = sorted(files)
+    seen: dict = {}
+    for p in names:
+        for i in range(len(files[p]) - k + 1):
+            seen.setdefault(tuple(files[p][i : i + k]), []).append((p, i))
+    token = lambda p, i: files[p][i] if 0 <= i < len(files[p]) else None
+    grown = {}
+    for starts in seen.values():
+        limit = min((b - a for p, a in starts for q, b in starts if p == q and b > a), default=10**9)
+        if len(starts) < 2 or limit < k:
+            continue
+        n = k
+        while n < limit and len(v := {token(p, i - 1) for p, i in starts}) == 1 and None not in v:
+            starts, n = [(p, i - 1) for p, i in starts], n + 1
+        while n < limit and len(v := {token(p, i + n) for p, i in starts}) == 1 and None not in v:
+            n += 1
+        grown.setdefault(tuple(starts), n)
+    out, taken = set(), set()
+    for starts, n in sorted(grown.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
+        free = [(p, i) for p, i in starts if not taken & {(p, j) for j in range(i, i + n)}]
+        if len(free) > 1 and all(lines[p][i + n - 1] - lines[p][i] + 1 >= min_lines for p, i in free):
+            taken |= {(p, j) for p, i in free for j in range(i, i + n)}
+            out |= {(f"{free[0][0]}:{free[0][1]}", p, i, n, lines[p][i], lines[p][i + n - 1]) for p, i in free}
+    return out
+
+
+def found_clones(spark, files, lines, k, min_lines):
+    rows = [(p, i, t, lines[p][i]) for p, ts in files.items() for i, t in enumerate(ts)]
+    got = X.clone_classes(frame(spark, rows, "path string, pos int, norm string, line int"), k, min_lines)
+    return got, {tuple(r) for r in got.collect()}
+
+
 def test_clones(spark):
+    """Places that join inside a class don't stop its growth; the longest class is found whole."""
     a = [f"t{i}" for i in range(20)]
-    seqs = {"p": a + ["x", "y"], "q": ["z"] + a, "r": a[5:15]}
-    rows = [(p, i, t, i) for p, ts in seqs.items() for i, t in enumerate(ts)]
-    got = X.clone_classes(frame(spark, rows, "path string, pos int, norm string, line int"), k=8, min_lines=4)
-    found = {(r["class"], r.path, r.start, r.length) for r in got.collect()}
-    assert ("r:0" in {c for c, *_ in found}) or any(n >= 10 for *_, n in found)
-    assert all(n >= 8 for *_, n in found) and {p for _, p, *_ in found} >= {"p", "q"}
-    assert sum(r.lines for r in X.duplicate_lines(got).collect()) > 0
+    files = {"p": a, "q": list(a), "r": a[5:15]}
+    got, found = found_clones(spark, files, {p: list(range(len(ts))) for p, ts in files.items()}, 8, 4)
+    assert found == {("p:0", "p", 0, 20, 0, 19), ("p:0", "q", 0, 20, 0, 19)}
+    assert {r.path: r.lines for r in X.duplicate_lines(got).collect()} == {"p": 20, "q": 20}
+    assert tuple(X.duplication(got, 50).first()) == (20, 0.4)
+    near = {"p": (a + ["x"]) * 3, "q": ["z", *a[3:14]]}
+    assert found_clones(spark, near, {p: list(range(len(ts))) for p, ts in near.items()}, 8, 4)[1] == naive_clones(near, {p: list(range(len(ts))) for p, ts in near.items()}, 8, 4)
+    assert found_clones(spark, {"p": a[:5]}, {"p": list(range(5))}, 8, 4)[1] == set()
+
+
+def test_clones_on_random_files(spark):
+    r = random.Random(11)
+    files, lines = {}, {}
+    for g in range(12):
+        block = [f"g{g}w{r.randrange(4)}" for _ in range(24)]
+        for i in range(3):
+            ts = []
+            for _ in range(r.randrange(1, 5)):
+                cut = r.randrange(len(block))
+                ts += block[cut : cut + r.randrange(2, 18)] + [f"own{r.randrange(3)}"] * r.randrange(2)
+            files[f"{g:02d}/{i}"] = ts
+            lines[f"{g:02d}/{i}"] = [j // 2 for j in range(len(ts))]
+    for k, min_lines in ((4, 1), (6, 3)):
+        want = set()
+        for g in range(12):
+            own = {p: ts for p, ts in files.items() if p.startswith(f"{g:02d}/")}
+            want |= naive_clones(own, lines, k, min_lines)
+        assert found_clones(spark, files, lines, k, min_lines)[1] == want and len(want) > 20
 
 
 def test_cohesion(spark):
