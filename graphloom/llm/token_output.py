@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +21,14 @@ from .huffman import Code, code_lengths
 BLOCK, SEGMENT = 256, 1 << 18
 #: Longest code in bits; 49,408 ids need 16.
 LIMIT = 20
-#: Distinct pieces of text whose ids a worker keeps (about 200 bytes each).
-CACHE = 800_000
+#: Distinct pieces of text whose ids a task keeps (about 150 bytes each, 60 MB), and those of them that stay when it is full.
+CACHE, STAY = 400_000, 200_000
 _LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_ALPHABET = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+#: Fixed value: the pre-token pattern of the word tokenizer.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MAGIC, _HEAD = b"GLTK", "<4sHHIQQQQ"
 
 
@@ -39,13 +43,21 @@ class Known(dict):
         self[key] = value = self.learn(key)
         return value
 
+    def trim(self, most: int, stay: int) -> None:
+        """With more than ``most`` entries, only the ``stay`` first learnt remain: frequent keys come early."""
+        if len(self) > most:
+            first = list(islice(self.items(), stay))
+            self.clear()
+            self.update(first)
+
 
 class WordEncoder:
-    """Ids of pieces of text without ASCII white space, remembered up to CACHE of them.
+    """Ids of whole texts; where the tokenizer allows, by way of pieces without white space, CACHE of them remembered.
 
-    For tokenizers that lower-case, drop white space and never join text across it. A piece of Latin letters is one
-    pre-token, so it goes to the library's model at once, in the byte alphabet; a run of ASCII marks at its end
-    (but an apostrophe) is a pre-token of its own. Any other piece goes through the whole library.
+    It does if its file says that it lower-cases, drops white space and never joins text across it (``by_words``). A piece
+    of Latin letters is then one pre-token, so it goes to the library's model at once, in the byte alphabet; a run of ASCII
+    marks at its end (but an apostrophe) is a pre-token of its own. Any other piece goes through the whole library, as does
+    every text where the tokenizer is of another kind.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -55,6 +67,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         self.kind = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.by_words = by_words(tokenizer_path)
         self.known = Known(self._learn)
 
     def _model(self, letters: str) -> bytes:
@@ -62,46 +75,79 @@ class WordEncoder:
             letters = letters.encode().decode("latin-1").translate(BYTE_ALPHABET)
         return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _learn(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8", "replace").lower()
         plain = _LETTERS.fullmatch(text)
         if plain is None:
-            return array(self.kind, self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            return self._whole(piece.decode("utf-8", "replace"))
         marks = plain[2]
         if not marks:
             return self._model(text)
-        return self._model(text[: -len(marks)]) + self.known[marks.encode()]
+        return self.known[text[: -len(marks)].encode()] + self.known[marks.encode()]
 
     def encode(self, text: str) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if not self.by_words:
+            return [self._whole(text)]
+        self.known.trim(CACHE, STAY)
         raw = text.encode("utf-8", "surrogatepass")
         pieces = (raw if b"<|" in raw else raw.lower()).split()  # special strings are told by their case
         return list(map(self.known.__getitem__, pieces))
 
 
+def by_words(tokenizer_path: str) -> bool:
+    """Does the file describe a byte-level BPE with word ends over lower-cased runs of letters or of marks?"""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = cuts[0].get("pattern", {}).get("Regex") if len(cuts) == 2 and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed" else None
+    level = len(cuts) == 2 and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("use_regex", True) and not cuts[1].get("add_prefix_space", True)
+    special = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|") for t in said.get("added_tokens") or [])
+    return bool(steps == ["NFC", "Replace", "Lowercase"] and split == WORDS and level and special and not (said.get("post_processor") or said.get("truncation") or said.get("padding")))
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, ids)``: the ids of each whole text as little-endian unsigned integers.
+    """``docs(doc_id, text)`` to rows ``(doc_id, ids, counts)``: the ids of each whole text as little-endian unsigned integers.
 
-    Each piece between ASCII white space is encoded once (see ``WordEncoder``; a worker keeps it for its later
-    tasks) and the pieces' ids are joined. Ids take two bytes if the vocabulary allows, else four. Null is an empty
-    text. ``end_id`` follows each document.
+    Each piece between white space is encoded once while a task remembers it (see ``WordEncoder``) and the pieces' ids are
+    joined. Ids take two bytes if the vocabulary allows, else four. Null is an empty text. ``end_id`` follows each
+    document. A task's last row has null ids and, in ``counts``, how often it met each id (64-bit).
     """
 
     def make():
+        # a worker keeps the encoder, whose size is that of the vocabulary; what it remembers goes with the task
         encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
-        end = [] if end_id is None else [array(encoder.kind, [end_id]).tobytes()]
+        end = b"" if end_id is None else array(encoder.kind, [end_id]).tobytes()
+        total = np.zeros(encoder.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
 
         def each(c):
             for doc, text in zip(c["doc_id"], c["text"], strict=True):
-                yield doc, b"".join(encoder.encode(text or "") + end)
+                ids = b"".join(encoder.encode(text or "")) + end
+                held.append(ids)
+                yield doc, ids, None
+            fold()
+
+        held: list[bytes] = []
 
+        def fold() -> None:
+            np.add(total, np.bincount(np.frombuffer(b"".join(held), dtype=encoder.kind), minlength=len(total)), out=total)
+            held.clear()
+
+        def close():
+            encoder.known.clear()
+            if total.any():
+                yield None, None, total.tobytes()
+
+        each.close = close
         return each
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary", flush=500)
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, counts binary", flush=500)
 
 
 def id_type(vocabulary: int) -> str:
@@ -116,15 +162,14 @@ def vocabulary_size(tokenizer_path: str) -> int:
 
 
 def global_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """Occurrences of every id over all documents; one row per id and task is shuffled."""
-    kind = id_type(vocabulary)
+    """Occurrences of every id over all documents, from the tasks' own counts; one row per id and task is shuffled."""
 
     def make():
         total = np.zeros(vocabulary, dtype=np.int64)
 
         def each(c):
-            ids = np.frombuffer(b"".join(c["ids"]), dtype=kind)
-            np.add(total, np.bincount(ids, minlength=vocabulary), out=total)
+            for counts in c["counts"]:
+                np.add(total, np.frombuffer(counts, dtype=np.int64), out=total)
             return ()
 
         def close():
@@ -135,7 +180,7 @@ def global_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         return each
 
     counts = np.zeros(vocabulary, dtype=np.int64)
-    for r in map_rows(tokens.select("ids"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in map_rows(tokens.where("ids is null").select("counts"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -215,7 +260,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         return each
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     map_rows(dealt, make, "shard long, segment long, data binary", flush=1).write.parquet(f"{path}/segments")
 
 
