@@ -1,4 +1,4 @@
-"""Graph operators over edge tables (G1-G8, G12-G14, G17-G23, A19-A29): loops of ordinary joins, each round cut by a table.
+"""Graph operators over edge tables (G1, G3-G8, G12-G14, G18-G23, A19-A22, A24-A29): loops of ordinary joins, each round cut by a table.
 
 Edges are ``(src, dst)``, nodes ``(node)``; isolated nodes are kept wherever nodes are given.
 """
@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.picks import ranked_pick
-from ..runtime import checkpointed
+from ..runtime import checkpointed, counted
+from . import in_task
+
+#: Edges and nodes up to which a graph is taken to one task (for closures, whose result is a square, fewer).
+SMALL, SMALL_CLOSURE = 200_000, 2_000
 
 
 def _all_nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
@@ -17,6 +21,15 @@ def _all_nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return (ends if nodes is None else ends.union(nodes.select("node"))).distinct()
 
 
+def _table(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """Distinct edges and nodes as tables, and how many rows both have."""
+    edges, n = counted(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if nodes is None:
+        return edges, None, n
+    nodes, m = counted(nodes.select("node").where("node is not null").distinct())
+    return edges, nodes, n + m
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, once."""
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
@@ -27,14 +40,14 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Squares the reach relation (``reach + reach join reach``), so the rounds are the logarithm of the longest path; cycles
     end it by themselves as pairs are distinct. The result is as large as the relation is: condense first
-    where components are large (see ``reach_counts``).
+    where components are large (see ``reach_counts``). Null ends are ignored, repeated edges count once, no edges give no rows.
     """
-    reach = checkpointed(edges.select("src", "dst").distinct())
-    size = reach.count()
+    reach, _, size = _table(edges)
+    if size <= SMALL_CLOSURE:
+        return checkpointed(in_task.in_one_task(reach, None, in_task.closure, "src NODE, dst NODE"))
     for _ in range(max_rounds):
         step = reach.withColumnRenamed("dst", "mid").join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach = checkpointed(reach.union(step).distinct())
-        now = reach.count()
+        reach, now = counted(reach.union(step).distinct())
         if now == size:
             return reach
         size = now
@@ -44,39 +57,56 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
     """``(node, component)``, the least node joined with each node, edges taken as undirected.
 
-    Alternates taking the least neighbour and jumping to that label's own label.
+    Alternates taking the least neighbour and jumping to that label's own label. Null ends are ignored, a node without edges is
+    its own component; nothing gives no rows.
     """
+    edges, nodes, size = _table(edges, nodes)
+    if size <= SMALL:
+        return checkpointed(in_task.in_one_task(edges, nodes, in_task.components, "node NODE, component NODE"))
     both = checkpointed(symmetric(edges))
     label = checkpointed(_all_nodes(edges, nodes).select("node", F.col("node").alias("component")))
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         low = label.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("l"), F.col("component").alias("was"))
         jump = low.select(F.col("node").alias("l"), F.col("l").alias("l2"))
-        new = checkpointed(low.join(jump, "l", "left").select("node", F.least("l", F.coalesce("l2", "l")).alias("component"), "was"))
-        if new.where("component <> was").limit(1).count() == 0:
-            return new.select("node", "component")
+        new, moved = counted(low.join(jump, "l", "left").select("node", F.least("l", F.coalesce("l2", "l")).alias("component"), "was"), F.col("component") != F.col("was"))
         label = new.select("node", "component")
+        if not moved:
+            return label
     raise RuntimeError("components did not settle")
 
 
 def scc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
     """G1: ``(node, component)``, the least node of each strongly connected component.
 
-    Colouring: the least label that reaches a node forward, then backward inside a colour from the node that gave it; what
-    is settled leaves the graph with its edges. Rows per round are those of the edges, never the closure's.
+    Nodes that nothing enters, or that enter nothing, are trimmed first, again and again. Then colouring: the least label that
+    reaches a node forward, then backward inside a colour from the node that gave it; what is settled leaves the graph with
+    its edges. Rows per round are those of the edges, never the closure's. Null ends are ignored; nothing gives no rows.
     """
-    live = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
-    open_ = checkpointed(_all_nodes(edges, nodes))
+    edges, nodes, size = _table(edges, nodes)
+    if size <= SMALL:
+        return checkpointed(in_task.in_one_task(edges, nodes, in_task.scc, "node NODE, component NODE"))
+    live, left = counted(edges.where("src <> dst"))
+    open_, waiting = counted(_all_nodes(edges, nodes))
     settled = None
     for _ in range(max_rounds):
+        sources, sinks = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+        live, now = counted(live.join(sources, "src", "left_semi").join(sinks, "dst", "left_semi").select("src", "dst"))
+        if now == left:
+            break
+        left = now
+    inner = _all_nodes(live, None)
+    settled = checkpointed(open_.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
+    open_, waiting = counted(inner)
+    for _ in range(max_rounds):
+        if not waiting:
+            return settled
         colour = _least_reaching(live, open_)
         inside = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
         inside = checkpointed(inside)
         found = checkpointed(_back_to_root(inside, colour))
-        settled = found if settled is None else settled.union(found)
-        open_ = checkpointed(open_.join(found.select("node"), "node", "left_anti"))
-        if open_.limit(1).count() == 0:
-            return settled
+        settled = settled.union(found)
+        open_, waiting = counted(open_.join(found.select("node"), "node", "left_anti"))
         live = checkpointed(live.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
     raise RuntimeError("components did not settle")
 
@@ -86,10 +116,12 @@ def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     colour = nodes.select("node", F.col("node").alias("colour"))
     while True:
         into = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy("dst").agg(F.min("colour").alias("m"))
-        new = checkpointed(colour.join(into.withColumnRenamed("dst", "node"), "node", "left").select("node", F.least("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")))
-        if new.where("colour <> was").limit(1).count() == 0:
-            return new.select("node", "colour")
+        new, moved = counted(
+            colour.join(into.withColumnRenamed("dst", "node"), "node", "left").select("node", F.least("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")), F.col("colour") != F.col("was")
+        )
         colour = new.select("node", "colour")
+        if not moved:
+            return colour
 
 
 def _back_to_root(inside: DataFrame, colour: DataFrame) -> DataFrame:
@@ -97,8 +129,8 @@ def _back_to_root(inside: DataFrame, colour: DataFrame) -> DataFrame:
     seen = front = checkpointed(colour.where("node = colour").select("node", F.col("colour").alias("component")))
     while True:
         step = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), F.col("colour").alias("component")).distinct()
-        front = checkpointed(step.join(seen, "node", "left_anti"))
-        if front.limit(1).count() == 0:
+        front, n = counted(step.join(seen, "node", "left_anti"))
+        if not n:
             return seen
         seen = seen.union(front)
 
@@ -118,39 +150,49 @@ def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def levels(dag: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Lakos levels of an acyclic graph: 0 without outgoing edges, else one more than the highest successor."""
-    level = checkpointed(nodes.select("node", F.lit(0).cast("long").alias("level")))
-    dag = checkpointed(dag.select("src", "dst").distinct())
+    """Lakos levels of an acyclic graph: 0 without outgoing edges, else one more than the highest successor.
+
+    A large graph is taken in rounds from the bottom up, each over the edges that still move a level. A cycle raises.
+    """
+    dag, nodes, size = _table(dag, nodes)
+    if size <= SMALL:
+        return checkpointed(in_task.in_one_task(dag, nodes, in_task.levels, "node NODE, level long"))
+    level = checkpointed(_all_nodes(dag, nodes).select("node", F.lit(0).cast("long").alias("level")))
     for _ in range(max_rounds):
         up = dag.join(level.select(F.col("node").alias("dst"), "level"), "dst").groupBy("src").agg((F.max("level") + 1).alias("up"))
-        new = checkpointed(level.join(up.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("up", F.lit(0)).cast("long").alias("level"), F.col("level").alias("was")))
-        if new.where("level <> was").limit(1).count() == 0:
-            return new.select("node", "level")
+        new, moved = counted(level.join(up.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("up", F.lit(0)).cast("long").alias("level"), F.col("level").alias("was")), F.col("level") != F.col("was"))
         level = new.select("node", "level")
+        if not moved:
+            return level
     raise RuntimeError("the graph has a cycle")
 
 
 def shortest_paths(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:
     """``(node, distance, path)`` from ``source`` by breadth-first search; of equal paths the least. Unreached nodes are absent."""
     kind = edges.schema["src"].dataType
+    edges, _, size = _table(edges)
+    if size <= SMALL:
+        start = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("node"))
+        return checkpointed(in_task.in_one_task(edges, start, in_task.paths(source), "node NODE, distance long, path array<NODE>"))
     start = F.lit(source).cast(kind)
     seen = front = checkpointed(edges.sparkSession.range(1).select(start.alias("node"), F.lit(0).cast("long").alias("distance"), F.array(start).alias("path")))
     for _ in range(max_rounds):
         step = front.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
-        front = checkpointed(step.groupBy("node").agg(F.min("distance").alias("distance"), F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
-        if front.limit(1).count() == 0:
+        front, n = counted(step.groupBy("node").agg(F.min("distance").alias("distance"), F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
+        if not n:
             return seen
         seen = seen.union(front)
     raise RuntimeError("search did not end")
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes reached from ``roots(node)``, roots included."""
+    """Nodes reached from ``roots(node)``, roots included; the front of each round alone meets the edges."""
+    edges = checkpointed(edges.select("src", "dst").distinct())
     seen = front = checkpointed(roots.select("node").distinct())
     while True:
         step = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        front = checkpointed(step.join(seen, "node", "left_anti"))
-        if front.limit(1).count() == 0:
+        front, n = counted(step.join(seen, "node", "left_anti"))
+        if not n:
             return seen
         seen = seen.union(front)
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(df: DataFrame) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
+    """``spark.checkpoint.dir`` of the session, or what ``setCheckpointDir`` set; a temporary folder only on one machine."""
+    context = df.sparkSession.sparkContext
+    found = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() or ""
+    if not found and context.master != "local" and not context.master.startswith(("local[", "local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="graphloom-"))
 
 
@@ -21,3 +25,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df).rstrip('/')}/graphloom/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``checkpointed``, with the number of rows (of those that ``what`` holds for) counted as they are written, so that a
+    round's stop test needs no job of its own."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, (F.count("*") if what is None else F.count_if(what)).alias("n")))
+    return out, seen.get.get("n") or 0

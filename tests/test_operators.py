@@ -43,7 +43,10 @@ def naive_reach(edges, nodes):
 
 
 @pytest.mark.parametrize("seed", [1, 7])
-def test_scc_closure_levels(spark, seed):
+@pytest.mark.parametrize("small", [True, False])
+def test_scc_closure_levels(spark, seed, small, monkeypatch):
+    if not small:  # the distributed rounds
+        monkeypatch.setattr(G, "SMALL", 0), monkeypatch.setattr(G, "SMALL_CLOSURE", 0)
     edges, nodes = random_graph(seed)
     e, n = frame(spark, edges, "src long, dst long"), frame(spark, [(x,) for x in nodes], "node long")
     reach = naive_reach(edges, nodes)
@@ -61,6 +64,33 @@ def test_scc_closure_levels(spark, seed):
 
     got = dict(G.levels(G.condense(e, found), frame(spark, [(x,) for x in set(comp.values())], "node long")).collect())
     assert got == {x: up(x) for x in set(comp.values())}
+    around = reach | {(b, a) for a, b in reach}
+    label = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in around:
+            label[a] = label[b] = min(label[a], label[b])
+    assert dict(G.connected_components(e, n).collect()) == label
+    first = min(a for a, _ in edges)
+    best = {first: [first]}
+    front = [first]
+    while front:
+        front = [(b, [*best[a], b]) for a in front for c, b in edges if c == a and b not in best]
+        for b, path in sorted(front, key=lambda x: x[1]):
+            best.setdefault(b, path)
+        front = list(dict.fromkeys(b for b, _ in front))
+    assert {r.node: (r.distance, list(r.path)) for r in G.shortest_paths(e, first).collect()} == {x: (len(p) - 1, p) for x, p in best.items()}
+    assert {r.node for r in G.reachable(e, frame(spark, [(first,)], "node long")).collect()} == set(best)
+    with_null = e.union(frame(spark, [(None, 1), (2, None)], "src long, dst long"))
+    assert dict(G.scc(with_null, n).collect()) == comp
+
+
+def test_levels_refuse_a_ring(spark, monkeypatch):
+    ring, nodes = frame(spark, [(1, 2), (2, 1)], "src long, dst long"), frame(spark, [(1,), (2,)], "node long")
+    with pytest.raises(Exception, match="cycle"):
+        G.levels(ring, nodes).count()
+    monkeypatch.setattr(G, "SMALL", 0)
+    with pytest.raises(RuntimeError, match="cycle"):
+        G.levels(ring, nodes, max_rounds=4)
 
 
 def test_empty_graph(spark):
