@@ -1,4 +1,4 @@
-"""Import tables to dependency edges."""
+"""Import tables to dependency edges."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     dotted = F.replace(F.col("specifier"), F.lit("."), F.lit("/"))
     relative = rows.where("level > 0").select("*", F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(dotted, F.lit(""))).alias("stem"), F.lit(0).alias("order"), base.alias("_base")).where("_base is not null").drop("_base")
     roots = python_roots(files).select("root", F.row_number().over(Window.orderBy(F.desc(F.length("root")), "root")).alias("order"))
-    absolute = rows.where("level = 0 and specifier <> ''").crossJoin(F.broadcast(roots)).select(*rows.columns, F.concat_ws("/", F.nullif("root", F.lit("")), dotted).alias("stem"), "order")
+    absolute = rows.where("level = 0 and specifier <> ''").crossJoin(roots).select(*rows.columns, F.concat_ws("/", F.nullif("root", F.lit("")), dotted).alias("stem"), "order")
     stems = relative.unionByName(absolute)
     module = [F.struct((F.col("order") * 2).alias("rank"), F.concat("stem", F.lit(e)).alias("file")) for e in (".py", ".pyi")]
     inits = [F.struct((F.col("order") * 2 + 1).alias("rank"), F.concat_ws("/", F.nullif("stem", F.lit("")), F.lit(f"__init__{e}")).alias("file")) for e in (".py", ".pyi")]
@@ -99,6 +99,32 @@ def dependency_edges(imports: DataFrame, targets: DataFrame, granularity: str =
     return e.groupBy("src", "dst").agg(F.count("*").alias("weight"), F.bool_or(~F.col("deferred")).alias("hard"))
 
 
+def component_sizes(entities: DataFrame, granularity: str = "directory") -> DataFrame:
+    """Lines of the root entities (``parent_id`` null) of ``entities(path, parent_id, line_count)`` by component."""
+    return entities.where(F.col("parent_id").isNull()).groupBy(component(F.col("path"), granularity).alias("component")).agg(F.sum("line_count").alias("size"))
+
+
+def ring_crossings(edges: DataFrame, rings: DataFrame) -> DataFrame:
+    """Edges of ``edges(src, dst)`` between different nodes of one ring of ``rings(component, node)``, with the ring."""
+    a = rings.select(F.col("node").alias("src"), F.col("component").alias("ring"))
+    b = rings.select(F.col("node").alias("dst"), F.col("component").alias("ring"))
+    return edges.select("src", "dst").distinct().where("src <> dst").join(a, "src").join(b, ["dst", "ring"]).select("src", "dst", "ring")
+
+
+def cycle_facts(contract: str, edges: DataFrame, rings: DataFrame, component_of: DataFrame | None = None) -> DataFrame:
+    """``(contract, src, dst)`` for each import behind a ring.
+
+    With ``component_of(path, component)``, ``edges`` are between files and ``rings`` between their components; files without
+    a component have no facts. Which edges were taken for the rings (all, or without deferred ones) is the caller's choice.
+    """
+    if component_of is None:
+        return ring_crossings(edges, rings).select(F.lit(contract).alias("contract"), "src", "dst")
+    ends = [component_of.select(F.col("path").alias(c), F.col("component").alias(k)) for c, k in (("src", "_a"), ("dst", "_b"))]
+    files = edges.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst")
+    pairs = ring_crossings(files.select(F.col("_a").alias("src"), F.col("_b").alias("dst")), rings).select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    return files.join(pairs, ["_a", "_b"], "left_semi").select(F.lit(contract).alias("contract"), "src", "dst")
+
+
 def unresolved_share(imports: DataFrame, targets: DataFrame, own: Column) -> DataFrame:
     """Imports of the own code (``own``, a condition) without a target, and their share of these and the resolved."""
     hit = targets.select("path", "line", "specifier").distinct().withColumn("_t", F.lit(True))
@@ -110,7 +136,7 @@ def unresolved_share(imports: DataFrame, targets: DataFrame, own: Column) -> Dat
 def imports_behind(cut: DataFrame, imports: DataFrame, targets: DataFrame, granularity: str = "directory") -> DataFrame:
     """The file imports behind each component edge of ``cut(src, dst)``, sorted."""
     j = imports.join(targets, ["path", "line", "specifier"]).select(component(F.col("path"), granularity).alias("src"), component(F.col("target"), granularity).alias("dst"), F.concat_ws(" -> ", "path", "target").alias("edge"))
-    return j.join(F.broadcast(cut.select("src", "dst")), ["src", "dst"]).groupBy("src", "dst").agg(F.sort_array(F.collect_set("edge")).alias("imports"))
+    return j.join(cut.select("src", "dst"), ["src", "dst"]).groupBy("src", "dst").agg(F.sort_array(F.collect_set("edge")).alias("imports"))
 
 
 def path_aliases(text: str) -> dict[str, list[str]]:

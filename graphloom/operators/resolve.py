@@ -110,21 +110,29 @@ def name_ladder(sites: DataFrame, declarations: DataFrame, imports: DataFrame, e
 
     ``sites(site, path, name)``, ``declarations(entity, path, name)``, ``imports(path, name, file)`` (null name: any), ``external(path, name)``.
     Rungs: 1 unique in the own file, 2 the file a named import gives (with re-exports), 3 any imported file, 4 the whole
-    project. A name bound to an external module has no answer beyond rung 1.
+    project. A name bound to an external module has no answer beyond rung 1. Sites go down the ladder: those that a rung
+    answers leave before the next. Sites without a name, and those that nothing answers, are absent; repeated rows count once.
     """
-    d = declarations.select(F.col("entity"), F.col("path").alias("file"), "name")
-    own = sites.join(d.withColumnRenamed("file", "path"), ["path", "name"]).select("site", "entity")
-    own = own.withColumn("_n", F.count("*").over(Window.partitionBy("site"))).where("_n = 1").select("site", "entity", F.lit(1).alias("rung"))
-    rest = sites.join(external.select("path", "name").distinct(), ["path", "name"], "left_anti")
-    named = rest.join(imports.where("name is not null"), ["path", "name"]).select("site", "name", "file")
-    files = reexports(named, republished).join(named.select("site", "name").distinct(), "site") if republished is not None else named
-    second = files.join(d, ["file", "name"]).select("site", "entity", F.lit(2).alias("rung"))
-    third = rest.join(imports.select("path", "file").distinct(), "path").join(d, ["file", "name"]).select("site", "entity", F.lit(3).alias("rung"))
-    fourth = rest.join(d, "name").select("site", "entity", F.lit(4).alias("rung"))
-    every = reduce(DataFrame.union, (own, second, third, fourth)).distinct()
-    first = every.withColumn("_r", F.min("rung").over(Window.partitionBy("site"))).where("rung = _r").drop("_r")
+    d = checkpointed(declarations.select("entity", F.col("path").alias("file"), "name").distinct())
+    single = d.groupBy("file", "name").agg(F.count("*").alias("_n"), F.min("entity").alias("entity")).where("_n = 1")
+    waiting = checkpointed(sites.select("site", "path", "name").distinct())
+    answers = [checkpointed(waiting.join(single.select(F.col("file").alias("path"), "name", "entity"), ["path", "name"]).select("site", "entity", F.lit(1).alias("rung")))]
+    waiting = waiting.join(external.select("path", "name").distinct(), ["path", "name"], "left_anti")
+
+    def named(left: DataFrame) -> DataFrame:
+        hit = left.join(imports.where("name is not null"), ["path", "name"]).select("site", "name", "file").distinct()
+        files = hit if republished is None else reexports(hit, republished).join(hit.select("site", "name").distinct(), "site").select("site", "name", "file")
+        return files.join(d, ["file", "name"])
+
+    def imported(left: DataFrame) -> DataFrame:
+        return left.join(imports.select("path", "file").distinct(), "path").join(d, ["file", "name"])
+
+    for rung, find in ((2, named), (3, imported), (4, lambda left: left.join(d, "name"))):
+        waiting = checkpointed(waiting.join(answers[-1].select("site").distinct(), "site", "left_anti"))
+        answers.append(checkpointed(find(waiting).select("site", "entity", F.lit(rung).alias("rung")).distinct()))
+    every = reduce(DataFrame.union, answers)
     n = F.count("*").over(Window.partitionBy("site"))
-    return first.select("site", "entity", "rung", n.alias("candidates"), (1 / n).alias("confidence"))
+    return every.select("site", "entity", "rung", n.alias("candidates"), (1 / n).alias("confidence"))
 
 
 def qualifier_members(sites: DataFrame, declarations: DataFrame) -> DataFrame:

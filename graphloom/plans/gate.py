@@ -1,10 +1,11 @@
-"""Gate, contracts and ratchet around the rule compiler."""
+"""Gate, contracts and ratchet around the rule compiler."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +110,30 @@ def tightened(ceilings: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def effective_ceilings(project: DataFrame, layers: DataFrame, files: DataFrame) -> DataFrame:
     """The layer's limit where it has one, else the project's: (rule, path, limit)."""
-    return files.select("path", "layer").crossJoin(F.broadcast(project)).join(layers.select("layer", "rule", F.col("limit").alias("own")), ["layer", "rule"], "left").select("rule", "path", F.coalesce("own", "limit").alias("limit"))
+    return files.select("path", "layer").crossJoin(project).join(layers.select("layer", "rule", F.col("limit").alias("own")), ["layer", "rule"], "left").select("rule", "path", F.coalesce("own", "limit").alias("limit"))
+
+
+def glob_pattern(globs: DataFrame, glob: str = "glob") -> DataFrame:
+    """``globs`` with ``pattern``, each glob's regex, and ``head``, its first folder if that has no wildcard (else null)."""
+    @F.pandas_udf("string")
+    def regex(found: pd.Series) -> pd.Series:
+        return found.map(lambda g: None if g is None else glob_regex(g))
+
+    return globs.withColumn("pattern", regex(F.col(glob))).withColumn("head", F.nullif(F.regexp_extract(glob, r"^([^*?\[/]+)/", 1), F.lit("")))
 
 
 def scope_paths(decisions: DataFrame, files: DataFrame, globs: str = "globs") -> DataFrame:
-    """Decisions by the files that any of their globs matches. Globs are turned to regexes once for each decision."""
-    patterns = decisions.select("decision", F.explode(globs).alias("glob"))
-    known = [r.glob for r in patterns.select("glob").distinct().collect()]  # configuration, not data
-    table = decisions.sparkSession.createDataFrame([(g, glob_regex(g)) for g in known], "glob string, pattern string")
-    pairs = files.select("path").join(F.broadcast(patterns.join(table, "glob")), F.expr("path rlike pattern"))
-    return pairs.select("decision", "path").distinct()
+    """Decisions by the files that any of their globs matches: (decision, path).
+
+    Globs whose first folder is plain meet the files of that folder in an equi-join; only the others are tried on every file.
+    Null and empty lists match nothing.
+    """
+    patterns = glob_pattern(decisions.select("decision", F.explode(globs).alias("glob")).distinct())
+    rows = files.select("path").distinct().withColumn("head", F.regexp_extract("path", r"^([^/]*)/", 1))
+    plain = rows.join(patterns.where("head is not null").select("decision", "pattern", "head"), "head")
+    wild = rows.select("path").crossJoin(patterns.where("head is null").select("decision", "pattern"))
+    found = plain.select("decision", "path", "pattern").unionByName(wild.select("decision", "path", "pattern"))
+    return found.where(F.expr("path rlike pattern")).select("decision", "path").distinct()
 
 
 def reflexion(edges: DataFrame, layer: DataFrame, declared: DataFrame) -> DataFrame:

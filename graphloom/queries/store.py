@@ -24,8 +24,7 @@ def complexity_by_file(spark, sf_dir):
 
 def entity_scores(spark, sf_dir):
     """A3: the last order of a customer counts (by date, then key)."""
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("score"))
+    return S.last_scores(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", ["o_orderdate", "o_orderkey"])
 
 
 def table_counts(spark, sf_dir):
@@ -65,13 +64,15 @@ def occurrence_numbers(spark, sf_dir):
 
 
 def name_ladder(spark, sf_dir):
-    """Orders of 300 customers as sites, nations as files, segments as names."""
-    c = table(spark, sf_dir, "customer")
-    sites = c.where("c_custkey <= 300").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("path"), F.col("c_mktsegment").alias("name"))
-    decl = c.where("c_custkey % 37 = 0").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("path"), F.col("c_mktsegment").alias("name"))
+    """Customers as sites, those of the first region as declarations too, nations as files; names by segment and balance."""
+    c = table(spark, sf_dir, "customer").withColumn("name", F.concat_ws("/", "c_mktsegment", F.floor(F.col("c_acctbal") / 50).cast("string")))
     n = table(spark, sf_dir, "nation")
-    imports = n.select(F.col("n_nationkey").alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "BUILDING").alias("name"), ((F.col("n_nationkey") + 1) % 25).alias("file"))
-    external = n.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("path"), F.lit("MACHINERY").alias("name"))
+    sites = c.select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("path"), "name")
+    first = n.where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"))
+    decl = c.join(first, "c_nationkey", "left_semi").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("path"), "name")
+    imports = c.where("c_acctbal < 0").select(F.col("c_nationkey").alias("path"), "name", (F.col("c_custkey") % 25).cast("int").alias("file"))
+    imports = imports.union(n.select(F.col("n_nationkey").alias("path"), F.lit(None).cast("string").alias("name"), ((F.col("n_nationkey") + 1) % 25).alias("file")))
+    external = c.where("c_mktsegment = 'MACHINERY' and c_acctbal > 9000").select(F.col("c_nationkey").alias("path"), "name")
     return R.name_ladder(sites, decl, imports, external).select("site", "entity", "rung", "candidates", F.round("confidence", 6).alias("confidence"))
 
 
@@ -109,10 +110,11 @@ ORACLES = {
     "replace_and_prune": """SELECT l_suppkey AS path, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0
         WHERE l_suppkey % 2 = 1 OR l_quantity > 30 OR l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 30) GROUP BY 1""",
     "occurrence_numbers": "SELECT c_custkey AS start_byte, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS occurrence FROM customer",
-    "name_ladder": """WITH s AS (SELECT c_custkey AS site, c_nationkey AS path, c_mktsegment AS name FROM customer WHERE c_custkey <= 300), d AS (SELECT c_custkey AS entity, c_nationkey AS file, c_mktsegment AS name FROM customer WHERE c_custkey % 37 = 0),
-        i AS (SELECT n_nationkey AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' END AS name, (n_nationkey + 1) % 25 AS file FROM nation),
+    "name_ladder": """WITH c AS (SELECT *, c_mktsegment || '/' || floor(c_acctbal / 50)::BIGINT AS name FROM customer), s AS (SELECT c_custkey AS site, c_nationkey AS path, name FROM c),
+        d AS (SELECT c_custkey AS entity, c_nationkey AS file, name FROM c JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 0),
+        i AS (SELECT c_nationkey AS path, name, c_custkey % 25 AS file FROM c WHERE c_acctbal < 0 UNION ALL SELECT n_nationkey, NULL, (n_nationkey + 1) % 25 FROM nation),
         o AS (SELECT site, entity, 1 AS rung FROM (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM s JOIN d ON d.file = s.path AND d.name = s.name) WHERE n = 1),
-        r AS (SELECT * FROM s WHERE NOT (path % 5 = 0 AND name = 'MACHINERY')),
+        r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000 AND c_nationkey = s.path AND c.name = s.name)),
         a AS (SELECT * FROM o UNION SELECT site, entity, 2 FROM r JOIN i ON i.path = r.path AND i.name = r.name JOIN d ON d.file = i.file AND d.name = r.name
               UNION SELECT site, entity, 3 FROM r JOIN i ON i.path = r.path JOIN d ON d.file = i.file AND d.name = r.name UNION SELECT site, entity, 4 FROM r JOIN d ON d.name = r.name)
         SELECT site, entity, rung, count(*) OVER (PARTITION BY site) AS candidates, round(1 / count(*) OVER (PARTITION BY site), 6) AS confidence FROM (SELECT *, min(rung) OVER (PARTITION BY site) AS m FROM a) WHERE rung = m""",

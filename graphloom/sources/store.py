@@ -1,4 +1,4 @@
-"""Table sinks with replace-per-path semantics."""
+"""Table sinks with replace-per-path semantics."""
 
 from __future__ import annotations
 
@@ -38,6 +38,11 @@ def complexity_by_file(metrics: DataFrame, key: str) -> DataFrame:
     return metrics.where(F.col("metric_key") == key).groupBy("path").agg(F.sum("value").alias("value"))
 
 
+def last_scores(rows: DataFrame, entity: str, score: str, order: list[str]) -> DataFrame:
+    """A3: one score for each entity name, that of the last row by ``order``; rows without a name are left out."""
+    return rows.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.max_by(score, F.struct(*order)).alias("score"))
+
+
 def occurrence_numbers(entities: DataFrame) -> DataFrame:
     """Siblings of one (path, kind, qualified name), numbered by their start."""
     w = Window.partitionBy("path", "kind", "qualified_name").orderBy("start_byte")
