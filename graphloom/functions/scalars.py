@@ -1,4 +1,4 @@
-"""Scalar functions as columns."""
+"""Scalar functions as columns."""
 
 from __future__ import annotations
 
@@ -18,6 +18,24 @@ def private_by_name(name: Column, language: Column) -> Column:
     return F.when(F.length(name) > 0, rule)
 
 
+def declared_private(name: Column, language: Column, private_modifier: Column, public_modifier: Column, top_level: Column, exported: Column, module: Column) -> Column:
+    """is a definition private to its file? Null where the language has no rule for it.
+
+    Python and Go by name; Java and Swift by the modifier ``private``; Rust without any visibility modifier; TypeScript by
+    name, by modifier, or at the top level of an ES ``module`` that doesn't export it; JavaScript likewise without modifiers.
+    """
+    hash_name, unexported = name.startswith("#"), module & top_level & ~exported
+    rule = (
+        F.when(language == "python", name.startswith("_"))
+        .when(language == "go", ~F.substring(name, 1, 1).rlike(r"\p{Lu}"))
+        .when(language.isin("java", "swift"), private_modifier)
+        .when(language == "rust", ~public_modifier)
+        .when(language.isin("typescript", "tsx"), hash_name | private_modifier | unexported)
+        .when(language == "javascript", hash_name | unexported)
+    )
+    return F.coalesce(rule, F.when(language.isin("python", "go", "java", "swift", "rust", "typescript", "tsx", "javascript"), False))
+
+
 def dispatched_by_name(name: Column, language: Column, owner: Column) -> Column:
     """is the member reached through its class by its name: dunder, constructor, or the class's own name."""
     return F.coalesce(

@@ -9,6 +9,40 @@ from ..plans.gate import scope_paths
 from .text import bm25
 
 
+def contract_text(contract) -> str:
+    """what a declared contract asks for, in one line."""
+    names = contract.names
+    return {
+        "layered": f"imports go down only: {', then '.join(names)}",
+        "forbidden": f"{contract.source} stays clear of {', '.join(names)}",
+        "independence": f"no imports between {', '.join(names)}",
+        "deep_import": f"{', '.join(names)} opens at {', '.join(contract.entries) or 'no file'}",
+        "acyclic": "no import ring",
+    }[contract.kind]
+
+
+def candidates(settings, decisions: DataFrame) -> DataFrame:
+    """The project's ceilings, those of layers, contracts and accepted decisions, as constraints.
+
+    ``decisions(decision, title, status, body, globs, limits map<string,double>)``: an accepted one is prose, and each limit it sets
+    an enforced constraint of its own. Ids are positions in that order.
+    """
+    layers = dict(settings.layers)
+    made = [(rule, True, f"{rule} ceiling limit maximum {limit:g}", ["*"], rule, float(limit)) for rule, limit in sorted(settings.ceilings.items())]
+    made += [(f"{rule} in {layer}", True, f"{rule} ceiling limit maximum {limit:g} layer {layer}", list(layers.get(layer, ())), rule, float(limit)) for layer, own in sorted(settings.layer_ceilings.items()) for rule, limit in sorted(own.items())]
+    made += [(c.name, True, f"{c.name} {c.kind} {contract_text(c)}", [g for n in (*((c.source,) if c.source else ()), *c.names) for g in layers.get(n, ())], None, None) for c in settings.contracts]
+    schema = "id long, name string, enforced boolean, text string, globs array<string>, rule string, limit double"
+    fixed = decisions.sparkSession.createDataFrame([(i, *row) for i, row in enumerate(made)], schema)
+    said = decisions.where("status = 'accepted'")
+    text = F.concat_ws("\n", "title", "body")
+    prose = said.select(F.col("title").alias("name"), F.lit(False).alias("enforced"), text.alias("text"), "globs", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("double").alias("limit"), "decision", F.lit("").alias("_r"))
+    limits = said.select("decision", "globs", text.alias("text"), F.explode("limits").alias("rule", "limit"))
+    tight = limits.select(F.concat("rule", F.lit(" ("), F.col("decision").cast("string"), F.lit(")")).alias("name"), F.lit(True).alias("enforced"), "text", "globs", "rule", "limit", "decision", F.col("rule").alias("_r"))
+    order = Window.orderBy("decision", "_r")  # decisions are configuration: few rows
+    rest = prose.unionByName(tight).withColumn("id", F.row_number().over(order) - 1 + len(made))
+    return fixed.unionByName(rest.select(F.col("id").cast("long").alias("id"), "name", "enforced", "text", "globs", "rule", "limit"))
+
+
 def annotate(constraints: DataFrame, files: DataFrame, task: str) -> DataFrame:
     """``governs`` (files that a constraint covers) and ``relevance`` (score of its text for the task).
 

@@ -92,6 +92,59 @@ def resolve_packages(imports: DataFrame, files: DataFrame, packages: DataFrame)
     return whole.union(single).where("target <> path").distinct()
 
 
+def resolve_swift(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """F33 for Swift: a module's import reaches every Swift file below a folder ``Sources/<module>``."""
+    owner = F.regexp_extract("path", r"(?:^|/)Sources/([^/]+)/", 1)
+    # nested packages: each ``Sources`` folder on the way names a module
+    modules = files.where(F.col("path").endswith(".swift")).select(F.col("path").alias("target"), F.explode(F.array_distinct(F.concat(F.regexp_extract_all("path", F.lit(r"(?:^|/)Sources/([^/]+)(?=/)"), F.lit(1)), F.array(owner)))).alias("specifier"))
+    return imports.select("path", "line", "specifier").join(modules.where("specifier <> ''").distinct(), "specifier").select("path", "line", "specifier", "target")
+
+
+#: Files that are a module themselves; other files open a folder of children beside them.
+_OWN_MODULE = ("lib", "main", "mod")
+
+
+def resolve_rust(imports: DataFrame, files: DataFrame, crates_: DataFrame) -> DataFrame:
+    """``use`` paths (``::`` or ``.`` between segments) to the file of the deepest module that they name, one at most.
+
+    ``crates_(crate, folder, root)``: name, folder and root file of each crate. The head tells where the rest is looked up:
+    ``crate`` from the root of the file's crate (that of the longest folder about it), ``self`` from the file's own module, ``super``
+    from its parent, a crate's name from that crate's root; any other head is a dependency. Segments are dropped from the end until
+    ``<stem>.rs`` or ``<stem>/mod.rs`` is known; if none is, the base module's own file is the target. Candidates of
+    all lengths meet the known files in one equi-join. A ``super`` in a crate's root means that root.
+    """
+    known = files.select(F.col("path").alias("file")).distinct()
+    segments = F.filter(F.split("specifier", r"::|\."), lambda x: x != "")
+    rows = imports.select("path", "line", "specifier", segments.alias("segments")).where(F.size("segments") > 0)
+    rows = rows.select("path", "line", "specifier", F.get("segments", F.lit(0)).alias("head"), F.slice("segments", 2, 1000).alias("rest"))
+    stem, here = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), folder(F.col("path"))
+    under = lambda base, name: F.when(base == "", name).otherwise(F.concat_ws("/", base, name))
+    children = F.when(stem.isin(*_OWN_MODULE), here).otherwise(under(here, stem))
+    self_ = rows.where("head = 'self'").select("path", "line", "specifier", "rest", children.alias("base"), F.col("path").alias("own"))
+    at_root = stem.isin("lib", "main")
+    above = F.when(at_root, children).when(stem == "mod", folder(here)).otherwise(here)
+    up = rows.where("head = 'super'").select("path", "line", "specifier", "rest", above.alias("base"), at_root.alias("_root"))
+    homes = files.select("path").distinct().where(F.col("path").endswith(".rs"))
+    spelled = homes.select(F.when(F.col("path").rlike(r"(^|/)mod\.rs$"), folder(F.col("path"))).otherwise(F.regexp_replace("path", r"\.rs$", "")).alias("base"), F.col("path").alias("_file"), F.col("path").rlike(r"(^|/)mod\.rs$").alias("_mod"))
+    roots = crates_.select(folder(F.col("root")).alias("base"), F.col("root").alias("_file"))
+    best = spelled.select("base", "_file", F.when(F.col("_mod"), 0).otherwise(1).alias("_k")).union(roots.select("base", "_file", F.lit(2))).groupBy("base").agg(F.min(F.struct("_k", "_file")).alias("_b")).select("base", F.col("_b._file").alias("_file"))
+    super_ = up.join(best, "base", "left").select("path", "line", "specifier", "rest", "base", F.when(F.col("_root"), F.col("path")).otherwise(F.col("_file")).alias("own"))
+    folders = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
+    about = rows.where("head = 'crate'").select("path").distinct().select("path", F.explode(folders).alias("folder")).join(crates_.select("folder", "root"), "folder")
+    mine = about.groupBy("path").agg(F.max_by("root", F.length("folder")).alias("root"))
+    crate = rows.where("head = 'crate'").join(mine, "path")
+    other = rows.where(~F.col("head").isin("crate", "self", "super")).join(crates_.select(F.col("crate").alias("head"), "root"), "head")
+    rooted = crate.select("path", "line", "specifier", "rest", "root").union(other.select("path", "line", "specifier", "rest", "root"))
+    rooted = rooted.select("path", "line", "specifier", "rest", folder(F.col("root")).alias("base"), F.col("root").alias("own"))
+    bases = self_.unionByName(super_).unionByName(rooted)
+    lengths = bases.select("path", "line", "specifier", "base", "rest", F.explode(F.when(F.size("rest") > 0, F.sequence(F.lit(1), F.size("rest"))).otherwise(F.array().cast("array<int>"))).alias("n"))
+    stems = lengths.withColumn("stem", under(F.col("base"), F.array_join(F.expr("slice(rest, 1, n)"), "/")))
+    options = F.array(F.struct((-2 * F.col("n")).alias("rank"), F.concat("stem", F.lit(".rs")).alias("file")), F.struct((1 - 2 * F.col("n")).alias("rank"), F.concat("stem", F.lit("/mod.rs")).alias("file")))
+    deep = _first(stems.select("path", "line", "specifier", F.explode(options).alias("c")).select("path", "line", "specifier", "c.rank", "c.file"), files)
+    plain = bases.where("own is not null").join(deep, ["path", "line", "specifier"], "left_anti").join(known, bases.own == known.file, "left_semi").select("path", "line", "specifier", F.col("own").alias("target"))
+    return deep.unionByName(plain).distinct()
+
+
 def dependency_edges(imports: DataFrame, targets: DataFrame, granularity: str = "directory") -> DataFrame:
     """Component edges with weight, and whether an import outside functions stands behind them (``hard``)."""
     j = imports.join(targets, ["path", "line", "specifier"])

@@ -1,4 +1,4 @@
-"""Readers of trees, logs, diffs, decisions, baselines and index files."""
+"""Readers of trees, logs, diffs, decisions, baselines and index files (S1-S4, S6-S14, S17, S18d, S19, F31, F40)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.gate import matches_any
 
 #: Folders that a source scan passes over.
-SKIPPED = (".git", "node_modules", "dist", "build", "target", "vendor", "__pycache__", ".venv", "venv", ".tox")
+SKIPPED = (".git", "node_modules", "dist", "build", "target", "vendor", "third_party", "site-packages", "__pycache__", ".venv", "venv", ".tox")
 SUFFIXES = {".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".swift": "swift"}
 #: Fixed field and record separators of the log format that ``parse_log`` reads.
 RECORD, FIELD = "\x1e", "\x00"
@@ -21,12 +21,37 @@ def language(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[F.regexp_extract(path, r"(\.[^./]+)$", 1)]
 
 
+def source_folders(root: str, excludes: Sequence[str] = ()) -> list[str]:
+    """The folders under a local ``root`` that a scan enters: skipped ones, dot folders and those that a glob covers whole are
+    never listed, nor what lies in them."""
+    import os
+    from fnmatch import fnmatch
+
+    out = []
+    for at, inner, _ in os.walk(root):
+        rel = os.path.relpath(at, root)
+        inner[:] = sorted(d for d in inner if d not in SKIPPED and not d.startswith(".") and not any(fnmatch(os.path.normpath(f"{rel}/{d}") + "/", g if g.endswith("/") else g.removesuffix("*") + "*") and g.endswith(("/*", "/**", "/")) for g in excludes))
+        out.append(at)
+    return out
+
+
 def source_tree(spark: SparkSession, root: str, excludes: Sequence[str] = ()) -> DataFrame:
-    """Files with a known language under ``root``: (path, language, sha, size, content). Skipped and dot folders and globs are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace("path", rf"^.*?{root.rstrip('/')}/", "")
-    folders = F.slice(F.split("rel", "/"), 1, F.size(F.split("rel", "/")) - 1)
-    skip = F.exists(folders, lambda d: d.isin(*SKIPPED) | d.startswith("."))
+    """Files with a known language under ``root``: (path, language, sha, size, content). Skipped and dot folders and globs are left out.
+
+    A local root is walked first, so that skipped folders are pruned and never listed by Spark; files of other stores are listed
+    whole and filtered by path before their contents are read.
+    """
+    import os
+
+    name = F.col("path")
+    if os.path.isdir(root):
+        folders = source_folders(root, excludes)
+        files = spark.read.format("binaryFile").load(folders)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = F.regexp_replace(name, rf"^.*?{root.rstrip('/')}/", "")
+    parts = F.slice(F.split("rel", "/"), 1, F.size(F.split("rel", "/")) - 1)
+    skip = F.exists(parts, lambda d: d.isin(*SKIPPED) | d.startswith("."))
     rows = files.select(rel.alias("rel"), "content", F.col("length").alias("size")).withColumn("language", language(F.col("rel")))
     return rows.where(F.col("language").isNotNull() & ~skip & ~matches_any(F.col("rel"), excludes)).select(F.col("rel").alias("path"), "language", F.sha2("content", 256).alias("sha"), "size", "content")
 
@@ -55,12 +80,34 @@ def parse_log(text: DataFrame) -> DataFrame:
     return parts.select("commit", "author", "email", "ts", "subject", new.alias("path"), F.when(old != new, old).alias("old_path"), count(0).alias("added"), count(1).alias("deleted"))
 
 
-def git_log(spark: SparkSession, repository: str) -> DataFrame:
-    """The log of a local repository, read on the driver, as changes."""
+def git_log(spark: SparkSession, repository: str, paths: Sequence[str] = (), merges: bool = False, most: int | None = None, since: str | None = None) -> DataFrame:
+    """The log of a local repository as changes: of some paths, with merges, at most so many commits, since a date.
+
+    The log goes to a file, record by record, and is read from there by record, so that no process holds it whole.
+    """
+    import subprocess
+    import uuid
+
+    from ..runtime import shared_folder
+
+    command = ["git", "-C", repository, "log", "--numstat", "-M", "-C", *([] if merges else ["--no-merges"]), *([] if most is None else [f"--max-count={most}"]), *([] if since is None else [f"--since={since}"])]
+    folder = shared_folder(spark.range(0)).removeprefix("file://")
+    import os
+
+    os.makedirs(f"{folder}/graphloom", exist_ok=True)
+    path = f"{folder}/graphloom/log-{uuid.uuid4().hex}.txt"
+    with open(path, "wb") as out:
+        subprocess.run([*command, "--format=%x1e%H%x00%aN%x00%aE%x00%aI%x00%s", "--", *paths], stdout=out, check=True)
+    return parse_log(spark.read.option("lineSep", RECORD).text(f"file://{path}"))
+
+
+def changed_files(spark: SparkSession, repository: str, base: str, head: str) -> DataFrame:
+    """The files that a range touched since its merge base and that still exist: (path)."""
+    import os
     import subprocess
 
-    done = subprocess.run(["git", "-C", repository, "log", "--numstat", "-M", "-C", "--no-merges", "--format=%x1e%H%x00%aN%x00%aE%x00%aI%x00%s"], capture_output=True, text=True, check=True)
-    return parse_log(spark.createDataFrame([(done.stdout,)], "value string"))
+    done = subprocess.run(["git", "-C", repository, "diff", "--name-only", f"{base}...{head}"], capture_output=True, text=True, check=True)
+    return spark.createDataFrame([(x,) for x in done.stdout.splitlines() if x and os.path.isfile(f"{repository}/{x}")], "path string")
 
 
 def diff_lines(diff: DataFrame) -> DataFrame:
