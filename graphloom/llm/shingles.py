@@ -1,32 +1,12 @@
-"""Vectorised word and shingle hashing over UTF-8 bytes (numpy only)."""
+"""Word and shingle hashes, minima and their signatures."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MASK = (1 << 64) - 1
-
-
-class _Powers:
-    """Powers of an odd base modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base = base
-        self.table = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        while len(self.table) < n:
-            step = np.uint64(pow(self.base, len(self.table), 1 << 64))
-            self.table = np.concatenate([self.table, self.table * step])
-        return self.table[:n]
-
-
-_UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
-
+#: Minima in a signature, one byte of each; standard deviations by which an estimate may fall short.
+LANES, SLACK = 128, 6.0
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
@@ -38,20 +18,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: bytes) -> np.ndarray:
     """One 64-bit hash for each word between ASCII white space, in order.
 
-    ``data`` is UTF-8 with A-Z lower-cased by the caller (``bytes.lower``). A word's hash is a
-    polynomial in an odd base modulo 2**64, made position-free with the inverse powers and mixed
-    with the word's length.
+    ``data`` is UTF-8 with A-Z lower-cased by the caller (``bytes.lower``).
     """
-    codes = np.frombuffer(data, dtype=np.uint8)
-    if not len(codes):
-        return np.zeros(0, dtype=np.uint64)
-    inside = np.concatenate([[False], ~_SPACE[codes], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    total = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _UP.upto(len(codes)), out=total[1:])
-    value = (total[ends] - total[starts]) * _DOWN.upto(len(codes))[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(data: bytes, k: int) -> np.ndarray:
@@ -70,7 +40,7 @@ def shingle_set(data: bytes, k: int) -> np.ndarray:
 
 
 class MinHasher:
-    """Many universal hash minima: ``min((a * x + b) mod 2**32)`` for seeded odd ``a``."""
+    """Many universal hash minima: the upper 24 bits of ``(a * x + b) mod 2**32`` for seeded odd ``a`` (multiply-shift)."""
 
     def __init__(self, bands: int, rows: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -80,14 +50,18 @@ class MinHasher:
         self.b = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
-        """One 32-bit minimum for each hash function; ``shingles`` must not be empty."""
-        low = (shingles >> np.uint64(32)).astype(np.uint32)
+        """One 24-bit minimum for each hash function; ``shingles`` must not be empty."""
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
         out = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
-        for i in range(0, len(low), 128):
-            part = low[i : i + 128, None] * self.a
+        for i in range(0, len(x), 128):
+            part = x[i : i + 128, None] * self.a
             part += self.b
             np.minimum(out, part.min(axis=0), out=out)
-        return out
+        return out >> np.uint32(8)
+
+    def signature(self, minima: np.ndarray) -> bytes:
+        """One byte of each of the first LANES minima."""
+        return (minima[:LANES] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
         """A 64-bit key for each band of ``rows`` minima; the band's number is part of it."""
@@ -106,3 +80,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def least_agreement(percent: int, lanes: int) -> int:
+    """Equal lanes of two signatures below which their similarity is, but for a chance of about 1e-9, under ``percent``."""
+    t = percent / 100
+    return int(lanes * max(0.0, t - SLACK * (t * (1 - t) / lanes) ** 0.5))
