@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
-#: Rows of an Arrow batch that are Python objects at a time.
-SLICE = 1000
+#: Rows, and bytes, of an Arrow batch on its way to Python: what a task holds of its texts outside the heap and in Python.
+SLICE, SLICE_BYTES = 1000, 8 << 20
 #: Bits of a broadcast bitmap (8 MB as rows).
 SLOTS = 1 << 25
 
@@ -80,6 +81,22 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return marked.where(~F.col("_maybe")).select(*columns).unionByName(marked.where("_maybe").select(*columns).join(gone.select(column).hint("merge"), column, "left_anti").select(*columns))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in small Arrow batches: SLICE rows or SLICE_BYTES, whichever is less.
+
+    At the usual 10,000 rows a task's texts take hundreds of megabytes outside the heap, which the executor's pools keep.
+    Results don't depend on it. A session whose batches are smaller keeps them.
+    """
+    for key, most in (("maxRecordsPerBatch", SLICE), ("maxBytesPerBatch", SLICE_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        try:
+            now = spark.conf.get(name)
+        except Exception:  # noqa: BLE001  another release without this setting
+            continue
+        if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= most):
+            spark.conf.set(name, str(most))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], Iterable[tuple]]],
@@ -91,6 +108,7 @@ def map_rows(
     The inner function gets their columns as lists and yields output tuples; they leave in
     batches of ``flush`` rows, so that memory is bound by a batch and not by a partition.
     """
+    small_batches(df.sparkSession)
     out_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -116,10 +134,21 @@ def map_rows(
                     rows = []
         if rows:
             yield to_batch(rows, arrow)
+        del each, rows, last
+        _give_back()
 
     return df.mapInArrow(run, out_schema)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, as idle workers are kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

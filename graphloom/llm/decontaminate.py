@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows, materialise
 
@@ -159,58 +162,74 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     removed from the first to the last byte of their words; the text itself if nothing is hit) and
     ``over`` (coverage n_hit / n_words above ``max_coverage``).
 
-    The automaton is built from the items on the driver in pieces of at most AUTOMATON_WORDS
-    words, so what goes to a worker is bounded; with several pieces the documents stream once through each and
-    the hits are united. Documents are never shuffled.
+    The automaton is built from the items on the driver in pieces of at most AUTOMATON_WORDS words, so what goes to a worker is
+    bounded. With one piece the documents stream through it once and are never shuffled or written. With several they are
+    written once with row ids and stream through each; only the hits are written and, by row, united and joined back.
 
     Edge cases: null text has no words and stays null; null or empty items mark nothing; an item with a
     null id marks words but is not listed; repeated item ids are listed once; repeated documents stay
-    separate rows; no items or no documents give no hits or no rows. Other columns are ignored.
+    separate rows; a very long text is streamed word by word; no items or no documents give no hits or no rows. Columns that
+    aren't kept are ignored, whatever their names.
     """
     texts = docs.select("doc_id", "text", *keep)
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    state = "struct<n_words:bigint,longest:bigint,item_ids:array<string>,spans:array<struct<first:int,last:int>>>"
-    out = texts.withColumn("_hits", F.lit(None).cast(state))
-    pieces = 0
-    for automaton in _automata(items, window):
-        if pieces:
-            out = materialise(out, "decontaminate")
-        out = _stream(out, automaton)
-        pieces += 1
-    if not pieces:
-        out = _stream(out, SuffixAutomaton([], window))
-    h = F.col("_hits")
-    n_hit = F.aggregate(h["spans"], F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
-    out = out.select("doc_id", h["n_words"].alias("n_words"), n_hit.alias("n_hit"), h["longest"].alias("longest"), h["item_ids"].alias("item_ids"), h["spans"].alias("spans"), *keep, *(["text"] if with_text else []))
-    if not with_text:
-        return out
-    limit = F.lit(1.0 if max_coverage is None else max_coverage)
-    return _cut(out).withColumn("over", F.col("n_hit") > F.col("n_words") * limit)
-
-
-def _stream(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+    named = {f.name: f for f in texts.schema.fields}
+    found = "n_words long, n_hit long, longest long, item_ids array<string>, spans array<struct<first:int,last:int>>"
+    schema = T.StructType([named["doc_id"], *T._parse_datatype_string(found).fields, *[named[k] for k in keep], *(T._parse_datatype_string("clean_text string, over boolean").fields if with_text else [])])
+    limit = 1.0 if max_coverage is None else max_coverage
+
+    def finished(doc: int | None, text: str | None, kept: tuple, words: list[bytes], ranges: list[tuple[int, int]], names: list[str], longest: int) -> tuple:
+        hit = sum(b - a + 1 for a, b in ranges)
+        tail = (cut(text, ranges), hit > len(words) * limit) if with_text else ()
+        return (doc, len(words), hit, longest, names, [{"first": a, "last": b} for a, b in ranges], *kept, *tail)
+
+    automata = _automata(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window)
+    first, second = next(automata, None), next(automata, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first or SuffixAutomaton([], window))
+
+        def make():
+            machine = shared.value
+
+            def each(c):
+                for doc, text, *kept in zip(c["doc_id"], c["text"], *(c[k] for k in keep), strict=True):
+                    words = fold(text).split()
+                    ranges, names, longest = machine.scan(words)
+                    yield finished(doc, text, kept, words, ranges, sorted(names - {None}), longest)
+
+            return each
+
+        return map_rows(texts, make, schema, flush=500)
+
+    numbered = materialise(texts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    hits = reduce(DataFrame.union, [materialise(_hits(numbered.select("_row", "text"), machine), "hits") for machine in chain((first, second), automata)])
+    union = hits.groupBy("_row").agg(F.max("longest").alias("_longest"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("_ids"), F.flatten(F.collect_list("spans")).alias("_spans"))
+
+    def unite():
+        def each(c):
+            for doc, text, ids, spans, longest, *kept in zip(c["doc_id"], c["text"], c["_ids"], c["_spans"], c["_longest"], *(c[k] for k in keep), strict=True):
+                yield finished(doc, text, kept, fold(text).split(), merge([(s["first"], s["last"]) for s in spans or ()]), ids or [], longest or 0)
+
+        return each
+
+    return map_rows(numbered.join(union, "_row", "left").select("doc_id", "text", "_ids", "_spans", "_longest", *keep), unite, schema, flush=500)
+
+
+def _hits(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+    """(_row, longest, item_ids, spans) of the rows that one automaton matches anywhere."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def make():
         machine = shared.value
 
         def each(c):
-            names = list(c)
-            for row in zip(*c.values(), strict=True):
-                values = dict(zip(names, row, strict=True))
-                words = fold(values["text"]).split()
-                ranges, found, longest = machine.scan(words)
-                found.discard(None)
-                before = values["_hits"]
-                if before is not None:
-                    found |= set(before["item_ids"])
-                    ranges = merge(ranges + [(s["first"], s["last"]) for s in before["spans"]])
-                    longest = max(longest, before["longest"])
-                yield (*row[:-1], {"n_words": len(words), "longest": longest, "item_ids": sorted(found), "spans": [{"first": a, "last": b} for a, b in ranges]})
+            for row, text in zip(c["_row"], c["text"], strict=True):
+                ranges, names, longest = machine.scan(fold(text).split())
+                if longest:
+                    yield row, longest, sorted(names - {None}), [{"first": a, "last": b} for a, b in ranges]
 
         return each
 
-    return map_rows(docs, make, docs.schema, flush=500)
+    return map_rows(docs, make, "_row long, longest long, item_ids array<string>, spans array<struct<first:int,last:int>>", flush=500)
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,24 +242,6 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(found: DataFrame) -> DataFrame:
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*found.drop("text").schema.fields, T.StructField("clean_text", T.StringType())])
-    names = found.columns
-
-    def make():
-        def each(c):
-            for row in zip(*c.values(), strict=True):
-                values = dict(zip(names, row, strict=True))
-                text = values.pop("text")
-                yield (*values.values(), cut(text, [(s["first"], s["last"]) for s in values["spans"]]))
-
-        return each
-
-    return map_rows(found, make, schema, flush=500)
-
-
 def cut(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
     """``text`` without the bytes from each range's first word to its last."""
     if not ranges or text is None:
