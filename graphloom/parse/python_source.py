@@ -1,4 +1,4 @@
-"""Per-file measures of Python sources with the standard library's parser.
+"""Per-file measures of Python sources with the standard library's parser.
 
 Only Python can be parsed here. A file of another language, or one that doesn't parse, gets a row with ``parse_incomplete`` and no
 measures: never a zero.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import io
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -254,6 +254,163 @@ def measure(path: str, text: str) -> Iterator[tuple]:
         yield row("sloc", sum(bool(x.strip()) and not x.strip().startswith("#") for x in lines[start - 1 : end]))
 
 
+def scopes(tree: ast.Module) -> tuple[list[tuple], list[tuple]]:
+    """scopes ``(scope, parent, kind, name, start, end)`` by number, the module 0, and bindings ``(scope, name, kind, line)``.
+
+    Functions, classes, lambdas and comprehensions open a scope. Kinds of bindings: parameter, receiver (a method's first
+    parameter, unless it is static), import, definition, assignment. ``global`` and ``nonlocal`` names bind where they live; a walrus in a
+    comprehension binds outside it. The first binding of a name and kind in a scope counts.
+    """
+    found: list[tuple] = []
+    bound: dict[tuple[int, str, str], int] = {}
+    moved: dict[tuple[int, str], int] = {}
+
+    def bind(scope: int, name: str, kind: str, line: int) -> None:
+        bound.setdefault((moved.get((scope, name), scope), name, kind), line)
+
+    def opened(parent: int | None, kind: str, name: str, node: ast.AST) -> int:
+        found.append((len(found), parent, kind, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", None)))
+        return len(found) - 1
+
+    def outward(scope: int, name: str, whole: bool) -> int:
+        """Where a ``global`` (``whole``) or ``nonlocal`` name lives."""
+        while not whole and found[scope][1] is not None:
+            scope = found[scope][1]
+            if found[scope][2] == "function" and any(k[0] == scope and k[1] == name for k in bound):
+                return scope
+        return 0
+
+    def names(target: ast.AST) -> Iterator[ast.Name]:
+        return (x for x in ast.walk(target) if isinstance(x, ast.Name) and isinstance(x.ctx, (ast.Store, ast.Del)))
+
+    def parameters(node: ast.AST, scope: int, method: bool) -> None:
+        args = node.args
+        static = any(ast.unparse(d) == "staticmethod" for d in getattr(node, "decorator_list", ()))
+        first = [*args.posonlyargs, *args.args][:1] if method and not static else []
+        for a in [*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg))]:
+            bind(scope, a.arg, "receiver" if a in first else "parameter", a.lineno)
+
+    def visit(node: ast.AST, scope: int) -> None:
+        for x in ast.iter_child_nodes(node):
+            if isinstance(x, _FUNCTION):
+                bind(scope, x.name, "definition", x.lineno)
+                inner = opened(scope, "function", x.name, x)
+                parameters(x, inner, found[scope][2] == "class")
+                for outer in [*x.decorator_list, *x.args.defaults, *filter(None, x.args.kw_defaults)]:
+                    visit(ast.Expr(outer), scope)
+                for y in x.body:
+                    visit(ast.Module([y], []), inner)
+                continue
+            if isinstance(x, ast.ClassDef):
+                bind(scope, x.name, "definition", x.lineno)
+                inner = opened(scope, "class", x.name, x)
+                for outer in [*x.decorator_list, *x.bases, *(k.value for k in x.keywords)]:
+                    visit(ast.Expr(outer), scope)
+                for y in x.body:
+                    visit(ast.Module([y], []), inner)
+                continue
+            if isinstance(x, ast.Lambda):
+                inner = opened(scope, "lambda", "", x)
+                parameters(x, inner, False)
+                visit(ast.Expr(x.body), inner)
+                continue
+            if isinstance(x, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
+                inner = opened(scope, "comprehension", "", x)
+                for g in x.generators:
+                    for n in names(g.target):
+                        bind(inner, n.id, "assignment", n.lineno)
+                visit(x, inner)
+                continue
+            if isinstance(x, (ast.Global, ast.Nonlocal)):
+                for name in x.names:
+                    moved[scope, name] = outward(scope, name, isinstance(x, ast.Global))
+            elif isinstance(x, (ast.Import, ast.ImportFrom)):
+                for a in x.names:
+                    if a.name != "*":
+                        bind(scope, a.asname or (a.name.split(".")[0] if isinstance(x, ast.Import) else a.name), "import", x.lineno)
+            elif isinstance(x, ast.NamedExpr):
+                home = scope
+                while found[home][2] == "comprehension":
+                    home = found[home][1]
+                bind(home, x.target.id, "assignment", x.lineno)
+            elif isinstance(x, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.For, ast.AsyncFor, ast.Delete)):
+                for target in x.targets if isinstance(x, (ast.Assign, ast.Delete)) else [x.target]:
+                    for n in names(target):
+                        bind(scope, n.id, "assignment", n.lineno)
+            elif isinstance(x, ast.withitem) and x.optional_vars is not None:
+                for n in names(x.optional_vars):
+                    bind(scope, n.id, "assignment", n.lineno)
+            elif isinstance(x, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and x.name:
+                bind(scope, x.name, "assignment", x.lineno)
+            elif isinstance(x, ast.MatchMapping) and x.rest:
+                bind(scope, x.rest, "assignment", x.lineno)
+            visit(x, scope)
+
+    opened(None, "module", "", tree)
+    visit(tree, 0)
+    return found, sorted((*k, line) for k, line in bound.items())
+
+
+def _mapped(files: DataFrame, make: Callable[[str, str], Iterable[tuple]], schema: str) -> DataFrame:
+    """``make(path, text)``'s rows of every file that parses, a file at a time on the workers; others, and null texts, have none."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                try:
+                    rows = list(make(path, text)) if text is not None else []
+                except (SyntaxError, ValueError, tokenize.TokenError, RecursionError):
+                    rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return files.select("path", "text").mapInArrow(run, schema)
+
+
+def import_rows(files: DataFrame) -> DataFrame:
+    """F32: (path, line, specifier, kind, level, names, deferred)."""
+    return _mapped(files, lambda path, text: [(path, *row) for row in imports(ast.parse(text))], "path string, line int, specifier string, kind string, level int, names array<string>, deferred boolean")
+
+
+def member_rows(files: DataFrame) -> DataFrame:
+    """(path, cls, method, member, access) of all classes, nested ones by qualified name; methods without any access have null members."""
+
+    def make(path: str, text: str) -> Iterator[tuple]:
+        for name, kind, _, node in entities(ast.parse(text), path):
+            if kind == "class":
+                touched = members(node)
+                yield from ((path, name, *row) for row in touched)
+                idle = {m.name for m in node.body if isinstance(m, _FUNCTION)} - {m for m, *_ in touched}
+                yield from ((path, name, m, None, None) for m in sorted(idle))
+
+    return _mapped(files, make, "path string, cls string, method string, member string, access string")
+
+
+def call_rows(files: DataFrame) -> DataFrame:
+    """F16: (path, entity, callee) of functions and methods."""
+    return _mapped(files, lambda path, text: [(path, name, c) for name, kind, _, node in entities(ast.parse(text), path) if kind in ("function", "method") for c in callees(node)], "path string, entity string, callee string")
+
+
+def token_rows(files: DataFrame) -> DataFrame:
+    """(path, pos, norm, line), as ``clone_classes`` takes them."""
+    return _mapped(files, lambda path, text: [(path, i, t, line) for i, (t, line) in enumerate(norm_tokens(text))], "path string, pos int, norm string, line int")
+
+
+def scope_rows(files: DataFrame) -> DataFrame:
+    """(path, scope, parent, kind, name, start, end)."""
+    return _mapped(files, lambda path, text: [(path, *row) for row in scopes(ast.parse(text))[0]], "path string, scope int, parent int, kind string, name string, start int, end int")
+
+
+def binding_rows(files: DataFrame) -> DataFrame:
+    """(path, scope, name, kind, line)."""
+    return _mapped(files, lambda path, text: [(path, *row) for row in scopes(ast.parse(text))[1]], "path string, scope int, name string, kind string, line int")
+
+
 def measure_files(files: DataFrame) -> DataFrame:
     """``files(path, text)`` to METRICS rows, a file at a time on the workers."""
     import pyarrow as pa

@@ -30,6 +30,26 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.crossJoin(F.broadcast(ranked_pick(w, "weight", 0.9))).where("weight >= pick").select("src", "dst", "weight")
 
 
+def referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between customers: everyone's last order (by date, then key) names the customer of its key's number; all customers and orders."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    last = o.groupBy(F.col("o_custkey").alias("src")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("k"))
+    n = c.agg(F.count("*").alias("n"))
+    return last.crossJoin(n).select("src", (F.col("k") % F.col("n")).alias("dst"))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+
+
+#: SQL of ``referrals`` as e(src, dst) and of what each customer reaches.
+REFERRALS = """
+e AS (SELECT o_custkey AS src, max_by(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) % (SELECT count(*) FROM customer) AS dst FROM orders GROUP BY 1),
+reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+ring AS (SELECT r.src AS node, min(b.src) AS component, count(*) AS size FROM reach r JOIN reach b ON b.src = r.dst AND b.dst = r.src GROUP BY 1),
+comp AS (SELECT c_custkey AS node, least(c_custkey, coalesce(component, c_custkey)) AS component FROM customer LEFT JOIN ring ON node = c_custkey)"""
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
 

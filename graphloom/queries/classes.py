@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import classes as C
+from ..streaming.ledger import ledger_at_once
 from .base import TRADE, nations, table, trade
 
 
@@ -56,11 +56,8 @@ def shredding(spark, sf_dir):
 
 def attempt_ledger(spark, sf_dir):
     """Y2, Y4, W6 over all events at once: attempts and last eight values of each key."""
-    e = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = e.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("user_id", "event_type"))).where("r <= 8")
-    g = last.groupBy("user_id", "event_type").agg(F.max("n").alias("attempts"), F.sort_array(F.collect_list(F.struct(-F.col("r"), F.col("event_id").cast("string").alias("v")))).alias("vs"))
-    return g.select("user_id", "event_type", "attempts", F.concat_ws(",", F.transform("vs", lambda x: x["v"])).alias("last_values"), (F.col("attempts") > 3).alias("exhausted"))
+    out = ledger_at_once(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
+    return out.select("user_id", "event_type", "attempts", F.concat_ws(",", F.transform("values", lambda v: v.cast("string"))).alias("last_values"), "exhausted")
 
 
 QUERIES = {f.__name__: f for f in (lcom, inheritance, subclasses, call_fans, class_sizes, split_types, shredding, attempt_ledger)}

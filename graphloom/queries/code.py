@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import imports as I
 from ..operators import resolve as R
 from ..operators import text as W
+from ..parse import python_source as S_
 from ..plans import gate
 from ..plans import rules as P
 from ..sources import readers as S
@@ -441,4 +442,61 @@ def unquotable(spark, sf_dir):
 ORACLES["unquotable"] = r"""SELECT DISTINCT doc_id, n AS numeral FROM (SELECT doc_id, n_chars, regexp_replace(regexp_replace(replace(x, ',', ''), '(\.\d*?)0+$', '\1'), '\.$', '') AS n FROM (SELECT doc_id, n_chars, unnest(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?')) AS x FROM documents)) WHERE n <> n_chars::VARCHAR AND n <> doc_id::VARCHAR"""
 
 
+def _sources(spark, sf_dir):
+    """A Python file for each part: a function with as many decisions as its size modulo 4, and a class whose method writes a field."""
+    n = (F.col("p_size") % 4).cast("int")
+    text = F.concat(
+        F.lit("import os\nfrom pkg.b import thing\n\ndef f(a, b):\n"), F.repeat(F.lit("    if a:\n        b += 1\n"), n), F.lit("    # done\n    return b\n\nclass C:\n    def put(self, x):\n        self.field"), n.cast("string"), F.lit(" = x\n\n    def get(self):\n        return self.field0\n")
+    )
+    return _files(spark, sf_dir).select("p_partkey", "p_size", "path", F.when(F.col("p_type") == "SMALL", "def (").otherwise(text).alias("text"))
+
+
+_SOURCES = f"SELECT *, p_size % 4 AS n FROM ({_FILES})"
+
+
+def python_measures(spark, sf_dir):
+    """Measures of the function, the class and the file; small parts don't parse."""
+    out = S_.measure_files(_sources(spark, sf_dir))
+    return out.select("path", F.when(F.col("kind") == "module", "-").otherwise(F.col("entity")).alias("entity"), "metric_key", "value").where("kind <> 'method'")
+
+
+ORACLES["python_measures"] = f"""WITH p AS ({_SOURCES}), ok AS (SELECT * FROM p WHERE p_type <> 'SMALL') SELECT path, '-' AS entity, 'parse_incomplete' AS metric_key, 1.0::DOUBLE AS value FROM p WHERE p_type = 'SMALL'
+    UNION ALL SELECT path, e, k, v::DOUBLE FROM (SELECT path, unnest([{{'e': 'f', 'k': 'cyclomatic', 'v': 1 + n}}, {{'e': 'f', 'k': 'cognitive', 'v': n}}, {{'e': 'f', 'k': 'params', 'v': 2}}, {{'e': 'f', 'k': 'nesting', 'v': least(n, 1)}}, {{'e': 'f', 'k': 'exits', 'v': 1}},
+    {{'e': 'f', 'k': 'sloc', 'v': 2 + 2 * n}}, {{'e': 'C', 'k': 'nom', 'v': 2}}, {{'e': 'C', 'k': 'wmc', 'v': 2}}, {{'e': '-', 'k': 'lines', 'v': 13 + 2 * n}}, {{'e': '-', 'k': 'sloc', 'v': 9 + 2 * n}}, {{'e': '-', 'k': 'cloc', 'v': 1}}, {{'e': '-', 'k': 'blank', 'v': 3}}, {{'e': '-', 'k': 'lloc', 'v': 9 + 2 * n}}], recursive := true) FROM ok) t(path, e, k, v)"""
+
+
+def python_imports(spark, sf_dir):
+    """Imports of the files that parse, resolved to a package of two modules."""
+    sources = _sources(spark, sf_dir)
+    found = S_.import_rows(sources)
+    known = sources.select("path").union(spark.createDataFrame([("pkg/__init__.py",), ("pkg/b.py",)], "path string"))
+    hit = I.resolve_python(found.withColumn("specifier", F.col("specifier")), known)
+    return found.join(hit, ["path", "line", "specifier"], "left").groupBy("specifier", "target").agg(F.count("*").alias("n"))
+
+
+ORACLES["python_imports"] = "SELECT s AS specifier, t AS target, count(*) AS n FROM part, (VALUES ('os', NULL), ('pkg.b', 'pkg/b.py')) v(s, t) WHERE p_type <> 'SMALL' GROUP BY 1, 2"
+
+
+def python_members(spark, sf_dir):
+    """Members of the classes that parse, and their cohesion: one field if the method writes what is read."""
+    m = S_.member_rows(_sources(spark, sf_dir))
+    out = C.cohesion(m.select(F.col("path").alias("cls"), "method", F.col("member").alias("field")))
+    return out.select("cls", "methods", "fields", "lcom1", "lcom4")
+
+
+ORACLES["python_members"] = f"SELECT path AS cls, 2::BIGINT AS methods, CASE WHEN n = 0 THEN 1 ELSE 2 END::BIGINT AS fields, CASE WHEN n = 0 THEN 0 ELSE 1 END::BIGINT AS lcom1, CASE WHEN n = 0 THEN 1 ELSE 2 END::BIGINT AS lcom4 FROM ({_SOURCES}) WHERE p_type <> 'SMALL'"
+
+
+def python_scopes(spark, sf_dir):
+    """bindings of the files that parse, by kind of scope and of binding."""
+    s = _sources(spark, sf_dir)
+    b = S_.binding_rows(s).withColumnRenamed("kind", "binding").withColumnRenamed("name", "bound")
+    return b.join(S_.scope_rows(s), ["path", "scope"]).groupBy("kind", "binding", "bound").agg(F.count("*").alias("n"))
+
+
+ORACLES["python_scopes"] = f"""SELECT kind, binding, bound, sum(k)::BIGINT AS n FROM (SELECT * FROM ({_SOURCES}) WHERE p_type <> 'SMALL'), (VALUES ('module', 'import', 'os', 1), ('module', 'import', 'thing', 1), ('module', 'definition', 'f', 1), ('module', 'definition', 'C', 1),
+    ('function', 'parameter', 'a', 1), ('function', 'parameter', 'b', 1), ('function', 'assignment', 'b', 0), ('class', 'definition', 'put', 1), ('class', 'definition', 'get', 1), ('function', 'receiver', 'self', 2), ('function', 'parameter', 'x', 1)) v(kind, binding, bound, k0),
+    LATERAL (SELECT CASE WHEN binding = 'assignment' THEN CASE WHEN n > 0 THEN 1 ELSE 0 END ELSE k0 END AS k) GROUP BY 1, 2, 3 HAVING sum(k) > 0"""
+
+
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..runtime import checkpointed
-from .base import REACH, TRADE, nations, table, trade
+from .base import REACH, REFERRALS, TRADE, customers, nations, referrals, table, trade
 
 
 def _edges(spark, sf_dir):
@@ -78,7 +78,36 @@ def degrees(spark, sf_dir):
     return G.degrees(_edges(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (trade_closure, trade_scc, trade_rings, trade_levels, trade_paths, trade_components, dead_nations, propagation_cost, martin, visibility, modularity, smells, degrees)}
+def referral_rings(spark, sf_dir):
+    """G1, G3 over all customers."""
+    e = checkpointed(referrals(spark, sf_dir))
+    return G.cycles(e, G.scc(e, customers(spark, sf_dir))).select("component", "node", "size")
+
+
+def referral_levels(spark, sf_dir):
+    """G4, G7 over all customers: how far each is above the ring or the end that it leads to."""
+    e = checkpointed(referrals(spark, sf_dir))
+    comp = G.scc(e, customers(spark, sf_dir))
+    return G.levels(G.condense(e, comp), comp.select(F.col("component").alias("node")).distinct())
+
+
+def referral_components(spark, sf_dir):
+    """G13 over all customers."""
+    return G.connected_components(referrals(spark, sf_dir), customers(spark, sf_dir))
+
+
+def referral_reach(spark, sf_dir):
+    """A24-A26 over all customers: what each reaches and is reached by."""
+    return G.reach_counts(referrals(spark, sf_dir), customers(spark, sf_dir)).select("node", "fan_out", "fan_in")
+
+
+def referral_live(spark, sf_dir):
+    """G14 over all customers, from those in debt."""
+    roots = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
+    return G.reachable(referrals(spark, sf_dir), roots)
+
+
+QUERIES = {f.__name__: f for f in (trade_closure, trade_scc, trade_rings, trade_levels, trade_paths, trade_components, dead_nations, propagation_cost, martin, visibility, modularity, smells, degrees, referral_rings, referral_levels, referral_components, referral_reach, referral_live)}
 _FANS = """
 refl AS (SELECT src, dst FROM reach UNION SELECT n_nationkey, n_nationkey FROM nation),
 fan AS (SELECT node, component, (SELECT count(*) FROM refl WHERE src = node) AS fan_out, (SELECT count(*) FROM refl WHERE dst = node) AS fan_in FROM comp)"""
@@ -86,6 +115,15 @@ _MARTIN = """
 m AS (SELECT n_nationkey AS node, (SELECT count(DISTINCT src) FROM e WHERE dst = n_nationkey) AS ca, (SELECT count(DISTINCT dst) FROM e WHERE src = n_nationkey) AS ce FROM nation),
 mi AS (SELECT *, coalesce(ce / nullif(ca + ce, 0), 0) AS instability FROM m)"""
 ORACLES = {
+    "referral_rings": f"WITH RECURSIVE {REFERRALS} SELECT component, node, size FROM ring",
+    "referral_levels": f"""WITH RECURSIVE {REFERRALS}, up AS (SELECT DISTINCT a.component AS s, b.component AS d FROM e JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component <> b.component),
+        l AS (SELECT DISTINCT component AS node, 0 AS level FROM comp UNION SELECT up.s, l.level + 1 FROM l JOIN up ON up.d = l.node) SELECT node, max(level)::BIGINT AS level FROM l GROUP BY node""",
+    "referral_components": f"""WITH RECURSIVE {REFERRALS}, f AS (SELECT src, coalesce(min(dst) FILTER (dst IN (SELECT node FROM ring)), max(dst)) AS home FROM reach GROUP BY 1),
+        h AS (SELECT c_custkey AS node, coalesce((SELECT component FROM ring WHERE ring.node = home), home, c_custkey) AS k FROM customer LEFT JOIN f ON src = c_custkey)
+        SELECT node, min(node) OVER (PARTITION BY k) AS component FROM h""",
+    "referral_reach": f"""WITH RECURSIVE {REFERRALS}, all_ AS (SELECT src, dst FROM reach UNION SELECT c_custkey, c_custkey FROM customer), o AS (SELECT src AS node, count(*) AS fan_out FROM all_ GROUP BY 1), i AS (SELECT dst AS node, count(*) AS fan_in FROM all_ GROUP BY 1)
+        SELECT node, fan_out, fan_in FROM o JOIN i USING (node)""",
+    "referral_live": f"""WITH RECURSIVE {REFERRALS} SELECT DISTINCT node FROM (SELECT c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION ALL SELECT dst FROM reach JOIN customer ON c_custkey = src WHERE c_acctbal < 0)""",
     "trade_closure": f"WITH RECURSIVE {TRADE}, {REACH} SELECT src, dst FROM reach",
     "trade_scc": f"WITH RECURSIVE {TRADE}, {REACH} SELECT node, component FROM comp",
     "trade_rings": f"WITH RECURSIVE {TRADE}, {REACH} SELECT component, node, size FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM comp) WHERE size > 1",

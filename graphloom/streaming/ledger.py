@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,6 +52,17 @@ def retry_ledger(events: DataFrame) -> DataFrame:
     return events.groupBy("session", "path").transformWithStateInPandas(RetryLedger(), OUTPUT, "Append", "ProcessingTime")
 
 
+def ledger_at_once(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Y2, Y4, W6 over all runs at once, for keys that no run misses: attempts, the last TRAJECTORY values in order, exhausted.
+
+    The same as the last row that ``RetryLedger`` tells of each key. Nulls in ``keys`` are a key of their own.
+    """
+    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    kept = rows.withColumn("_r", F.row_number().over(last)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_r") <= TRAJECTORY)
+    out = kept.groupBy(*keys).agg(F.max("_n").alias("attempts"), F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v")))).alias("_vs"))
+    return out.select(*keys, "attempts", F.transform("_vs", lambda x: x["v"]).alias("values"), ((F.col("attempts") > BUDGET) & F.lit(BUDGET > 0)).alias("exhausted"))
+
+
 def work_list(scan: DataFrame, known: DataFrame) -> DataFrame:
     """Files of a scan whose (path, sha, version) isn't known yet."""
     return scan.join(known.select("path", "sha", "version"), ["path", "sha", "version"], "left_anti")

@@ -434,6 +434,62 @@ def test_python_source(spark):
     assert P.cyclomatic(P.ast.parse(renamed).body[0]) == 9
 
 
+def test_python_rows(spark):
+    src = """
+import a.b, c as d
+from x import y
+G = 1
+def outer(p, *rest, k=lambda q: q):
+    global G
+    G = 2
+    v = [(w := i) for i in rest]
+    def inner():
+        nonlocal v
+        v = 3
+        with open(p) as f, g() as (h, j): pass
+    try: pass
+    except ValueError as e: del v
+    return inner
+class K(Base):
+    field: int = 0
+    @staticmethod
+    def s(z): return z
+    def m(self, z):
+        for self.a, t in z: self.run(self.a)
+"""
+    files = frame(spark, [("p.py", src), ("bad.py", "def ("), ("none.py", None)], "path string, text string")
+    scopes = {r.scope: (r.kind, r.name, r.parent) for r in P.scope_rows(files).collect()}
+    assert [scopes[i] for i in sorted(scopes)] == [("module", "", None), ("function", "outer", 0), ("lambda", "", 0), ("comprehension", "", 1), ("function", "inner", 1), ("class", "K", 0), ("function", "s", 5), ("function", "m", 5)]
+    got = {(r.scope, r.name, r.kind) for r in P.binding_rows(files).collect()}
+    assert got == {
+        (0, "a", "import"), (0, "d", "import"), (0, "y", "import"), (0, "G", "assignment"), (0, "outer", "definition"), (0, "K", "definition"),
+        (1, "p", "parameter"), (1, "rest", "parameter"), (1, "k", "parameter"), (1, "v", "assignment"), (1, "w", "assignment"), (1, "inner", "definition"), (1, "e", "assignment"),
+        (2, "q", "parameter"), (3, "i", "assignment"), (4, "f", "assignment"), (4, "h", "assignment"), (4, "j", "assignment"),
+        (5, "field", "assignment"), (5, "s", "definition"), (5, "m", "definition"), (6, "z", "parameter"), (7, "self", "receiver"), (7, "z", "parameter"), (7, "t", "assignment"),
+    }
+    assert {(r.method, r.member, r.access) for r in P.member_rows(files).collect()} == {("m", "a", "read"), ("m", "a", "write"), ("m", "run", "call"), ("s", None, None)}
+    assert {(r.entity, r.callee) for r in P.call_rows(files).collect()} == {("outer.inner", "open"), ("outer.inner", "g"), ("K.m", "run")}
+    assert sorted((r.specifier, r.line) for r in P.import_rows(files).collect()) == [("a.b", 2), ("c", 2), ("x", 3)]
+    tokens = [r.norm for r in P.token_rows(frame(spark, [("t.py", "x = f(1) # c")], "path string, text string")).orderBy("pos").collect()]
+    assert tokens[:5] == ["$ID", "=", "$ID", "(", "$LIT"]
+
+
+def test_ledger_at_once_is_the_stream(spark, tmp_path):
+    from graphloom.streaming.ledger import ledger_at_once, retry_ledger
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("s", f"p{k}", i, "k", float(10 * k + i)) for k, n in enumerate((1, 3, 4, 12)) for i in range(n)]
+    schema = "session string, path string, run_id long, key string, value double"
+    frame(spark, rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    q = retry_ledger(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("ledger2").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {}
+    for r in spark.sql("select * from ledger2 order by attempts").collect():
+        last[r.session, r.path, r.key] = (r.attempts, list(r["values"]), r.exhausted)
+    got = ledger_at_once(frame(spark, rows, schema), ["session", "path", "key"], ["run_id"], "value")
+    assert {(r.session, r.path, r.key): (r.attempts, list(r["values"]), r.exhausted) for r in got.collect()} == last
+
+
 def test_retry_ledger(spark, tmp_path):
     from graphloom.streaming.ledger import retry_ledger
 
