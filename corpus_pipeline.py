@@ -6,10 +6,13 @@ folder and reads again as the next stage's ``docs``. All but the last return the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise
+from graphloom.llm.common import collecting, materialise, remove, tables_of, without
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.language_id import fit, identify, training_rows
 from graphloom.llm.mixing import mix_sources
@@ -20,22 +23,46 @@ from graphloom.llm.token_output import token_output
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Calibrated probability below which a document's language counts as unknown.
 LEAST_SCORE = 0.5
-#: Rows of (id, copies), 16 bytes each, up to which they are broadcast.
-BROADCAST_ROWS = 400_000
 #: Share of hit words above which a document goes; below, only its spans do.
 MOST_COVERED = 0.5
 
 
+#: Tables that the stages of this process have left behind.
+_LEFT: list[str] = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage's result reads the stage's own tables, so these can only go when the next stage begins, whose ``docs`` are the
+    written result: then all that earlier stages left is deleted, but for what ``docs`` themselves read."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        needed = tables_of(docs)
+        gone = [path for path in _LEFT if not any(path.rsplit("/", 1)[1] in root for root in needed)]  # names are unique, schemes aren't spelled alike
+        remove(spark, *gone)
+        _LEFT[:] = [path for path in _LEFT if path not in gone]
+        with collecting() as paths:
+            try:
+                return function(spark, docs, sf_dir)
+            finally:
+                _LEFT.extend(paths)
+
+    return run_stage
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a ``row_id``, written, so that every later scan sees the same ids."""
     return materialise(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
 
 
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go (no letter, or a probability under LEAST_SCORE).
+    """Documents whose language can't be told go (null, no letter, or a probability under LEAST_SCORE).
 
     The model is fitted on the labelled rows of ``docs`` outside the held-out fold. Without any labels there is nothing to
-    tell languages by, so that every document with a letter stays.
+    tell languages by, so that every document with a letter stays. Equal texts get equal decisions, so repeated rows stay or go
+    together; a very long text is read whole; a null id is never held out. No rows give no rows. Columns beyond those of
+    ``documents`` are dropped.
     """
     docs = docs.select(*COLUMNS)
     model = fit(training_rows(docs))
@@ -45,39 +72,52 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+@_stage
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: that of least id, null last.
 
-    Word shingles of five words, similarity 0.8. Of rows that repeat the least id (or all have none) one stays. Texts without
-    a word are linked with nothing, so that each of their rows stays.
+    Word shingles of five words, similarity 0.8. Of rows that repeat the least id (or all have none) one stays. Null texts and
+    those without a word are linked with nothing, so that each of their rows stays. No rows give no rows. Only rows that may go
+    (by a bitmap of bounded size) are shuffled with their texts.
     """
     docs = _numbered(docs)
-    groups = near_duplicates(docs, k=5, percent=80, row_col="row_id")
+    groups = materialise(near_duplicates(docs, k=5, percent=80, row_col="row_id").select("row_id", "doc_id", "component_row"), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     stay = groups.groupBy("component_row").agg(least.alias("least")).select(F.col("least.row_id").alias("row_id"))
-    return docs.join(stay, "row_id", "left_semi").select(*COLUMNS)
+    gone = materialise(groups.select("row_id").join(stay.hint("merge"), "row_id", "left_anti"), "gone")
+    return without(docs, "row_id", gone).select(*COLUMNS)
 
 
+@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of ten words or more of benchmark items are cut out; a document that is mostly such passages goes."""
+    """Passages of ten words or more of benchmark items are cut out; a document that is mostly such passages goes.
+
+    Null texts and those without a word stay as they are, as do all where there are no items; ``n_chars`` is counted anew
+    where something was cut. Repeated rows are treated alike. No rows give no rows.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs.select(*COLUMNS), items, window=10, max_coverage=MOST_COVERED, keep=("lang", "source", "n_chars"), with_text=True)
     length = F.when(F.col("n_hit") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
     return found.where(~F.coalesce("over", F.lit(False))).select("doc_id", F.col("clean_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, as so many rows; rows without an id or with a repeated one get their own copies."""
+    """Each document as often as the mix takes it, as so many rows.
+
+    Rows without an id or with a repeated one get their own copies, by row id. A null source is a source; null and empty texts
+    have no words and count as documents only. No rows give no rows. Rows and copies meet in a sort-merge join at every size,
+    which shuffles the texts once.
+    """
     docs = _numbered(docs)
     mixed = mix_sources(docs, row_col="row_id").where("copies > 0").select("row_id", "copies")
-    if mixed.count() <= BROADCAST_ROWS:  # else both sides are shuffled, texts included
-        mixed = F.broadcast(mixed)
-    taken = docs.join(mixed, "row_id")
+    taken = docs.join(mixed.hint("merge"), "row_id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
+@_stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files of what is left, read back: one row for each document."""
+    """The token files of what is left, read back: one row for each document, with its end id even where the text is null or empty."""
     return token_output(docs, vocabulary_file("word_bpe_49k.json"), end_id=2)
 
 
@@ -92,12 +132,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents`` of ``sf_dir``; a stage's table goes when the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs, name.replace(" ", "-"))
+            if last is not None:
+                remove(spark, last)
+            last = docs._scratch
     return docs
 
 

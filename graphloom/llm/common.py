@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
+_COLLECTING: list[list[str]] = []
 #: Rows, and bytes, of an Arrow batch on its way to Python: what a task holds of its texts outside the heap and in Python.
 SLICE, SLICE_BYTES = 1000, 8 << 20
 #: Bits of a broadcast bitmap (8 MB as rows).
@@ -32,7 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for one table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    for paths in _COLLECTING:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of all tables that are written in the block."""
+    paths: list[str] = []
+    _COLLECTING.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTING.remove(paths)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables; one that isn't there is no error."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +66,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more: all that was made of them is written."""
+    for table in tables:
+        remove(table.sparkSession, table._scratch)
+
+
+def tables_of(df: DataFrame) -> set[str]:
+    """The root paths of the files that ``df`` reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        relation = getattr(leaves.apply(i), "relation", None)
+        try:
+            roots = relation().location().rootPaths()
+        except Exception:  # noqa: BLE001  a leaf without files
+            continue
+        out |= {roots.apply(k).toString() for k in range(roots.size())}
+    return out
 
 
 def _bitmap(wanted: DataFrame, column: str) -> DataFrame:

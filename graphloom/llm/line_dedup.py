@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, maybe_in
+from .common import discard, map_rows, materialise, maybe_in
 
 #: Templates of a leaf up to which a line is compared with each (beyond, with those that an index finds).
 SCAN = 64
@@ -147,7 +147,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, long_docs: int = 2, long_tok
     recurring = materialise(_cluster(maybe_in(lines, "leaf", full), similarity, depth), "recurring")
     places = maybe_in(parts.where("line is null").select("doc_id", "th", "at", "key"), "key", recurring)
     marked = places.join(recurring, "key").where(F.coalesce("doc_id", "th") != F.col("owner"))
-    marked = marked.groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")).agg(F.collect_set("at").alias("drop"))
+    marked = materialise(marked.groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")).agg(F.collect_set("at").alias("drop")), "marked")
+    discard(parts, recurring)
     joined = docs.join(marked.hint("merge"), docs.doc_id.eqNullSafe(F.col("m_id")) & (docs.th == F.col("m_th")), "left").select("doc_id", "text", "drop")
     return _rewrite(joined)
 

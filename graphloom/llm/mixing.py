@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Documents in one flight.
 BLOCK = 4096
@@ -182,6 +182,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
         draw = (F.pmod(F.xxhash64("unit", "size", F.lit(seed + level)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("draw")
         block = F.pmod(F.xxhash64("unit", F.lit(seed * 31 + level)), F.greatest(F.ceil(F.col("n") / F.lit(block_size)), F.lit(1))).alias("block")
         flown = materialise(here.select("*", draw, block).groupBy("source", "block").applyInPandas(fly, schema), "flight")
+        if not level:
+            discard(units)
         settled = flown.where("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
         if top <= block_size:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, row_base, scratch
+from .common import discard, map_rows, materialise, row_base, scratch
 from .huffman import Code, code_lengths
 
 #: Ids in one independently decodable block, and ids (about) in one segment.
@@ -262,6 +262,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     map_rows(dealt, make, "shard long, segment long, data binary", flush=1).write.parquet(f"{path}/segments")
+    discard(tokens)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
