@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, maybe_in, row_base
+from .common import discard, map_rows, materialise, maybe_in, row_base
 from .components import connected_components
 from .shingles import LANES, MinHasher, least_agreement, shingle_set, similar
 
@@ -52,20 +52,24 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
         sketch.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), least).select(F.col("r.uid").alias("node"), F.col("r.th").alias("th"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig"), "digest", "min_doc", "copies"),
         "classes",
     )
+    rows_ = materialise(sketch.select("uid", "doc_id", "n", "digest"), "rows")
+    discard(sketch)
     stars = materialise(_stars(classes), "stars")
     alike = materialise(_alike(stars, classes.select("node", "sig"), percent), "alike")
     active = materialise(_ends(alike, "a", "p"), "active")
     sets = materialise(_sets(docs, classes.join(active, "node", "left_semi"), k), "sets")
     first = connected_components(_confirmed(alike, sets, percent))
     label = materialise(active.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
+    discard(sets, alike, active)
     more = connected_components(_residual(docs, classes, stars, label, k, percent))
     # a class that no first link touches can still be in a later one
     ends = label.select("node", "label").unionByName(more.select("node", F.col("node").alias("label")).join(label.select("node"), "node", "left_anti"))
     final = ends.join(more.select(F.col("node").alias("label"), F.col("component").alias("l2")), "label", "left").select("node", F.coalesce("l2", "label").alias("component"))
     member = classes.select("node", "digest", "min_doc", "copies").join(final, "node", "left").where("component is not null or copies > 1").select("digest", "min_doc", F.coalesce("component", "node").alias("component"))
     smallest = member.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    known = member.join(smallest, "component").select("digest", "component_id", F.col("component").alias("component_row"))
-    found = sketch.select("uid", "doc_id", "n", "digest").join(known.hint("merge"), "digest", "left")
+    known = materialise(member.join(smallest, "component").select("digest", "component_id", F.col("component").alias("component_row")), "components")
+    discard(classes, stars, label)
+    found = rows_.join(known.hint("merge"), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), *([] if row_col is None else [F.col("uid").alias("row_id"), F.coalesce("component_row", "uid").alias("component_row")]))
 
@@ -90,8 +94,14 @@ def _sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs, make, "uid long, doc_id long, th long, n long, digest binary, bands binary, sig binary")
 
 
+def _block_of(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first members of every bucket of a pivot are block 0; the others, by their place, are apart for different keys."""
+    apart = 1 + (key & 63) + 64 * (place // BLOCK)
+    return np.where(place < max(2, BLOCK // 64), 0, apart).astype(np.int32)
+
+
 def _stars(classes: DataFrame) -> DataFrame:
-    """Each bucket's members with its pivot, in blocks of BLOCK in the order they come by: (a, p, block), a pair once."""
+    """Each bucket's members with its pivot, in blocks of about BLOCK in the order they come by: (a, p, block), a pair once."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +126,7 @@ def _stars(classes: DataFrame) -> DataFrame:
             last_key, pivot, before = key[-1], head[-1], int(place[-1]) + 1
             keep = head != node
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(head[keep]), pa.array((place[keep] // BLOCK).astype(np.int32))], names=["a", "p", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(head[keep]), pa.array(_block_of(key[keep], place[keep]))], names=["a", "p", "block"])
 
     keyed = classes.select("node", "bands").mapInArrow(explode, "key long, node long")
     dealt = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node")
@@ -200,7 +210,8 @@ def _residual(docs: DataFrame, classes: DataFrame, stars: DataFrame, label: Data
     major = sizes.groupBy("p").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("d"), F.count("*").alias("labels")).where("labels > 1")
     # a star's size in blocks, its minority's, and its largest component; written, so that the join can split a hot pivot
     mixed = materialise(major.select("p", F.col("m.label").alias("major"), _blocks(F.col("d")).alias("s"), F.greatest(_blocks(F.col("d") - F.col("m.c")), F.lit(1)).alias("x")), "mixed")
-    star = materialise(maybe_in(star, "p", mixed).join(mixed.hint("merge"), "p"), "mixed-members")
+    labelled, star = star, materialise(maybe_in(star, "p", mixed).join(mixed.hint("merge"), "p"), "mixed-members")
+    discard(labelled, mixed)
     near = _compare(star.join(classes.select(F.col("node").alias("a"), F.col("sig").alias("data")).hint("merge"), "a"), _Signatures, percent)
     near = materialise(near.select(F.col("a").alias("node")).distinct(), "near")
     sets = _sets(docs, classes.join(near, "node", "left_semi"), k)
