@@ -126,8 +126,7 @@ def balanced(labelled: DataFrame, languages: int, sample_rows: int, seed: int) -
     drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     last = drawn.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= each_rows).groupBy("lang").agg(F.max("draw").alias("last"))
-    least = drawn.join(F.broadcast(last), "lang").where("draw <= last").select("lang", "text", "draw")
-    return least.distinct().orderBy("draw", "text").limit(sample_rows)
+    return drawn.join(F.broadcast(last), "lang").where("draw <= last").select("lang", "text", "draw").distinct()
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3, seed: int = 3) -> LanguageModel:
@@ -173,7 +172,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3, se
         return each
 
     rows = []
-    for r in map_rows(sample, features, "rank long, lang string, ids binary, counts binary").orderBy("rank", "lang").collect():
+    # texts become features where they are; only those are sorted and sent to the driver
+    found = map_rows(sample, features, "rank long, lang string, ids binary, counts binary")
+    for r in found.orderBy("rank", "lang", "ids", "counts").limit(sample_rows).collect():
         index = np.frombuffer(r.ids, dtype="<u2")
         rows.append((index, tf_idf(np.frombuffer(r.counts, dtype="<u4"), index, idf).astype(np.float32), languages.index(r.lang)))
     model, rng = Ftrl(len(languages)), np.random.default_rng(seed)
@@ -191,8 +192,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
     """``docs(doc_id, text)`` with ``held_out, lang_pred, score`` and the columns of ``keep``.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is null or has no letter (or nothing was
-    learned); ``score`` is the calibrated probability. Only the text is looked at. Repeated rows
-    stay; an empty table gives no rows; other columns are ignored.
+    learned); ``score`` is the calibrated probability; of equal ones the first language by name is taken. Only the text is looked
+    at, a very long one in parts of PART characters. Repeated rows stay; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     from pyspark.sql import types as T
 
