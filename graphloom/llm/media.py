@@ -47,15 +47,19 @@ def decode(data: bytes) -> np.ndarray:
     bitmap = kind in (b"P1", b"P4")
     if bitmap and found[4] is not None:
         found = re.match(_NETPBM.pattern.removesuffix(rb"(?:(?:\s*#[^\n]*\n|\s)+(\d+))?"), data)
-    most = 1 if bitmap else int(found[4])
-    if most > 255:
-        raise ValueError("samples of more than 8 bits")
+    most = 1 if bitmap else int(found[4] or 0)
+    if not 1 <= most <= 255:
+        raise ValueError("samples must have 1 to 8 bits")
+    if not 0 < width * height <= 8 * len(data):  # no sample takes less than a bit
+        raise ValueError("the image is empty or cut short")
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
     n, body = int(np.prod(shape)), data[found.end() + (kind in (b"P4", b"P5", b"P6")) :]
     if kind == b"P1":
         out = np.frombuffer(re.sub(rb"\s", b"", body), dtype=np.uint8)[:n] - 48
+        if (out > 1).any():
+            raise ValueError("a bit must be 0 or 1")
     elif kind in (b"P2", b"P3"):
-        out = np.array(body.split()[:n], dtype=np.int64).astype(np.uint8)
+        out = np.array(body.split()[:n], dtype=np.int64)
     elif kind == b"P4":
         stride = -(-width // 8)
         out = np.unpackbits(np.frombuffer(body, dtype=np.uint8, count=stride * height).reshape(height, stride), axis=1)[:, :width].reshape(-1)
@@ -63,6 +67,8 @@ def decode(data: bytes) -> np.ndarray:
         out = np.frombuffer(body, dtype=np.uint8, count=n)
     if len(out) != n:
         raise ValueError("the image is cut short")
+    if len(out) and not 0 <= int(out.min()) <= int(out.max()) <= most:
+        raise ValueError("a sample is above the largest")
     if bitmap:
         out = (1 - out) * 255
     elif most != 255:
@@ -75,12 +81,18 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     size, width, height, _, bits, packing = struct.unpack_from("<IiiHHI", data, 14)
     if packing or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    if width <= 0 or not height or start > len(data) or width * abs(height) * bits > 8 * len(data):
+        raise ValueError("the image is empty or cut short")
     stride = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, dtype=np.uint8, count=stride * abs(height), offset=start).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
+        if colours > 256:
+            raise ValueError("more than 256 colours")
         palette = np.frombuffer(data, dtype=np.uint8, count=4 * colours, offset=14 + size).reshape(-1, 4)
+        if rows[:, :width].max(initial=0) >= colours:
+            raise ValueError("a sample is beyond the palette")
         full = palette[rows[:, :width]][..., 2::-1]
         return full[..., 0] if (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all() else full
     return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[..., 2::-1]
@@ -129,7 +141,8 @@ def to_tiles(image: np.ndarray, side: int = TILE) -> np.ndarray:
 def media_tiles(media: DataFrame, side: int = TILE) -> DataFrame:
     """``media(doc_id, media)`` of Netpbm or BMP images to ``(doc_id, tiles)``, NPY files of 8-bit tiles.
 
-    Null and undecodable images give null tiles. Other columns are ignored; repeated rows stay.
+    Null and undecodable images (cut short, empty, of other kinds, with samples beyond their range) give null tiles. Other columns
+    are ignored, whatever their names; repeated rows stay; no rows give no rows; an image is decoded whole.
     """
 
     def make():
@@ -137,7 +150,7 @@ def media_tiles(media: DataFrame, side: int = TILE) -> DataFrame:
             for doc, data in zip(c["doc_id"], c["media"], strict=True):
                 try:
                     yield doc, None if data is None else write_npy(to_tiles(decode(bytes(data)), side))
-                except (ValueError, struct.error, TypeError):
+                except (ValueError, struct.error, OverflowError):
                     yield doc, None
 
         return each
@@ -168,7 +181,8 @@ def stored_text_media(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32`` (of the payload as read back),
     ``media_bytes, media_sha256`` (of the stored NPY file) and ``feature`` (difference hash of the tiles' image).
-    Null is an empty text; equal texts give equal values; repeated rows stay; an empty table gives no rows.
+    Null is an empty text; equal texts give equal values; a very long text is one large image; repeated rows stay; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     images = text_images(docs)
 
