@@ -30,13 +30,13 @@ def joined(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"\s+", " "))
 
 
-def known_digests(spark, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
-    """(digest, license) of the known texts; the least identifier where two have one canonical form."""
-    table = spark.createDataFrame(list(known), "license string, text string")
+def known_digests(spark, known: Sequence[tuple[str, str]] | DataFrame = LICENSES) -> DataFrame:
+    """(digest, license) of the known texts, a list or a table ``(license, text)``; the least identifier where two have one canonical form."""
+    table = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
     return table.select(F.sha2(joined(canonical(F.col("text"))), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = LICENSES) -> DataFrame:
     """Licences of ``docs(doc_id, text)`` by the digests of entire canonical texts.
 
     The units looked up are the whole text and each of its lines (a notice is a line of its own). Returns ``doc_id,
@@ -44,16 +44,18 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES)
     aren't blank once canonical), ``n_license_lines`` and ``licenses`` (distinct identifiers of the lines, sorted,
     comma-joined, ``''`` if none).
 
-    The known digests are as many as the caller lists, so they are broadcast; the units are dealt out and counted by row
-    before anything is shuffled. Edge cases: null is an empty text (no lines, no licence). Repeated
-    ids or rows stay separate rows. An empty table gives no rows. Other columns are ignored.
+    A list of known texts is what the caller wrote down, so its digests are broadcast; a table of them is joined as its size
+    asks for. The units are dealt out and counted by row before anything is shuffled. Edge cases: null is an empty text (no lines,
+    no licence); a very long text is so many lines. Repeated ids, rows and lines stay separate and count each. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     text = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", canonical(F.col("text")).alias("c"))
     lines = F.filter(F.transform(F.split("c", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     units = text.select("uid", "doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), joined(F.col("c")).alias("t"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t"))))).alias("u"))
     units = units.select("uid", "doc_id", F.col("u.whole").alias("whole"), F.sha2(F.col("u.t"), 256).alias("digest"))
-    found = units.join(F.broadcast(known_digests(spark, known)), "digest", "left")
+    digests = known_digests(spark, known)
+    found = units.join(digests if isinstance(known, DataFrame) else F.broadcast(digests), "digest", "left")
     one = found.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"),
         F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
