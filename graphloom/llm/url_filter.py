@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,9 +16,11 @@ from .common import map_rows
 
 #: Words of the segmenter at most (the most frequent), and hashed token buckets of the classifier.
 WORDS, BUCKETS = 50_000, 1 << 16
+#: Folds of the ruled urls for a held-out measure.
+FOLDS = 5
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HOST, _PATH = re.compile(r"[^/?#]*"), re.compile(r"[^?#]*")
-_RUN = re.compile(r"[a-z]+|[0-9]+")
+_RUN = re.compile(r"[^\W\d_]+|\d+")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -29,6 +32,19 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), _PATH.match(rest, len(host))[0]
 
 
+def plain_host(host: str) -> str:
+    """The host with its encoded labels as letters; a label that can't be decoded stays."""
+    out = []
+    for label in host.split("."):
+        if label.startswith("xn--"):
+            try:
+                label = label[4:].encode("ascii").decode("punycode")
+            except ValueError:
+                pass
+        out.append(label)
+    return unquote(".".join(out), errors="replace").lower()
+
+
 class Rules:
     """Rules ``(verdict, host + path)`` by host; of those that fit a url the longest wins, then the first listed."""
 
@@ -75,9 +91,9 @@ class Segmenter:
         return out[::-1]
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host and path, marked by where they stand; numbers by their length alone."""
+        """Words of host and path in any script, marked by where they stand; numbers by their length alone."""
         out = []
-        for mark, text in (("h", host), ("p", path.translate(_UPPER))):
+        for mark, text in (("h", plain_host(host)), ("p", unquote(path, errors="replace").lower())):
             for run in _RUN.findall(text):
                 out += [f"{mark}#{len(run)}"] if run[0].isdigit() else [f"{mark}:{w}" for w in self.split(run)]
         return out
@@ -102,26 +118,19 @@ class NaiveBayes:
 def word_counts(pages: DataFrame, limit: int = WORDS) -> dict[str, int]:
     """Counts of the most frequent words of the visible page texts (all pages; ``limit`` bounds the model)."""
     text = F.lower(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>|&[a-z]+;", " "))
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where(F.length("word").between(2, 24))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, 24))
     top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
     return {r.word: r.n for r in top.collect()}
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Verdict on every url of ``pages(page_id, url, html)``: ``page_id, host, path, rule, verdict, block_odds``.
-
-    A rule fits its host and all subdomains where the path starts with the rule's; the longest wins. The
-    urls that a rule decides teach the classifier: token counts of all of them, by verdict. Host and path
-    are segmented by a unigram model of the words of all pages. Urls without a rule get the more likely class
-    (``allow`` on a tie). Model sizes are fixed: WORDS words and BUCKETS counts for each class.
+def fit(pages: DataFrame, rules: Sequence[tuple[str, str]], without_fold: int | None = None) -> tuple[Segmenter, NaiveBayes]:
+    """The segmenter of all pages' words, and the classifier taught by the urls that a rule decides.
 
-    Edge cases: a null url, or one without ``://``, has an empty host and path, no rule and the prior's verdict.
-    Very long hosts take time in proportion. Null html gives no words. Repeated rows stay. Empty tables give no rows. Other
-    columns are ignored.
+    ``without_fold`` leaves the urls of one fold of FOLDS (by crc32 of the url) out of the classes' counts.
     """
     spark = pages.sparkSession
-    segmenter = spark.sparkContext.broadcast(Segmenter(word_counts(pages)))
-    table = Rules(rules)
+    words = Segmenter(word_counts(pages))
+    segmenter, table = spark.sparkContext.broadcast(words), Rules(rules)
 
     def count():
         total, seen = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
@@ -131,7 +140,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
             for url in c["url"]:
                 host, path = split_url(url)
                 rule, verdict = table.find(host, path)
-                if rule is not None:
+                if rule is not None and fold_of(url) != without_fold:
                     k = int(verdict != "block")
                     seen[k] += 1
                     np.add.at(total[k], [bucket(t) for t in segment.tokens(host, path)], 1)
@@ -152,10 +161,30 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
             seen[r.k] = r.n
         else:
             counts[r.k, r.bucket] = r.n
-    model = spark.sparkContext.broadcast(NaiveBayes(counts, seen))
+    return words, NaiveBayes(counts, seen)
+
+
+def fold_of(url: str | None) -> int:
+    return zlib.crc32((url or "").encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], model: tuple[Segmenter, NaiveBayes] | None = None) -> DataFrame:
+    """Verdict on every url of ``pages(page_id, url, html)``: ``page_id, host, path, rule, verdict, block_odds``.
+
+    A rule fits its host and all subdomains where the path starts with the rule's; the longest wins. The
+    urls that a rule decides teach the classifier (unless ``model``, from ``fit``, is given): token counts of all of them, by
+    verdict. Host and path are segmented by a unigram model of the words of all pages. Urls without a rule get the more likely
+    class (``allow`` on a tie). Model sizes are fixed: WORDS words and BUCKETS counts for each class.
+
+    Edge cases: a null url, or one without ``://``, has an empty host and path, no rule and the prior's verdict.
+    Very long hosts take time in proportion. Null html gives no words. Repeated rows stay. Empty tables give no rows. Other
+    columns are ignored, whatever their names.
+    """
+    spark, table = pages.sparkSession, Rules(rules)
+    model = spark.sparkContext.broadcast(model or fit(pages, rules))
 
     def judge():
-        segment, bayes = segmenter.value, model.value
+        segment, bayes = model.value
 
         def each(c):
             for page, url in zip(c["page_id"], c["url"], strict=True):
@@ -167,3 +196,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
         return each
 
     return map_rows(pages.select("page_id", "url"), judge, "page_id long, host string, path string, rule string, verdict string, block_odds double")
+
+
+def held_out(pages: DataFrame, rules: Sequence[tuple[str, str]], fold: int = 0) -> DataFrame:
+    """How the classifier alone judges the ruled urls of a fold that it wasn't taught by: ``truth, verdict, n``."""
+    own = pages.select("page_id", "url")
+    judged = judge_urls(own, rules, fit(pages, rules, without_fold=fold)).where("rule is not null")
+    truth = judged.select(F.col("verdict").alias("truth"), F.when(F.col("block_odds") > 0, "block").otherwise("allow").alias("verdict"), "host", "path", "page_id")
+    kept = own.where(F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % FOLDS == fold).select("page_id").distinct()
+    return truth.join(kept, "page_id", "left_semi").groupBy("truth", "verdict").agg(F.count("*").alias("n"))

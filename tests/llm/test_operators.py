@@ -61,7 +61,6 @@ def test_hot_groups_lose_no_link(spark, monkeypatch):
     from graphloom.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 5)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -84,6 +83,36 @@ def test_hot_groups_lose_no_link(spark, monkeypatch):
     assert got == dict(enumerate(label))
 
 
+def test_word_hashes_have_no_structure():
+    """Thue-Morse words, which collide under any polynomial modulo a power of two."""
+    from graphloom.llm.shingles import word_hashes
+
+    a, b = b"a", b"b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert len(set(word_hashes(a + b" " + b).tolist())) == 2
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    from graphloom.llm import shingles as H
+
+    rng, hasher = np.random.default_rng(6), H.MinHasher(64, 8)
+    least = H.least_agreement(80, H.LANES)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 100, dtype=np.int64).astype(np.uint64)
+        x, y = (np.frombuffer(hasher.signature(hasher.minima(np.unique(s))), dtype=np.uint8) for s in (pool[:90], pool[10:]))
+        assert (x == y).sum() >= least  # similarity 0.8
+        z = np.frombuffer(hasher.signature(hasher.minima(np.unique(pool[70:]))), dtype=np.uint8)
+        assert (x == z).sum() < least  # similarity 0.2
+
+
+def test_many_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    data = [(None, f"{base} {i % 3}") for i in range(60)] + [(None, f"own {i} text {i * 7}") for i in range(60)] + [(5, base), (3, base + " more")]
+    got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), k=2).collect()
+    assert sum(r.component_id == 3 for r in got) == 62 and sum(r.component_id is None for r in got) == 60
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -136,7 +165,7 @@ def test_lines(spark, docs, none):
     assert N.dedup_lines(docs).count() == len(rows()) and N.dedup_lines(none).count() == 0
     shared = "Posted by user 17 at noon today"
     data = [(i, f"own line number of {'abcdefgh'[i] * 5} here\n{shared.replace('17', str(i))}\nfoot") for i in range(6)] + [(6, "nothing shared by this one"), (7, None), (8, "")]
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in N.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), similarity=1.0).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in N.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), similarity=1.0, min_tokens=3).collect()}
     assert got[0] == (3, 0, data[0][1]) and got[7] == (0, 0, None) and got[8] == (1, 0, "")
     assert all(got[i][1] == 1 and "Posted" not in got[i][2] for i in range(1, 6)) and got[6][1] == 0
 
@@ -157,6 +186,65 @@ def test_template_in_large_leaf(spark):
     assert {i: n for i, n in got.items() if n or i < 4} == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def brute_lines(data, min_docs=3, long_docs=2, long_tokens=50, depth=3, similarity=0.7):
+    """One process: all distinct masked lines of a leaf in their order, by plain comparison with every template."""
+    seen: dict = {}
+    for doc, text in data:
+        for line in (text or "").split("\n"):
+            tokens = tuple(N.WILD if any(map(str.isdecimal, t)) else t for t in line.split())
+            if tokens:
+                seen.setdefault((len(tokens), tokens[:depth]), {}).setdefault(tokens, set()).add(doc)
+    owner = {}
+    for (n, _), lines in seen.items():
+        found: list = []
+        for tokens in sorted(lines, key=" ".join):
+            agree = [sum(a == b for a, b in zip(t, tokens, strict=True)) for t, _, _ in found]
+            best = max(range(len(found)), key=lambda i: (agree[i], -i), default=None)
+            if best is None or agree[best] < similarity * n:
+                found.append([list(tokens), [tokens], set(lines[tokens])])
+                continue
+            t, members, docs = found[best]
+            found[best] = [[a if a == b else N.WILD for a, b in zip(t, tokens, strict=True)], [*members, tokens], docs | lines[tokens]]
+        same: dict = {}
+        for t, members, docs in found:
+            entry = same.setdefault(tuple(t), ([], set()))
+            entry[0].extend(members), entry[1].update(docs)
+        for members, docs in same.values():
+            if len(docs) >= (long_docs if n >= long_tokens else min_docs):
+                owner |= dict.fromkeys(members, min(docs))
+    out = []
+    for doc, text in data:
+        lines = [] if text is None else text.split("\n")
+        kept = [x for x in lines if owner.get(tuple(N.WILD if any(map(str.isdecimal, t)) else t for t in x.split()), doc) == doc]
+        out.append((doc, len(lines), len(lines) - len(kept), None if text is None else "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_lines_brute(spark, partitions):
+    """A leaf of 5,000 lines, among them variants of a few templates, short lines and a long passage in two documents."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage = " ".join(word(6) for _ in range(60))
+    data = []
+    for i in range(250):
+        lines = [f"Welcome to our {word(4)} {word(1)} {word(1)} {word(1)} {word(2)} and page {i}" for _ in range(20)]
+        lines += ["Read more", f"Posted at {i}", "", word(9)][: int(rng.integers(0, 5))] + [f"Welcome to our site dear {word(3)} and enjoy the many articles"] * (i % 7 == 0)
+        data.append((i, "\n".join(lines + [passage] * (i in (3, 200)) + [passage.replace(" ", " x ", 1)] * (i == 77))))
+    data += [(900, None), (901, ""), (902, "  \n\t")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(partitions)
+    got = sorted(map(tuple, N.dedup_lines(df).collect()))
+    assert got == sorted(brute_lines(data))
+    dropped = {r[0]: r[2] for r in got}
+    assert dropped[200] > 0 and sum(dropped.values()) > 300 and passage not in dict((r[0], r[3]) for r in got)[200]
+
+
+def test_lines_ties_and_repeated_rows(spark):
+    data = [(1, "a b c d\nown one"), (1, "a b c d\nown one"), (2, "a b c d"), (2, "a b c e"), (3, "x y 3"), (None, "x y 4"), (None, "x y 5"), (None, None)]
+    got = sorted(map(str, N.dedup_lines(spark.createDataFrame([(*r, "clash", "clash") for r in data], "doc_id long, text string, key string, at string").repartition(3)).collect()))
+    assert len(got) == len(data) and sum("n_dropped=1" in x for x in got) == 2  # of x y <*> one owner keeps its line
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9, 1.0])
 def test_leaf_index_is_the_scan(monkeypatch, similarity):
     rng = np.random.default_rng(5)
@@ -223,6 +311,25 @@ def test_word_encoder_is_the_library():
         assert b"".join(e.encode(text)) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes(), text
 
 
+def test_other_tokenizers_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = Q.vocabulary_file("byte_bpe_50k.json")
+    e, t = O.WordEncoder(path), Tokenizer.from_file(path)
+    for text in ("Hello World again", "  two  spaces\n", ""):
+        assert b"".join(e.encode(text)) == np.array(t.encode(text, add_special_tokens=False).ids, dtype=f"<{'u2' if e.kind == 'H' else 'u4'}").tobytes()
+
+
+def test_small_caches_change_nothing(spark, docs, monkeypatch):
+    path = Q.vocabulary_file("word_bpe_49k.json")
+    want = sorted(map(str, O.token_output(docs, path).collect()))
+    e, texts = O.WordEncoder(path), [t or "" for _, t, *_ in rows()]
+    all_ids = [b"".join(e.encode(t)) for t in texts]
+    monkeypatch.setattr(O, "CACHE", 5), monkeypatch.setattr(O, "STAY", 2)
+    assert [b"".join(e.encode(t)) for t in texts] == all_ids
+    assert sorted(map(str, O.token_output(docs.repartition(9), path).collect())) == want
+
+
 def test_mixing(docs, none, monkeypatch):
     for block in (5, 4096):
         monkeypatch.setattr(X, "BLOCK", block)
@@ -250,6 +357,46 @@ def test_flight_keeps_sums_and_odds():
     assert np.abs(mean - 0.3).max() < 0.06
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_mixing_lands_every_source(spark, monkeypatch, block):
+    """A source of many blocks, a small one, one without words, one of three documents, and rows without an id."""
+    monkeypatch.setattr(X, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    n = np.minimum(3000, rng.lognormal(3.5, 1.2, 9203).astype(int))
+    data = [(None if i % 50 == 0 else i, "w " * int(k), "big" if i < 9000 else "small" if i < 9200 else None) for i, k in enumerate(n)]
+    data += [(20_000 + i, "", "empty") for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = X.mix_sources(df, share=0.8).collect()
+    assert len(got) == len(data)
+    for source in ("big", "small"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) < 0.005 * own[0].target
+        assert abs(sum(r.copies for r in own) - len(own) * own[0].target / own[0].source_size) < 0.01 * len(own) + 5
+    assert all(r.taken <= 2 * r["size"] for r in got) and all(r.target == 0 for r in got if r.source == "empty")
+    assert sorted(map(str, got)) == sorted(map(str, X.mix_sources(df.repartition(3), share=0.8).collect()))
+
+
+def test_settle_keeps_sums_and_odds():
+    rng = np.random.default_rng(1)
+    size = np.sort(rng.integers(0, 400, 60))[::-1]
+    p = np.full(60, 0.3)
+    out = X.settle(p, size, rng.random(60), last=False)
+    assert ((out > 0) & (out < 1)).sum() <= 2 and abs((out * size).sum() - (p * size).sum()) < 1e-3
+    mean = np.mean([X.settle(p, size, rng.random(60), last=False) for _ in range(3000)], axis=0)
+    assert np.abs(mean - 0.3).max() < 0.08
+    landed = X.settle(p, size, rng.random(60), last=True)
+    assert set(landed) <= {0.0, 1.0} and abs(landed @ size - p @ size) <= 1
+
+
+def test_landing_is_the_best_choice():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        size, p = rng.integers(1, 50, 6).astype(float), rng.random(6)
+        out = X.land(p, size)
+        least = min(abs(np.dot(c, size) - p @ size) for c in itertools.product((0, 1), repeat=6))
+        assert abs(abs(out @ size - p @ size) - least) < 1e-5
+
+
 def test_language(docs, none, spark):
     model = L.fit(L.training_rows(docs))
     got = {(r.doc_id, r.lang_pred): r for r in L.identify(docs, model).collect()}
@@ -314,6 +461,19 @@ def test_token_counts(docs, none, monkeypatch):
     assert C.token_counts(none, path).count() == 0
 
 
+def test_token_counts_of_rows_in_no_order(spark, monkeypatch):
+    """The input comes in another order each time it is evaluated; counts stay with their rows."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    path = Q.vocabulary_file("byte_bpe_50k.json")
+    monkeypatch.setattr(C, "HEAD", 2)
+    data = [(i, f"row {i} " + "rare" * (i % 9) + " w" * i) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4, F.rand()).orderBy(F.rand())
+    t = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n_tokens for r in C.token_counts(df, path).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in data}
+
+
 def test_pre_tokens_are_the_library():
     import random
 
@@ -369,6 +529,108 @@ def test_viterbi_brute():
         assert abs(cost(s.split(run)) - best(run)[0]) < 1e-9
 
 
+def test_urls_held_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {(r.truth, r.verdict): r.n for r in U.held_out(pages, RULES).collect()}
+    right, total = got.get(("block", "block"), 0) + got.get(("allow", "allow"), 0), sum(got.values())
+    assert total >= 10 and right / total >= 0.7
+
+
+def test_naive_bayes_brute(spark):
+    urls = ["http://bad.com/en/free-bets", "http://worse.com/en/bets", "http://a.net/de/garden", "http://b.net/de/old-garden", "http://example.com/en/7/x"]
+    ask = ["http://free.org/bets", "http://garden.fr/old", "http://nothing.fr/", None, "http://xn--grten-gra.fr/b%C3%A4ume"]
+    pages = spark.createDataFrame([(i, u, "free bets garden old garden") for i, u in enumerate([*urls, *urls[:1], *ask])], "page_id long, url string, html string")
+    segment, _ = U.fit(pages, RULES)
+    table, docs = U.Rules(RULES), {"block": [], "allow": []}
+    for u in [*urls, urls[0]]:
+        host, path = U.split_url(u)
+        docs[table.find(host, path)[1]].append([U.bucket(t) for t in segment.tokens(host, path)])
+    total = sum(map(len, docs.values()))
+    got = {r.page_id: r.block_odds for r in U.judge_urls(pages, RULES).collect()}
+    for i, u in enumerate(ask):
+        odds = 0.0
+        for sign, own in ((1, docs["block"]), (-1, docs["allow"])):
+            flat = [b for d in own for b in d]
+            odds += sign * (np.log((len(own) + 1) / (total + 2)) + sum(np.log((flat.count(U.bucket(t)) + 1) / (len(flat) + U.BUCKETS)) for t in segment.tokens(*U.split_url(u))))
+        assert abs(got[6 + i] - odds) < 1e-9
+    assert segment.tokens("xn--grten-gra.fr", "/b%C3%A4ume")[0].startswith("h:") and "ä" in "".join(segment.tokens("x", "/b%C3%A4ume"))
+    assert U.judge_urls(pages.union(pages), RULES).count() == 2 * pages.count()
+
+
+def test_ftrl_brute():
+    """Against the update written out coordinate by coordinate."""
+    rng = np.random.default_rng(1)
+    model = L.Ftrl(3, alpha=0.3, beta=1.0, l1=0.05, l2=0.1)
+    z, n = {}, {}
+
+    def weight(i, k):
+        v = z.get((i, k), 0.0)
+        return 0.0 if abs(v) <= 0.05 else -(v - np.sign(v) * 0.05) / ((1.0 + n.get((i, k), 0.0) ** 0.5) / 0.3 + 0.1)
+
+    for _ in range(200):
+        index = np.sort(rng.choice(12, 4, replace=False))
+        x, label = rng.random(4), int(rng.integers(3))
+        model.learn(index, x, label)
+        w = {(i, k): weight(i, k) for i in index for k in range(3)}
+        logits = [sum(w[i, k] * v for i, v in zip(index, x, strict=True)) for k in range(3)]
+        e = np.exp(np.array(logits) - max(logits))
+        p = e / e.sum()
+        for i, v in zip(index, x, strict=True):
+            for k in range(3):
+                g = (p[k] - (k == label)) * v
+                old = n.get((i, k), 0.0)
+                z[i, k] = z.get((i, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / 0.3 * w[i, k]
+                n[i, k] = old + g * g
+    got = model.weights(np.arange(12))
+    assert np.abs(got - np.array([[weight(i, k) for k in range(3)] for i in range(12)])).max() < 1e-12 and (got == 0).any()
+
+
+def test_temperature_is_the_least_loss():
+    rng = np.random.default_rng(2)
+    labels = rng.integers(0, 3, 300)
+    logits = 4 * (np.eye(3)[np.where(rng.random(300) < 0.7, labels, rng.integers(0, 3, 300))] + rng.normal(0, 0.2, (300, 3)))
+    share = np.full((300, 3), 1 / 302 / 2)
+    share[np.arange(300), labels] = 301 / 302
+    loss = lambda t: -(share * np.log(L.softmax(logits / t))).sum(axis=1).mean()
+    found = L.temperature(logits, labels)
+    assert abs(found - min(np.linspace(0.05, 10, 4000), key=loss)) < 0.01 and L.temperature(logits[:0], labels[:0]) == 1.0
+
+
+def test_difference_hash_brute():
+    rng = np.random.default_rng(4)
+    for shape in ((24, 24), (120, 24), (7, 5), (9, 8)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        bits = []
+        for y in range(8):
+            cells = []
+            for x in range(9):
+                y0, x0 = y * shape[0] // 8, x * shape[1] // 9
+                y1, x1 = max(-(-(y + 1) * shape[0] // 8), y0 + 1), max(-(-(x + 1) * shape[1] // 9), x0 + 1)
+                cells.append(image[y0:y1, x0:x1].astype(float).mean())
+            bits += [a > b + 1e-9 for a, b in zip(cells[1:], cells, strict=False)]
+        got = np.unpackbits(np.frombuffer(bytes.fromhex(M.difference_hash(image)), dtype=np.uint8)).astype(bool)
+        assert (got == np.array(bits)).mean() > 0.96  # equal means may round either way
+
+
+def test_bad_images_give_null(spark):
+    bmp = M.encode_bmp(np.full((3, 3), 200, dtype=np.uint8))
+    short = bytearray(bmp)
+    short[46:50] = (4).to_bytes(4, "little")  # a palette of four colours
+    bad = [b"P5\n99999999999999999999 9\n255\n", bytes(short), b"P2\n1 1\n0\n0\n", b"P5\n2 2\n255\nab", b"P1\n2 1\n2 0\n", b"P2\n1 1\n3\n9\n", b"P2\n1 1\n9\nx\n", b"BM", b"", bmp[:60], b"P6\n0 0\n255\n", b"P5\n3 3\n"]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([*bad, bmp])], "doc_id long, media binary")
+    assert {r.doc_id: r.tiles is not None for r in M.media_tiles(df).collect()} == dict.fromkeys(range(len(bad)), False) | {len(bad): True}
+
+
+def test_licenses_from_a_table_and_repeated_lines(spark):
+    line = "Released under the MIT License."
+    docs = spark.createDataFrame([(1, f"{line}\n{line}\nown"), (1, f"{line}\n{line}\nown"), (2, "My Terms!"), (3, dict(S.LICENSES)["GPL-3.0"]), (4, "SPDX-License-Identifier: MPL-2.0")], "doc_id long, text string")
+    got = S.scan_licenses(docs).collect()
+    assert [(r.n_lines, r.n_license_lines, r.licenses) for r in got if r.doc_id == 1] == [(3, 2, "MIT-notice")] * 2
+    assert [r.license for r in got if r.doc_id == 3] == ["GPL-3.0"] and [r.licenses for r in got if r.doc_id == 4] == ["MPL-2.0-notice"]
+    own = spark.createDataFrame([("own", "my terms")], "license string, text string")
+    assert {r.doc_id: r.license for r in S.scan_licenses(docs, own).collect()} == {1: None, 2: "own", 3: None, 4: None}
+
+
 def test_pipeline(spark, docs, none):
     import corpus_pipeline as P
 
@@ -412,3 +674,24 @@ def test_language_sample_is_balanced(spark):
     sample = L.balanced(spark.createDataFrame(data, "text string, lang string").repartition(3), 3, 60, 3).collect()
     counts = {lang: sum(r.lang == lang for r in sample) for lang in "abc"}
     assert counts == {"a": 20, "b": 20, "c": 5} and len({(r.lang, r.text) for r in sample}) == 45
+
+
+def test_stages_delete_what_nothing_reads(spark, docs, tmp_path):
+    """A stage clears what earlier ones left once their result is written, never what its own docs read."""
+    import os
+
+    import corpus_pipeline as P
+
+    def tables():
+        from graphloom.llm.common import shared_dir
+
+        folder = f"{shared_dir(spark)}/graphloom"
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    first = P.dedup_stage(spark, docs.select(*P.COLUMNS), "")
+    left = set(P._LEFT)
+    second = P.mixing_stage(spark, first, "")  # reads the first stage's tables still
+    assert any(p in P._LEFT for p in left) and second.count() > 0
+    second.write.parquet(str(tmp_path / "out"))
+    P.mixing_stage(spark, spark.read.parquet(str(tmp_path / "out")), "")
+    assert not left & set(P._LEFT) and not {os.path.basename(p) for p in left} & tables()
