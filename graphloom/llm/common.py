@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,22 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return marked.where(~F.col("_maybe")).select(*columns).unionByName(marked.where("_maybe").select(*columns).join(gone.select(column).hint("merge"), column, "left_anti").select(*columns))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[Row]:
+    """The rows of ``counts(..., n)`` with the largest ``n``, ``most`` at most: all from the least count on with which they fit.
+
+    The limit is found from how many rows have each count, so tasks send no more to the driver than what is taken.
+    """
+    table = materialise(counts, "counts")
+    least, taken = None, 0
+    for n, rows in sorted((tuple(r) for r in table.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        if taken + rows > most:
+            break
+        least, taken = n, taken + rows
+    found = [] if least is None else table.where(F.col("n") >= least).collect()
+    discard(table)
+    return found
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let the session send texts to Python in small Arrow batches: SLICE rows or SLICE_BYTES, whichever is less.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, row_base
+from .common import map_rows, materialise, most_frequent, row_base
 from .token_output import BYTE_ALPHABET
 
 #: Most frequent pre-tokens whose counts go to every worker (about 100 bytes each there); all others are shuffled.
@@ -163,6 +163,5 @@ def _head(docs: DataFrame, tokenizer_path: str) -> dict[str, int]:
         return each
 
     offered = map_rows(docs.select("text"), make, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = offered.orderBy(F.desc("n"), "token").limit(HEAD).select("token")
     pre = _ready(tokenizer_path)
-    return {r.token: pre.pieces(r.token) for r in top.collect()}
+    return {r.token: pre.pieces(r.token) for r in most_frequent(offered, HEAD)}

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, most_frequent
 
 #: Words of the segmenter at most (the most frequent), and hashed token buckets of the classifier.
 WORDS, BUCKETS = 50_000, 1 << 16
@@ -116,11 +116,11 @@ class NaiveBayes:
 
 
 def word_counts(pages: DataFrame, limit: int = WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of the visible page texts (all pages; ``limit`` bounds the model)."""
+    """Counts of the most frequent words of the visible page texts (all pages; ``limit`` bounds the model; words of one count are in
+    or out together)."""
     text = F.lower(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>|&[a-z]+;", " "))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, 24))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return {r.word: r.n for r in top.collect()}
+    return {r.word: r.n for r in most_frequent(words.groupBy("word").agg(F.count("*").alias("n")), limit)}
 
 
 def fit(pages: DataFrame, rules: Sequence[tuple[str, str]], without_fold: int | None = None) -> tuple[Segmenter, NaiveBayes]:

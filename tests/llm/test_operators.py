@@ -695,3 +695,12 @@ def test_stages_delete_what_nothing_reads(spark, docs, tmp_path):
     second.write.parquet(str(tmp_path / "out"))
     P.mixing_stage(spark, spark.read.parquet(str(tmp_path / "out")), "")
     assert not left & set(P._LEFT) and not {os.path.basename(p) for p in left} & tables()
+
+
+def test_most_frequent(spark):
+    from graphloom.llm.common import most_frequent
+
+    counts = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", 1), ("e", 1)], "w string, n long")
+    for most, want in ((0, ""), (1, ""), (2, "ab"), (3, "abc"), (4, "abc"), (5, "abcde"), (9, "abcde")):
+        assert "".join(sorted(r.w for r in most_frequent(counts, most))) == want
+    assert most_frequent(counts.limit(0), 5) == []
