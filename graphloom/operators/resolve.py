@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from ..runtime import checkpointed, counted
 
 
 
@@ -98,8 +98,8 @@ def reexports(targets: DataFrame, republished: DataFrame, max_hops: int = 16) ->
     seen = front = checkpointed(targets.select("site", "file", F.lit(0).alias("hops")).distinct())
     for hop in range(1, max_hops + 1):
         step = front.join(republished.select("file", F.col("target").alias("_t")), "file").select("site", F.col("_t").alias("file"), F.lit(hop).alias("hops")).distinct()
-        front = checkpointed(step.join(seen.select("site", "file"), ["site", "file"], "left_anti"))
-        if front.limit(1).count() == 0:
+        front, found = counted(step.join(seen.select("site", "file"), ["site", "file"], "left_anti"))
+        if not found:
             break
         seen = seen.union(front)
     return seen

@@ -48,7 +48,11 @@ class RetryLedger(StatefulProcessor):
 
 
 def retry_ledger(events: DataFrame) -> DataFrame:
-    """Y2-Y4 over a stream (needs the RocksDB state store)."""
+    """Y2-Y4 over a stream (needs the RocksDB state store).
+
+    Keys expire by processing time, for which Spark runs batches without data again and again: a query that is to end
+    (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled`` false.
+    """
     return events.groupBy("session", "path").transformWithStateInPandas(RetryLedger(), OUTPUT, "Append", "ProcessingTime")
 
 

@@ -478,11 +478,12 @@ def test_ledger_at_once_is_the_stream(spark, tmp_path):
     from graphloom.streaming.ledger import ledger_at_once, retry_ledger
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the time to live would ask for one more batch forever
     rows = [("s", f"p{k}", i, "k", float(10 * k + i)) for k, n in enumerate((1, 3, 4, 12)) for i in range(n)]
     schema = "session string, path string, run_id long, key string, value double"
     frame(spark, rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
     q = retry_ledger(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("ledger2").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     last = {}
     for r in spark.sql("select * from ledger2 order by attempts").collect():
         last[r.session, r.path, r.key] = (r.attempts, list(r["values"]), r.exhausted)
@@ -494,12 +495,13 @@ def test_retry_ledger(spark, tmp_path):
     from graphloom.streaming.ledger import retry_ledger
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the time to live would ask for one more batch forever
     runs = [[("k", 1.0)], [("k", 2.0)], [("k", 3.0)], [("k", 4.0), ("j", 1.0)], [(None, None)]]
     rows = [("s", "p.py", i, k, v) for i, fs in enumerate(runs) for k, v in fs]
     schema = "session string, path string, run_id long, key string, value double"
     frame(spark, rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     q = retry_ledger(stream).writeStream.format("memory").queryName("ledger").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = [tuple(r) for r in spark.sql("select key, attempts, exhausted, repaired, size(values) from ledger order by key, repaired, attempts").collect()]
     assert got == [("j", 1, False, False, 1), ("j", 1, False, True, 1), ("k", 1, False, False, 1), ("k", 2, False, False, 2), ("k", 3, False, False, 3), ("k", 4, True, False, 4), ("k", 4, False, True, 4)]
