@@ -4,28 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.picks import ranked_pick
+from ..functions.picks import ranked, ranked_pick
 
 
 def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``2 * sum(i * x) / (n * sum(x)) - (n + 1) / n`` over ascending values, 0 if the sum isn't positive."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order))
+    rows = ranked(df.select(*by, value), value, by)
     n, s = F.count("*"), F.sum(value)
     raw = F.try_divide(2 * F.sum(F.col("_i") * F.col(value)), n * s) - (n + 1) / n
-    return ranked.groupBy(*by).agg(F.when(s > 0, raw).otherwise(F.lit(0.0)).alias("gini"), n.alias("n"))
+    return rows.groupBy(*by).agg(F.when(s > 0, raw).otherwise(F.lit(0.0)).alias("gini"), n.alias("n"))
 
 
 def erosion(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 0.10, name: str = "erosion") -> DataFrame:
     """The share of the sum that the largest ``max(1, ceil(n * k))`` values hold, 0 if the sum isn't positive."""
-    order = Window.partitionBy(*by).orderBy(F.desc(value))
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(order).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    rows = ranked(df.select(*by, value), value, by, descending=True)
     top = F.greatest(F.lit(1), F.ceil(F.col("_n") * k))
-    share = F.try_divide(F.sum(F.when(F.col("_r") <= top, F.col(value)).otherwise(0)), F.sum(value))
-    return ranked.groupBy(*by).agg(F.when(F.sum(value) > 0, share).otherwise(F.lit(0.0)).alias(name))
+    share = F.try_divide(F.sum(F.when(F.col("_i") <= top, F.col(value)).otherwise(0)), F.sum(value))
+    return rows.groupBy(*by).agg(F.when(F.sum(value) > 0, share).otherwise(F.lit(0.0)).alias(name))
 
 
 def structural_erosion(df: DataFrame, entity: str, value: str, by: Sequence[str], k: float = 0.10) -> DataFrame:
@@ -60,9 +58,9 @@ def coupling_profile(classes: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.join(distribution(exact, "cbo", by).drop("n"), list(by), "left")
 
 
-def god_cutoff(sizes: DataFrame, size: str, floor: int = 5000) -> DataFrame:
+def god_cutoff(sizes: DataFrame, size: str, floor: int = 5000, few: bool = False) -> DataFrame:
     """``floor`` below ten components, else the larger of the 90th pick and ``floor``: one row ``cutoff``."""
-    pick = ranked_pick(sizes, size, 0.9)
+    pick = ranked_pick(sizes, size, 0.9, few=few)
     n = sizes.agg(F.count(size).alias("n"))
     return n.join(pick, F.lit(True), "left").select(F.when((F.col("n") < 10) | F.col("pick").isNull(), F.lit(floor)).otherwise(F.greatest("pick", F.lit(floor))).alias("cutoff"))
 

@@ -27,7 +27,7 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst"))
     w = li.join(s, "l_suppkey").join(o, "l_orderkey").join(c, "o_custkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    return w.crossJoin(F.broadcast(ranked_pick(w, "weight", 0.9))).where("weight >= pick").select("src", "dst", "weight")
+    return w.crossJoin(F.broadcast(ranked_pick(w, "weight", 0.9, few=True))).where("weight >= pick").select("src", "dst", "weight")
 
 
 def referrals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,23 @@ def test_picks(spark):
     assert D.god_cutoff(frame(spark, [(9000,)] * 3, "size int"), "size").first().cutoff == 5000
 
 
+def test_global_ranks(spark):
+    """Ranks over range partitions are those of one sorted list."""
+    r = random.Random(8)
+    values = [float(r.randrange(40)) for _ in range(500)] + [None] * 5
+    df = frame(spark, [(v,) for v in values], "v double").repartition(7)
+    known = sorted(v for v in values if v is not None)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        assert ranked_pick(df, "v", q).first().pick == known[min(len(known) - 1, int(len(known) * q))] == ranked_pick(df, "v", q, few=True).first().pick
+    n, total = len(known), sum(known)
+    want = 2 * sum(i * x for i, x in enumerate(known, 1)) / (n * total) - (n + 1) / n
+    got = D.gini(df, "v").first()
+    assert got.gini == pytest.approx(want) and got.n == n
+    top = sorted(known, reverse=True)[:50]
+    assert D.erosion(df, "v").first().erosion == pytest.approx(sum(top) / total)
+    assert ranked_pick(df.limit(0), "v", 0.5).count() == 0 and D.gini(df.limit(0), "v").first().gini == 0.0
+
+
 def test_history(spark):
     rows = [("c1", "a", "x"), ("c1", "b", "x"), ("c2", "a", "y"), ("c2", "b", "x"), ("c3", "a", "x"), ("c3", "z", "x")] + [("big", f"f{i}", "x") for i in range(9)] + [("big", "a", "x"), ("big", "b", "x")]
     df = frame(spark, rows, "commit string, path string, author string")
