@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import checkpointed
-from .graph import connected_components, scc
+from .graph import scc
 
 
 #: Methods that set a class up; a method of the class's own name is one too.
@@ -64,17 +66,57 @@ def cohesion(members: DataFrame, methods: DataFrame | None = None, calls: DataFr
 
 
 def _components(every: DataFrame, touch: DataFrame, linked: DataFrame, constructors: Sequence[str]) -> DataFrame:
-    """(cls, lcom3, lcom4): parts of the graph of a class's methods and fields, for 4 with its calls, in one run over all classes."""
+    """(cls, lcom3, lcom4): parts of the graph of a class's methods and fields, for 4 with its calls.
+
+    Rows come by class, and one class at a time is held, as disjoint sets: memory is that of the largest class's members.
+    """
     setup = F.col("method").cast("string").isin(*constructors) | (F.col("method").cast("string") == F.col("cls").cast("string"))
     only = every.groupBy("cls").agg(F.bool_and(setup).alias("only"))
     taking = checkpointed(every.join(only, "cls").where(~setup | F.col("only")).select("cls", "method"))
-    name = lambda kind, k, c: F.concat_ws("\u0001", F.lit(kind), F.lit(k), F.col("cls").cast("string"), F.col(c).cast("string"))
-    used = touch.join(taking, ["cls", "method"], "left_semi")
+    text = lambda c: F.col(c).cast("string")
+    rows = taking.select("cls", text("method").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("kind"))
+    rows = rows.union(touch.join(taking, ["cls", "method"], "left_semi").select("cls", text("method"), text("field"), F.lit(1)))
     calls = linked.join(taking.withColumnRenamed("method", "m1"), ["cls", "m1"], "left_semi").join(taking.withColumnRenamed("method", "m2"), ["cls", "m2"], "left_semi")
-    edges = reduce(DataFrame.union, [used.select(name("m", k, "method").alias("src"), name("f", k, "field").alias("dst")) for k in "34"])
-    nodes = reduce(DataFrame.union, [taking.select("cls", F.lit(k).alias("k"), name("m", k, "method").alias("node")) for k in "34"])
-    found = connected_components(edges.union(calls.select(name("m", "4", "m1"), name("m", "4", "m2"))), nodes.select("node"))
-    return nodes.join(found, "node").groupBy("cls").agg(*[F.countDistinct(F.when(F.col("k") == k, F.col("component"))).alias(f"lcom{k}") for k in "34"])
+    rows = rows.union(calls.select("cls", text("m1"), text("m2"), F.lit(2)))
+    schema = T.StructType([every.schema["cls"], *T._parse_datatype_string("lcom3 long, lcom4 long").fields])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, up, names, out = to_arrow_schema(schema), {}, set(), []
+
+        def find(x: tuple) -> tuple:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def count() -> int:
+            return len({find((0, n)) for n in names})
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        at, three = None, None
+        for batch in batches:
+            for cls, a, b, kind in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if at != (cls,):
+                    if at:
+                        out.append((*at, count() if three is None else three, count()))
+                    at, three = (cls,), None
+                    up.clear(), names.clear()
+                if kind == 2 and three is None:
+                    three = count()
+                if kind == 0:
+                    names.add(a)
+                elif find((0, a)) != find((2 - kind, b)):
+                    up[find((0, a))] = find((2 - kind, b))
+            if len(out) > 10_000:
+                yield told()
+                out = []
+        if at:
+            out.append((*at, count() if three is None else three, count()))
+        if out:
+            yield told()
+
+    return rows.repartition("cls").sortWithinPartitions("cls", "kind").mapInArrow(parts, schema)
 
 
 def settle_fields(declared: DataFrame, accesses: DataFrame) -> DataFrame:
