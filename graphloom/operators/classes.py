@@ -1,4 +1,7 @@
-"""Classes and calls: cohesion, coupling, inheritance, call graph, shredding."""
+"""Classes and calls: cohesion, coupling, inheritance, call graph, shredding.
+
+Null members and bases join nothing; a class without rows in a table has zeros or nulls as each function says; empty tables give no rows; ties go to the least name.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Concentration and risk: Gini, erosion, risk profiles, coupling distributions."""
+"""Concentration and risk: Gini, erosion, risk profiles, coupling distributions.
+
+Null values are left out; groups of null keys are groups; no rows give no groups, and without groups one row of zeros where a share is asked for.
+"""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.picks import ranked_pick
-from ..runtime import checkpointed, counted
+from ..runtime import checkpointed, counted, release
 from . import in_task
 
 #: Edges and nodes up to which a graph is taken to one task (for closures, whose result is a square, fewer).
@@ -47,7 +47,8 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return checkpointed(in_task.in_one_task(reach, None, in_task.closure, "src NODE, dst NODE"))
     for _ in range(max_rounds):
         step = reach.withColumnRenamed("dst", "mid").join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach, now = counted(reach.union(step).distinct())
+        old, (reach, now) = reach, counted(reach.union(step).distinct())
+        release(old)
         if now == size:
             return reach
         size = now
@@ -64,14 +65,16 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     if size <= SMALL:
         return checkpointed(in_task.in_one_task(edges, nodes, in_task.components, "node NODE, component NODE"))
     both = checkpointed(symmetric(edges))
-    label = checkpointed(_all_nodes(edges, nodes).select("node", F.col("node").alias("component")))
+    label = held = checkpointed(_all_nodes(edges, nodes).select("node", F.col("node").alias("component")))
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         low = label.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("l"), F.col("component").alias("was"))
         jump = low.select(F.col("node").alias("l"), F.col("l").alias("l2"))
         new, moved = counted(low.join(jump, "l", "left").select("node", F.least("l", F.coalesce("l2", "l")).alias("component"), "was"), F.col("component") != F.col("was"))
-        label = new.select("node", "component")
+        release(held)
+        label, held = new.select("node", "component"), new
         if not moved:
+            release(both)
             return label
     raise RuntimeError("components did not settle")
 
@@ -113,13 +116,14 @@ def scc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200)
 
 def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node, itself included."""
-    colour = nodes.select("node", F.col("node").alias("colour"))
+    colour, held = nodes.select("node", F.col("node").alias("colour")), None
     while True:
         into = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy("dst").agg(F.min("colour").alias("m"))
         new, moved = counted(
             colour.join(into.withColumnRenamed("dst", "node"), "node", "left").select("node", F.least("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")), F.col("colour") != F.col("was")
         )
-        colour = new.select("node", "colour")
+        release(held)
+        colour, held = new.select("node", "colour"), new
         if not moved:
             return colour
 
@@ -157,11 +161,12 @@ def levels(dag: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFr
     dag, nodes, size = _table(dag, nodes)
     if size <= SMALL:
         return checkpointed(in_task.in_one_task(dag, nodes, in_task.levels, "node NODE, level long"))
-    level = checkpointed(_all_nodes(dag, nodes).select("node", F.lit(0).cast("long").alias("level")))
+    level = held = checkpointed(_all_nodes(dag, nodes).select("node", F.lit(0).cast("long").alias("level")))
     for _ in range(max_rounds):
         up = dag.join(level.select(F.col("node").alias("dst"), "level"), "dst").groupBy("src").agg((F.max("level") + 1).alias("up"))
         new, moved = counted(level.join(up.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("up", F.lit(0)).cast("long").alias("level"), F.col("level").alias("was")), F.col("level") != F.col("was"))
-        level = new.select("node", "level")
+        release(held)
+        level, held = new.select("node", "level"), new
         if not moved:
             return level
     raise RuntimeError("the graph has a cycle")

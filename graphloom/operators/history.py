@@ -1,4 +1,7 @@
-"""Change history: file histories, co-change, hotspots, ownership, bus factor, rename chains."""
+"""Change history: file histories, co-change, hotspots, ownership, bus factor, rename chains.
+
+Nulls in paths, authors or commits are values of their own in counts and never join; no changes give no rows, except where a total of one row is asked for (zero or null, as each says).
+"""
 
 from __future__ import annotations
 

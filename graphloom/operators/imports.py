@@ -1,4 +1,7 @@
-"""Import tables to dependency edges."""
+"""Import tables to dependency edges.
+
+Null specifiers and paths resolve to nothing; repeated imports count once for a target and each for a weight; empty tables give no edges.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Name and position resolution."""
+"""Name and position resolution.
+
+A null position, name or symbol joins nothing; repeated rows count once where an answer is a set and are kept where sites are rows; empty tables give no answers.
+"""
 
 from __future__ import annotations
 

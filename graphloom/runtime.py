@@ -24,7 +24,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and scanned again: survives lost executors, keeps plans short."""
     path = f"{shared_folder(df).rstrip('/')}/graphloom/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``checkpointed`` that nothing reads any more: what was made of them is written. Others are left alone."""
+    for table in tables:
+        path = getattr(table, "_table", None)
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
