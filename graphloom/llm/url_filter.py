@@ -12,10 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, most_frequent
+from .common import map_rows, materialise, maybe_in, row_base
 
-#: Words of the segmenter at most (the most frequent), and hashed token buckets of the classifier.
-WORDS, BUCKETS = 50_000, 1 << 16
+#: Letters of a word of the segmenter, and hashed token buckets of the classifier.
+SHORTEST, LONGEST, BUCKETS = 2, 24, 1 << 16
 #: Folds of the ruled urls for a held-out measure.
 FOLDS = 5
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,38 +65,54 @@ class Rules:
         return best
 
 
+def letter_runs(host: str, path: str) -> tuple[list[str], list[str], list[str]]:
+    """Runs of letters of the host and of the path, in any script, and the tokens of their numbers, which tell a number's length alone."""
+    runs: tuple[list[str], list[str], list[str]] = [], [], []
+    for i, text in enumerate((plain_host(host), unquote(path, errors="replace").lower())):
+        for run in _RUN.findall(text):
+            if run[0].isdecimal():
+                runs[2].append(f"{'hp'[i]}#{len(run)}")
+            else:
+                runs[i].append(run)
+    return runs
+
+
+def best_split(run: str, costs: dict[tuple[int, int], float], unknown: float) -> list[str]:
+    """Viterbi: the split of least cost of a run into known words ``(start, end)`` and single letters of cost ``unknown``; of equal ones
+    the one that ends with the single letter, else with the longest word."""
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for (start, end), cost in costs.items():
+        ending.setdefault(end, []).append((start, cost))
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(run) + 1):
+        least = best[end - 1][0] + unknown, end - 1
+        for start, cost in sorted(ending.get(end, ())):
+            if best[start][0] + cost < least[0]:
+                least = best[start][0] + cost, start
+        best.append(least)
+    out, end = [], len(run)
+    while end:
+        out.append(run[best[end][1] : end])
+        end = best[end][1]
+    return out[::-1]
+
+
 class Segmenter:
-    """Most likely split of a run of letters into words, by a unigram model (Viterbi)."""
+    """The unigram model on one machine: costs of known words, and of a letter that none covers, dearer than any word."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         total = sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
         self.unknown = math.log(total) + math.log(10)
 
     def split(self, run: str) -> list[str]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(run) + 1):
-            # an unknown letter is a word of its own, dearer than any known word of that length
-            least = best[end - 1][0] + self.unknown, end - 1
-            for start in range(max(0, end - self.longest), end):
-                cost = self.cost.get(run[start:end])
-                if cost is not None and best[start][0] + cost < least[0]:
-                    least = best[start][0] + cost, start
-            best.append(least)
-        out, end = [], len(run)
-        while end:
-            out.append(run[best[end][1] : end])
-            end = best[end][1]
-        return out[::-1]
+        pairs = ((i, j) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST) + 1))
+        return best_split(run, {(i, j): self.cost[run[i:j]] for i, j in pairs if run[i:j] in self.cost}, self.unknown)
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host and path in any script, marked by where they stand; numbers by their length alone."""
-        out = []
-        for mark, text in (("h", plain_host(host)), ("p", unquote(path, errors="replace").lower())):
-            for run in _RUN.findall(text):
-                out += [f"{mark}#{len(run)}"] if run[0].isdigit() else [f"{mark}:{w}" for w in self.split(run)]
-        return out
+        """Words of host and path, marked by where they stand, and their numbers."""
+        h, p, numbers = letter_runs(host, path)
+        return [f"h:{w}" for r in h for w in self.split(r)] + [f"p:{w}" for r in p for w in self.split(r)] + numbers
 
 
 def bucket(token: str) -> int:
@@ -115,93 +131,116 @@ class NaiveBayes:
         return float(score[0] - score[1])
 
 
-def word_counts(pages: DataFrame, limit: int = WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of the visible page texts (all pages; ``limit`` bounds the model; words of one count are in
-    or out together)."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n): all words of SHORTEST to LONGEST letters of the visible texts of all pages."""
     text = F.lower(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>|&[a-z]+;", " "))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, 24))
-    return {r.word: r.n for r in most_frequent(words.groupBy("word").agg(F.count("*").alias("n")), limit)}
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def fit(pages: DataFrame, rules: Sequence[tuple[str, str]], without_fold: int | None = None) -> tuple[Segmenter, NaiveBayes]:
-    """The segmenter of all pages' words, and the classifier taught by the urls that a rule decides.
+def fold_of(url: str | None) -> int:
+    return zlib.crc32((url or "").encode("utf-8", "surrogatepass")) % FOLDS
+
 
-    ``without_fold`` leaves the urls of one fold of FOLDS (by crc32 of the url) out of the classes' counts.
-    """
-    spark = pages.sparkSession
-    words = Segmenter(word_counts(pages))
-    segmenter, table = spark.sparkContext.broadcast(words), Rules(rules)
+def _parsed(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """Each row's url in parts, with a row id, its rule and the rule's verdict, its fold, and its runs."""
+    table = Rules(rules)
 
-    def count():
-        total, seen = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
-        segment = segmenter.value
+    def make():
+        base = row_base()
 
         def each(c):
-            for url in c["url"]:
+            nonlocal base
+            for page, url in zip(c["page_id"], c["url"], strict=True):
+                base += 1
                 host, path = split_url(url)
-                rule, verdict = table.find(host, path)
-                if rule is not None and fold_of(url) != without_fold:
-                    k = int(verdict != "block")
-                    seen[k] += 1
-                    np.add.at(total[k], [bucket(t) for t in segment.tokens(host, path)], 1)
-            return ()
-
-        def close():
-            for k in (0, 1):
-                yield k, -1, int(seen[k])
-                for i in np.flatnonzero(total[k]):
-                    yield k, int(i), int(total[k, i])
-
-        each.close = close
+                h, p, numbers = letter_runs(host, path)
+                yield base, page, host, path, *table.find(host, path), fold_of(url), [f"h:{r}" for r in h] + [f"p:{r}" for r in p], numbers
+
+        return each
+
+    schema = "uid long, page_id long, host string, path string, rule string, own string, fold int, runs array<string>, numbers array<string>"
+    return materialise(map_rows(pages.select("page_id", "url"), make, schema), "urls")
+
+
+def _segmented(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """(run, words): every distinct run of letters of the urls, split once.
+
+    A run's parts are looked up in the counts of all words by a join (a bitmap spares it the parts that are surely none), so
+    that no dictionary is held anywhere: a task sees one run with its known parts.
+    """
+    words = materialise(words, "words")
+    total = words.agg(F.sum("n").alias("t")).first().t or 1
+    runs = materialise(urls.select(F.explode("runs").alias("r")).select(F.substring("r", 3, 1 << 30).alias("run")).distinct(), "runs")
+    starts = runs.select("run", F.explode(F.sequence(F.lit(0), F.greatest(F.length("run") - SHORTEST, F.lit(0)))).alias("start"))
+    sizes = F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("run") - F.col("start")))
+    parts = starts.where(F.length("run") - F.col("start") >= SHORTEST).select("run", "start", F.explode(sizes).alias("size")).withColumn("word", F.expr("substring(run, start + 1, size)"))
+    known = maybe_in(parts, "word", words).join(words.hint("merge"), "word").groupBy("run").agg(F.collect_list(F.struct("start", "size", "n")).alias("parts"))
+    unknown = math.log(total) + math.log(10)
+
+    def make():
+        def each(c):
+            for run, found in zip(c["run"], c["parts"], strict=True):
+                costs = {(p["start"], p["start"] + p["size"]): -math.log(p["n"] / total) for p in found or ()}
+                yield run, best_split(run, costs, unknown)
+
         return each
 
+    return materialise(map_rows(runs.join(known, "run", "left"), make, "run string, words array<string>"), "segmented")
+
+
+def _tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """(uid, bucket): the tokens of every row's url."""
+    split = _segmented(urls, words)
+    runs = urls.select("uid", F.explode("runs").alias("r")).select("uid", F.substring("r", 1, 2).alias("mark"), F.substring("r", 3, 1 << 30).alias("run"))
+    made = runs.join(split.hint("merge"), "run").select("uid", F.explode(F.transform("words", lambda w: F.concat("mark", w))).alias("token"))
+    every = made.unionByName(urls.select("uid", F.explode("numbers").alias("token")))
+    return materialise(every.select("uid", (F.crc32(F.col("token").cast("binary")) % BUCKETS).cast("int").alias("bucket")), "tokens")
+
+
+def _taught(urls: DataFrame, tokens: DataFrame, without_fold: int | None = None) -> NaiveBayes:
+    """The classifier of the urls that a rule decides: BUCKETS counts for each of the two verdicts reach the driver."""
+    ruled = urls.where(F.col("rule").isNotNull() & (F.lit(without_fold is None) | (F.col("fold") != F.lit(-1 if without_fold is None else without_fold))))
+    ruled = ruled.select("uid", (F.col("own") != "block").cast("int").alias("k"))
     counts, seen = np.zeros((2, BUCKETS)), np.zeros(2)
-    for r in map_rows(pages.select("url"), count, "k int, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
-        if r.bucket < 0:
-            seen[r.k] = r.n
-        else:
-            counts[r.k, r.bucket] = r.n
-    return words, NaiveBayes(counts, seen)
+    for r in ruled.groupBy("k").agg(F.count("*").alias("n")).collect():
+        seen[r.k] = r.n
+    for r in tokens.join(ruled, "uid").groupBy("k", "bucket").agg(F.count("*").alias("n")).collect():
+        counts[r.k, r.bucket] = r.n
+    return NaiveBayes(counts, seen)
 
 
-def fold_of(url: str | None) -> int:
-    return zlib.crc32((url or "").encode("utf-8", "surrogatepass")) % FOLDS
+def _odds(urls: DataFrame, tokens: DataFrame, bayes: NaiveBayes) -> DataFrame:
+    """``urls`` with ``block_odds``, rounded to nine places, so that the order of a sum can't tell."""
+    lead = bayes.token[0] - bayes.token[1]
+    weights = urls.sparkSession.createDataFrame([(int(i), float(lead[i])) for i in range(BUCKETS)], "bucket int, lead double")
+    sums = tokens.join(F.broadcast(weights), "bucket").groupBy("uid").agg(F.sum("lead").alias("lead"))  # BUCKETS rows, whatever the input
+    prior = float(bayes.prior[0] - bayes.prior[1])
+    return urls.join(sums, "uid", "left").withColumn("block_odds", F.round(F.lit(prior) + F.coalesce("lead", F.lit(0.0)), 9))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], model: tuple[Segmenter, NaiveBayes] | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Verdict on every url of ``pages(page_id, url, html)``: ``page_id, host, path, rule, verdict, block_odds``.
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest wins. The
-    urls that a rule decides teach the classifier (unless ``model``, from ``fit``, is given): token counts of all of them, by
-    verdict. Host and path are segmented by a unigram model of the words of all pages. Urls without a rule get the more likely
-    class (``allow`` on a tie). Model sizes are fixed: WORDS words and BUCKETS counts for each class.
+    urls that a rule decides teach the classifier: token counts of all of them, by verdict. Host and path are segmented by a unigram
+    model of all words of all pages, each distinct run of letters once. Urls without a rule get the more likely class (``allow`` on
+    a tie). What is bounded is the classifier: BUCKETS counts for each class.
 
     Edge cases: a null url, or one without ``://``, has an empty host and path, no rule and the prior's verdict.
     Very long hosts take time in proportion. Null html gives no words. Repeated rows stay. Empty tables give no rows. Other
     columns are ignored, whatever their names.
     """
-    spark, table = pages.sparkSession, Rules(rules)
-    model = spark.sparkContext.broadcast(model or fit(pages, rules))
-
-    def judge():
-        segment, bayes = model.value
-
-        def each(c):
-            for page, url in zip(c["page_id"], c["url"], strict=True):
-                host, path = split_url(url)
-                rule, verdict = table.find(host, path)
-                odds = bayes.block_odds([bucket(t) for t in segment.tokens(host, path)])
-                yield page, host, path, rule, verdict or ("block" if odds > 0 else "allow"), odds
-
-        return each
-
-    return map_rows(pages.select("page_id", "url"), judge, "page_id long, host string, path string, rule string, verdict string, block_odds double")
+    urls = _parsed(pages, rules)
+    tokens = _tokens(urls, word_counts(pages))
+    out = _odds(urls, tokens, _taught(urls, tokens))
+    verdict = F.coalesce("own", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_odds")
 
 
 def held_out(pages: DataFrame, rules: Sequence[tuple[str, str]], fold: int = 0) -> DataFrame:
-    """How the classifier alone judges the ruled urls of a fold that it wasn't taught by: ``truth, verdict, n``."""
-    own = pages.select("page_id", "url")
-    judged = judge_urls(own, rules, fit(pages, rules, without_fold=fold)).where("rule is not null")
-    truth = judged.select(F.col("verdict").alias("truth"), F.when(F.col("block_odds") > 0, "block").otherwise("allow").alias("verdict"), "host", "path", "page_id")
-    kept = own.where(F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % FOLDS == fold).select("page_id").distinct()
-    return truth.join(kept, "page_id", "left_semi").groupBy("truth", "verdict").agg(F.count("*").alias("n"))
+    """How the classifier alone judges the ruled urls of a fold (by crc32 of the url) that it wasn't taught by: ``truth, verdict, n``."""
+    urls = _parsed(pages, rules)
+    tokens = _tokens(urls, word_counts(pages))
+    own = _odds(urls.where((F.col("fold") == fold) & F.col("rule").isNotNull()), tokens, _taught(urls, tokens, without_fold=fold))
+    return own.select(F.col("own").alias("truth"), F.when(F.col("block_odds") > 0, "block").otherwise("allow").alias("verdict")).groupBy("truth", "verdict").agg(F.count("*").alias("n"))

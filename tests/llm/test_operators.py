@@ -540,7 +540,7 @@ def test_naive_bayes_brute(spark):
     urls = ["http://bad.com/en/free-bets", "http://worse.com/en/bets", "http://a.net/de/garden", "http://b.net/de/old-garden", "http://example.com/en/7/x"]
     ask = ["http://free.org/bets", "http://garden.fr/old", "http://nothing.fr/", None, "http://xn--grten-gra.fr/b%C3%A4ume"]
     pages = spark.createDataFrame([(i, u, "free bets garden old garden") for i, u in enumerate([*urls, *urls[:1], *ask])], "page_id long, url string, html string")
-    segment, _ = U.fit(pages, RULES)
+    segment = U.Segmenter({r.word: r.n for r in U.word_counts(pages).collect()})
     table, docs = U.Rules(RULES), {"block": [], "allow": []}
     for u in [*urls, urls[0]]:
         host, path = U.split_url(u)
@@ -552,11 +552,21 @@ def test_naive_bayes_brute(spark):
         for sign, own in ((1, docs["block"]), (-1, docs["allow"])):
             flat = [b for d in own for b in d]
             odds += sign * (np.log((len(own) + 1) / (total + 2)) + sum(np.log((flat.count(U.bucket(t)) + 1) / (len(flat) + U.BUCKETS)) for t in segment.tokens(*U.split_url(u))))
-        assert abs(got[6 + i] - odds) < 1e-9
+        assert abs(got[6 + i] - odds) < 1e-8
     assert segment.tokens("xn--grten-gra.fr", "/b%C3%A4ume")[0].startswith("h:") and "ä" in "".join(segment.tokens("x", "/b%C3%A4ume"))
     assert U.judge_urls(pages.union(pages), RULES).count() == 2 * pages.count()
 
 
+def test_segmented_is_the_segmenter(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abä"), int(rng.integers(1, 6)))) for _ in range(60)]
+    pages = spark.createDataFrame([(i, f"http://{''.join(rng.choice(words, 3))}.{words[i % 60]}x.com/{words[i % 7]}{words[i % 11]}/{i}", "<p>" + " ".join(rng.choice(words, 20)) + "</p>") for i in range(80)] + [(99, None, None), (98, "http://" + "ab" * 400, "")], "page_id long, url string, html string")
+    urls = U._parsed(pages, RULES)
+    model = U.Segmenter({r.word: r.n for r in U.word_counts(pages).collect()})
+    got = {r.run: list(r.words) for r in U._segmented(urls, U.word_counts(pages)).collect()}
+    assert len(got) > 100 and all(got[r] == model.split(r) for r in got) and all("".join(w) == r for r, w in got.items())
+
+
 def test_ftrl_brute():
     """Against the update written out coordinate by coordinate."""
     rng = np.random.default_rng(1)
