@@ -16,6 +16,8 @@ from .line_dedup import dedup_lines
 from .media import stored_text_media
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .piece_codec import piece_codec
+from .resampling import resample
 from .token_counts import token_counts
 from .token_output import token_output
 from .url_filter import judge_urls
@@ -90,5 +92,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_line_dedup, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter)}
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """piece_bpe_32k ids with begin and end, and what they decode to."""
+    coded = piece_codec(_table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_differ")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of a hundred documents of 20 words, towards the benchmark."""
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_line_dedup, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter, op11_piece_codec, op12_resampling)}
 ORACLES: dict[str, str] = oracles.ORACLES
