@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .conversation_repair import conversation_digests, damaged, repair_conversations
 from .decontaminate import decontaminate, digest
 from .language_id import fit, identify, training_rows
 from .license_scan import scan_licenses
@@ -105,5 +106,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_line_dedup, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter, op11_piece_codec, op12_resampling)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired."""
+    conversations = _table(spark, sf_dir, "conversations")
+    heads = conversation_digests(repair_conversations(damaged(conversations), conversations))
+    return heads.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_line_dedup, op4_token_output, op5_mixing, op7_media, op8_token_counts, op6_language_id, op9_license_scan, op10_url_filter, op11_piece_codec, op12_resampling, op13_conversation_repair)}
 ORACLES: dict[str, str] = oracles.ORACLES
