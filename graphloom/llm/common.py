@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
-_COLLECTING: list[list[str]] = []
+#: Of the thread that runs: pipelines beside each other don't see each other's tables.
+_COLLECTING: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
 #: Rows, and bytes, of an Arrow batch on its way to Python: what a task holds of its texts outside the heap and in Python.
 SLICE, SLICE_BYTES = 1000, 8 << 20
 #: Bits of a broadcast bitmap (8 MB as rows).
@@ -35,20 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for one table in the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
-    for paths in _COLLECTING:
+    for paths in _COLLECTING.get():
         paths.append(path)
     return path
 
 
 @contextmanager
 def collecting() -> Iterator[list[str]]:
-    """The paths of all tables that are written in the block."""
+    """The paths of all tables that this thread writes in the block."""
     paths: list[str] = []
-    _COLLECTING.append(paths)
+    token = _COLLECTING.set((*_COLLECTING.get(), paths))
     try:
         yield paths
     finally:
-        _COLLECTING.remove(paths)
+        _COLLECTING.reset(token)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -77,19 +79,25 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._scratch)
 
 
-def tables_of(df: DataFrame) -> set[str]:
-    """The root paths of the files that ``df`` reads."""
-    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
-    for i in range(leaves.size()):
-        relation = getattr(leaves.apply(i), "relation", None)
-        try:
-            roots = relation().location().rootPaths()
-        except Exception:  # noqa: BLE001  a leaf without files
-            continue
-        out |= {roots.apply(k).toString() for k in range(roots.size())}
+def settled(df: DataFrame, name: str, made: list[str]) -> DataFrame:
+    """``materialise``, after which the tables ``made`` on the way to ``df``, which nobody else has seen, are deleted."""
+    out = materialise(df, name)
+    remove(df.sparkSession, *(path for path in made if path != out._scratch))
     return out
 
 
+def fixed_rows(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder, for tables as large as the corpus that a result still reads.
+
+    Spark itself deletes it when nothing refers to it any more, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set;
+    otherwise it stays.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def _bitmap(wanted: DataFrame, column: str) -> DataFrame:
     """``(_word, _bits)``: a bitmap of SLOTS bits by hash of the keys, at most ``SLOTS / 64`` rows of 16 bytes however many they are."""
     slot = F.pmod(F.xxhash64(column), F.lit(SLOTS))

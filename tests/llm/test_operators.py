@@ -686,25 +686,49 @@ def test_language_sample_is_balanced(spark):
     assert counts == {"a": 20, "b": 20, "c": 5} and len({(r.lang, r.text) for r in sample}) == 45
 
 
-def test_stages_delete_what_nothing_reads(spark, docs, tmp_path):
-    """A stage clears what earlier ones left once their result is written, never what its own docs read."""
+def _tables(spark):
     import os
 
-    import corpus_pipeline as P
+    from graphloom.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark).removeprefix('file:')}/graphloom"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
 
-    def tables():
-        from graphloom.llm.common import shared_dir
 
-        folder = f"{shared_dir(spark)}/graphloom"
-        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+def test_stages_never_delete_what_is_read(spark, docs, tmp_path):
+    """Neither as docs of the next stage, whatever the plan looks like, nor by who called the stage."""
+    import corpus_pipeline as P
 
     first = P.dedup_stage(spark, docs.select(*P.COLUMNS), "")
-    left = set(P._LEFT)
-    second = P.mixing_stage(spark, first, "")  # reads the first stage's tables still
-    assert any(p in P._LEFT for p in left) and second.count() > 0
-    second.write.parquet(str(tmp_path / "out"))
-    P.mixing_stage(spark, spark.read.parquet(str(tmp_path / "out")), "")
-    assert not left & set(P._LEFT) and not {os.path.basename(p) for p in left} & tables()
+    want = sorted(map(str, first.collect()))
+    hidden = spark.createDataFrame(first.rdd, first.schema)
+    assert P.mixing_stage(spark, hidden, "").count() > 0 and P.mixing_stage(spark, first, "").count() > 0
+    first.write.parquet(str(tmp_path / "out"))
+    assert P.decontaminate_stage(spark, spark.read.parquet(str(tmp_path / "out")), "/root/testdata/sf0.001").count() > 0
+    assert sorted(map(str, first.collect())) == want
+
+
+def test_stages_delete_what_only_they_read(spark, docs):
+    import corpus_pipeline as P
+
+    before = _tables(spark)
+    P.dedup_stage(spark, docs, "").count()
+    P.mixing_stage(spark, docs, "").count()
+    assert sorted(name.rsplit("-", 1)[0] for name in _tables(spark) - before) == ["copies", "gone"]
+
+
+def test_two_pipelines_at_once(spark):
+    """Each deletes its own tables; what is left at the end is what both results read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline as P
+
+    alone = sorted(map(tuple, P.run(spark, "/root/testdata/sf0.001").collect()))
+    before = _tables(spark)
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda _: sorted(map(tuple, P.run(spark, "/root/testdata/sf0.001").collect())), range(2)))
+    assert both == [alone, alone] and alone
+    assert not {name.rsplit("-", 1)[0] for name in _tables(spark) - before} & {"copies", "gone", "groups", "near-dedup", "language-ID"}
 
 
 def test_most_frequent(spark):
