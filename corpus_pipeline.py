@@ -2,17 +2,18 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as Parquet in the shared
 folder and reads again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Who makes a table deletes it: a stage what it alone has read, ``run`` what a stage's result reads, once that is written. A
+stage that is called alone can't know when its result has been read, so that what this needs stays: small tables of row
+ids or hits, and a checkpoint of its rows, which Spark's cleaner deletes when nothing refers to it any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import collecting, materialise, remove, tables_of, without
+from graphloom.llm.common import collecting, discard, fixed_rows, materialise, remove, settled, without
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.language_id import fit, identify, training_rows
 from graphloom.llm.mixing import mix_sources
@@ -27,35 +28,11 @@ LEAST_SCORE = 0.5
 MOST_COVERED = 0.5
 
 
-#: Tables that the stages of this process have left behind.
-_LEFT: list[str] = []
-
-
-def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage's result reads the stage's own tables, so these can only go when the next stage begins, whose ``docs`` are the
-    written result: then all that earlier stages left is deleted, but for what ``docs`` themselves read."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        needed = tables_of(docs)
-        gone = [path for path in _LEFT if not any(path.rsplit("/", 1)[1] in root for root in needed)]  # names are unique, schemes aren't spelled alike
-        remove(spark, *gone)
-        _LEFT[:] = [path for path in _LEFT if path not in gone]
-        with collecting() as paths:
-            try:
-                return function(spark, docs, sf_dir)
-            finally:
-                _LEFT.extend(paths)
-
-    return run_stage
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``row_id``, written, so that every later scan sees the same ids."""
-    return materialise(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a ``row_id``, fixed, so that every later scan sees the same ids."""
+    return fixed_rows(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()))
 
 
-@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go (null, no letter, or a probability under LEAST_SCORE).
 
@@ -72,7 +49,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
-@_stage
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: that of least id, null last.
 
@@ -81,14 +57,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (by a bitmap of bounded size) are shuffled with their texts.
     """
     docs = _numbered(docs)
-    groups = materialise(near_duplicates(docs, k=5, percent=80, row_col="row_id").select("row_id", "doc_id", "component_row"), "groups")
+    with collecting() as made:
+        groups = settled(near_duplicates(docs, k=5, percent=80, row_col="row_id").select("row_id", "doc_id", "component_row"), "groups", made)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     stay = groups.groupBy("component_row").agg(least.alias("least")).select(F.col("least.row_id").alias("row_id"))
     gone = materialise(groups.select("row_id").join(stay.hint("merge"), "row_id", "left_anti"), "gone")
+    discard(groups)
     return without(docs, "row_id", gone).select(*COLUMNS)
 
 
-@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ten words or more of benchmark items are cut out; a document that is mostly such passages goes.
 
@@ -101,7 +78,6 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.where(~F.coalesce("over", F.lit(False))).select("doc_id", F.col("clean_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
-@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, as so many rows.
 
@@ -110,12 +86,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     which shuffles the texts once.
     """
     docs = _numbered(docs)
-    mixed = mix_sources(docs, row_col="row_id").where("copies > 0").select("row_id", "copies")
+    with collecting() as made:
+        mixed = settled(mix_sources(docs, row_col="row_id").where("copies > 0").select("row_id", "copies"), "copies", made)
     taken = docs.join(mixed.hint("merge"), "row_id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
-@_stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of what is left, read back: one row for each document, with its end id even where the text is null or empty."""
     return token_output(docs, vocabulary_file("word_bpe_49k.json"), end_id=2)
@@ -132,16 +108,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``; a stage's table goes when the next one's is written."""
-    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, name.replace(" ", "-"))
-            if last is not None:
-                remove(spark, last)
-            last = docs._scratch
-    return docs
+    """All stages over ``documents`` of ``sf_dir``. When a stage's result is written, its own tables and the one before go; what
+    the last one's result reads stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with collecting() as made:
+            docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"), made)
+        remove(spark, *before)
+        before = [docs._scratch]
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES = {"pipeline": run}
