@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import checkpointed
-from .graph import scc
+from .graph import levels, reachable, scc
 
 
 #: Methods that set a class up; a method of the class's own name is one too.
@@ -150,25 +150,20 @@ def fed_classes(methods: DataFrame) -> DataFrame:
 
 
 def inheritance_depth(bases: DataFrame, classes: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``bases(cls, base)`` to (cls, dit, external). A base that isn't a known class counts 1 and flags it; bases inside a ring don't count. Raises if ``max_rounds`` don't reach the depth."""
+    """``bases(cls, base)`` to (cls, dit, external). A base that isn't a known class counts 1 and flags it and all below;
+    bases inside a ring don't count. Depths are levels towards the bases; one of over ``max_rounds`` raises. A null class or base is none."""
     ring = scc(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst")))
     ends = [ring.select(F.col("node").alias(c), F.col("component").alias(k)) for c, k in (("cls", "_a"), ("base", "_b"))]
-    bases = bases.join(ends[0], "cls").join(ends[1], "base").where("_a <> _b").select("cls", "base")
-    known = classes.select(F.col("cls").alias("base"), F.lit(True).alias("known"))
-    up = checkpointed(bases.join(known, "base", "left").select("cls", "base", F.coalesce("known", F.lit(False)).alias("known")).distinct())
-    own = up.where("not known").select("cls").distinct().withColumn("ext", F.lit(True))
-    depth = checkpointed(classes.select("cls").join(own, "cls", "left").select("cls", F.when(F.col("ext"), 1).otherwise(0).cast("long").alias("dit"), F.coalesce("ext", F.lit(False)).alias("external")))
-    limit = min(max_rounds, classes.count())
-    for _ in range(limit):
-        step = up.where("known").join(depth.select(F.col("cls").alias("base"), F.col("dit").alias("d"), F.col("external").alias("x")), "base").groupBy("cls").agg((F.max("d") + 1).alias("d"), F.bool_or("x").alias("x"))
-        new = checkpointed(depth.join(step, "cls", "left").select("cls", F.greatest("dit", F.coalesce("d", "dit")).alias("dit"), (F.col("external") | F.coalesce("x", F.lit(False))).alias("external"), (F.coalesce("d", "dit") > F.col("dit")).alias("moved")))
-        depth = new.drop("moved")
-        if new.where("moved").limit(1).count() == 0:
-            break
-    else:
-        if limit:
-            raise RuntimeError(f"depths still grow after {limit} rounds")
-    return depth
+    up = checkpointed(bases.join(ends[0], "cls").join(ends[1], "base").where("_a <> _b").select(F.col("cls").alias("src"), F.col("base").alias("dst")).distinct())
+    nodes = classes.select(F.col("cls").alias("node"))
+    # what an unknown class has for bases doesn't count: it is outside
+    own = up.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+    depth = levels(own, nodes)
+    if (depth.agg(F.max("level")).first()[0] or 0) > max_rounds:
+        raise RuntimeError(f"a class lies deeper than {max_rounds}")
+    outside = reachable(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own.select(F.col("dst").alias("node")).join(nodes, "node", "left_anti"))
+    flagged = outside.withColumn("_x", F.lit(True))
+    return nodes.join(depth, "node").join(flagged, "node", "left").select(F.col("node").alias("cls"), F.col("level").alias("dit"), F.coalesce("_x", F.lit(False)).alias("external"))
 
 
 def children(bases: DataFrame, classes: DataFrame) -> DataFrame:

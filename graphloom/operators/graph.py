@@ -79,64 +79,103 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     raise RuntimeError("components did not settle")
 
 
-def scc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def scc(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """G1: ``(node, component)``, the least node of each strongly connected component.
 
-    Nodes that nothing enters, or that enter nothing, are trimmed first, again and again. Then colouring: the least label that
-    reaches a node forward, then backward inside a colour from the node that gave it; what is settled leaves the graph with
-    its edges. Rows per round are those of the edges, never the closure's. Null ends are ignored; nothing gives no rows.
+    Until no edge is left: nodes that nothing enters, or that enter nothing, are trimmed as long as that takes a tenth of the
+    edges; ways through nodes of one edge in and one out become one edge each, by pointers that double; then every node is a
+    pivot with a hashed rank, and the best rank that reaches a node spreads forward, the best that it reaches spreads back, at
+    once. Where both are one pivot's, the node is in its component; edges between nodes of different ranks join no component
+    and go. So rows a round are those of the edges, and a long way costs the logarithm of its length. When ``small`` rows are
+    left (SMALL, 0: never), one task ends it. Null ends are ignored; nothing gives no rows.
     """
+    small = SMALL if small is None else small
     edges, nodes, size = _table(edges, nodes)
-    if size <= SMALL:
+    if size <= small:
         return checkpointed(in_task.in_one_task(edges, nodes, in_task.scc, "node NODE, component NODE"))
+    everyone = checkpointed(_all_nodes(edges, nodes))
     live, left = counted(edges.where("src <> dst"))
-    open_, waiting = counted(_all_nodes(edges, nodes))
-    settled = None
-    for _ in range(max_rounds):
-        sources, sinks = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
-        live, now = counted(live.join(sources, "src", "left_semi").join(sinks, "dst", "left_semi").select("src", "dst"))
-        if now == left:
+    labelled, ways, turn = [], [], 0
+    while left:
+        taken = left
+        while left and taken * 10 >= left + taken:
+            before = live
+            sources, sinks = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+            live, now = counted(live.join(sources, "src", "left_semi").join(sinks, "dst", "left_semi").select("src", "dst"))
+            release(before)
+            taken, left = left - now, now
+        if not left:
             break
-        left = now
-    inner = _all_nodes(live, None)
-    settled = checkpointed(open_.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
-    open_, waiting = counted(inner)
-    for _ in range(max_rounds):
-        if not waiting:
-            return settled
-        colour = _least_reaching(live, open_)
-        inside = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
-        inside = checkpointed(inside)
-        found = checkpointed(_back_to_root(inside, colour))
-        settled = settled.union(found)
-        open_, waiting = counted(open_.join(found.select("node"), "node", "left_anti"))
-        live = checkpointed(live.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    raise RuntimeError("components did not settle")
-
-
-def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, colour): the least node that reaches each node, itself included."""
-    colour, held = nodes.select("node", F.col("node").alias("colour")), None
-    while True:
-        into = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy("dst").agg(F.min("colour").alias("m"))
-        new, moved = counted(
-            colour.join(into.withColumnRenamed("dst", "node"), "node", "left").select("node", F.least("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")), F.col("colour") != F.col("was")
-        )
-        release(held)
-        colour, held = new.select("node", "colour"), new
-        if not moved:
-            return colour
-
-
-def _back_to_root(inside: DataFrame, colour: DataFrame) -> DataFrame:
-    """(node, component): nodes that reach their colour's own node within the colour."""
-    seen = front = checkpointed(colour.where("node = colour").select("node", F.col("colour").alias("component")))
-    while True:
-        step = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), F.col("colour").alias("component")).distinct()
-        front, n = counted(step.join(seen, "node", "left_anti"))
-        if not n:
-            return seen
-        seen = seen.union(front)
+        if left <= small:
+            labelled.append(checkpointed(in_task.in_one_task(live, None, in_task.scc, "node NODE, component NODE")).select("node", F.col("component").alias("label")))
+            break
+        live, left, way, rings = _shortened(live)
+        ways.append(way)
+        labelled.append(rings)
+        if not left:
+            break
+        turn += 1
+        ranks = checkpointed(_best_ranks(live, turn))
+        labelled.append(checkpointed(ranks.where("f = b").select("node", F.col("f.node").alias("label"))))
+        side = lambda end: ranks.where("f <> b").select(F.col("node").alias(end), F.struct("f", "b").alias(f"_{end}"))  # noqa: B023, E731
+        before = live
+        live, left = counted(live.join(side("src"), "src").join(side("dst"), "dst").where("_src = _dst").select("src", "dst"))
+        release(before, ranks)
+    known = everyone.select("node", F.col("node").alias("label"))
+    if labelled:
+        found = labelled[0]
+        for more in labelled[1:]:
+            found = found.union(more)
+        known = checkpointed(everyone.join(found.withColumnRenamed("label", "_l"), "node", "left").select("node", F.coalesce("_l", "node").alias("label")))
+    for way in reversed(ways):  # a way is in a component if both its ends are in that one
+        ends = [known.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("u", "w")]
+        inner = way.join(ends[0], "u").join(ends[1], "w").where("_u = _w").select("node", F.col("_u").alias("_l"))
+        known = checkpointed(known.join(inner, "node", "left").select("node", F.coalesce("_l", "label").alias("label")))
+    least = known.groupBy("label").agg(F.min("node").alias("component"))
+    return checkpointed(known.join(least, "label").select("node", "component"))
+
+
+def _shortened(live: DataFrame) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+    """Edges, and their number, without nodes of one edge in and one out; ``(node, u, w)``: these with the ends of their way;
+    ``(node, label)``: those of rings that have no other nodes. Edges from an end to itself are left out."""
+    out = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("fwd")).where("n = 1")
+    into = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("bwd")).where("n = 1")
+    inner = checkpointed(out.select("node", "fwd").join(into.select("node", "bwd"), "node"))
+    mark = lambda c: inner.select(F.col("node").alias(c), F.lit(False).alias(f"{c}_done"))
+    at = checkpointed(inner.join(mark("fwd"), "fwd", "left").join(mark("bwd"), "bwd", "left").select("node", "fwd", "bwd", *(F.coalesce(f"{c}_done", F.lit(True)).alias(f"{c}_done") for c in ("fwd", "bwd")), F.col("node").alias("low")))
+    moved = 1
+    while moved:
+        ahead = at.select(F.col("node").alias("fwd"), F.col("fwd").alias("f2"), F.col("fwd_done").alias("fd2"), F.col("low").alias("l2"))
+        behind = at.select(F.col("node").alias("bwd"), F.col("bwd").alias("b2"), F.col("bwd_done").alias("bd2"))
+        step = at.join(ahead, "fwd", "left").join(behind, "bwd", "left")
+        low = F.when(F.col("fwd_done"), F.col("low")).otherwise(F.least("low", "l2"))
+        moves = (F.col("fd2") & ~F.col("fwd_done")) | (F.col("bd2") & ~F.col("bwd_done")) | (low < F.col("low"))
+        fwd, bwd = F.when(F.col("fwd_done"), F.col("fwd")).otherwise(F.col("f2")), F.when(F.col("bwd_done"), F.col("bwd")).otherwise(F.col("b2"))
+        step = step.select("node", fwd.alias("fwd"), bwd.alias("bwd"), (F.col("fwd_done") | F.coalesce("fd2", F.lit(False))).alias("fwd_done"), (F.col("bwd_done") | F.coalesce("bd2", F.lit(False))).alias("bwd_done"), low.alias("low"), F.coalesce(moves, F.lit(False)).alias("_moved"))
+        old, (at, moved) = at, counted(step, F.col("_moved"))
+        release(old)
+        at = at.drop("_moved")
+    way = at.where("fwd_done").select("node", F.col("bwd").alias("u"), F.col("fwd").alias("w"))
+    rings = at.where("not fwd_done").select("node", F.col("low").alias("label"))
+    kept = live.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
+    short, left = counted(kept.select("src", "dst").union(way.where("u <> w").select("u", "w")).distinct())
+    return short, left, way, rings
+
+
+def _best_ranks(edges: DataFrame, turn: int) -> DataFrame:
+    """``(node, f, b)``: the best-ranked pivot that reaches each node and the best that it reaches, itself included; ranks are hashes of node and turn."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    own = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node")
+    best, moved = counted(nodes.select("node", own.alias("f"), own.alias("b")))
+    while moved:
+        into = edges.join(best.select(F.col("node").alias("src"), "f"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("f").alias("_f"))
+        out = edges.join(best.select(F.col("node").alias("dst"), "b"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("b").alias("_b"))
+        f, b = F.least("f", F.coalesce("_f", "f")), F.least("b", F.coalesce("_b", "b"))
+        step = best.join(into, "node", "left").join(out, "node", "left").select("node", f.alias("f"), b.alias("b"), ((f < F.col("f")) | (b < F.col("b"))).alias("_moved"))
+        old, (best, moved) = best, counted(step, F.col("_moved"))
+        release(old)
+        best = best.drop("_moved")
+    return best
 
 
 def cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -153,23 +192,72 @@ def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct()
 
 
-def levels(dag: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Lakos levels of an acyclic graph: 0 without outgoing edges, else one more than the highest successor.
+def levels(dag: DataFrame, nodes: DataFrame, max_rounds: int = 10_000, small: int | None = None) -> DataFrame:
+    """Lakos levels of an acyclic graph: 0 without outgoing edges, else one more than the highest successor. A cycle raises.
 
-    A large graph is taken in rounds from the bottom up, each over the edges that still move a level. A cycle raises.
+    A large graph is taken down until no edge is left. Nodes that have no edge any more have their level, the highest that
+    was passed to them, and pass it on. A node with one edge left has the level ``max(b, a + its successor's)``; such steps
+    are closed under composition, so pointers that double carry each to the first node that isn't one, and the edges
+    into it lead there. Chains, and trees towards their root, cost the logarithm of their height; in others a round takes the
+    lowest level at least. A ring shows as a round that finds neither, or as pointers that never end. Null ends are ignored.
     """
+    small = SMALL if small is None else small
     dag, nodes, size = _table(dag, nodes)
-    if size <= SMALL:
+    if size <= small:
         return checkpointed(in_task.in_one_task(dag, nodes, in_task.levels, "node NODE, level long"))
-    level = held = checkpointed(_all_nodes(dag, nodes).select("node", F.lit(0).cast("long").alias("level")))
-    for _ in range(max_rounds):
-        up = dag.join(level.select(F.col("node").alias("dst"), "level"), "dst").groupBy("src").agg((F.max("level") + 1).alias("up"))
-        new, moved = counted(level.join(up.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("up", F.lit(0)).cast("long").alias("level"), F.col("level").alias("was")), F.col("level") != F.col("was"))
-        release(held)
-        level, held = new.select("node", "level"), new
-        if not moved:
-            return level
-    raise RuntimeError("the graph has a cycle")
+    open_ = checkpointed(_all_nodes(dag, nodes).select("node", F.lit(0).cast("long").alias("base")))
+    live, left = counted(dag.select("src", "dst", F.lit(1).cast("long").alias("w")))
+    known, steps = [], []
+    while left:
+        if len(known) == max_rounds:
+            raise RuntimeError(f"levels still grow after {max_rounds} rounds")
+        done, n = counted(open_.join(live.select(F.col("src").alias("node")), "node", "left_anti"))
+        known.append(done.select("node", F.col("base").alias("level")))
+        into = live.join(done.select(F.col("node").alias("dst"), "base"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("w") + F.col("base")).alias("_b"))
+        higher = lambda nodes, more: nodes.join(more, "node", "left").select("node", F.greatest("base", "_b").alias("base"))
+        old = open_, live
+        open_ = checkpointed(higher(open_, into).join(done.select("node"), "node", "left_anti"))
+        live = checkpointed(live.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "w"))
+        release(*old)
+        one = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), F.min("dst").alias("to"), F.max("w").alias("a")).where("_n = 1")
+        step, singles = counted(one.join(open_.withColumnRenamed("base", "b"), "node").select("node", "to", "a", "b"))
+        if not n and not singles:
+            raise RuntimeError("the graph has a cycle")
+        if singles:
+            step = _composed(step, singles)
+            steps.append(step)
+            reached = live.join(step.select(F.col("node").alias("src")), "src", "left_anti").join(step.select(F.col("node").alias("dst"), "to", "a", "b"), "dst", "left")
+            old = open_, live
+            reached = checkpointed(reached)
+            passed = reached.where("to is not null").groupBy(F.col("src").alias("node")).agg(F.max(F.col("w") + F.col("b")).alias("_b"))
+            open_ = checkpointed(higher(open_, passed).join(step.select("node"), "node", "left_anti"))
+            release(*old)
+            live = reached.groupBy("src", F.coalesce("to", "dst").alias("dst")).agg(F.max(F.col("w") + F.coalesce("a", F.lit(0))).alias("w"))
+        live, left = counted(live)
+    out = open_.select("node", F.col("base").alias("level"))
+    for part in known:
+        out = out.union(part)
+    for step in reversed(steps):
+        above = checkpointed(out)
+        out = above.union(step.join(above.select(F.col("node").alias("to"), "level"), "to").select("node", F.greatest("b", F.col("a") + F.col("level")).alias("level")))
+    return checkpointed(out)
+
+
+def _composed(step: DataFrame, n: int) -> DataFrame:
+    """``(node, to, a, b)`` carried on until ``to`` is no node of ``step``; raises where it never is."""
+    waiting = n
+    while waiting:
+        ahead = step.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        joined = step.join(ahead, "to", "left")
+        b = F.greatest("b", F.col("a") + F.col("b2"))  # leaves nulls out
+        joined = joined.select("node", F.coalesce("to2", "to").alias("to"), (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"), b.alias("b"), F.col("to2").isNotNull().alias("_open"))
+        old, (step, now) = step, counted(joined, F.col("_open"))
+        release(old)
+        step = step.drop("_open")
+        if now == waiting and now:
+            raise RuntimeError("the graph has a cycle")
+        waiting = now
+    return step
 
 
 def shortest_paths(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:

@@ -96,10 +96,13 @@ def confident(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("dst_id").isNotNull() & ((F.col("resolution") == "L2") | (F.col("confidence") >= 1)))
 
 
-def reexports(targets: DataFrame, republished: DataFrame, max_hops: int = 16) -> DataFrame:
-    """Files whose declarations count for ``targets(site, file)``: those and what they republish, with the hops."""
+def reexports(targets: DataFrame, republished: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Files whose declarations count for ``targets(site, file)``: those and what they republish, with the hops. Files that
+    republish each other end the walk by themselves; ``max_hops`` may end it earlier."""
     seen = front = checkpointed(targets.select("site", "file", F.lit(0).alias("hops")).distinct())
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = front.join(republished.select("file", F.col("target").alias("_t")), "file").select("site", F.col("_t").alias("file"), F.lit(hop).alias("hops")).distinct()
         front, found = counted(step.join(seen.select("site", "file"), ["site", "file"], "left_anti"))
         if not found:
@@ -108,34 +111,81 @@ def reexports(targets: DataFrame, republished: DataFrame, max_hops: int = 16) ->
     return seen
 
 
-def name_ladder(sites: DataFrame, declarations: DataFrame, imports: DataFrame, external: DataFrame, republished: DataFrame | None = None) -> DataFrame:
-    """Candidates of the first rung that answers, with ``confidence`` 1 / n: (site, entity, rung, candidates, confidence).
+def _nearest(asks: DataFrame, placed: DataFrame, local: DataFrame, republished: DataFrame | None) -> DataFrame:
+    """Of ``asks(ask, name)`` placed at ``placed(ask, file, at)``, the first file that declares the name, breadth first.
+
+    All asks search at once. A round looks the front's files up; asks that one of them answers leave the front, the others
+    go on to what their files republish and haven't met. Files of a round are tried in the order of the files that led to
+    them, then of ``at``. Rounds are the hops of the farthest answer, or of the longest way without one.
+    """
+    order = F.row_number().over(Window.partitionBy("ask").orderBy("by", "at", "file"))
+    front, n = counted(placed.groupBy("ask", "file").agg(F.min("at").alias("at")).withColumn("by", F.lit(0)).withColumn("rank", order).select("ask", "file", "rank"))
+    seen, found = front.select("ask", "file"), []
+    while n:
+        hits = front.join(asks, "ask").join(local, ["file", "name"])
+        answered = checkpointed(hits.groupBy("ask").agg(F.min_by(F.struct("file", "entity", "n"), "rank").alias("a")).select("ask", "a.file", "a.entity", "a.n"))
+        found.append(answered)
+        if republished is None:
+            break
+        going = front.join(answered.select("ask"), "ask", "left_anti")
+        step = going.join(republished, "file").groupBy("ask", F.col("target").alias("file")).agg(F.min(F.struct(F.col("rank").alias("by"), "at")).alias("_o")).select("ask", "file", "_o.by", "_o.at")
+        front, n = counted(step.join(seen, ["ask", "file"], "left_anti").withColumn("rank", order).select("ask", "file", "rank"))
+        seen = seen.union(front.select("ask", "file"))
+    return reduce(DataFrame.union, found) if found else asks.limit(0).select("ask", F.lit("").alias("file"), F.lit(0).alias("entity"), F.lit(0).cast("long").alias("n"))
+
 
-    ``sites(site, path, name)``, ``declarations(entity, path, name)``, ``imports(path, name, file)`` (null name: any), ``external(path, name)``.
-    Rungs: 1 unique in the own file, 2 the file a named import gives (with re-exports), 3 any imported file, 4 the whole
-    project. A name bound to an external module has no answer beyond rung 1. Sites go down the ladder: those that a rung
-    answers leave before the next. Sites without a name, and those that nothing answers, are absent; repeated rows count once.
+def name_ladder(sites: DataFrame, declarations: DataFrame, imports: DataFrame, external: DataFrame, republished: DataFrame | None = None) -> DataFrame:
+    """The answer of the first rung that has one: (site, entity, file, rung, candidates, confidence), a row for each answered site.
+
+    ``sites(site, path, name[, qualifier])``; ``declarations(entity, path, name[, qualified_name, top])``, where ``top`` (default
+    true) marks those of the file itself, not members; ``imports(path, name, file[, at])``, where ``name`` is the local name
+    that an import binds (null: it binds none) and ``file`` where it was placed (null: nowhere), in the order of ``at``;
+    ``external(path, name)``: local names whose import leads out of the tree; ``republished(file, target[, at])``.
+
+    1. A bare name's declarations in the own file. 2. The file that the import of the name, or of its qualifier, was placed
+    at: through a qualifier first members called ``qualifier.name`` there, then what the file declares, then breadth first what
+    it republishes. 3. The first imported file, by name, that declares it. 4. The whole project, members too. A qualifier that
+    no import binds is a receiver, which rungs 2 and 3 say nothing about; rungs 2 to 4 are closed to names and qualifiers that
+    are external. Of n candidates on a rung (in one file, but for the members and the project) the least entity is given, with
+    confidence 1 / n. Distinct questions are asked, not sites, and candidates are counted by file and name before any join.
+    Sites without a name, and those that nothing answers, are absent; repeated sites, declarations and imports count once.
     """
-    d = checkpointed(declarations.select("entity", F.col("path").alias("file"), "name").distinct())
-    single = d.groupBy("file", "name").agg(F.count("*").alias("_n"), F.min("entity").alias("entity")).where("_n = 1")
-    waiting = checkpointed(sites.select("site", "path", "name").distinct())
-    answers = [checkpointed(waiting.join(single.select(F.col("file").alias("path"), "name", "entity"), ["path", "name"]).select("site", "entity", F.lit(1).alias("rung")))]
-    waiting = waiting.join(external.select("path", "name").distinct(), ["path", "name"], "left_anti")
-
-    def named(left: DataFrame) -> DataFrame:
-        hit = left.join(imports.where("name is not null"), ["path", "name"]).select("site", "name", "file").distinct()
-        files = hit if republished is None else reexports(hit, republished).join(hit.select("site", "name").distinct(), "site").select("site", "name", "file")
-        return files.join(d, ["file", "name"])
-
-    def imported(left: DataFrame) -> DataFrame:
-        return left.join(imports.select("path", "file").distinct(), "path").join(d, ["file", "name"])
-
-    for rung, find in ((2, named), (3, imported), (4, lambda left: left.join(d, "name"))):
-        waiting = checkpointed(waiting.join(answers[-1].select("site").distinct(), "site", "left_anti"))
-        answers.append(checkpointed(find(waiting).select("site", "entity", F.lit(rung).alias("rung")).distinct()))
-    every = reduce(DataFrame.union, answers)
-    n = F.count("*").over(Window.partitionBy("site"))
-    return every.select("site", "entity", "rung", n.alias("candidates"), (1 / n).alias("confidence"))
+    none = lambda df, name, kind: df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+    sites = none(sites, "qualifier", "string").select("site", "path", "name", "qualifier").where("name is not null").distinct()
+    d = none(none(declarations, "qualified_name", "string"), "top", "boolean").select("entity", F.col("path").alias("file"), "name", "qualified_name", F.coalesce("top", F.lit(True)).alias("top"))
+    d = checkpointed(d.groupBy("entity", "file", "name").agg(F.max("qualified_name").alias("qualified_name"), F.max("top").alias("top")))
+    local = checkpointed(d.where("top").groupBy("file", "name").agg(F.count("*").alias("n"), F.min("entity").alias("entity")))
+    bound = none(imports, "at", "int").where("name is not null").select("path", F.col("name").alias("governing"), "file", F.coalesce(F.col("at"), F.lit(0)).alias("at"))
+    bound = checkpointed(bound.distinct())
+    again = None if republished is None else checkpointed(none(republished, "at", "int").select("file", "target", F.coalesce(F.col("at"), F.lit(0)).alias("at")).distinct())
+    asks = sites.select("path", "name", "qualifier").distinct().withColumn("governing", F.coalesce("qualifier", "name"))
+    asks = checkpointed(asks.withColumn("ask", F.monotonically_increasing_id()))
+    answers = []
+
+    def answer(found: DataFrame, rung: int) -> DataFrame:
+        answers.append(checkpointed(found.select("ask", "file", "entity", "n", F.lit(rung).alias("rung"))))
+        return answers[-1].select("ask")
+
+    bare = asks.where("qualifier is null")
+    left = asks.join(answer(bare.join(local.withColumnRenamed("file", "path").withColumn("file", F.col("path")), ["path", "name"]), 1), "ask", "left_anti")
+    left = checkpointed(left.join(external.select("path", F.col("name").alias("governing")).distinct(), ["path", "governing"], "left_anti"))
+    near = checkpointed(left.where("qualifier is null").unionByName(left.where("qualifier is not null").join(bound.select("path", "governing").distinct(), ["path", "governing"], "left_semi")))
+    placed = near.join(bound.where("file is not null"), ["path", "governing"])
+    tail = F.concat(F.lit("."), "qualifier", F.lit("."), "name")
+    members = placed.where("qualifier is not null").select("ask", "qualifier", "name", "file").distinct().join(d, ["file", "name"]).where(F.endswith("qualified_name", tail))
+    done = answer(members.groupBy("ask").agg(F.count_distinct("entity").alias("n"), F.min(F.struct("entity", "file")).alias("_e")).select("ask", "_e.entity", "_e.file", "n"), 2)
+    near = near.join(done, "ask", "left_anti")
+    done = answer(_nearest(near.select("ask", "name"), placed.join(done, "ask", "left_anti").select("ask", "file", "at"), local, again), 2)
+    near = near.join(done, "ask", "left_anti")
+    files = near.join(imports.where("file is not null").select("path", "file").distinct(), "path").join(local, ["file", "name"])
+    answer(files.groupBy("ask").agg(F.min(F.struct("file", "entity", "n")).alias("_e")).select("ask", "_e.*"), 3)
+    for found in answers[1:]:
+        left = left.join(found.select("ask"), "ask", "left_anti")
+    everywhere = d.groupBy("name").agg(F.count_distinct("entity").alias("n"), F.min(F.struct("entity", "file")).alias("_e")).select("name", "n", "_e.entity", "_e.file")
+    answer(left.join(everywhere, "name"), 4)
+    every = reduce(DataFrame.unionByName, answers).join(asks, "ask")
+    same = (sites.path == every.path) & (sites.name == every.name) & sites.qualifier.eqNullSafe(every.qualifier)
+    return sites.join(every.drop("ask", "governing"), same).select(sites.site, "entity", "file", "rung", F.col("n").alias("candidates"), (1 / F.col("n")).alias("confidence"))
 
 
 def qualifier_members(sites: DataFrame, declarations: DataFrame) -> DataFrame:

@@ -91,6 +91,19 @@ def referral_levels(spark, sf_dir):
     return G.levels(G.condense(e, comp), comp.select(F.col("component").alias("node")).distinct())
 
 
+def referral_rings_spread(spark, sf_dir):
+    """G1, G3 over all customers, never in one task."""
+    e = checkpointed(referrals(spark, sf_dir))
+    return G.cycles(e, G.scc(e, customers(spark, sf_dir), small=0)).select("component", "node", "size")
+
+
+def referral_levels_spread(spark, sf_dir):
+    """G4, G5, G7 over all customers, never in one task."""
+    e = checkpointed(referrals(spark, sf_dir))
+    comp = G.scc(e, customers(spark, sf_dir), small=0)
+    return G.levels(G.condense(e, comp), comp.select(F.col("component").alias("node")).distinct(), small=0)
+
+
 def referral_components(spark, sf_dir):
     """G13 over all customers."""
     return G.connected_components(referrals(spark, sf_dir), customers(spark, sf_dir))
@@ -107,7 +120,7 @@ def referral_live(spark, sf_dir):
     return G.reachable(referrals(spark, sf_dir), roots)
 
 
-QUERIES = {f.__name__: f for f in (trade_closure, trade_scc, trade_rings, trade_levels, trade_paths, trade_components, dead_nations, propagation_cost, martin, visibility, modularity, smells, degrees, referral_rings, referral_levels, referral_components, referral_reach, referral_live)}
+QUERIES = {f.__name__: f for f in (trade_closure, trade_scc, trade_rings, trade_levels, trade_paths, trade_components, dead_nations, propagation_cost, martin, visibility, modularity, smells, degrees, referral_rings, referral_rings_spread, referral_levels, referral_levels_spread, referral_components, referral_reach, referral_live)}
 _FANS = """
 refl AS (SELECT src, dst FROM reach UNION SELECT n_nationkey, n_nationkey FROM nation),
 fan AS (SELECT node, component, (SELECT count(*) FROM refl WHERE src = node) AS fan_out, (SELECT count(*) FROM refl WHERE dst = node) AS fan_in FROM comp)"""
@@ -154,3 +167,5 @@ ORACLES = {
         UNION ALL SELECT 'god_component', node, size FROM sz, gc WHERE size > c""",
     "degrees": f"WITH {TRADE} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1",
 }
+for _name in ("referral_rings", "referral_levels"):
+    ORACLES[f"{_name}_spread"] = ORACLES[_name]

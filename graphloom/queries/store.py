@@ -64,16 +64,24 @@ def occurrence_numbers(spark, sf_dir):
 
 
 def name_ladder(spark, sf_dir):
-    """Customers as sites, those of the first region as declarations too, nations as files; names by segment and balance."""
-    c = table(spark, sf_dir, "customer").withColumn("name", F.concat_ws("/", "c_mktsegment", F.floor(F.col("c_acctbal") / 50).cast("string")))
+    """Customers as sites in the file of their nation, named by balance. Household ones are written through FURNITURE, which
+    every nation imports, the poorer ones through a receiver. Customers of the first region declare, those of machinery as members
+    of FURNITURE; nation n republishes n div 2. Those in debt import their name."""
+    c = table(spark, sf_dir, "customer").withColumn("name", F.concat(F.lit("n"), F.floor(F.col("c_acctbal") / 20).cast("string")))
     n = table(spark, sf_dir, "nation")
-    sites = c.select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("path"), "name")
+    path = F.col("c_nationkey").alias("path")
+    qualifier = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.when(F.col("c_acctbal") < 3000, "it").otherwise("FURNITURE"))
+    sites = c.select(F.col("c_custkey").alias("site"), path, "name", qualifier.alias("qualifier"))
     first = n.where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"))
-    decl = c.join(first, "c_nationkey", "left_semi").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("path"), "name")
-    imports = c.where("c_acctbal < 0").select(F.col("c_nationkey").alias("path"), "name", (F.col("c_custkey") % 25).cast("int").alias("file"))
-    imports = imports.union(n.select(F.col("n_nationkey").alias("path"), F.lit(None).cast("string").alias("name"), ((F.col("n_nationkey") + 1) % 25).alias("file")))
-    external = c.where("c_mktsegment = 'MACHINERY' and c_acctbal > 9000").select(F.col("c_nationkey").alias("path"), "name")
-    return R.name_ladder(sites, decl, imports, external).select("site", "entity", "rung", "candidates", F.round("confidence", 6).alias("confidence"))
+    member = F.col("c_mktsegment") == "MACHINERY"
+    decl = c.join(first, "c_nationkey", "left_semi").select(F.col("c_custkey").alias("entity"), path, "name", F.concat(F.when(member, "p.FURNITURE.").otherwise("p."), "name").alias("qualified_name"), (~member).alias("top"))
+    imports = c.where("c_acctbal < 0").select(path, "name", (F.col("c_custkey") % 25).cast("int").alias("file"), F.col("c_custkey").alias("at"))
+    every = n.select(F.col("n_nationkey").alias("path"), F.lit("FURNITURE").alias("name"), ((F.col("n_nationkey") + 3) % 25).alias("file"), F.lit(0).cast("long").alias("at"))
+    any_ = n.select(F.col("n_nationkey").alias("path"), F.lit(None).cast("string").alias("name"), ((F.col("n_nationkey") + 1) % 25).alias("file"), F.lit(0).cast("long").alias("at"))
+    again = n.select(F.col("n_nationkey").alias("file"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("target"))
+    external = c.where("c_acctbal > 9000").select(path, "name").union(n.where("n_regionkey = 3").select("n_nationkey", F.lit("it")))
+    out = R.name_ladder(sites, decl, imports.union(every).union(any_), external, again)
+    return out.select("site", "entity", "file", "rung", "candidates", F.round("confidence", 6).alias("confidence"))
 
 
 def call_outcomes(spark, sf_dir):
@@ -110,14 +118,25 @@ ORACLES = {
     "replace_and_prune": """SELECT l_suppkey AS path, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0
         WHERE l_suppkey % 2 = 1 OR l_quantity > 30 OR l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 30) GROUP BY 1""",
     "occurrence_numbers": "SELECT c_custkey AS start_byte, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS occurrence FROM customer",
-    "name_ladder": """WITH c AS (SELECT *, c_mktsegment || '/' || floor(c_acctbal / 50)::BIGINT AS name FROM customer), s AS (SELECT c_custkey AS site, c_nationkey AS path, name FROM c),
-        d AS (SELECT c_custkey AS entity, c_nationkey AS file, name FROM c JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 0),
-        i AS (SELECT c_nationkey AS path, name, c_custkey % 25 AS file FROM c WHERE c_acctbal < 0 UNION ALL SELECT n_nationkey, NULL, (n_nationkey + 1) % 25 FROM nation),
-        o AS (SELECT site, entity, 1 AS rung FROM (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM s JOIN d ON d.file = s.path AND d.name = s.name) WHERE n = 1),
-        r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000 AND c_nationkey = s.path AND c.name = s.name)),
-        a AS (SELECT * FROM o UNION SELECT site, entity, 2 FROM r JOIN i ON i.path = r.path AND i.name = r.name JOIN d ON d.file = i.file AND d.name = r.name
-              UNION SELECT site, entity, 3 FROM r JOIN i ON i.path = r.path JOIN d ON d.file = i.file AND d.name = r.name UNION SELECT site, entity, 4 FROM r JOIN d ON d.name = r.name)
-        SELECT site, entity, rung, count(*) OVER (PARTITION BY site) AS candidates, round(1 / count(*) OVER (PARTITION BY site), 6) AS confidence FROM (SELECT *, min(rung) OVER (PARTITION BY site) AS m FROM a) WHERE rung = m""",
+    "name_ladder": """WITH RECURSIVE c AS (SELECT *, 'n' || floor(c_acctbal / 20)::BIGINT AS name, c_nationkey AS path FROM customer),
+        s AS (SELECT c_custkey AS site, path, name, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal < 3000 THEN 'it' ELSE 'FURNITURE' END END AS q FROM c),
+        g AS (SELECT *, coalesce(q, name) AS governing FROM s),
+        d AS (SELECT c_custkey AS entity, path AS file, name, c_mktsegment = 'MACHINERY' AS member FROM c JOIN nation ON n_nationkey = path AND n_regionkey = 0),
+        l AS (SELECT file, name, count(*) AS n, min(entity) AS entity FROM d WHERE NOT member GROUP BY 1, 2),
+        b AS (SELECT path, name AS governing, c_custkey % 25 AS file, min(c_custkey) AS place FROM c WHERE c_acctbal < 0 GROUP BY 1, 2, 3 UNION ALL SELECT n_nationkey, 'FURNITURE', (n_nationkey + 3) % 25, 0 FROM nation),
+        i AS (SELECT path, file FROM b UNION SELECT n_nationkey, (n_nationkey + 1) % 25 FROM nation),
+        w AS (SELECT n_nationkey AS start, n_nationkey AS file, 0 AS hops FROM nation UNION ALL SELECT start, file // 2, hops + 1 FROM w WHERE file > 0),
+        r1 AS (SELECT site, entity, path AS file, 1 AS rung, n FROM s JOIN l ON l.file = path AND l.name = s.name WHERE q IS NULL),
+        o AS (SELECT * FROM g WHERE site NOT IN (SELECT site FROM r1) AND NOT EXISTS (SELECT 1 FROM c WHERE c_acctbal > 9000 AND c.path = g.path AND c.name = g.governing)
+              AND NOT (g.governing = 'it' AND g.path IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3))),
+        near AS (SELECT * FROM o WHERE q IS NULL OR q = 'FURNITURE'),
+        r2m AS (SELECT site, min(entity) AS entity, min_by(d.file, entity) AS file, 2 AS rung, count(DISTINCT entity) AS n FROM near JOIN b ON b.path = near.path AND b.governing = near.governing JOIN d ON d.file = b.file AND d.name = near.name AND member WHERE q IS NOT NULL GROUP BY site),
+        r2b AS (SELECT site, entity, file, 2 AS rung, n FROM (SELECT site, l.entity, l.file, l.n, row_number() OVER (PARTITION BY site ORDER BY hops, place, start) AS k
+              FROM near JOIN b ON b.path = near.path AND b.governing = near.governing JOIN w ON w.start = b.file JOIN l ON l.file = w.file AND l.name = near.name WHERE site NOT IN (SELECT site FROM r2m)) WHERE k = 1),
+        r3 AS (SELECT site, entity, file, 3 AS rung, n FROM (SELECT site, l.entity, l.file, l.n, row_number() OVER (PARTITION BY site ORDER BY l.file) AS k
+              FROM near JOIN i ON i.path = near.path JOIN l ON l.file = i.file AND l.name = near.name WHERE site NOT IN (SELECT site FROM r2m UNION SELECT site FROM r2b)) WHERE k = 1),
+        r4 AS (SELECT site, min(entity) AS entity, min_by(d.file, entity) AS file, 4 AS rung, count(*) AS n FROM o JOIN d ON d.name = o.name WHERE site NOT IN (SELECT site FROM r2m UNION SELECT site FROM r2b UNION SELECT site FROM r3) GROUP BY site)
+        SELECT site, entity, file, rung, n AS candidates, round(1 / n, 6) AS confidence FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2m UNION ALL SELECT * FROM r2b UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)""",
     "call_outcomes": """WITH a AS (SELECT o_custkey, year(o_orderdate) AS y, max(o_totalprice) AS v, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)
         SELECT CASE WHEN k % 3 = 0 THEN 'no_caller' WHEN v <= 200000 THEN 'unmatched' WHEN k % 2 = 1 THEN 'no_target' ELSE 'joined' END AS outcome, count(*) AS n FROM a GROUP BY 1""",
     "confident_edges": "SELECT count(*) AS n, count(*) FILTER (l_quantity <= 40 AND (l_returnflag = 'R' OR l_linestatus = 'O')) AS kept FROM lineitem",
