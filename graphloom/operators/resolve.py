@@ -5,29 +5,99 @@ A null position, name or symbol joins nothing; repeated rows count once where an
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import checkpointed, counted
 
+#: Rows of one key up to which its intervals are swept in one piece, and the pieces of a larger key.
+WHOLE, PIECES = 1_000_000, 64
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str, bucket: int | None = None) -> DataFrame:
-    """The narrowest span ``[start, end)`` of one ``key`` that holds each point ``at``; ties by start, then name. Points outside all spans are absent.
+def innermost(points: DataFrame, spans: DataFrame, key: str | Sequence[str], bucket: int | None = None, whole: int | None = None) -> DataFrame:
+    """The narrowest span ``[start, end)`` of one ``key`` (a column or several) that holds each point ``at``; ties by start, then
+    name. Points outside all spans are absent, repeated points count once, null keys and places join nothing.
 
-    With a ``bucket`` width spans are dealt to every bucket that they touch, so that the join is an equality on (key, bucket).
+    One sorted pass: starts of spans and points come by place; open spans wait in a heap by width, from which ended ones are
+    dropped when they come up. So cost is that of sorting, and a task holds the spans that are open at one place. A key of more
+    than ``whole`` rows (WHOLE) is cut at quantiles of its places, a span then stands in each piece that it touches; with a
+    ``bucket`` width all keys are cut at its multiples instead.
     """
-    key_cols = [key]
+    keys = [key] if isinstance(key, str) else list(key)
+    whole = WHOLE if whole is None else whole
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    order = points.columns
+    carried = [c for c in order if c not in (*keys, "at")]
+    points = points.where(known & F.col("at").isNotNull()).distinct()
+    spans = spans.where(known & (F.col("start") < F.col("end"))).select(*keys, "start", "end", "name").distinct()
     if bucket:
-        points = points.withColumn("_b", F.floor(F.col("at") / bucket))
-        spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-        key_cols = [key, "_b"]
-    held = points.join(spans, key_cols).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    ids = [c for c in points.columns if c != "_b"]
-    best = held.groupBy(*ids).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), F.col("start"), F.col("name"))).alias("s"))
-    return best.select(*ids, F.col("s.name").alias("name"), F.col("s.start").alias("start"))
+        piece = lambda c: F.floor(F.col(c) / bucket)
+    else:
+        rows = points.select(*keys, "at").unionByName(spans.select(*keys, F.col("start").alias("at")))
+        cuts = F.percentile_approx("at", [i / PIECES for i in range(1, PIECES)], 1000)
+        hot = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.array_sort(F.array_distinct(cuts)).alias("_cuts")).where(F.col("_n") > whole).drop("_n"))
+        points, spans = points.join(hot, keys, "left"), spans.join(hot, keys, "left")
+        piece = lambda c: F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.col(c))), F.lit(0)).cast("long")
+    points = points.withColumn("_piece", piece("at")).drop("_cuts")
+    spans = spans.withColumn("_last", F.col("end") - 1).withColumn("_piece", F.explode(F.sequence(piece("start"), piece("_last"))))
+    kinds = {**{c: points.schema[c].dataType for c in carried}, "name": spans.schema["name"].dataType, "start": spans.schema["start"].dataType, "end": spans.schema["end"].dataType}
+    empty = lambda names: [F.lit(None).cast(kinds[c]).alias(f"_{c}") for c in names]
+    begins = spans.select(*keys, "_piece", F.col("start").alias("at"), F.lit(0).alias("_kind"), *empty(carried), *(F.col(c).alias(f"_{c}") for c in ("name", "start", "end")))
+    asked = points.select(*keys, "_piece", "at", F.lit(1).alias("_kind"), *(F.col(c).alias(f"_{c}") for c in carried), *empty(("name", "start", "end")))
+    swept = begins.unionByName(asked).repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "at", "_kind")
+    out = T.StructType([*(swept.schema[k] for k in keys), swept.schema["at"], *(T.StructField(c, kinds[c]) for c in (*carried, "name", "start"))])
+    arrow = to_arrow_schema(out)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, open_ = None, []
+        for batch in batches:
+            groups = zip(*(batch.column(k).to_pylist() for k in (*keys, "_piece")), strict=True)
+            rows, names, starts = [], [], []
+            for i, (here, at, kind, name, start, end) in enumerate(zip(groups, *(batch.column(c).to_pylist() for c in ("at", "_kind", "_name", "_start", "_end")), strict=True)):
+                if here != group:
+                    group, open_ = here, []
+                if kind == 0:
+                    heapq.heappush(open_, (end - start, start, name, end))
+                    continue
+                while open_ and open_[0][3] <= at:
+                    heapq.heappop(open_)
+                if open_:
+                    rows.append(i)
+                    names.append(open_[0][2])
+                    starts.append(open_[0][1])
+            if rows:
+                found = batch.take(pa.array(rows))
+                columns = [found.column(c) for c in (*keys, "at", *(f"_{c}" for c in carried))] + [pa.array(names, arrow.field("name").type), pa.array(starts, arrow.field("start").type)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return swept.mapInArrow(sweep, out).select(*order, "name", "start")
+
+
+def scope_lookup(sites: DataFrame, scopes: DataFrame, bindings: DataFrame) -> DataFrame:
+    """The scope that binds each site's name, looking outward: (site, scope).
+
+    ``sites(site, path, at, name)``, ``scopes(scope, path, kind, start, end)``, ``bindings(scope, name)``. The innermost scope at the
+    site is asked first, of whatever kind, then those around it, but for classes, whose names their functions don't see. A
+    class is only asked where it is innermost; so the answer is that class, or else the narrowest scope of another kind that
+    holds the site and binds the name: two sweeps by place, whatever the depth. Names that no scope binds are absent.
+    """
+    bound = bindings.select("scope", "name").distinct()
+    spans = scopes.select("scope", "path", "kind", "start", "end")
+    at = sites.select("site", "path", "at", F.col("name").alias("wanted"))
+    inner = innermost(at, spans.withColumnRenamed("scope", "name"), "path").select("site", "path", "at", "wanted", F.col("name").alias("scope"))
+    own = checkpointed(inner.join(spans.where("kind = 'class'").select("scope"), "scope", "left_semi").join(bound.withColumnRenamed("name", "wanted"), ["scope", "wanted"], "left_semi").select("site", "scope"))
+    around = spans.where("kind <> 'class'").join(bound, "scope").select("path", F.col("name").alias("wanted"), "start", "end", F.col("scope").alias("name"))
+    rest = at.where("wanted is not null").join(own.select("site"), "site", "left_anti")
+    return own.unionByName(innermost(rest, around, ["path", "wanted"]).select("site", F.col("name").alias("scope")))
 
 
 def accuracy(sites: DataFrame) -> DataFrame:

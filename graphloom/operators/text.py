@@ -94,9 +94,10 @@ def windows(docs: DataFrame, k: int = 50) -> DataFrame:
 
 
 def repeated_windows(wins: DataFrame) -> DataFrame:
-    """Windows that stand in two places or more: (hi, lo, path, pos, places, paths) with their least place. Grouped in one
-    shuffle, never joined pair by pair."""
-    by_path = wins.repartition("hi", "lo").groupBy("hi", "lo", "path").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    """Windows that stand in two places or more: (hi, lo, path, pos, places, paths) with their least place. Counted by
+    window and file, then by window, each time combined before the shuffle, so that a window of very many files is a row a task;
+    never joined pair by pair."""
+    by_path = wins.groupBy("hi", "lo", "path").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     out = by_path.groupBy("hi", "lo").agg(F.sum("n").alias("places"), F.count("*").alias("paths"), F.min(F.struct("path", "pos")).alias("at"))
     return out.where("places >= 2").select("hi", "lo", "at.path", "at.pos", "places", "paths")
 

@@ -334,6 +334,51 @@ def decision_records(spark, sf_dir):
 ORACLES["decision_records"] = "SELECT printf('%04d', n_nationkey) AS decision, n_name AS title, CASE WHEN n_regionkey < 2 THEN 'accepted' ELSE 'proposed' END AS status FROM nation WHERE n_regionkey < 4"
 
 
+def decision_ceilings(spark, sf_dir):
+    """Nations as decision records that limit the size of their brands' parts: those above their ceiling, by decision.
+
+    Records of the last region are only proposed; odd ones list their globs in brackets."""
+    n = table(spark, sf_dir, "nation")
+    glob = F.concat(F.lit("src/Brand"), (F.col("n_nationkey") + 1).cast("string"), F.lit("/"))
+    globs = F.when(F.col("n_nationkey") % 2 == 1, F.concat(F.lit(" ["), glob, F.lit("small/*, '"), glob, F.lit("large/*']"))).otherwise(F.concat(F.lit("\n  - "), glob, F.lit("small/*  # by size\n  - "), glob, F.lit("large/*")))
+    status = F.when(F.col("n_regionkey") == 4, "Proposed").otherwise("Accepted")
+    text = F.concat(F.lit("---\nid: D-"), "n_nationkey", F.lit("\ntitle: "), "n_name", F.lit("\nstatus: "), status, F.lit("\napplies-to:"), globs, F.lit("\nconstraints:\n  why: size\n  ceilings:\n    size: "), (F.col("n_nationkey") + 10).cast("string"), F.lit("\n    other: none\ntags: [a]\n---\nBody"))
+    records = S.decisions(n.select(F.format_string("adr/%04d.md", "n_nationkey").alias("path"), text.alias("value")))
+    files = _files(spark, sf_dir)
+    ceilings = files.select(F.lit("size").alias("rule"), "path", F.lit(45.0).alias("limit"))
+    held = gate.tightened(ceilings, S.decision_limits(records, files))
+    over = files.join(held, "path").where(F.col("p_size") > F.col("limit"))
+    return over.groupBy(F.coalesce("decision", F.lit("project")).alias("decision")).agg(F.count("*").alias("findings"), F.max("limit").alias("limit"))
+
+
+ORACLES["decision_ceilings"] = """WITH p AS (SELECT p_size, p_type, replace(p_brand, 'Brand#', '')::INTEGER - 1 AS k FROM part),
+    l AS (SELECT p_size, CASE WHEN n_regionkey < 4 AND p_type IN ('SMALL', 'LARGE') AND n_nationkey + 10 < 45 THEN 'D-' || n_nationkey END AS d, n_nationkey + 10 AS own FROM p LEFT JOIN nation ON n_nationkey = k)
+    SELECT coalesce(d, 'project') AS decision, count(*) AS findings, max(CASE WHEN d IS NULL THEN 45 ELSE own END)::DOUBLE AS limit FROM l WHERE p_size > CASE WHEN d IS NULL THEN 45 ELSE own END GROUP BY 1"""
+
+
+def scope_lookup(spark, sf_dir):
+    """Customers as sites at their key in the file of their nation, named by segment. Keys in hundreds are scopes, classes if the
+    hundred is even, and two of three tens in them are functions; the nation's file is a module. Those in debt bind their
+    segment in their ten, rich ones in their hundred, and nations below 15 bind two segments in their module."""
+    c = table(spark, sf_dir, "customer").withColumn("ten", F.floor(F.col("c_custkey") / 10)).withColumn("hundred", F.floor(F.col("c_custkey") / 100)).withColumn("path", F.col("c_nationkey"))
+    scope = lambda kind, at: F.concat_ws("/", "path", F.lit(kind), at)
+    tens = c.where("ten % 3 <> 0").select(scope("t", "ten").alias("scope"), "path", F.lit("function").alias("kind"), (F.col("ten") * 10).alias("start"), (F.col("ten") * 10 + 10).alias("end"))
+    hundreds = c.select(scope("h", "hundred").alias("scope"), "path", F.when(F.col("hundred") % 2 == 0, "class").otherwise("function").alias("kind"), (F.col("hundred") * 100).alias("start"), (F.col("hundred") * 100 + 100).alias("end"))
+    n = nations(spark, sf_dir).withColumnRenamed("node", "path")
+    modules = n.select(scope("m", F.lit("0")).alias("scope"), "path", F.lit("module").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))
+    binds = c.where("c_acctbal < 0 and ten % 3 <> 0").select(scope("t", "ten").alias("scope"), F.col("c_mktsegment").alias("name"))
+    binds = binds.union(c.where("c_acctbal > 9000").select(scope("h", "hundred"), "c_mktsegment")).union(n.where("path < 15").select(scope("m", F.lit("0")), F.explode(F.array(F.lit("BUILDING"), F.lit("MACHINERY")))))
+    sites = c.select(F.col("c_custkey").alias("site"), "path", F.col("c_custkey").alias("at"), F.col("c_mktsegment").alias("name"))
+    return R.scope_lookup(sites, tens.union(hundreds).union(modules).distinct(), binds)
+
+
+ORACLES["scope_lookup"] = """WITH c AS (SELECT *, c_nationkey AS path, c_custkey // 10 AS ten, c_custkey // 100 AS hundred, c_mktsegment AS name FROM customer),
+    t AS (SELECT DISTINCT path, ten, name FROM c WHERE c_acctbal < 0 AND ten % 3 <> 0), h AS (SELECT DISTINCT path, hundred, name FROM c WHERE c_acctbal > 9000)
+    SELECT c_custkey AS site, CASE WHEN t.name IS NOT NULL THEN c.path || '/t/' || c.ten WHEN h.name IS NOT NULL AND (c.hundred % 2 = 1 OR c.ten % 3 = 0) THEN c.path || '/h/' || c.hundred ELSE c.path || '/m/0' END AS scope
+    FROM c LEFT JOIN t ON t.path = c.path AND t.ten = c.ten AND t.name = c.name LEFT JOIN h ON h.path = c.path AND h.hundred = c.hundred AND h.name = c.name
+    WHERE t.name IS NOT NULL OR (h.name IS NOT NULL AND (c.hundred % 2 = 1 OR c.ten % 3 = 0)) OR (c.path < 15 AND c.name IN ('BUILDING', 'MACHINERY'))"""
+
+
 def _constraints(spark, sf_dir):
     d = _decisions(spark, sf_dir)
     return d.select(F.col("decision").alias("id"), "name", (F.col("decision") < 2).alias("enforced"), F.concat(F.lit("limit complexity of "), F.repeat(F.concat("name", F.lit(" ")), F.col("decision") + 1)).alias("text"), "globs", F.lit("r").alias("rule"), (10.0 - F.col("decision")).alias("limit"))

@@ -121,14 +121,56 @@ def diff_lines(diff: DataFrame) -> DataFrame:
     return hits.select("path", F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("line")).distinct()
 
 
+def _entry(meta: Column, key: str, indent: str = "") -> Column:
+    """What stands under a key of YAML-like lines: the rest of its line, and the lines below that are indented further or list items."""
+    return F.regexp_extract(meta, rf"(?m)^({indent}){key}:[ \t]*([^\n]*(?:\n(?:\1[ \t]+[^\n]*|\1-[^\n]*|[ \t]*(?=\n)))*)", 2)
+
+
+def _plain(value: Column) -> Column:
+    """Without a comment, blanks and quotes around it."""
+    return F.regexp_replace(F.trim(F.regexp_replace(value, r"(^|\s)#.*$", "")), "^([\"'])(.*)\\1$", "$2")
+
+
+def _listed(entry: Column) -> Column:
+    """Items of ``[a, b]`` or of lines ``- a``."""
+    inline = F.split(F.regexp_extract(entry, r"^\s*\[([^\]]*)\]", 1), ",")
+    lines = F.regexp_extract_all(entry, F.lit(r"(?m)^[ \t]*-[ \t]+(.+)$"), 1)
+    items = F.transform(F.when(entry.rlike(r"^\s*\["), inline).otherwise(lines), _plain)
+    return F.filter(items, lambda x: x != "")
+
+
 def decisions(files: DataFrame) -> DataFrame:
-    """``files(path, value)`` of whole decision records: (decision, title, status, body); records without a title are skipped."""
-    front = r"(?s)^---\n(.*?)\n---\n"
+    """``files(path, value)`` of whole decision records: (decision, title, status, body, globs, limits, tags, document).
+
+    With frontmatter, ``id`` (else the file's name), ``title``, ``status``, ``applies-to`` and ``tags`` (lists in brackets or lines) and
+    the numbers under ``constraints: ceilings:`` (lines or braces) are read; a limit that is no number is left out. Without,
+    the title is the first heading and the status the line under its heading; such a record has no globs and no limits.
+    Records without a title, and null texts, are skipped; an empty list or map is empty, not null.
+    """
+    front = r"(?s)^---\n(.*?)\n---(?:\n|$)"
     meta, body = F.regexp_extract("value", front, 1), F.regexp_replace("value", front, "")
-    field = lambda k: F.nullif(F.trim(F.regexp_extract(meta, rf"(?m)^{k}:[ \t]*(.+)$", 1)), F.lit(""))
-    title = F.coalesce(field("title"), F.nullif(F.regexp_extract("value", r"(?m)^# +(.+)$", 1), F.lit("")))
+    field = lambda k: F.nullif(_plain(F.regexp_extract(meta, rf"(?m)^{k}:[ \t]*(.+)$", 1)), F.lit(""))
+    title = F.coalesce(field("title"), F.nullif(F.regexp_extract("value", r"(?m)^# +(?:\d+\.\s*)?(.+)$", 1), F.lit("")))
     status = F.lower(F.coalesce(field("status"), F.nullif(F.regexp_extract("value", r"(?m)^## +Status\s*\n+\s*(\S+)", 1), F.lit(""))))
-    return files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("decision"), title.alias("title"), status.alias("status"), body.alias("body")).where("title is not null")
+    ceilings = _entry(_entry(meta, "constraints"), "ceilings", r"[ \t]+")
+    pairs = F.regexp_extract_all(F.regexp_replace(ceilings, "[{},]", "\n"), F.lit(r"(?m)^[ \t]*([^\s:#][^:\n]*:[^\n]*)$"), 1)
+    named = F.transform(pairs, lambda x: F.struct(_plain(F.substring_index(x, ":", 1)).alias("key"), _plain(F.substring_index(x, ":", -1)).try_cast("double").alias("value")))
+    limits = F.map_from_entries(F.filter(named, lambda x: x["value"].isNotNull()))
+    name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    return files.select(
+        F.coalesce(field("id"), name).alias("decision"), title.alias("title"), status.alias("status"), body.alias("body"), _listed(_entry(meta, "applies-to")).alias("globs"), limits.alias("limits"), _listed(_entry(meta, "tags")).alias("tags"), F.col("path").alias("document")
+    ).where("title is not null")
+
+
+def decision_limits(records: DataFrame, files: DataFrame) -> DataFrame:
+    """The limits that accepted ``records`` of ``decisions`` set, by the files that their globs match: (rule, path, limit, decision).
+
+    What ``plans.gate.tightened`` takes. Records of another status, without globs or without limits give nothing.
+    """
+    from ..plans.gate import scope_paths
+
+    accepted = records.where("status = 'accepted'")
+    return scope_paths(accepted.select("decision", "globs"), files).join(accepted.select("decision", F.explode("limits").alias("rule", "limit")), "decision").select("rule", "path", "limit", "decision")
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
