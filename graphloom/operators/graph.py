@@ -309,17 +309,66 @@ def martin(edges: DataFrame, nodes: DataFrame, types: DataFrame | None = None) -
     return out.withColumn("abstractness", a).withColumn("distance", F.abs(F.col("abstractness") + F.col("instability") - 1)).drop("n_abstract", "n_types")
 
 
-def reach_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per node reflexive fan-out and fan-in of the closure, from the closure of the condensation and component sizes."""
-    comp = checkpointed(scc(edges, nodes))
+def reach_counts(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> DataFrame:
+    """``(node, component, fan_out, fan_in)``, how many nodes each reaches and is reached by, itself included.
+
+    From the condensation: a small one's closure is taken in one task; of a larger one the components are numbered by level, and
+    what each reaches is passed up from its successors, level by level, as words of 64 components, of which a row holds one that
+    isn't empty. No pair of nodes is ever a row. A round is a level: deep graphs have many. Null ends are ignored.
+    """
+    comp = scc(edges, nodes, small)
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
-    pairs = closure(condense(edges, comp))
+    dag, left = counted(condense(edges, comp))
+    if left > (SMALL_CLOSURE if small is None else small):
+        return comp.join(_fans_by_words(dag, checkpointed(size.withColumnRenamed("component", "node")), small).withColumnRenamed("node", "component"), "component").select("node", "component", "fan_out", "fan_in")
+    pairs = closure(dag)
     pairs = pairs.union(size.select("component", F.col("component").alias("dst")))
     out = pairs.join(size.select(F.col("component").alias("dst"), "n"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("n").alias("fan_out"))
     into = pairs.join(size.select(F.col("component").alias("src"), "n"), "src").groupBy(F.col("dst").alias("component")).agg(F.sum("n").alias("fan_in"))
     return comp.join(out, "component").join(into, "component").select("node", "component", "fan_out", "fan_in")
 
 
+def _numbered(nodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``nodes`` with ``idx`` from 0 on in their order; one number a partition reaches the driver."""
+    dealt = checkpointed(nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before, rows = 0, []
+    for row in sorted(dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()):
+        rows.append((row["_part"], before))
+        before += row["n"]
+    base = nodes.sparkSession.createDataFrame(rows, "_part long, _before long")
+    idx = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return checkpointed(dealt.withColumn("_part", part).join(F.broadcast(base), "_part").select(*nodes.columns, idx.alias("idx")))
+
+
+def _fans_by_words(dag: DataFrame, size: DataFrame, small: int | None) -> DataFrame:
+    """``(node, fan_out, fan_in)`` of an acyclic graph whose nodes count ``n`` each in ``size(node, n)``."""
+    placed = _numbered(size.join(levels(dag, size.select("node"), small=small), "node").select("level", "node", "n"), ("level", "node"))
+    end = lambda c, i, lv: placed.select(F.col("node").alias(c), F.col("idx").alias(i), F.col("level").alias(lv))
+    e = checkpointed(dag.join(end("src", "s", "ls"), "src").join(end("dst", "d", "ld"), "dst").select("s", "ls", "d", "ld"))
+    lowest = {r.ls: r.ld for r in e.groupBy("ls").agg(F.min("ld").alias("ld")).collect()}  # a row for each level
+    own = placed.select("level", F.col("idx").alias("s"), F.shiftright("idx", 6).alias("block"), F.expr("shiftleft(1L, cast(idx & 63 AS int))").alias("word"))
+    words = [checkpointed(own.where("level = 0").drop("level"))]
+    for lv in range(1, max(lowest) + 1):
+        below = words[lowest[lv]]
+        for more in words[lowest[lv] + 1 : lv]:
+            below = below.union(more)
+        passed = e.where(F.col("ls") == lv).select("s", "d").join(below.withColumnRenamed("s", "d"), "d").select("s", "block", "word")
+        words.append(checkpointed(own.where(F.col("level") == lv).drop("level").unionByName(passed).groupBy("s", "block").agg(F.bit_or("word").alias("word"))))
+    every = words[0]
+    for more in words[1:]:
+        every = every.union(more)
+    # a component counts once in its word's bits; what it has beyond one node is added from the few that have
+    large = placed.where("n > 1").select(F.shiftright("idx", 6).alias("block"), F.expr("shiftleft(1L, cast(idx & 63 AS int))").alias("bit"), (F.col("n") - 1).alias("more"))
+    beyond = every.join(large, "block").where(F.col("word").bitwiseAND(F.col("bit")) != 0).groupBy("s").agg(F.sum("more").alias("more"))
+    out = every.groupBy("s").agg(F.sum(F.bit_count("word")).alias("k")).join(beyond, "s", "left").select(F.col("s").alias("idx"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("fan_out"))
+    weighed = every.join(placed.select(F.col("idx").alias("s"), "n"), "s")
+    bits = [F.sum(F.when(F.col("word").bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63))) != 0, F.col("n"))).alias(f"_{i}") for i in range(64)]
+    columns = weighed.groupBy("block").agg(*bits).select("block", F.posexplode(F.array(*(f"_{i}" for i in range(64)))).alias("i", "fan_in"))
+    into = columns.where("fan_in is not null").select((F.col("block") * 64 + F.col("i")).alias("idx"), "fan_in")
+    return placed.select("node", "idx").join(out, "idx").join(into, "idx").select("node", "fan_out", "fan_in")
+
+
 def propagation(reach: DataFrame) -> DataFrame:
     """N, CCD, ACD, NCCD (null below two nodes), propagation cost."""
     n, ccd = F.count("*"), F.sum("fan_out")

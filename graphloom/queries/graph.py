@@ -114,13 +114,18 @@ def referral_reach(spark, sf_dir):
     return G.reach_counts(referrals(spark, sf_dir), customers(spark, sf_dir)).select("node", "fan_out", "fan_in")
 
 
+def referral_reach_spread(spark, sf_dir):
+    """A24-A26 over all customers, never in one task."""
+    return G.reach_counts(referrals(spark, sf_dir), customers(spark, sf_dir), small=0).select("node", "fan_out", "fan_in")
+
+
 def referral_live(spark, sf_dir):
     """G14 over all customers, from those in debt."""
     roots = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
     return G.reachable(referrals(spark, sf_dir), roots)
 
 
-QUERIES = {f.__name__: f for f in (trade_closure, trade_scc, trade_rings, trade_levels, trade_paths, trade_components, dead_nations, propagation_cost, martin, visibility, modularity, smells, degrees, referral_rings, referral_rings_spread, referral_levels, referral_levels_spread, referral_components, referral_reach, referral_live)}
+QUERIES = {f.__name__: f for f in (trade_closure, trade_scc, trade_rings, trade_levels, trade_paths, trade_components, dead_nations, propagation_cost, martin, visibility, modularity, smells, degrees, referral_rings, referral_rings_spread, referral_levels, referral_levels_spread, referral_components, referral_reach, referral_reach_spread, referral_live)}
 _FANS = """
 refl AS (SELECT src, dst FROM reach UNION SELECT n_nationkey, n_nationkey FROM nation),
 fan AS (SELECT node, component, (SELECT count(*) FROM refl WHERE src = node) AS fan_out, (SELECT count(*) FROM refl WHERE dst = node) AS fan_in FROM comp)"""
@@ -167,5 +172,5 @@ ORACLES = {
         UNION ALL SELECT 'god_component', node, size FROM sz, gc WHERE size > c""",
     "degrees": f"WITH {TRADE} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1",
 }
-for _name in ("referral_rings", "referral_levels"):
+for _name in ("referral_rings", "referral_levels", "referral_reach"):
     ORACLES[f"{_name}_spread"] = ORACLES[_name]

@@ -50,3 +50,20 @@ def test_rings_have_no_levels(spark, tables, ring):
     with pytest.raises(RuntimeError, match="cycle"):
         G.levels(_edges(spark, ring), spark.createDataFrame([(0,)], "node long"), small=0)
     assert len(tables) < 25
+
+
+def test_reach_by_words_equals_floods(spark, tables):
+    """20,000 nodes in eight layers, with rings among them; rows are words, never pairs of all nodes."""
+    rng = random.Random(3)
+    layer = 2500
+    pairs = {(i, (i // layer + 1) * layer + rng.randrange(layer)) for i in range(7 * layer) for _ in range(rng.choice([0, 1, 1, 2]))}
+    for k in range(40):
+        ring = [k * 400 + j for j in range(rng.randint(2, 5))]
+        pairs |= set(zip(ring, ring[1:] + ring[:1], strict=True))
+    pairs |= {(5, 9), (9, 4000), (4000, 5)}
+    nodes = list(range(8 * layer))
+    got = {r.node: (r.fan_out, r.fan_in) for r in G.reach_counts(_edges(spark, pairs), spark.range(len(nodes)).withColumnRenamed("id", "node"), small=0).collect()}
+    ahead, back = in_task._out(list(pairs)), in_task._out([(b, a) for a, b in pairs])
+    some = rng.sample(nodes, 1500) + [4, 5, 9, 400, 401, 4000]
+    assert {x: got[x] for x in some} == {x: (len(in_task._flood([x], ahead, set())), len(in_task._flood([x], back, set()))) for x in some}
+    assert sum(o for o, _ in got.values()) == sum(i for _, i in got.values()) and len(got) == len(nodes)
