@@ -16,6 +16,8 @@ from .common import map_rows, materialise, maybe_in, row_base
 
 #: Letters of a word of the segmenter, and hashed token buckets of the classifier.
 SHORTEST, LONGEST, BUCKETS = 2, 24, 1 << 16
+#: Leading digits of a number that are tokens.
+LEADING = 2
 #: Folds of the ruled urls for a held-out measure.
 FOLDS = 5
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,14 +68,20 @@ class Rules:
 
 
 def letter_runs(host: str, path: str) -> tuple[list[str], list[str], list[str]]:
-    """Runs of letters of the host and of the path, in any script, and the tokens of their numbers, which tell a number's length alone."""
+    """Runs of letters of the host and of the path, in any script, and the tokens of their numbers: the length, and the leading
+    digits, on their own and with the run of letters before them, as what a number means hangs on where it stands."""
     runs: tuple[list[str], list[str], list[str]] = [], [], []
     for i, text in enumerate((plain_host(host), unquote(path, errors="replace").lower())):
+        before = ""
         for run in _RUN.findall(text):
             if run[0].isdecimal():
+                leads = [run[:k] for k in range(1, min(len(run), LEADING) + 1)]
                 runs[2].append(f"{'hp'[i]}#{len(run)}")
+                runs[2].extend(f"{'hp'[i]}^{lead}" for lead in leads)
+                runs[2].extend(f"{'hp'[i]}^{before}/{lead}" for lead in leads)
             else:
                 runs[i].append(run)
+                before = run[-LONGEST:]
     return runs
 
 

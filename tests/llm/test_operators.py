@@ -536,6 +536,20 @@ def test_urls_held_out(spark):
     assert total >= 10 and right / total >= 0.7
 
 
+def test_urls_held_out_beat_the_majority(spark):
+    """Of sf0.1: ten points over always saying block, and most of either class."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {(r.truth, r.verdict): r.n for r in U.held_out(pages, RULES).collect()}
+    total = {v: sum(n for (truth, _), n in got.items() if truth == v) for v in ("block", "allow")}
+    right = {v: got.get((v, v), 0) for v in total}
+    assert sum(right.values()) / sum(total.values()) >= max(total.values()) / sum(total.values()) + 0.1
+    assert all(right[v] >= 0.7 * total[v] for v in total)
+
+
+def test_numbers_are_tokens_with_what_stands_before():
+    assert U.letter_runs("a7.com", "/en/7944-x12") == (["a", "com"], ["en", "x"], ["h#1", "h^7", "h^a/7", "p#4", "p^7", "p^79", "p^en/7", "p^en/79", "p#2", "p^1", "p^12", "p^x/1", "p^x/12"])
+
+
 def test_naive_bayes_brute(spark):
     urls = ["http://bad.com/en/free-bets", "http://worse.com/en/bets", "http://a.net/de/garden", "http://b.net/de/old-garden", "http://example.com/en/7/x"]
     ask = ["http://free.org/bets", "http://garden.fr/old", "http://nothing.fr/", None, "http://xn--grten-gra.fr/b%C3%A4ume"]
