@@ -89,11 +89,17 @@ def ownership(changes: DataFrame, minor: float = 0.05) -> DataFrame:
 
 
 def bus_factor(owned: DataFrame) -> DataFrame:
-    """The fewest top authors that cover more than half of the files; 0 without files. One row per author is ranked."""
-    per = owned.groupBy("top_author").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), "top_author")
-    running = per.select(F.row_number().over(order).alias("r"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("covered"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return running.where(F.col("covered") * 2 > F.col("total")).agg(F.coalesce(F.min("r"), F.lit(0)).cast("long").alias("bus_factor"))
+    """The fewest top authors that cover more than half of the files; 0 without files.
+
+    Authors are counted by their number of files and never ranked one by one: what a task orders is a row for each such number,
+    of which there are the square root of twice the files at most.
+    """
+    per = owned.groupBy("top_author").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("authors"))
+    down = Window.orderBy(F.desc("n"))
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    steps = per.select("n", "authors", F.coalesce(F.sum("authors").over(before), F.lit(0)).alias("r"), F.coalesce(F.sum(F.col("n") * F.col("authors")).over(before), F.lit(0)).alias("covered"), F.sum(F.col("n") * F.col("authors")).over(Window.partitionBy()).alias("total"))
+    more = F.floor((F.col("total") - 2 * F.col("covered")) / (2 * F.col("n"))) + 1  # of this number, until over half are covered
+    return steps.where((F.col("covered") * 2 <= F.col("total")) & (more <= F.col("authors"))).agg(F.coalesce(F.min(F.col("r") + more), F.lit(0)).cast("long").alias("bus_factor"))
 
 
 def rename_chain(renames: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -41,6 +41,16 @@ def python_roots(files: DataFrame) -> DataFrame:
     return inner.union(top).distinct()
 
 
+def _spelled(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(stem, root, init, file)``: how each Python file is spelled from every root above it; a package by its folder. Files meet the
+    roots among their own folders, so that roots and imports never meet but by what they spell."""
+    whole = F.regexp_replace("path", r"\.pyi?$", "")
+    init = whole.rlike(r"(^|/)__init__$")
+    rows = files.select("path").distinct().where(F.col("path").rlike(r"\.pyi?$")).select(F.col("path").alias("file"), init.cast("int").alias("init"), F.split(F.when(init, folder(F.col("path"))).otherwise(whole), "/").alias("parts"))
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.struct(F.array_join(F.slice("parts", F.lit(1), i), "/").alias("root"), F.array_join(F.slice("parts", i + 1, F.size("parts")), "/").alias("stem"))))
+    return rows.select("file", "init", cut.alias("c")).select("file", "init", "c.root", "c.stem").join(roots, "root")
+
+
 def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     """F33 for Python: ``imports(path, line, specifier, level, names)`` to targets among ``files(path)``.
 
@@ -52,13 +62,14 @@ def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     base = normal_path(F.concat_ws("/", folder(F.col("path")), ups))
     dotted = F.replace(F.col("specifier"), F.lit("."), F.lit("/"))
     relative = rows.where("level > 0").select("*", F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(dotted, F.lit(""))).alias("stem"), F.lit(0).alias("order"), base.alias("_base")).where("_base is not null").drop("_base")
-    roots = python_roots(files).select("root", F.row_number().over(Window.orderBy(F.desc(F.length("root")), "root")).alias("order"))
-    absolute = rows.where("level = 0 and specifier <> ''").crossJoin(roots).select(*rows.columns, F.concat_ws("/", F.nullif("root", F.lit("")), dotted).alias("stem"), "order")
-    stems = relative.unionByName(absolute)
-    module = [F.struct((F.col("order") * 2).alias("rank"), F.concat("stem", F.lit(e)).alias("file")) for e in (".py", ".pyi")]
-    inits = [F.struct((F.col("order") * 2 + 1).alias("rank"), F.concat_ws("/", F.nullif("stem", F.lit("")), F.lit(f"__init__{e}")).alias("file")) for e in (".py", ".pyi")]
-    direct = stems.select("path", "line", "specifier", F.explode(F.array(*module, *inits)).alias("c")).select("path", "line", "specifier", "c.rank", "c.file")
-    found = _first(direct, files)
+    rank = lambda order, root, init: F.struct(order.alias("order"), root.alias("root"), F.lit(init).alias("init")).alias("rank")
+    module = [F.struct(rank(F.lit(0), F.lit(""), 0), F.concat("stem", F.lit(e)).alias("file")) for e in (".py", ".pyi")]
+    inits = [F.struct(rank(F.lit(0), F.lit(""), 1), F.concat_ws("/", F.nullif("stem", F.lit("")), F.lit(f"__init__{e}")).alias("file")) for e in (".py", ".pyi")]
+    near = relative.select("path", "line", "specifier", F.explode(F.array(*module, *inits)).alias("c")).select("path", "line", "specifier", "c.rank", "c.file")
+    spelled = _spelled(files, python_roots(files))
+    far = rows.where("level = 0 and specifier <> ''").select("path", "line", "specifier", dotted.alias("stem")).join(spelled, "stem")
+    far = far.select("path", "line", "specifier", rank(-F.length("root"), F.col("root"), 0).withField("init", F.col("init")).alias("rank"), "file")
+    found = _first(near.unionByName(far), files)
     packages = found.where(F.col("target").rlike(r"(^|/)__init__\.pyi?$"))
     subs = rows.join(packages, ["path", "line", "specifier"]).select("path", "line", "specifier", F.explode("names").alias("name"), folder(F.col("target")).alias("package"))
     subs = subs.select("path", "line", "specifier", F.explode(F.array(*[F.concat_ws("/", F.nullif("package", F.lit("")), F.concat("name", F.lit(e))) for e in (".py", "/__init__.py")])).alias("file"))

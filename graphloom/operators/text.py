@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: F1: an acronym, a capitalised word or a lower-case run.
+#: Different query terms up to which documents' tokens are filtered by a list of them.
+FEW_TERMS = 10_000
 TOKEN = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
 
 
@@ -34,12 +36,19 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataF
     """``docs(id, text)`` ranked for ``queries(qid, text)``: (qid, id, score).
 
     A document without a shared term is absent; a term that the query repeats counts as often; ties go by the id as a
-    string. Only postings of query terms are made; the terms are broadcast where they are small.
+    string. Only postings of query terms are made: up to FEW_TERMS different ones are looked up in each document's tokens before
+    these become rows, more are joined. A limit of 1,000 at most is taken in every task before a query's scores meet.
     """
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     sized = docs.select("id", tokens(F.col("text")).alias("ts")).select("id", "ts", F.size("ts").alias("length"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    postings = sized.select("id", "length", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").distinct()
+    few = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]
+    if len(few) > FEW_TERMS:
+        rows = sized.select("id", "length", F.explode("ts").alias("term")).join(terms, "term")
+    else:
+        rows = sized.select("id", "length", F.explode(F.filter("ts", lambda t: t.isin(few))).alias("term"))
+    postings = rows.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term")
     part = F.col("times") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"))

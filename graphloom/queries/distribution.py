@@ -15,7 +15,7 @@ def risk_profile(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    rows = orders.join(lines.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left").join(cust, "o_custkey").join(F.broadcast(nation), "c_nationkey")
+    rows = orders.join(lines.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left").join(cust, "o_custkey").join(nation, "c_nationkey")
     return D.risk_profile(rows, "o_totalprice", "sloc", 300000.0, ["n_name"]).withColumn("share_over", F.round("share_over", 6))
 
 

@@ -12,7 +12,7 @@ from .base import TRADE, table, trade
 
 def _facts(spark, sf_dir):
     region = table(spark, sf_dir, "region")
-    layer = table(spark, sf_dir, "nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("path"), F.col("r_name").alias("layer"))
+    layer = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("path"), F.col("r_name").alias("layer"))
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
     pairs = lambda rows, *cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
     return {

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 
 def replace_paths(old: DataFrame, new: DataFrame, path: str = "path") -> DataFrame:
-    """K1-K4: all rows of the paths that ``new`` has are replaced by its rows."""
+    """K1-K4: all rows of the paths that ``new`` has are replaced by its rows. Rows of a null path are added and replace nothing;
+    without new rows the old ones stay as they are."""
     return old.join(new.select(path).distinct(), path, "left_anti").unionByName(new)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """K4, Q4: one row for each key, the new ones before the old, of several the last by ``order``."""
+    """K4, Q4: one row for each key, the new ones before the old, of several the last by ``order`` (null first; of equal ones any).
+    A null key is a key; either side may be empty."""
     both = old.withColumn("_g", F.lit(0)).unionByName(new.withColumn("_g", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy(F.desc("_g"), F.desc(order))
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_g", "_r")
 
 
 def prune(table: DataFrame, seen: DataFrame, path: str = "path") -> DataFrame:
-    """K5: without the paths that a whole scan no longer has."""
+    """K5: without the paths that a whole scan no longer has; a null path goes, and an empty scan leaves nothing."""
     return table.join(seen.select(path).distinct(), path, "left_semi")
 
 

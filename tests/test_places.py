@@ -60,3 +60,29 @@ def test_decision_frontmatter(spark):
     assert {tuple(r) for r in limits.collect()} == {("cyclomatic", "src/a/x.go", 10.0, "ADR-7"), ("nesting", "src/a/x.go", 3.5, "ADR-7"), ("cyclomatic", "src/c/y.py", 4.0, "0008"), ("nesting", "src/c/y.py", 2.0, "0008")}
     held = gate.tightened(paths.selectExpr("'cyclomatic' AS rule", "path", "8.0D AS limit"), limits)
     assert {r.path: (r.limit, r.decision) for r in held.collect()} == {"src/a/x.go": (8.0, None), "src/c/y.py": (4.0, "0008"), "src/d/z.go": (8.0, None)}
+
+
+def test_imports_meet_roots_by_what_they_spell(spark):
+    """600 roots and the plan has no cross join; the deepest root wins, modules before packages of one root."""
+    from graphloom.operators import imports as I
+
+    paths = [f"r{i}/pkg{i}/__init__.py" for i in range(600)] + [f"r{i}/pkg{i}/mod.py" for i in range(600)] + ["r1/deep/pkg2/__init__.py", "r1/deep/pkg2/mod.py", "r3/both.py", "r3/both/__init__.py", "top.py"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    asked = [("x.py", i, f"pkg{i}.mod", 0, []) for i in range(0, 600, 7)] + [("x.py", 1000, "pkg2.mod", 0, []), ("x.py", 1001, "both", 0, []), ("x.py", 1002, "top", 0, []), ("x.py", 1003, "nowhere", 0, [])]
+    found = I.resolve_python(spark.createDataFrame(asked, "path string, line long, specifier string, level int, names array<string>"), files)
+    got = {r.line: r.target for r in found.collect()}
+    assert got == {i: f"r{i}/pkg{i}/mod.py" for i in range(0, 600, 7)} | {1000: "r1/deep/pkg2/mod.py", 1001: "r3/both.py", 1002: "top.py"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bus_factor_equals_ranking(spark):
+    from graphloom.operators import history as H
+
+    rng = random.Random(6)
+    for _ in range(3):
+        owners = [rng.choice("abcdefghij"[: rng.randint(1, 10)]) for _ in range(rng.randint(1, 40))]
+        counts, covered, want = sorted((owners.count(a) for a in set(owners)), reverse=True), 0, 0
+        while covered * 2 <= len(owners):
+            covered, want = covered + counts[want], want + 1
+        assert H.bus_factor(spark.createDataFrame([(a,) for a in owners], "top_author string")).first()[0] == want
