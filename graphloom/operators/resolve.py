@@ -37,16 +37,20 @@ def innermost(points: DataFrame, spans: DataFrame, key: str | Sequence[str], buc
         known = known & F.col(k).isNotNull()
     order = points.columns
     carried = [c for c in order if c not in (*keys, "at")]
-    points = points.where(known & F.col("at").isNotNull()).distinct()
-    spans = spans.where(known & (F.col("start") < F.col("end"))).select(*keys, "start", "end", "name").distinct()
+    given = points.where(known & F.col("at").isNotNull())
+    points = given.distinct()
+    spans = spans.where(known & (F.col("start") < F.col("end"))).select(*keys, "start", "end", "name")
     if bucket:
         piece = lambda c: F.floor(F.col(c) / bucket)
     else:
-        rows = points.select(*keys, "at").unionByName(spans.select(*keys, F.col("start").alias("at")))
-        cuts = F.percentile_approx("at", [i / PIECES for i in range(1, PIECES)], 1000)
-        hot = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.array_sort(F.array_distinct(cuts)).alias("_cuts")).where(F.col("_n") > whole).drop("_n"))
-        points, spans = points.join(hot, keys, "left"), spans.join(hot, keys, "left")
-        piece = lambda c: F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.col(c))), F.lit(0)).cast("long")
+        rows = given.select(*keys, "at").unionByName(spans.select(*keys, F.col("start").alias("at")))
+        hot, n = counted(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > whole).drop("_n"))
+        piece = lambda c: F.lit(0).cast("long")
+        if n:
+            cuts = F.percentile_approx("at", [i / PIECES for i in range(1, PIECES)], 1000)
+            hot = checkpointed(rows.join(hot, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.array_distinct(cuts)).alias("_cuts")))
+            points, spans = points.join(hot, keys, "left"), spans.join(hot, keys, "left")
+            piece = lambda c: F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.col(c))), F.lit(0)).cast("long")
     points = points.withColumn("_piece", piece("at")).drop("_cuts")
     spans = spans.withColumn("_last", F.col("end") - 1).withColumn("_piece", F.explode(F.sequence(piece("start"), piece("_last"))))
     kinds = {**{c: points.schema[c].dataType for c in carried}, "name": spans.schema["name"].dataType, "start": spans.schema["start"].dataType, "end": spans.schema["end"].dataType}
