@@ -1,11 +1,10 @@
-"""Retrieval and clones: BM25, token windows, clone classes, duplication."""
+"""Retrieval and clones: BM25, token windows, duplication."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,97 +110,6 @@ def repeated_windows(wins: DataFrame) -> DataFrame:
     return out.where("places >= 2").select("hi", "lo", "at.path", "at.pos", "places", "paths")
 
 
-def clone_classes(tokens_: DataFrame, k: int = 50, min_lines: int = 4) -> DataFrame:
-    """Clone classes of ``tokens_(path, pos, norm, line)``: (class, path, start, length, first_line, last_line).
-
-    The places of a repeated window are grown together, first to the left, then to the right, as long as all of them go on
-    with one token and no two of them in a file come to overlap (the smallest gap between them is the limit). Of the grown
-    classes the longest are chosen first, then those of most places, then that of the least place; an occurrence that overlaps
-    a chosen one is left out, and a class stays with two occurrences that span ``min_lines`` lines each.
-
-    Windows are hashed and grouped everywhere; growth and the choice run per connected group of files that share a window,
-    in one task, which holds a group's token hashes (16 bytes a token). Null tokens count as tokens; files of fewer than
-    ``k`` tokens and an empty table give no rows.
-    """
-    from ..runtime import checkpointed
-    from .graph import connected_components
-
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("norm", F.lit("")).alias("norm"), "line")))
-    docs = checkpointed(tokens_.groupBy("path").agg(ordered.alias("ts")).select("path", F.transform("ts", lambda t: t["norm"]).alias("tokens"), F.transform("ts", lambda t: t["line"].cast("long")).alias("lines")))
-    wins = checkpointed(windows(docs, k))
-    again = checkpointed(repeated_windows(wins).select("hi", "lo", F.col("path").alias("least")))
-    seeds = checkpointed(wins.join(again, ["hi", "lo"]))
-    group = connected_components(seeds.select(F.col("path").alias("src"), F.col("least").alias("dst")).distinct())
-    by_file = seeds.groupBy("path").agg(F.collect_list(F.struct("pos", "hi", "lo")).alias("seeds"))
-    files = docs.join(by_file, "path").join(group.withColumnRenamed("node", "path"), "path").select("component", "path", "lines", F.transform("tokens", lambda t: F.xxhash64(t)).alias("x"), F.transform("tokens", lambda t: F.hash(t).cast("long")).alias("y"), "seeds")
-    kind = tokens_.schema["path"].dataType.simpleString()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [(p, list(ls), np.array(x, dtype=np.int64).astype(np.int64) * 3 + np.array(y, dtype=np.int64)) for p, ls, x, y in zip(pdf["path"], pdf["lines"], pdf["x"], pdf["y"], strict=True)]
-        rank = sorted(range(len(texts)), key=lambda i: texts[i][0])
-        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for f, i in enumerate(rank):
-            for seed in sorted(pdf["seeds"].iloc[i], key=lambda s: s["pos"]):
-                places.setdefault((seed["hi"], seed["lo"]), []).append((f, seed["pos"]))
-        texts = [texts[i] for i in rank]
-        picked = chosen([t for *_, t in texts], [ls for _, ls, _ in texts], places.values(), k, min_lines)
-        rows = [(f"{texts[f0][0]}:{s0}", texts[f][0], s, n, texts[f][1][s], texts[f][1][s + n - 1]) for n, starts in picked for f0, s0 in starts[:1] for f, s in starts]
-        return pd.DataFrame(rows, columns=["class", "path", "start", "length", "first_line", "last_line"])
-
-    return files.groupBy("component").applyInPandas(choose, f"class string, path {kind}, start long, length long, first_line long, last_line long")
-
-
-def _common(texts: list[np.ndarray], starts: list[tuple[int, int]], most: int, forward: bool) -> int:
-    """How many tokens all of ``starts`` have in common from there on (or before, going back), ``most`` at most."""
-    done, chunk = 0, 16
-    while done < most:
-        chunk = min(2 * chunk, most - done)
-        if forward:
-            parts = [texts[f][s + done : s + done + chunk] for f, s in starts]
-        else:
-            parts = [texts[f][max(0, s - done - chunk) : s - done][::-1] for f, s in starts]
-        size = min(map(len, parts))
-        first = parts[0][:size]
-        for p in parts[1:]:
-            differs = np.flatnonzero(p[: len(first)] != first)
-            if len(differs):
-                first = first[: differs[0]]
-        done += len(first)
-        if len(first) < chunk:
-            break
-    return done
-
-
-def chosen(texts: list[np.ndarray], lines: list[list[int]], seeds: Iterable[list[tuple[int, int]]], k: int, min_lines: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Growth and choice over numbered texts: (length, starts) of the classes that stay. ``seeds``: ascending places of each window."""
-    seeds = [s for s in seeds if len(s) > 1]
-    at = {place: i for i, s in enumerate(seeds) for place in s}
-    grown: dict[tuple, int] = {}
-    for starts in seeds:
-        gaps = [b[1] - a[1] for a, b in zip(starts, starts[1:], strict=False) if a[0] == b[0]]
-        room = min(gaps, default=None)
-        if room is not None and room < k:
-            continue
-        if room is None:  # the class that lies a token to the left of all grows to the same
-            left = {at.get((f, s - 1)) for f, s in starts}
-            if len(left) == 1 and None not in left and len(seeds[left.pop()]) == len(starts):
-                continue
-        far = max(map(len, texts)) if room is None else room
-        back = _common(texts, starts, far - k, forward=False)
-        moved = tuple((f, s - back) for f, s in starts)
-        grown.setdefault(moved, k + back + _common(texts, [(f, s + k) for f, s in starts], far - k - back, forward=True))
-    out = []
-    taken = [np.zeros(len(t), dtype=bool) for t in texts]
-    for starts, n in sorted(grown.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-        free = [(f, s) for f, s in starts if not taken[f][s : s + n].any()]
-        if len(free) < 2 or any(lines[f][s + n - 1] - lines[f][s] + 1 < min_lines for f, s in free):
-            continue
-        for f, s in free:
-            taken[f][s : s + n] = True
-        out.append((n, free))
-    return out
-
-
 def duplication(clones: DataFrame, total_tokens: int) -> DataFrame:
     """Tokens of all occurrences but one of each class, and their share."""
     per = clones.groupBy("class").agg(F.max("length").alias("length"), F.count("*").alias("n"))

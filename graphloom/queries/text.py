@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import text as X
+from ..operators.clones import clone_classes as clone_classes_of
 from .base import table
 
 _WORDS = r"\S+"
@@ -31,7 +32,7 @@ def clone_classes(spark, sf_dir):
     """The words of all documents as tokens, their lines as lines."""
     lines = _docs(spark, sf_dir).select(F.col("id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     words = lines.select("path", "line", F.posexplode(F.regexp_extract_all("words", F.lit(_WORDS), F.lit(0))).alias("at", "norm"))
-    found = X.clone_classes(words.select("path", F.struct("line", "at").alias("pos"), "norm", (F.col("line") + 1).alias("line")), 50, 1)
+    found = clone_classes_of(words.select("path", F.struct("line", "at").alias("pos"), "norm", (F.col("line") + 1).alias("line")), 50, 1)
     return found.select("class", "path", "start", "length", "first_line", "last_line")
 
 

@@ -15,6 +15,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import history as H
 from graphloom.operators import resolve as R
 from graphloom.operators import text as X
+from graphloom.operators.clones import clone_classes
 from graphloom.operators.context import bundle, declarations
 from graphloom.operators.seams import seam
 from graphloom.operators.small_graphs import minimum_cut
@@ -291,7 +292,7 @@ def naive_clones(files, lines, k, min_lines):
 
 def found_clones(spark, files, lines, k, min_lines):
     rows = [(p, i, t, lines[p][i]) for p, ts in files.items() for i, t in enumerate(ts)]
-    got = X.clone_classes(frame(spark, rows, "path string, pos int, norm string, line int"), k, min_lines)
+    got = clone_classes(frame(spark, rows, "path string, pos int, norm string, line int"), k, min_lines)
     return got, {tuple(r) for r in got.collect()}
 
 
