@@ -6,6 +6,7 @@ import re
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.functions.picks import ranked_pick
@@ -15,7 +16,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import history as H
 from graphloom.operators import resolve as R
 from graphloom.operators import text as X
-from graphloom.operators.clones import clone_classes
+from graphloom.operators.clones import Spans, clone_classes, pieces
 from graphloom.operators.context import bundle, declarations
 from graphloom.operators.seams import seam
 from graphloom.operators.small_graphs import minimum_cut
@@ -523,3 +524,33 @@ def test_retry_ledger(spark, tmp_path):
     assert q.awaitTermination(120)
     got = [tuple(r) for r in spark.sql("select key, attempts, exhausted, repaired, size(values) from ledger order by key, repaired, attempts").collect()]
     assert got == [("j", 1, False, False, 1), ("j", 1, False, True, 1), ("k", 1, False, False, 1), ("k", 2, False, False, 2), ("k", 3, False, False, 3), ("k", 4, True, False, 4), ("k", 4, False, True, 4)]
+
+
+def test_clones_with_a_header_in_every_file(spark):
+    """A shared header, a chain of overlapping passages, repeats within a file, files without a path and further columns."""
+    head = [f"h{i}" for i in range(12)]
+    files = {f"f{i:03d}": head + [f"own{i}x{j}" for j in range(i % 5)] for i in range(60)}
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(10):
+        files[f"a{i}"] = chain[5 * i : 5 * i + 14] + [f"a{i}"] + chain[5 * i : 5 * i + 8]
+    files["z"] = ["s", "t"] * 20 + ["u"] + ["s", "t"] * 20
+    lines = {p: list(range(len(ts))) for p, ts in files.items()}
+    rows = [(p, i, t, lines[p][i], "x", "y") for p, ts in files.items() for i, t in enumerate(ts)] + [(None, i, t, i, "x", "y") for i, t in enumerate(head * 2)]
+    got = clone_classes(frame(spark, rows, "path string, pos int, norm string, line int, class string, z string"), 6, 2)
+    assert {tuple(r) for r in got.collect()} == naive_clones(files, lines, 6, 2)
+
+
+def test_spans_and_pieces():
+    r = random.Random(3)
+    for _ in range(50):
+        spans, marked = Spans(), set()
+        for _ in range(30):
+            a = r.randrange(100)
+            b = a + r.randrange(1, 12)
+            assert spans.meets(a, b) == bool(marked & set(range(a, b)))
+            if r.random() < 0.5:
+                spans.add(a, b)
+                marked |= set(range(a, b))
+    z = np.arange(100, dtype=np.uint64)
+    assert len(pieces(z, 2)) == 32 and len(pieces(z, 8)) == 12 and len(pieces(z, 101)) == 0
+    assert pieces(z, 4)[0] == pieces(z[:4], 4)[0] != pieces(z[:4][::-1], 4)[0]
