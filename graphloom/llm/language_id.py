@@ -16,6 +16,8 @@ BUCKETS_BITS = 16
 BUCKETS = 1 << BUCKETS_BITS
 #: Labelled documents that the model is fitted on, at most (all languages together).
 SAMPLE_ROWS = 6000
+#: Bits of a text's draw, and how many of them bins are told apart by: a language has 65,536 bins at most.
+DRAW_BITS, BIN_BITS = 40, 16
 #: Characters folded at a time, so that a very long text needs no more memory.
 PART = 1 << 20
 
@@ -121,11 +123,20 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def balanced(labelled: DataFrame, languages: int, sample_rows: int, seed: int) -> DataFrame:
-    """Distinct (lang, text, draw): of each language the ``sample_rows / languages`` texts of least draw, a hash of the text."""
+    """Distinct (lang, text, draw): of each language the ``sample_rows / languages`` texts of least draw, a hash of the text.
+
+    Draws are counted by their upper bits first, so that only those up to the bin in which a language's share is full are ranked,
+    however many rows it has; repeated texts count once.
+    """
     each_rows = max(1, sample_rows // languages)
-    drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)))
+    drawn = labelled.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << DRAW_BITS)))
+    bin_ = F.shiftright("draw", DRAW_BITS - BIN_BITS)
+    bins = drawn.select("lang", "draw").distinct().groupBy("lang", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = bins.withColumn("before", before).where(F.col("before") < each_rows).groupBy("lang").agg(F.max("bin").alias("bin"))
+    low = drawn.select("lang", "draw").join(F.broadcast(full), "lang").where(bin_ <= F.col("bin")).select("lang", "draw").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    last = drawn.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= each_rows).groupBy("lang").agg(F.max("draw").alias("last"))
+    last = low.withColumn("rank", rank).where(F.col("rank") <= each_rows).groupBy("lang").agg(F.max("draw").alias("last"))
     return drawn.join(F.broadcast(last), "lang").where("draw <= last").select("lang", "text", "draw").distinct()
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate as D
 from graphloom.llm import language_id as L
@@ -752,3 +753,17 @@ def test_most_frequent(spark):
     for most, want in ((0, ""), (1, ""), (2, "ab"), (3, "abc"), (4, "abc"), (5, "abcde"), (9, "abcde")):
         assert "".join(sorted(r.w for r in most_frequent(counts, most))) == want
     assert most_frequent(counts.limit(0), 5) == []
+
+
+def test_language_sample_takes_the_least_draws(spark):
+    """As ranking all distinct draws of a language would, with a language of most rows, repeated texts and few of another."""
+    data = [(f"text {i % 3000}", "a") for i in range(5000)] + [(f"b {i}", "b") for i in range(40)] + [("text 1", "b")] * 3
+    frame = spark.createDataFrame(data, "text string, lang string").repartition(5)
+    drawn = frame.withColumn("draw", F.expr(f"pmod(xxhash64(text, 3), {1 << L.DRAW_BITS})")).distinct().collect()
+    for each in (1, 25, 700, 4000):
+        want = set()
+        for lang in ("a", "b"):
+            last = sorted({r.draw for r in drawn if r.lang == lang})[:each][-1]
+            want |= {(r.lang, r.text, r.draw) for r in drawn if r.lang == lang and r.draw <= last}
+        assert {tuple(r) for r in L.balanced(frame, 2, 2 * each, 3).collect()} == want
+    assert L.balanced(frame.limit(0), 2, 20, 3).count() == 0
