@@ -125,15 +125,17 @@ def glob_pattern(globs: DataFrame, glob: str = "glob") -> DataFrame:
 def scope_paths(decisions: DataFrame, files: DataFrame, globs: str = "globs") -> DataFrame:
     """Decisions by the files that any of their globs matches: (decision, path).
 
-    Globs whose first folder is plain meet the files of that folder in an equi-join; only the others are tried on every file.
-    Null and empty lists match nothing.
+    Globs whose first folder is plain meet the files of that folder in an equi-join; for the others each file is walked once over
+    an automaton of them all (``globs.matching``). Null and empty lists match nothing.
     """
+    from .globs import matching
+
     patterns = glob_pattern(decisions.select("decision", F.explode(globs).alias("glob")).distinct())
     rows = files.select("path").distinct().withColumn("head", F.regexp_extract("path", r"^([^/]*)/", 1))
-    plain = rows.join(patterns.where("head is not null").select("decision", "pattern", "head"), "head")
-    wild = rows.select("path").crossJoin(patterns.where("head is null").select("decision", "pattern"))
-    found = plain.select("decision", "path", "pattern").unionByName(wild.select("decision", "path", "pattern"))
-    return found.where(F.expr("path rlike pattern")).select("decision", "path").distinct()
+    plain = rows.join(patterns.where("head is not null").select("decision", "pattern", "head"), "head").where(F.expr("path rlike pattern"))
+    wild = patterns.where("head is null").select("decision", "glob")
+    walked = matching(rows, wild).join(wild, "glob")
+    return plain.select("decision", "path").unionByName(walked.select("decision", "path")).distinct()
 
 
 def reflexion(edges: DataFrame, layer: DataFrame, declared: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import resolve as R
 from ..operators.small_graphs import ring_cuts
-from ..runtime import checkpointed
+from ..runtime import checkpointed, shared_folder
+from ..sources import buckets as B
 from ..sources import store as S
 from .base import nations, table, trade
 
@@ -57,6 +60,16 @@ def replace_and_prune(spark, sf_dir):
     return S.prune(S.replace_paths(li, new), seen).groupBy("path").agg(F.count("*").alias("n"))
 
 
+def bucketed_replace(spark, sf_dir):
+    """K1, K5, Q2, Q3: as ``replace_and_prune``, on a table in 32 buckets by supplier of which writes touch what they must."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("path"), "l_quantity")
+    root = f"{shared_folder(li).rstrip('/')}/graphloom/store-{uuid.uuid4().hex}"
+    B.create(li, root, buckets=32)
+    B.replace(li.where((F.col("path") % 2 == 0) & (F.col("l_quantity") > 30)), root)
+    B.prune_unseen(table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("path")), root)
+    return B.read(spark, root).groupBy("path").agg(F.count("*").alias("n"))
+
+
 def occurrence_numbers(spark, sf_dir):
     """Customers of one nation and segment, numbered."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("path"), F.lit("k").alias("kind"), F.col("c_mktsegment").alias("qualified_name"), F.col("c_custkey").alias("start_byte"))
@@ -107,7 +120,7 @@ def trade_ring_cuts(spark, sf_dir):
     return ring_cuts(e, rings)
 
 
-QUERIES = {f.__name__: f for f in (edge_stats, complexity_by_file, entity_scores, table_counts, resolve_symbols, upsert_latest, replace_and_prune, occurrence_numbers, name_ladder, call_outcomes, confident_edges, trade_ring_cuts)}
+QUERIES = {f.__name__: f for f in (edge_stats, complexity_by_file, entity_scores, table_counts, resolve_symbols, upsert_latest, replace_and_prune, bucketed_replace, occurrence_numbers, name_ladder, call_outcomes, confident_edges, trade_ring_cuts)}
 ORACLES = {
     "edge_stats": "SELECT l_returnflag AS kind, count(*) AS n, count(*) FILTER (l_quantity <= 40) AS resolved FROM lineitem GROUP BY 1",
     "complexity_by_file": "SELECT p_brand AS path, sum(p_size)::BIGINT AS value FROM part WHERE p_type = 'SMALL' GROUP BY 1",
@@ -141,3 +154,4 @@ ORACLES = {
         SELECT CASE WHEN k % 3 = 0 THEN 'no_caller' WHEN v <= 200000 THEN 'unmatched' WHEN k % 2 = 1 THEN 'no_target' ELSE 'joined' END AS outcome, count(*) AS n FROM a GROUP BY 1""",
     "confident_edges": "SELECT count(*) AS n, count(*) FILTER (l_quantity <= 40 AND (l_returnflag = 'R' OR l_linestatus = 'O')) AS kept FROM lineitem",
 }
+ORACLES["bucketed_replace"] = ORACLES["replace_and_prune"]
