@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -225,6 +226,38 @@ def workspace_globs(package_json: str) -> list[str]:
     return found if isinstance(found, list) else found.get("packages", [])
 
 
+def workspace_packages(manifests: DataFrame) -> DataFrame:
+    """Packages of a workspace from ``manifests(path, value)``, whole files by path below its root: (package, folder).
+
+    The globs come from the root's ``package.json`` (``workspaces``, a list or under ``packages``), else ``pnpm-workspace.yaml``, else
+    ``lerna.json``: the first that has any. A package is named by its own ``package.json``; of several with one name that of the first
+    glob counts, then the least folder. ``*`` stays in a folder, ``**`` crosses them. Null and unreadable files name nothing.
+    """
+    from ..sources.readers import listed_under
+
+    as_list = lambda at: F.from_json(F.get_json_object("value", at), "array<string>")
+    own = F.coalesce(as_list("$.workspaces"), as_list("$.workspaces.packages"))
+    globs = F.when(F.col("path") == "package.json", own).when(F.col("path") == "pnpm-workspace.yaml", listed_under(F.col("value"), "packages")).when(F.col("path") == "lerna.json", as_list("$.packages"))
+    rank = F.array_position(F.array(*map(F.lit, ("package.json", "pnpm-workspace.yaml", "lerna.json"))), F.col("path"))
+    declared = manifests.select(rank.alias("rank"), globs.alias("globs")).where(F.size("globs") > 0).agg(F.min_by("globs", "rank").alias("globs"))
+
+    @F.pandas_udf("array<string>")
+    def patterns(found: pd.Series) -> pd.Series:
+        return found.map(lambda gs: None if gs is None else [folder_regex(g) for g in gs if g is not None])
+
+    named = manifests.where(F.col("path").endswith("/package.json")).select(F.regexp_replace("path", "/package\\.json$", "").alias("folder"), F.get_json_object("value", "$.name").alias("package")).where("package <> ''")
+    tried = named.crossJoin(F.broadcast(declared.select(patterns("globs").alias("patterns"))))  # of one row
+    first = F.expr("array_position(transform(patterns, p -> concat(folder, '/') rlike p), true)")
+    return tried.withColumn("rank", first).where("rank > 0").groupBy("package").agg(F.min_by("folder", F.struct("rank", "folder")).alias("folder"))
+
+
+def folder_regex(glob: str) -> str:
+    """A glob of folders, by segments, as a regex over the path with a slash at its end."""
+    parts = [x for x in glob.split("/") if x not in ("", ".")]
+    whole = "".join("(?:[^/]+/)*" if p == "**" else "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in p) + "/" for p in parts)
+    return f"^(?=.)(?:{whole})(?<=/)$"
+
+
 def crates(manifests: Mapping[str, str], known: Sequence[str]) -> dict[str, str]:
     """S18e: crate name (``-`` as ``_``) to its root file: the library path, else a binary's, else ``src/lib.rs`` or ``src/main.rs``."""
     import tomllib

@@ -12,6 +12,7 @@ from ..operators.small_graphs import ring_cuts
 from ..runtime import checkpointed, shared_folder
 from ..sources import buckets as B
 from ..sources import store as S
+from ..streaming import ledger as L
 from .base import nations, table, trade
 
 
@@ -155,3 +156,25 @@ ORACLES = {
     "confident_edges": "SELECT count(*) AS n, count(*) FILTER (l_quantity <= 40 AND (l_returnflag = 'R' OR l_linestatus = 'O')) AS kept FROM lineitem",
 }
 ORACLES["bucketed_replace"] = ORACLES["replace_and_prune"]
+
+
+def incomplete_seen(spark, sf_dir):
+    """Customers in debt as incomplete paths, those with an order as the scan's."""
+    owing = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("path"))
+    return S.still_incomplete(owing, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path")))
+
+
+def repairs(spark, sf_dir):
+    """Y2, K7: users as sessions, days as runs, event types as keys with the day's greatest value; what a day no longer has is repaired."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.to_date("ts").alias("run"), F.col("event_type").alias("key"), "value")
+    out = L.repairs_at_once(e, ["session"])
+    return out.select("session", F.col("run").cast("string").alias("run"), "key", "attempts", L.trend(F.transform("values", lambda v: F.floor(v))).alias("trend"))
+
+
+QUERIES |= {f.__name__: f for f in (incomplete_seen, repairs)}
+ORACLES["incomplete_seen"] = "SELECT c_custkey AS path FROM customer WHERE c_acctbal < 0 INTERSECT SELECT o_custkey FROM orders"
+ORACLES["repairs"] = """WITH e AS (SELECT user_id AS session, ts::DATE AS run, event_type AS key, floor(max("value"))::BIGINT AS v FROM events GROUP BY 1, 2, 3),
+    r AS (SELECT session, run, row_number() OVER (PARTITION BY session ORDER BY run) AS n FROM (SELECT DISTINCT session, run FROM e)),
+    k AS (SELECT e.*, n, n - row_number() OVER (PARTITION BY e.session, key ORDER BY n) AS stretch FROM e JOIN r ON r.session = e.session AND r.run = e.run),
+    s AS (SELECT session, key, stretch, max(n) AS last, count(*) AS attempts, list(v ORDER BY n) AS vs FROM k GROUP BY 1, 2, 3)
+    SELECT s.session, r.run::VARCHAR AS run, key, attempts, array_to_string(vs[-8:], ' -> ') AS trend FROM s JOIN r ON r.session = s.session AND r.n = last + 1"""

@@ -139,6 +139,11 @@ def _listed(entry: Column) -> Column:
     return F.filter(items, lambda x: x != "")
 
 
+def listed_under(meta: Column, key: str) -> Column:
+    """The list under a key of YAML-like text, in brackets or lines; empty if there is none."""
+    return _listed(_entry(meta, key))
+
+
 def decisions(files: DataFrame) -> DataFrame:
     """``files(path, value)`` of whole decision records: (decision, title, status, body, globs, limits, tags, document).
 

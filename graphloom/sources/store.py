@@ -1,4 +1,4 @@
-"""Table sinks with replace-per-path semantics."""
+"""Table sinks with replace-per-path semantics."""
 
 from __future__ import annotations
 
@@ -25,6 +25,11 @@ def prune(table: DataFrame, seen: DataFrame, path: str = "path") -> DataFrame:
     return table.join(seen.select(path).distinct(), path, "left_semi")
 
 
+def still_incomplete(incomplete: DataFrame, seen: DataFrame, path: str = "path") -> DataFrame:
+    """The paths that are both incomplete and part of the last scan, each once; a null path is a path."""
+    return incomplete.select(path).intersect(seen.select(path))
+
+
 def write_table(df: DataFrame, path: str, partition: str = "language") -> None:
     """K1: parquet by partition; only the partitions that ``df`` has are overwritten."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -67,6 +67,50 @@ def ledger_at_once(rows: DataFrame, keys: list[str], order: list[str], value: st
     return out.select(*keys, "attempts", F.transform("_vs", lambda x: x["v"]).alias("values"), ((F.col("attempts") > BUDGET) & F.lit(BUDGET > 0)).alias("exhausted"))
 
 
+def trend(values: Column) -> Column:
+    """Y2: a trajectory as ``27 -> 19 -> 19``, six digits a value; null values are left out, a null list gives null."""
+
+    @F.pandas_udf("string")
+    def told(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda vs: None if vs is None else " -> ".join(f"{v:g}" for v in vs if v is not None and v == v))
+
+    return told(values)
+
+
+def repair_records(ledger: DataFrame, at: Column | None = None) -> DataFrame:
+    """Y2, K7: what ``RetryLedger`` tells of repaired keys as records (at, rule, attempts, values); the rule is the key up to its first ``|``."""
+    when = F.current_timestamp() if at is None else at
+    return ledger.where("repaired").select(when.alias("at"), F.substring_index("key", "|", 1).alias("rule"), "attempts", "values")
+
+
+def log_repairs(ledger: DataFrame, folder: str, checkpoint: str, **trigger):
+    """K7: append the repairs of a ledger stream to a folder of JSON lines, each once, also after a restart."""
+    return repair_records(ledger).writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+
+
+def repairs_at_once(found: DataFrame, group: list[str]) -> DataFrame:
+    """Y2, K7 over all runs at once: ``found(*group, run, key, value)``, a clean run having a null key, to the repairs that ``RetryLedger``
+    tells: (*group, run, key, attempts, values), the run being the first without the key.
+
+    Runs of a group are in the order of ``run``; sightings in runs that follow each other are one attempt each, and the last
+    TRAJECTORY values are kept. Of repeated keys of a run the greatest value counts; nulls in ``group`` are a group; rows without a
+    run are left out. Keys do not expire here. Windows sort a group's runs, and a key's.
+    """
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in group]
+    rows = found.where(F.col("run").isNotNull()).select(*group, "run", "key", F.col("value").cast("double").alias("value"))
+    seen = rows.groupBy(*group, "run", "key").agg(F.max("value").alias("value"))
+    numbered = seen.withColumn("_run", F.dense_rank().over(Window.partitionBy(*group).orderBy("run")))
+    runs = numbered.select(*group, "run", "_run").distinct()
+    keys = numbered.where(F.col("key").isNotNull())
+    stretch = F.col("_run") - F.row_number().over(Window.partitionBy(*group, "key").orderBy("_run"))
+    back = F.row_number().over(Window.partitionBy(*group, "key", "_stretch").orderBy(F.desc("_run")))
+    told = keys.withColumn("_stretch", stretch).withColumn("_back", back)
+    value = F.when(F.col("_back") <= TRAJECTORY, F.struct((-F.col("_back")).alias("r"), F.col("value").alias("v")))
+    spells = told.groupBy(*group, "key", "_stretch").agg(F.max("_run").alias("_last"), F.count("*").alias("attempts"), F.sort_array(F.collect_list(value)).alias("_vs"))
+    after = [F.col("s._last") + 1 == F.col("r._run"), *same("s", "r")]
+    return spells.alias("s").join(runs.alias("r"), after).select(*[F.col(f"s.{c}") for c in group], "r.run", "s.key", "s.attempts", F.transform("s._vs", lambda x: x["v"]).alias("values"))
+
+
 def work_list(scan: DataFrame, known: DataFrame) -> DataFrame:
     """Files of a scan whose (path, sha, version) isn't known yet."""
     return scan.join(known.select("path", "sha", "version"), ["path", "sha", "version"], "left_anti")
