@@ -19,6 +19,8 @@ from .text import windows
 PIECES = 32
 #: Longest piece, so that no round asks for more than ``PIECES`` times as many tokens at a time.
 LONGEST = 1 << 17
+#: Bits of the broadcast bitmap of half hashes (8 MB as rows).
+SLOTS = 1 << 25
 _CLASS = ["path0", "start0", "length"]
 
 
@@ -187,26 +189,53 @@ def chosen(occurrences: DataFrame) -> DataFrame:
     return out.join(label, _CLASS).withColumn("class", F.concat(F.col("_at.path").cast("string"), F.lit(":"), F.col("_at.start").cast("string"))).drop("_at")
 
 
-def clone_classes(tokens_: DataFrame, k: int = 50, min_lines: int = 4) -> DataFrame:
-    """Clone classes of ``tokens_(path, pos, norm, line)``: (class, path, start, length, first_line, last_line).
+def places_of_repeats(docs: DataFrame, k: int) -> DataFrame:
+    """All places of windows that stand in two or more: (hi, lo, n, path, pos), a table.
+
+    A first pass counts half of each window's hash, eight bytes a window, and a bitmap of 8 MB at most says where the second need
+    not look; what that lets through is counted by the whole hash. A fuller bitmap lets more through and changes no result.
+    """
+    wins = windows(docs, k)
+    half = wins.groupBy("hi").agg(F.count("*").alias("n")).where("n >= 2").select(F.pmod("hi", F.lit(SLOTS)).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    bitmap = checkpointed(half.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    maybe = (F.shiftright("slot", 6) == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0)
+    left = checkpointed(wins.withColumn("slot", F.pmod("hi", F.lit(SLOTS))).join(F.broadcast(bitmap), maybe, "left_semi").groupBy("path", "pos").agg(F.min(F.struct("hi", "lo")).alias("w")).select("path", "pos", "w.hi", "w.lo"))
+    again = left.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n >= 2")
+    places = checkpointed(left.join(again, ["hi", "lo"]).select("hi", "lo", "n", "path", F.col("pos").cast("long").alias("pos")))
+    release(bitmap, left)
+    return places
+
+
+def clones_of_files(docs: DataFrame, k: int = 50, min_lines: int = 4) -> DataFrame:
+    """Clone classes of ``docs(path, tokens, lines)``, a row a file: (class, path, start, length, first_line, last_line).
 
     The places of a repeated window are grown together (``grown``), then classes are chosen greedily (``chosen``); an occurrence spans
     ``min_lines`` lines at least. Every step goes by window, class or file: no task holds more than one file's tokens, however
-    many files share a window. Null tokens count as empty ones, null lines as line 0; rows without a path are left out; of
-    equal ``pos`` in a file the order is by token, then line; files of fewer than ``k`` tokens and an empty table give no rows.
-    Other columns are ignored.
+    many files share a window. ``lines`` holds each token's line. ``docs`` is read several times, so it should be a table or cheap to
+    make of one. Rows without a path, and files of fewer than ``k`` tokens, give no rows; where rows repeat a path, one window counts at
+    each position, and which of the rows it is from is not told.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("norm", F.lit("")).alias("norm"), F.coalesce(F.col("line").cast("long"), F.lit(0)).alias("line"))))
-    files = tokens_.where(F.col("path").isNotNull()).groupBy("path").agg(ordered.alias("ts"))
-    docs = checkpointed(files.select("path", F.transform("ts", lambda t: t["norm"]).alias("tokens"), F.transform("ts", lambda t: t["line"]).alias("lines")))
-    wins = checkpointed(windows(docs, k))
-    again = wins.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n >= 2")
-    places = checkpointed(wins.join(again, ["hi", "lo"]).select("hi", "lo", "n", "path", F.col("pos").cast("long").alias("pos")))
-    release(wins)
+    docs = docs.where(F.col("path").isNotNull()).select("path", "tokens", "lines")
+    places = places_of_repeats(docs, k)
     classes = grown(places, docs.select("path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("z")), k)
     found = places.join(classes.drop("n"), ["hi", "lo"]).select(*_CLASS, "n", "path", (F.col("pos") - F.col("shift")).alias("start"))
-    at = lambda i: F.element_at("lines", (i + 1).cast("int"))
+    at = lambda i: F.get("lines", i.cast("int"))
     lined = found.join(docs.select("path", "lines"), "path").select(*found.columns, at(F.col("start")).alias("first_line"), at(F.col("start") + F.col("length") - 1).alias("last_line"))
-    out = chosen(lined.withColumn("enough", F.col("last_line") - F.col("first_line") + 1 >= min_lines))
-    release(docs, places, classes)
-    return out.select("class", "path", "start", "length", "first_line", "last_line")
+    out = chosen(lined.withColumn("enough", F.coalesce(F.col("last_line") - F.col("first_line") + 1 >= min_lines, F.lit(False))))
+    release(places, classes)
+    return out.select("class", "path", "start", "length", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"))
+
+
+def clone_classes(tokens_: DataFrame, k: int = 50, min_lines: int = 4) -> DataFrame:
+    """``clones_of_files`` of ``tokens_(path, pos, norm, line)``, a row a token.
+
+    Null tokens count as empty ones, null lines as line 0; rows without a path are left out; of equal ``pos`` in a file the order
+    is by token, then line; an empty table gives no rows. Other columns are ignored.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("norm", F.lit("")).alias("norm"), F.coalesce(F.col("line").cast("long"), F.lit(0)).alias("line"))))
+    files = tokens_.where(F.col("path").isNotNull()).groupBy("path").agg(ordered.alias("ts"))
+    docs = checkpointed(files.select("path", F.transform("ts", lambda t: t["norm"]).alias("tokens"), F.transform("ts", lambda t: t["line"]).alias("lines")))
+    out = clones_of_files(docs, k, min_lines)
+    release(docs)
+    return out

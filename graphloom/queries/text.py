@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import text as X
-from ..operators.clones import clone_classes as clone_classes_of
+from ..operators.clones import clones_of_files
 from .base import table
 
 _WORDS = r"\S+"
@@ -30,10 +30,10 @@ def clone_windows(spark, sf_dir):
 
 def clone_classes(spark, sf_dir):
     """The words of all documents as tokens, their lines as lines."""
-    lines = _docs(spark, sf_dir).select(F.col("id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    words = lines.select("path", "line", F.posexplode(F.regexp_extract_all("words", F.lit(_WORDS), F.lit(0))).alias("at", "norm"))
-    found = clone_classes_of(words.select("path", F.struct("line", "at").alias("pos"), "norm", (F.col("line") + 1).alias("line")), 50, 1)
-    return found.select("class", "path", "start", "length", "first_line", "last_line")
+    split = F.transform(F.split("text", "\n"), lambda l: F.regexp_extract_all(l, F.lit(_WORDS), F.lit(0)))
+    lines = F.flatten(F.transform(F.col("by_line"), lambda ws, i: F.array_repeat((i + 1).cast("long"), F.size(ws))))
+    words = _docs(spark, sf_dir).select(F.col("id").alias("path"), split.alias("by_line"))
+    return clones_of_files(words.select("path", F.flatten("by_line").alias("tokens"), lines.alias("lines")), 50, 1)
 
 
 def _line_clones(spark, sf_dir):

@@ -16,7 +16,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import history as H
 from graphloom.operators import resolve as R
 from graphloom.operators import text as X
-from graphloom.operators.clones import Spans, clone_classes, pieces
+from graphloom.operators.clones import Spans, clone_classes, clones_of_files, pieces
 from graphloom.operators.context import bundle, declarations
 from graphloom.operators.seams import seam
 from graphloom.operators.small_graphs import minimum_cut
@@ -540,6 +540,17 @@ def test_clones_with_a_header_in_every_file(spark):
     assert {tuple(r) for r in got.collect()} == naive_clones(files, lines, 6, 2)
 
 
+def test_clones_of_repeated_paths(spark):
+    """Rows that repeat a path whole change nothing; rows that share a path but not a text still come to an end."""
+    a = [f"t{i}" for i in range(20)]
+    rows = [("p", a, list(range(20))), ("p", a, list(range(20))), ("q", a[4:], list(range(16))), (None, a, list(range(20)))]
+    docs = spark.createDataFrame(rows, "path string, tokens array<string>, lines array<long>")
+    got = {tuple(r) for r in clones_of_files(docs, 8, 2).select("path", "start").collect()}
+    assert {p for p, _ in got} <= {"p", "q"}
+    mixed = docs.unionByName(spark.createDataFrame([("q", a[:9] * 2, list(range(18)))], docs.schema))
+    assert clones_of_files(mixed, 8, 2).count() >= 0
+
+
 def test_spans_and_pieces():
     r = random.Random(3)
     for _ in range(50):
