@@ -137,17 +137,19 @@ def grown(places: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences by file, first the taken ones, then by falling precedence: those that overlap no taken one, and whether one of
-    higher precedence overlaps them."""
-    here, taken, higher = None, Spans(), Spans()
+    higher precedence overlaps them. Rows that repeat one, as a repeated path makes them, count once."""
+    here, last, taken, higher = None, None, Spans(), Spans()
     for batch in batches:
         free, blocked = [], []
-        for path, start, length, is_taken in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length", "taken")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length", "taken", *_CLASS)), strict=True):
+            path, start, length, is_taken = row[:4]
             if path != here:
                 here, taken, higher = path, Spans(), Spans()
             end = start + length
             if is_taken:
                 taken.add(start, end)
-            alive = not is_taken and not taken.meets(start, end)
+            alive = not is_taken and row != last and not taken.meets(start, end)
+            last = row
             free.append(alive)
             if alive:
                 blocked.append(higher.meets(start, end))
@@ -165,7 +167,7 @@ def chosen(occurrences: DataFrame) -> DataFrame:
     first of all always, and usually most. A task walks one file's occurrences in order and holds their union.
     """
     schema = T.StructType([*(f for f in occurrences.schema.fields), T.StructField("blocked", T.BooleanType())])
-    order = ["path", F.desc("taken"), F.desc("length"), F.desc("n"), "path0", "start0"]
+    order = ["path", F.desc("taken"), F.desc("length"), F.desc("n"), "path0", "start0", "start"]
     live = checkpointed(occurrences.withColumn("taken", F.lit(False)))
     parts, made = [live.where("taken")], [live]
     while True:
