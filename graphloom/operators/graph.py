@@ -55,28 +55,64 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """``(node, component)``, the least node joined with each node, edges taken as undirected.
 
-    Alternates taking the least neighbour and jumping to that label's own label. Null ends are ignored, a node without edges is
-    its own component; nothing gives no rows.
+    Every node points to its least neighbour. Ways of such pointers end in two nodes that are each other's least neighbour, the
+    lesser of which is the least of all that lead there; pointers that double find it, all nodes of a way become that one,
+    and the edges between different ones are left. That halves the nodes with edges at least, so rounds are the logarithm of
+    their number whatever the graph's shape. When ``small`` rows are left (SMALL, 0: never), one task ends it. Null ends are
+    ignored, a node without edges is its own component; nothing gives no rows.
     """
+    small = SMALL if small is None else small
     edges, nodes, size = _table(edges, nodes)
-    if size <= SMALL:
+    if size <= small:
         return checkpointed(in_task.in_one_task(edges, nodes, in_task.components, "node NODE, component NODE"))
-    both = checkpointed(symmetric(edges))
-    label = held = checkpointed(_all_nodes(edges, nodes).select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))
-        low = label.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("l"), F.col("component").alias("was"))
-        jump = low.select(F.col("node").alias("l"), F.col("l").alias("l2"))
-        new, moved = counted(low.join(jump, "l", "left").select("node", F.least("l", F.coalesce("l2", "l")).alias("component"), "was"), F.col("component") != F.col("was"))
-        release(held)
-        label, held = new.select("node", "component"), new
-        if not moved:
-            release(both)
-            return label
-    raise RuntimeError("components did not settle")
+    everyone = checkpointed(_all_nodes(edges, nodes))
+    live, left = counted(symmetric(edges.where("src <> dst")))
+    merged = []
+    while left:
+        if left <= small:
+            merged.append(checkpointed(in_task.in_one_task(live, None, in_task.components, "node NODE, component NODE")))
+            release(live)
+            break
+        least = checkpointed(live.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")))
+        mutual = (F.col("back") == F.col("node")) & (F.col("node") < F.col("to"))
+        step = least.join(least.select(F.col("node").alias("to"), F.col("to").alias("back")), "to").select("node", F.when(mutual, F.col("node")).otherwise(F.col("to")).alias("component"))
+        roots = _rooted(step)
+        release(least)
+        merged.append(roots)
+        side = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))  # noqa: B023, E731
+        before = live
+        live, left = counted(live.join(side("src"), "src").join(side("dst"), "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+        release(before)
+    known = everyone.select("node", F.col("node").alias("component"))
+    if merged:
+        found = merged[-1]
+        for roots in reversed(merged[:-1]):
+            after = found.select(F.col("node").alias("component"), F.col("component").alias("_c"))
+            old, found = (roots, found), checkpointed(roots.join(after, "component", "left").select("node", F.coalesce("_c", "component").alias("component")))
+            release(*old)
+        known = everyone.join(found.withColumnRenamed("component", "_c"), "node", "left").select("node", F.coalesce("_c", "node").alias("component"))
+    return checkpointed(known)
+
+
+def _rooted(step: DataFrame) -> DataFrame:
+    """``(node, component)`` with ``component``, at first the next node, carried to the end of the way, which points to itself; pointers double."""
+    at, moved = counted(step, F.col("component") != F.col("node"))
+    while moved:
+        ahead = at.select(F.col("node").alias("component"), F.col("component").alias("c2"))
+        old, (at, moved) = at, counted(at.join(ahead, "component").select("node", F.col("c2").alias("component"), (F.col("c2") != F.col("component")).alias("_moved")), F.col("_moved"))
+        release(old)
+        at = _kept(at, "_moved")
+    return at
+
+
+def _kept(table: DataFrame, *dropped: str) -> DataFrame:
+    """The table without columns, still known as one that ``release`` may delete."""
+    out = table.drop(*dropped)
+    out._table = table._table
+    return out
 
 
 def scc(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = None) -> DataFrame:

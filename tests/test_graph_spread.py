@@ -67,3 +67,22 @@ def test_reach_by_words_equals_floods(spark, tables):
     some = rng.sample(nodes, 1500) + [4, 5, 9, 400, 401, 4000]
     assert {x: got[x] for x in some} == {x: (len(in_task._flood([x], ahead, set())), len(in_task._flood([x], back, set()))) for x in some}
     assert sum(o for o, _ in got.values()) == sum(i for _, i in got.values()) and len(got) == len(nodes)
+
+
+def test_components_of_long_shuffled_paths_settle(spark, tables, monkeypatch):
+    """Paths whose numbers are in no order, a star, a ring: rounds follow the number of nodes, not the paths' length."""
+    monkeypatch.setattr(G, "SMALL", 0)
+    rng = random.Random(4)
+    names = rng.sample(range(1_000_000), 6000)
+    pairs = set(zip(names[:3999], names[1:4000], strict=True)) | {(names[4000], x) for x in names[4001:5000]} | {(names[5000 + i], names[5000 + (i + 1) % 900]) for i in range(900)}
+    pairs |= {(names[5950], names[5950]), (names[5951], names[5952]), (names[5952], names[5951])}
+    got = G.connected_components(_edges(spark, pairs), spark.createDataFrame([(x,) for x in names], "node long")).collect()
+    assert len(got) == len(names) and dict(got) == dict(in_task.components(sorted(pairs), sorted(names)))
+    assert len(tables) < 80
+
+
+def test_components_of_nothing_and_of_lone_nodes(spark, monkeypatch):
+    monkeypatch.setattr(G, "SMALL", 0)
+    none = spark.createDataFrame([], "src long, dst long")
+    assert G.connected_components(none).count() == 0
+    assert G.connected_components(spark.createDataFrame([(3, 3), (4, None)], "src long, dst long"), spark.createDataFrame([(1,), (None,)], "node long")).orderBy("node").collect() == [(1, 1), (3, 3)]
