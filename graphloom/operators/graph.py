@@ -348,15 +348,18 @@ def martin(edges: DataFrame, nodes: DataFrame, types: DataFrame | None = None) -
 def reach_counts(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> DataFrame:
     """``(node, component, fan_out, fan_in)``, how many nodes each reaches and is reached by, itself included.
 
-    From the condensation: a small one's closure is taken in one task; of a larger one the components are numbered by level, and
+    From the condensation: a small one's closure is taken in one task. Of a larger one, trees that hang on the rest are taken off
+    by pointers that double, the logarithm of their height (``_fans``); in what is left the components are numbered by level, and
     what each reaches is passed up from its successors, level by level, as words of 64 components, of which a row holds one that
-    isn't empty. No pair of nodes is ever a row. A round is a level: deep graphs have many. Null ends are ignored.
+    isn't empty. No pair of nodes is ever a row. There a round is a level: deep graphs that are no trees have many. Null ends are
+    ignored.
     """
     comp = scc(edges, nodes, small)
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
     dag, left = counted(condense(edges, comp))
     if left > (SMALL_CLOSURE if small is None else small):
-        return comp.join(_fans_by_words(dag, checkpointed(size.withColumnRenamed("component", "node")), small).withColumnRenamed("node", "component"), "component").select("node", "component", "fan_out", "fan_in")
+        weights = checkpointed(size.select(F.col("component").alias("node"), F.col("n").alias("n_out"), F.col("n").alias("n_in")))
+        return comp.join(_fans(dag, left, weights, small).withColumnRenamed("node", "component"), "component").select("node", "component", "fan_out", "fan_in")
     pairs = closure(dag)
     pairs = pairs.union(size.select("component", F.col("component").alias("dst")))
     out = pairs.join(size.select(F.col("component").alias("dst"), "n"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("n").alias("fan_out"))
@@ -364,6 +367,56 @@ def reach_counts(edges: DataFrame, nodes: DataFrame, small: int | None = None) -
     return comp.join(out, "component").join(into, "component").select("node", "component", "fan_out", "fan_in")
 
 
+def _fans(dag: DataFrame, left: int, size: DataFrame, small: int | None, idle: int = 0) -> DataFrame:
+    """``(node, fan_out, fan_in)`` of an acyclic graph of ``left`` edges, whose nodes ``size(node, n_out, n_in)`` count for those that
+    reach them, and that they reach. Trees are taken off towards their roots, then those away from them, by turns, until two turns
+    running take less than a tenth of the edges."""
+    if not left:
+        return size.select("node", F.col("n_out").alias("fan_out"), F.col("n_in").alias("fan_in"))
+    if idle == 2:
+        return _fans_by_words(dag, size, small)
+    trees, dag, now, size = _without_trees(dag, size)
+    turned = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst")), size.select("node", F.col("n_in").alias("n_out"), F.col("n_out").alias("n_in"))
+    rest = _fans(turned[0], now, turned[1], small, 0 if (left - now) * 10 >= left else idle + 1)
+    rest = checkpointed(rest.select("node", F.col("fan_in").alias("fan_out"), F.col("fan_out").alias("fan_in")))
+    ended = trees.where("not forked").select("node", F.col("path").alias("fan_out"), F.col("below").alias("fan_in"))
+    forked = trees.where("forked").join(rest.select(F.col("node").alias("to"), "fan_out"), "to").select("node", (F.col("path") + F.col("fan_out")).alias("fan_out"), F.col("below").alias("fan_in"))
+    return checkpointed(ended.union(forked).union(rest))
+
+
+def _without_trees(dag: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """Nodes that neither have several successors nor are reached by one that has: ``(node, to, path, below, forked)``; what is left
+    of the graph, its number of edges, and its nodes.
+
+    Each such node reaches what its only successor does, and those that reach it are the tree above it. Pointers along only
+    successors double until they end at a node of none, or of several (``forked``); ``path`` is the sum of ``n_out`` up to there, the last
+    one's included unless it is forked, and ``below`` that of ``n_in`` over the nodes that point here within as many steps. What a tree
+    brings is added to ``n_in`` of the node that it hangs on.
+    """
+    single = dag.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"), F.min("dst").alias("next"))
+    forks = checkpointed(single.where("k > 1").select("node"))
+    marked = dag.join(forks.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).union(forks).distinct().withColumn("_held", F.lit(True))
+    one, many = F.coalesce(F.col("k") == 1, F.lit(False)), F.coalesce(F.col("k") > 1, F.lit(False))
+    start = size.join(single, "node", "left").join(marked, "node", "left").select(
+        "node", F.when(one, F.col("next")).otherwise(F.col("node")).alias("to"), F.when(many, F.lit(0)).otherwise(F.col("n_out")).alias("path"), F.col("n_in").alias("below"), F.coalesce("_held", F.lit(False)).alias("held"), many.alias("forked"), one.alias("open")
+    )
+    at, left = counted(start, F.col("open"))
+    while left:
+        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("path").alias("path2"), F.col("forked").alias("forked2"), F.col("open").alias("open2"))
+        on = at.where("open").join(ahead, "to").select("node", F.col("to2").alias("to"), (F.col("path") + F.col("path2")).alias("path"), "below", "held", F.col("forked2").alias("forked"), F.col("open2").alias("open"))
+        come = at.where("open").groupBy(F.col("to").alias("node")).agg(F.sum("below").alias("_b"), F.bool_or("held").alias("_h"))
+        step = on.union(at.where("not open")).join(come, "node", "left").select("node", "to", "path", (F.col("below") + F.coalesce("_b", F.lit(0))).alias("below"), (F.col("held") | F.coalesce("_h", F.lit(False))).alias("held"), "forked", "open")
+        old, (at, left) = at, counted(step, F.col("open"))
+        release(old)
+    trees = at.where("not held")
+    core = at.where("held").select("node")
+    rest, now = counted(dag.join(core.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+    hung = dag.join(trees.select(F.col("node").alias("src"), "below"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("below").alias("_b"))
+    kept = checkpointed(size.join(core, "node", "left_semi").join(hung, "node", "left").select("node", "n_out", (F.col("n_in") + F.coalesce("_b", F.lit(0))).alias("n_in")))
+    release(forks)
+    return trees, rest, now, kept
+
+
 def _numbered(nodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """``nodes`` with ``idx`` from 0 on in their order; one number a partition reaches the driver."""
     dealt = checkpointed(nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
@@ -378,8 +431,8 @@ def _numbered(nodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 
 def _fans_by_words(dag: DataFrame, size: DataFrame, small: int | None) -> DataFrame:
-    """``(node, fan_out, fan_in)`` of an acyclic graph whose nodes count ``n`` each in ``size(node, n)``."""
-    placed = _numbered(size.join(levels(dag, size.select("node"), small=small), "node").select("level", "node", "n"), ("level", "node"))
+    """``_fans``, level by level."""
+    placed = _numbered(size.join(levels(dag, size.select("node"), small=small), "node").select("level", "node", "n_out", "n_in"), ("level", "node"))
     end = lambda c, i, lv: placed.select(F.col("node").alias(c), F.col("idx").alias(i), F.col("level").alias(lv))
     e = checkpointed(dag.join(end("src", "s", "ls"), "src").join(end("dst", "d", "ld"), "dst").select("s", "ls", "d", "ld"))
     lowest = {r.ls: r.ld for r in e.groupBy("ls").agg(F.min("ld").alias("ld")).collect()}  # a row for each level
@@ -394,12 +447,13 @@ def _fans_by_words(dag: DataFrame, size: DataFrame, small: int | None) -> DataFr
     every = words[0]
     for more in words[1:]:
         every = every.union(more)
-    # a component counts once in its word's bits; what it has beyond one node is added from the few that have
-    large = placed.where("n > 1").select(F.shiftright("idx", 6).alias("block"), F.expr("shiftleft(1L, cast(idx & 63 AS int))").alias("bit"), (F.col("n") - 1).alias("more"))
-    beyond = every.join(large, "block").where(F.col("word").bitwiseAND(F.col("bit")) != 0).groupBy("s").agg(F.sum("more").alias("more"))
+    # a component counts once in its word's bits; what it has beyond one node is added from those that have
+    large = placed.where("n_out > 1").groupBy(F.shiftright("idx", 6).alias("block")).agg(F.collect_list(F.struct(F.expr("shiftleft(1L, cast(idx & 63 AS int))").alias("bit"), (F.col("n_out") - 1).alias("more"))).alias("large"))
+    more = F.aggregate("large", F.lit(0).cast("long"), lambda sum_, x: sum_ + F.when(F.col("word").bitwiseAND(x["bit"]) != 0, x["more"]).otherwise(F.lit(0)))
+    beyond = every.join(large, "block").groupBy("s").agg(F.sum(more).alias("more"))
     out = every.groupBy("s").agg(F.sum(F.bit_count("word")).alias("k")).join(beyond, "s", "left").select(F.col("s").alias("idx"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("fan_out"))
-    weighed = every.join(placed.select(F.col("idx").alias("s"), "n"), "s")
-    bits = [F.sum(F.when(F.col("word").bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63))) != 0, F.col("n"))).alias(f"_{i}") for i in range(64)]
+    weighed = every.join(placed.select(F.col("idx").alias("s"), "n_in"), "s")
+    bits = [F.sum(F.when(F.col("word").bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63))) != 0, F.col("n_in"))).alias(f"_{i}") for i in range(64)]
     columns = weighed.groupBy("block").agg(*bits).select("block", F.posexplode(F.array(*(f"_{i}" for i in range(64)))).alias("i", "fan_in"))
     into = columns.where("fan_in is not null").select((F.col("block") * 64 + F.col("i")).alias("idx"), "fan_in")
     return placed.select("node", "idx").join(out, "idx").join(into, "idx").select("node", "fan_out", "fan_in")
