@@ -86,3 +86,17 @@ def test_components_of_nothing_and_of_lone_nodes(spark, monkeypatch):
     none = spark.createDataFrame([], "src long, dst long")
     assert G.connected_components(none).count() == 0
     assert G.connected_components(spark.createDataFrame([(3, 3), (4, None)], "src long, dst long"), spark.createDataFrame([(1,), (None,)], "node long")).orderBy("node").collect() == [(1, 1), (3, 3)]
+
+
+def test_reach_of_deep_trees_costs_their_logarithm(spark, tables):
+    """A path of 1,500 with twigs into rings, trees into and out of a middle whose nodes have several successors."""
+    rng = random.Random(5)
+    pairs = {(i, i + 1) for i in range(1500)} | {(2000 + i, rng.randrange(1500)) for i in range(500)} | {(1500, 3000), (3000, 3001), (3001, 3002), (3002, 3000)}
+    pairs |= {(4000 + i, 4000 + rng.randrange(i)) for i in range(1, 300)} | {(5000 + rng.randrange(i), 5000 + i) for i in range(1, 300)}
+    pairs |= {(6000 + i, 6000 + j) for i in range(30) for j in rng.sample(range(i), min(i, 2))} | {(4000, 6029), (4007, 6020), (6000, 5000), (6001, 5000), (6003, 5002)}
+    pairs |= {(7000, 6011), (7001, 7000), (5299, 7010), (7010, 7011), (7011, 7010)}
+    nodes = sorted({x for p in pairs for x in p} | {9999})
+    got = {r.node: (r.fan_out, r.fan_in) for r in G.reach_counts(_edges(spark, pairs), spark.createDataFrame([(x,) for x in nodes], "node long"), small=0).collect()}
+    ahead, back = in_task._out(list(pairs)), in_task._out([(b, a) for a, b in pairs])
+    assert got == {x: (len(in_task._flood([x], ahead, set())), len(in_task._flood([x], back, set()))) for x in nodes}
+    assert len(tables) < 200
