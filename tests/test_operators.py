@@ -279,6 +279,24 @@ def test_bm25_of_equal_documents_is_equal(spark, tmp_path):
     assert len({r.score for r in got}) == 1 and [r.id for r in got] == sorted(range(300), key=str)
 
 
+@pytest.mark.parametrize("chunk", [1 << 19, 40])
+def test_repeated_windows_equal_naive_counts(spark, monkeypatch, chunk):
+    """Few different words, a header in every file, repeated and null paths; small chunks tear the windows of one key apart."""
+    monkeypatch.setattr(X, "CHUNK", chunk)
+    rng, k = random.Random(7), 6
+    header = [f"h{i}" for i in range(9)]
+    files = [(f"f{i % 57:02}", (header if i % 2 else []) + [rng.choice("ab") if i % 3 else f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 60))]) for i in range(60)]
+    files += [("z", ["q"] * 80), ("y", ["q"] * 30), ("x", None)]
+    places: dict = {}
+    for path, words in files:
+        for i in range(len(words or []) - k + 1):
+            places.setdefault(tuple(words[i : i + k]), []).append((path, i))
+    want = sorted((*min(v), len(v), len({p for p, _ in v})) for v in places.values() if len(v) > 1)
+    got = X.repeated_windows(frame(spark, files, "path string, tokens array<string>").repartition(3), k)
+    assert sorted(tuple(r) for r in got.select("path", "pos", "places", "paths").collect()) == want
+    assert X.repeated_windows(frame(spark, files[:0], "path string, tokens array<string>"), k).count() == 0
+
+
 def naive_clones(files, lines, k, min_lines):
     """Token by token, over plain lists."""
     names = sorted(files)
