@@ -14,6 +14,8 @@ from . import in_task
 
 #: Edges and nodes up to which a graph is taken to one task (for closures, whose result is a square, fewer).
 SMALL, SMALL_CLOSURE = 200_000, 2_000
+#: Edges for each node of several edges out from which on pointers along only edges double before nodes are trimmed.
+FEW_FORKS = 100
 
 
 def _all_nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
@@ -118,21 +120,30 @@ def _kept(table: DataFrame, *dropped: str) -> DataFrame:
 def scc(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """G1: ``(node, component)``, the least node of each strongly connected component.
 
-    Until no edge is left: nodes that nothing enters, or that enter nothing, are trimmed as long as that takes a tenth of the
-    edges; ways through nodes of one edge in and one out become one edge each, by pointers that double; then every node is a
-    pivot with a hashed rank, and the best rank that reaches a node spreads forward, the best that it reaches spreads back, at
-    once. Where both are one pivot's, the node is in its component; edges between nodes of different ranks join no component
-    and go. So rows a round are those of the edges, and a long way costs the logarithm of its length. When ``small`` rows are
-    left (SMALL, 0: never), one task ends it. Null ends are ignored; nothing gives no rows.
+    Until no edge is left: where few nodes have several edges out, trees that hang on the rest and rings that nothing leaves are
+    taken off by pointers that double (``_untied``), all of the graph if there are none; nodes that nothing enters, or that enter
+    nothing, are trimmed as long as that takes a tenth of the edges; ways through nodes of one edge in and one out become one
+    edge each, by such pointers too; then every node is a pivot with a hashed rank, and the best rank that reaches a node spreads
+    forward, the best that it reaches spreads back, at once. Where both are one pivot's, the node is in its component; edges between nodes of different ranks join no component and go. So rows a round are those of
+    the edges, and a long way costs the logarithm of its length. When ``small`` rows are left (SMALL, 0: never), one task ends
+    it. Null ends are ignored; nothing gives no rows.
     """
-    small = SMALL if small is None else small
-    edges, nodes, size = _table(edges, nodes)
+    return _scc(*_table(edges, nodes), SMALL if small is None else small)
+
+
+def _scc(edges: DataFrame, nodes: DataFrame | None, size: int, small: int) -> DataFrame:
+    """``scc`` of what ``_table`` gives."""
     if size <= small:
         return checkpointed(in_task.in_one_task(edges, nodes, in_task.scc, "node NODE, component NODE"))
     everyone = checkpointed(_all_nodes(edges, nodes))
     live, left = counted(edges.where("src <> dst"))
     labelled, ways, turn = [], [], 0
     while left:
+        single, several = counted(live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"), F.min("dst").alias("to")), F.col("k") > 1)
+        if several * FEW_FORKS <= left:
+            live, left, rings = _untied(live, single, several)
+            labelled.append(rings)
+        release(single)
         taken = left
         while left and taken * 10 >= left + taken:
             before = live
@@ -171,6 +182,38 @@ def scc(edges: DataFrame, nodes: DataFrame | None = None, small: int | None = No
     return checkpointed(known.join(least, "label").select("node", "component"))
 
 
+def _untied(live: DataFrame, single: DataFrame, several: int) -> tuple[DataFrame, int, DataFrame]:
+    """Edges, and their number, between nodes that may be in a component still: forks, which are nodes of several edges out, and nodes
+    between them; ``(node, label)``, the nodes of rings that nothing leaves. ``single(node, k, to)`` has the number of edges out of
+    each node and the least one's end, ``several`` is the number of forks.
+
+    Pointers along only edges double. What ends at a node without edges, or at a fork but isn't reached from one (``held``), is in
+    no ring, nor is a tree that hangs on a ring whose nodes have one edge each. Of the nodes of such pointers that never end, those
+    of the ring alone are still pointed at when none falls out any more (``hit``), and ``low`` is the least of as many nodes ahead.
+    """
+    forked = live.join(single.where("k > 1").select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().withColumn("_held", F.lit(True))
+    start = single.where("k = 1")
+    start = start.join(forked, "node", "left") if several else start.withColumn("_held", F.lit(None).cast("boolean"))
+    at, moved = counted(start.select("node", "to", F.col("node").alias("low"), F.coalesce("_held", F.lit(False)).alias("held"), F.lit(True).alias("hit"), F.lit(False).alias("done")))
+    while moved:
+        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        come = at.where("not done").groupBy(F.col("to").alias("node")).agg(F.bool_or("held").alias("_held"))
+        low, hit, done = F.least("low", "low2"), F.col("_held").isNotNull(), F.col("done") | F.coalesce("done2", F.lit(True))  # nulls are left out
+        moves = (done != F.col("done")) | (hit != F.col("hit")) | (hit & (low != F.col("low")))
+        step = at.join(ahead, "to", "left").join(come, "node", "left").select("node", F.coalesce("to2", "to").alias("to"), low.alias("low"), (F.col("held") | F.coalesce("_held", F.lit(False))).alias("held"), hit.alias("hit"), done.alias("done"), moves.alias("_moved"))
+        old, (at, moved) = at, counted(step, F.col("_moved"))
+        release(old)
+        at = _kept(at, "_moved")
+    rings = at.where("hit and not done").select("node", F.col("low").alias("label"))
+    if not several:
+        return live, 0, rings
+    forks = single.where("k > 1").select("node")
+    stay = checkpointed(at.where("done and held").join(forks.withColumnRenamed("node", "to"), "to", "left_semi").select("node").union(forks))
+    rest, left = counted(live.join(stay.withColumnRenamed("node", "src"), "src", "left_semi").join(stay.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    release(live, stay)
+    return rest, left, rings
+
+
 def _shortened(live: DataFrame) -> tuple[DataFrame, int, DataFrame, DataFrame]:
     """Edges, and their number, without nodes of one edge in and one out; ``(node, u, w)``: these with the ends of their way;
     ``(node, label)``: those of rings that have no other nodes. Edges from an end to itself are left out."""
@@ -354,7 +397,8 @@ def reach_counts(edges: DataFrame, nodes: DataFrame, small: int | None = None) -
     isn't empty. No pair of nodes is ever a row. There a round is a level: deep graphs that are no trees have many. Null ends are
     ignored.
     """
-    comp = scc(edges, nodes, small)
+    edges, nodes, size = _table(edges, nodes)
+    comp = _scc(edges, nodes, size, SMALL if small is None else small)
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
     dag, left = counted(condense(edges, comp))
     if left > (SMALL_CLOSURE if small is None else small):
@@ -376,6 +420,8 @@ def _fans(dag: DataFrame, left: int, size: DataFrame, small: int | None, idle: i
     if idle == 2:
         return _fans_by_words(dag, size, small)
     trees, dag, now, size = _without_trees(dag, size)
+    if size is None:
+        return trees.select("node", F.col("path").alias("fan_out"), F.col("below").alias("fan_in"))
     turned = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst")), size.select("node", F.col("n_in").alias("n_out"), F.col("n_out").alias("n_in"))
     rest = _fans(turned[0], now, turned[1], small, 0 if (left - now) * 10 >= left else idle + 1)
     rest = checkpointed(rest.select("node", F.col("fan_in").alias("fan_out"), F.col("fan_out").alias("fan_in")))
@@ -386,7 +432,7 @@ def _fans(dag: DataFrame, left: int, size: DataFrame, small: int | None, idle: i
 
 def _without_trees(dag: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     """Nodes that neither have several successors nor are reached by one that has: ``(node, to, path, below, forked)``; what is left
-    of the graph, its number of edges, and its nodes.
+    of the graph, its number of edges, and its nodes (None if there are none).
 
     Each such node reaches what its only successor does, and those that reach it are the tree above it. Pointers along only
     successors double until they end at a node of none, or of several (``forked``); ``path`` is the sum of ``n_out`` up to there, the last
@@ -394,7 +440,7 @@ def _without_trees(dag: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFram
     brings is added to ``n_in`` of the node that it hangs on.
     """
     single = dag.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"), F.min("dst").alias("next"))
-    forks = checkpointed(single.where("k > 1").select("node"))
+    forks, several = counted(single.where("k > 1").select("node"))
     marked = dag.join(forks.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).union(forks).distinct().withColumn("_held", F.lit(True))
     one, many = F.coalesce(F.col("k") == 1, F.lit(False)), F.coalesce(F.col("k") > 1, F.lit(False))
     start = size.join(single, "node", "left").join(marked, "node", "left").select(
@@ -408,6 +454,9 @@ def _without_trees(dag: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFram
         step = on.union(at.where("not open")).join(come, "node", "left").select("node", "to", "path", (F.col("below") + F.coalesce("_b", F.lit(0))).alias("below"), (F.col("held") | F.coalesce("_h", F.lit(False))).alias("held"), "forked", "open")
         old, (at, left) = at, counted(step, F.col("open"))
         release(old)
+    if not several:
+        release(forks)
+        return at, dag, 0, None
     trees = at.where("not held")
     core = at.where("held").select("node")
     rest, now = counted(dag.join(core.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))

@@ -100,3 +100,26 @@ def test_reach_of_deep_trees_costs_their_logarithm(spark, tables):
     ahead, back = in_task._out(list(pairs)), in_task._out([(b, a) for a, b in pairs])
     assert got == {x: (len(in_task._flood([x], ahead, set())), len(in_task._flood([x], back, set()))) for x in nodes}
     assert len(tables) < 200
+
+
+def test_reach_where_every_node_has_one_edge(spark, tables):
+    """A random function: tails of some dozen nodes lead to rings, a path of 300 to one of 40; some nodes end. Trees and rings take a pass each."""
+    rng = random.Random(6)
+    pairs = {(i, rng.randrange(3000)) for i in range(3000) if rng.random() < 0.999} | {(4000 + i, 4001 + i) for i in range(340)} | {(4340, 4301), (5000, 5001), (5001, 5000), (5002, 5002), (5003, 5002)}
+    nodes = sorted({x for p in pairs for x in p} | {9999})
+    frame = spark.createDataFrame([(x,) for x in nodes], "node long")
+    got = {r.node: (r.component, r.fan_out, r.fan_in) for r in G.reach_counts(_edges(spark, pairs), frame, small=0).collect()}
+    ahead, back = in_task._out(list(pairs)), in_task._out([(b, a) for a, b in pairs])
+    comp = dict(in_task.scc(sorted(pairs), nodes))
+    assert got == {x: (comp[x], len(in_task._flood([x], ahead, set())), len(in_task._flood([x], back, set()))) for x in nodes}
+    assert len(tables) < 40
+
+
+def test_components_between_trees_and_forks(spark, monkeypatch):
+    """Random graphs with some forks, so that rings run through trees that hang on them; against the depth-first form."""
+    monkeypatch.setattr(G, "FEW_FORKS", 0)
+    for seed in range(3):
+        rng = random.Random(seed)
+        pairs = {(i, rng.randrange(120)) for i in range(120)} | {(rng.randrange(120), rng.randrange(120)) for _ in range(8 * seed)}
+        pairs |= {(b + 200, a + 200) for a, b in pairs} | {(7, 207), (230, 311)}
+        assert dict(G.scc(_edges(spark, pairs), small=0).collect()) == dict(in_task.scc(sorted(pairs), sorted({x for p in pairs for x in p})))
