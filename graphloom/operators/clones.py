@@ -8,18 +8,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import checkpointed, counted, release
-from .text import windows
+from .text import CHUNK, _groups, _least_of, _mixed, _rolled
 
 #: Pieces of the text beside a place that one round of growth compares.
 PIECES = 32
 #: Longest piece, so that no round asks for more than ``PIECES`` times as many tokens at a time.
 LONGEST = 1 << 17
-#: Bits of the broadcast bitmap of half hashes (8 MB as rows).
+#: Bits of the broadcast bitmap of hashes (8 MB as rows).
 SLOTS = 1 << 25
 _CLASS = ["path0", "start0", "length"]
 
@@ -105,31 +106,33 @@ def common_lengths(tokens: DataFrame, places: DataFrame, k: int) -> DataFrame:
 def grown(places: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     """The classes that repeated windows grow to: (path0, start0, length, n, hi, lo, shift), each once.
 
-    ``places(hi, lo, n, path, pos)`` are all ``n`` places of each window, two at least. A class grows to the left, then to the right,
+    ``places(hi, lo, n, path, pos, length)`` are all ``n`` places, two at least, of each window and of those that all stand beside it up to
+    ``length``. A class grows to the left, then to the right,
     while all its places agree, up to the smallest gap between two places in one file; a window with a gap below ``k`` doesn't
-    grow and goes. Places start ``shift`` tokens before the window's; the least is (path0, start0). As a class's places are all
+    grow and goes. Places start ``shift`` tokens before the row's; the least is (path0, start0). As a class's places are all
     those of its text, least place and length tell classes apart. Windows that all stand a token after those of another one
     with as many places share its growth, so that only the first of such a run is compared.
     """
     by_file = Window.partitionBy("path").orderBy("pos")
-    before = F.lag(F.struct("hi", "lo", "n", "pos")).over(by_file)
-    near = places.withColumn("before", before).withColumn("before", F.when((F.col("before.pos") == F.col("pos") - 1) & (F.col("before.n") == F.col("n")), F.col("before")))
+    before = F.lag(F.struct("hi", "lo", "n", "pos", "length")).over(by_file)
+    near = places.withColumn("before", before).withColumn("before", F.when((F.col("before.pos") + F.col("before.length") == F.col("pos")) & (F.col("before.n") == F.col("n")), F.col("before")))
     near = near.withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("path", "hi", "lo").orderBy("pos")))
     one = lambda c: F.min(f"before.{c}") == F.max(f"before.{c}")
-    classes = near.groupBy("hi", "lo", "n").agg(F.min("gap").alias("room"), F.min(F.struct("path", "pos")).alias("at"), F.coalesce((F.count("before") == F.col("n")) & one("hi") & one("lo"), F.lit(False)).alias("follows"))
+    classes = near.groupBy("hi", "lo", "n").agg(F.min("gap").alias("room"), F.min("length").alias("side"), F.min(F.struct("path", "pos")).alias("at"), F.coalesce((F.count("before") == F.col("n")) & one("hi") & one("lo"), F.lit(False)).alias("follows"))
     run = F.last(F.when(~F.col("follows"), F.struct("hi", "lo", "pos")), ignorenulls=True).over(Window.partitionBy("path0").orderBy("pos"))
-    flat = classes.where(F.col("room").isNull() | (F.col("room") >= k)).select("hi", "lo", "n", "room", "follows", F.col("at.path").alias("path0"), F.col("at.pos").alias("pos"))
+    flat = classes.where(F.col("room").isNull() | (F.col("room") >= k)).select("hi", "lo", "n", "room", "side", "follows", F.col("at.path").alias("path0"), F.col("at.pos").alias("pos"))
     # a run without gaps in a file grows to one class, which its first window stands for
     flat = checkpointed(flat.withColumn("first", run).where(~F.col("follows") | F.col("room").isNotNull()))
     firsts = places.join(flat.where(~F.col("follows")).select("hi", "lo"), ["hi", "lo"], "left_semi")
     firsts = checkpointed(firsts)
     reach = common_lengths(tokens, firsts, k)
     on = reach.select(F.struct(F.col("hi"), F.col("lo")).alias("key"), "back", "ahead")
-    ways = flat.withColumn("key", F.struct(F.col("first.hi").alias("hi"), F.col("first.lo").alias("lo"))).join(on, "key")
+    beside = F.sequence(F.lit(0).cast("long"), F.when(F.col("room").isNull(), 0).otherwise(F.col("side") - 1).cast("long"))
+    ways = flat.withColumn("j", F.explode(beside)).withColumn("pos", F.col("pos") + F.col("j")).withColumn("key", F.struct(F.col("first.hi").alias("hi"), F.col("first.lo").alias("lo"))).join(on, "key")
     after = F.col("pos") - F.col("first.pos")
     room = F.coalesce(F.col("room").cast("long"), F.lit(1 << 40)) - k
     ways = ways.withColumn("shift", F.least(F.col("back") + after, room)).withColumn("length", k + F.col("shift") + F.least(F.col("ahead") - after, room - F.col("shift")))
-    best = F.min(F.struct("hi", "lo", "n", "shift"))
+    best = F.min(F.struct("hi", "lo", "n", (F.col("shift") - F.col("j")).alias("shift")))
     out = checkpointed(ways.groupBy("path0", (F.col("pos") - F.col("shift")).alias("start0"), "length").agg(best.alias("w")).select(*_CLASS, "w.n", "w.hi", "w.lo", "w.shift"))
     release(flat, firsts, reach)
     return out
@@ -191,21 +194,140 @@ def chosen(occurrences: DataFrame) -> DataFrame:
     return out.join(label, _CLASS).withColumn("class", F.concat(F.col("_at.path").cast("string"), F.lit(":"), F.col("_at.start").cast("string"))).drop("_at")
 
 
-def places_of_repeats(docs: DataFrame, k: int) -> DataFrame:
-    """All places of windows that stand in two or more: (hi, lo, n, path, pos), a table.
-
-    A first pass counts half of each window's hash, eight bytes a window, and a bitmap of 8 MB at most says where the second need
-    not look; what that lets through is counted by the whole hash. A fuller bitmap lets more through and changes no result.
+def _anchors(k: int):
+    """Token hashes ``x`` of files to ``hi``, a row for each of their shorter runs of tokens that is the least inside some window. Equal
+    windows have equal ones, at least two of them together."""
+    inner = (k + 1) // 2
+    width = k - inner + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("x"):
+                short = _rolled(x.values.to_numpy().view(np.uint64), inner, 0x9E3779B97F4A7C15)
+                pad = np.full(width - 1, np.iinfo(np.uint64).max)
+                most = ~_least_of(np.concatenate([pad, ~_least_of(short, width), pad]), width)  # of the windows that a run lies in
+                yield pa.RecordBatch.from_arrays([pa.array(short[short == most].view(np.int64))], names=["hi"])
+
+    return run
+
+
+def _window_runs(k: int):
+    """Files ``(path, x, y)`` to ``(path, pos, hi, lo)``, runs of consecutive windows, ``lo`` their hashes, which have the least hash ``hi`` of
+    shorter runs of tokens in common."""
+    inner = (k + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path = batch.column("path")
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in ("x", "y"))
+                hi, lo = _least_of(_rolled(x, inner, 0x9E3779B97F4A7C15), k - inner + 1), _rolled(_mixed(y, x, 3), k, 0xC2B2AE3D27D4EB4F)
+                begin = np.flatnonzero(np.append(True, hi[1:] != hi[:-1]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(lo)).astype(np.int32)), pa.array(lo.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([path.take(pa.array(np.full(len(begin), i))), pa.array(begin.astype(np.int32)), pa.array(hi[begin].view(np.int64)), lists], names=["path", "pos", "hi", "lo"])
+
+    return run
+
+
+def _class_runs(most: int):
+    """Runs in order of ``hi`` to the places of windows that recur, (path, pos, hi, lo, n, length): where all ``n`` places of a window stand a
+    token after those of one other, as many, it is counted in the ``length`` of that one's rows. A ``hi`` of far more than ``most``
+    windows streams through as one row a window, without ``n``."""
+    names = ["path", "pos", "hi", "lo", "n", "length"]
+
+    def flat(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        lists = rows.column("lo").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy()
+        lo, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        return lo, row, rows.column("pos").to_numpy()[row] + np.arange(len(lo)) - np.repeat(np.cumsum(size) - size, size), rows.column("hi").to_numpy()[row]
+
+    def batch_of(rows: pa.Table, row: np.ndarray, pos: np.ndarray, hi: np.ndarray, lo: np.ndarray, n: pa.Array, length: np.ndarray) -> pa.RecordBatch:
+        path = rows.column("path").combine_chunks().take(pa.array(row))
+        return pa.RecordBatch.from_arrays([path, pa.array(pos.astype(np.int64)), pa.array(hi), pa.array(lo), n, pa.array(length.astype(np.int64))], names=names)
+
+    def torn_rows(rows: pa.Table) -> pa.RecordBatch:
+        lo, row, pos, hi = flat(rows)
+        return batch_of(rows, row, pos, hi, lo, pa.nulls(len(lo), pa.int64()), np.ones(len(lo)))
+
+    def whole_rows(rows: pa.Table) -> pa.RecordBatch:
+        lo, row, pos, hi = flat(rows)
+        order = np.lexsort((lo, hi))
+        first = _groups(order, lo, hi)
+        size = np.diff(np.append(first, len(order)))
+        n, own = np.empty(len(lo), dtype=np.int64), np.empty(len(lo), dtype=np.int64)
+        n[order], own[order] = np.repeat(size, size), np.repeat(np.arange(len(first)), size)
+        before = np.full(len(lo), -1)
+        along = (row[1:] == row[:-1]) & (n[1:] == n[:-1])
+        before[1:][along] = own[:-1][along]
+        low, high = np.minimum.reduceat(before[order], first), np.maximum.reduceat(before[order], first)
+        head = ~((low == high) & (low >= 0))[own]
+        some = n >= 2
+        at = np.flatnonzero(head & some)
+        # a run ends where the next one begins, or a window that stands once
+        length = np.diff(np.append(np.flatnonzero(head | ~some), len(lo)))[np.flatnonzero(some[np.flatnonzero(head | ~some)])]
+        return batch_of(rows, row[at], pos[at], hi[at], lo[at], pa.array(n[at]), length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, torn = [], 0, None  # ``torn``: the hi that came in part
+
+        def ready(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            begin = 0 if torn is None else int(np.searchsorted(rows.column("hi").to_numpy(), torn, side="right"))
+            if begin:
+                yield torn_rows(rows.slice(0, begin))
+            if begin < rows.num_rows:
+                yield whole_rows(rows.slice(begin))
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column("lo").flatten())
+            if n < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            his = rows.column("hi").to_numpy()
+            last = int(np.searchsorted(his, his[-1]))
+            if last:
+                yield from ready(rows.slice(0, last))
+                rows, torn = rows.slice(last), None
+            n = sum(len(c.flatten()) for c in rows.column("lo").chunks)
+            if n >= 4 * most:
+                yield torn_rows(rows)
+                rows, n, torn = rows.slice(rows.num_rows), 0, his[-1]
+            held = rows.to_batches()
+        if held:
+            yield from ready(pa.Table.from_batches(held))
+
+    return run
+
+
+def places_of_repeats(docs: DataFrame, k: int, most: int = CHUNK) -> DataFrame:
+    """All places of windows that stand in two or more: (hi, lo, n, path, pos, length), a table; ``length`` windows from ``pos`` on that all
+    stand side by side at all ``n`` places are one row each, by the first of them.
+
+    A first pass counts the runs of half as many tokens that are the least inside some window, one in a dozen windows, eight bytes
+    each; a bitmap of 8 MB at most says which stand once, so that no window with one recurs. The other windows are sent as runs
+    with such a least one in common, 8 bytes a window, to where that goes, and counted there. A fuller bitmap lets more through and
+    changes no result.
     """
-    wins = windows(docs, k)
-    half = wins.groupBy("hi").agg(F.count("*").alias("n")).where("n >= 2").select(F.pmod("hi", F.lit(SLOTS)).alias("slot"))
+    long = docs.where(F.size("tokens") >= k).select("path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("x"), F.transform("tokens", lambda t: F.hash(t).cast("long")).alias("y"))
+    again = long.select("x").mapInArrow(_anchors(k), "hi long").groupBy("hi").agg(F.count("*").alias("n")).where("n >= 2").select(F.pmod("hi", F.lit(SLOTS)).alias("slot"))
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    bitmap = checkpointed(half.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    bitmap = checkpointed(again.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
     maybe = (F.shiftright("slot", 6) == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0)
-    left = checkpointed(wins.withColumn("slot", F.pmod("hi", F.lit(SLOTS))).join(F.broadcast(bitmap), maybe, "left_semi").groupBy("path", "pos").agg(F.min(F.struct("hi", "lo")).alias("w")).select("path", "pos", "w.hi", "w.lo"))
-    again = left.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n >= 2")
-    places = checkpointed(left.join(again, ["hi", "lo"]).select("hi", "lo", "n", "path", F.col("pos").cast("long").alias("pos")))
-    release(bitmap, left)
+    schema = lambda ddl: T.StructType([docs.schema["path"], *T._parse_datatype_string(ddl).fields])
+    runs = long.mapInArrow(_window_runs(k), schema("pos int, hi long, lo array<long>"))
+    runs = runs.withColumn("slot", F.pmod("hi", F.lit(SLOTS))).join(F.broadcast(bitmap), maybe, "left_semi").drop("slot")
+    twice = docs.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    if twice.take(1):
+        one = runs.join(twice, "path", "left_semi").select("path", "pos", "hi", F.posexplode("lo").alias("i", "l")).groupBy("path", (F.col("pos") + F.col("i")).alias("pos")).agg(F.min(F.struct("hi", "l")).alias("w"))
+        runs = runs.join(twice, "path", "left_anti").union(one.select("path", "pos", "w.hi", F.array("w.l")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    met = runs.repartition(parts, "hi").sortWithinPartitions("hi", "path", "pos")
+    found = checkpointed(met.mapInArrow(_class_runs(most), schema("pos long, hi long, lo long, n long, length long")))
+    torn = found.where("n is null").drop("n")
+    counts = torn.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n >= 2")
+    columns = ["hi", "lo", "n", "path", "pos", "length"]
+    places = found.where("n is not null").select(columns).union(torn.join(counts, ["hi", "lo"]).select(columns))
+    release(bitmap)
     return places
 
 
@@ -221,11 +343,11 @@ def clones_of_files(docs: DataFrame, k: int = 50, min_lines: int = 4) -> DataFra
     docs = docs.where(F.col("path").isNotNull()).select("path", "tokens", "lines")
     places = places_of_repeats(docs, k)
     classes = grown(places, docs.select("path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("z")), k)
-    found = places.join(classes.drop("n"), ["hi", "lo"]).select(*_CLASS, "n", "path", (F.col("pos") - F.col("shift")).alias("start"))
+    found = places.drop("length").join(classes.drop("n"), ["hi", "lo"]).select(*_CLASS, "n", "path", (F.col("pos") - F.col("shift")).alias("start"))
     at = lambda i: F.get("lines", i.cast("int"))
     lined = found.join(docs.select("path", "lines"), "path").select(*found.columns, at(F.col("start")).alias("first_line"), at(F.col("start") + F.col("length") - 1).alias("last_line"))
     out = chosen(lined.withColumn("enough", F.coalesce(F.col("last_line") - F.col("first_line") + 1 >= min_lines, F.lit(False))))
-    release(places, classes)
+    release(classes)
     return out.select("class", "path", "start", "length", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"))
 
 
